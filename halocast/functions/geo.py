@@ -18,6 +18,15 @@ def round6(c) -> Column:
     return F.round(_col(c), 6) + F.lit(0.0)
 
 
+def mean6(c) -> Column:
+    """Mean to six digits, from an exact decimal sum.
+
+    The sum of doubles depends on the order of the tasks; this one does not.
+    """
+    c = _col(c)
+    return F.round(F.sum(c.cast("decimal(24,12)")) / F.count(c), 6).cast("double")
+
+
 def haversine(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in km (atan2 form)."""
     lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))

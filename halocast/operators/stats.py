@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocast import rules
 from halocast.functions import geo
-from halocast.functions.geo import round6
+from halocast.functions.geo import mean6, round6
 from halocast.operators.quality import quality_tier
 
 
@@ -24,7 +24,7 @@ def count_profiles(catalog: DataFrame) -> DataFrame:
 
 def region_stats(catalog: DataFrame, ladder: str = "stats") -> DataFrame:
     """Count and position summary per region label, most frequent first."""
-    aggs = [_n("count"), round6(F.avg("lat")).alias("avg_lat"), round6(F.avg("lon")).alias("avg_lon")]
+    aggs = [_n("count"), mean6("lat").alias("avg_lat"), mean6("lon").alias("avg_lon")]
     if ladder == "stats":
         aggs += [F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),
                  F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon")]
@@ -69,8 +69,8 @@ def float_summary(catalog: DataFrame) -> DataFrame:
         _n("total_profiles"),
         F.min("time_start").alias("first_measurement"),
         F.max("time_start").alias("last_measurement"),
-        round6(F.avg("lat")).alias("avg_lat"), round6(F.avg("lon")).alias("avg_lon"),
-        round6(F.avg("n_levels")).alias("avg_levels"),
+        mean6("lat").alias("avg_lat"), mean6("lon").alias("avg_lon"),
+        mean6("n_levels").alias("avg_levels"),
         F.collect_set("variables").alias("_sets"),
     ).select(
         "*", F.array_join(F.array_sort(F.array_distinct(F.flatten("_sets"))), ",")
@@ -81,7 +81,7 @@ def float_summary(catalog: DataFrame) -> DataFrame:
 def method_stats(catalog: DataFrame) -> DataFrame:
     return (
         catalog.groupBy("extraction_method")
-        .agg(_n("count"), round6(F.avg("data_quality_score")).alias("avg_quality"))
+        .agg(_n("count"), mean6("data_quality_score").alias("avg_quality"))
         .orderBy(F.desc("count"), "extraction_method")
     )
 
@@ -105,9 +105,9 @@ def error_stats(errors: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 def catalog_metrics(catalog: DataFrame, as_of: str, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     return catalog.agg(
-        _n("total_profiles"), round6(F.avg("n_levels")).alias("avg_levels"),
+        _n("total_profiles"), mean6("n_levels").alias("avg_levels"),
         distinct("float_id").alias("unique_floats"),
-        round6(F.avg("data_quality_score")).alias("avg_quality"),
+        mean6("data_quality_score").alias("avg_quality"),
         F.count(F.when(F.col("created_at") > _ntz(as_of), 1)).alias("records_today"),
     )
 

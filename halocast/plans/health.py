@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from halocast import rules
-from halocast.functions.geo import round6, valid_coordinates
+from halocast.functions.geo import mean6, round6, valid_coordinates
 from halocast.operators import joins, stats
 
 
@@ -29,7 +29,7 @@ def health_issues(catalog: DataFrame, errors: DataFrame, inventory: DataFrame,
         total.alias("total"),
         F.count(F.when(F.col("parquet_path") != "", 1)).alias("with_path"),
         F.count(F.when(~valid_coordinates(), 1)).alias("invalid"),
-        F.avg("data_quality_score").alias("avg_quality"),
+        mean6("data_quality_score").alias("avg_quality"),
     ).withColumn("orphans", F.when(F.col("total") > 0, 1 - F.col("with_path") / F.col("total"))
                  .otherwise(0.0))
     duplicates = stats.duplicate_profiles(catalog).agg(total.alias("n"))

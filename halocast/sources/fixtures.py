@@ -107,17 +107,17 @@ QUERY_PHRASES = [
 ]
 
 
-def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()])
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _project(read_table(spark, sf_dir, "orders"), PROFILE_COLUMNS)
+    df = project(read_table(spark, sf_dir, "orders"), PROFILE_COLUMNS)
     return df.withColumn("variables", F.split("variables_csv", ","))
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(read_table(spark, sf_dir, "lineitem"), LEVEL_COLUMNS)
+    return project(read_table(spark, sf_dir, "lineitem"), LEVEL_COLUMNS)
 
 
 def level_facts(lv: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scalar_rows(orders: DataFrame) -> DataFrame:
     """Per-profile scalars as text, named by four conventions."""
     key = F.col("o_orderkey")
     days = F.datediff("o_orderdate", F.lit("1950-01-01").cast("date")).cast("string")
@@ -189,7 +189,7 @@ def raw_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries.append(F.struct(F.when(key % 6 == 0, "WMO_INST_TYPE").alias("name"),
                             F.lit("846").alias("value"), F.lit("str").alias("dtype")))
     return (
-        read_table(spark, sf_dir, "orders")
+        orders
         .select(F.expr(SOURCE_FILE.format(key="o_orderkey")).alias("source_file"),
                 key.alias("profile_key"), F.explode(F.array(*entries)).alias("entry"))
         .select("source_file", "profile_key", "entry.name", "entry.value", "entry.dtype")
@@ -197,6 +197,10 @@ def raw_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalar_rows(read_table(spark, sf_dir, "orders"))
+
+
 def file_number(col: str = "source_file"):
     return F.regexp_extract(col, "([0-9]+)", 1).cast("int")
 
@@ -269,12 +273,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingestion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(read_table(spark, sf_dir, "events").filter("event_type = 'error'"),
+    return project(read_table(spark, sf_dir, "events").filter("event_type = 'error'"),
                     ERROR_COLUMNS)
 
 
 def catalog_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(read_table(spark, sf_dir, "events"), BATCH_COLUMNS)
+    return project(read_table(spark, sf_dir, "events"), BATCH_COLUMNS)
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:

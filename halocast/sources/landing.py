@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocast import schemas
 
@@ -12,14 +12,15 @@ def read_raw(spark: SparkSession, path: str, kind: str, fmt: str = "parquet") ->
     return spark.read.format(fmt).schema(schemas.LANDING[kind]).load(path)
 
 
-def read_profile_json(spark: SparkSession, path: str) -> DataFrame:
+def read_profile_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Documents with a nested ``profiles`` array, one row per profile.
 
-    Each file is one document, so files are read in parallel and the schema is
-    declared, which saves the pass that would infer it.
+    One document per file, or per line without ``multi_line``, which lets large
+    files be split. The schema is declared, which saves the pass to infer it.
     """
-    doc = T.StructType([T.StructField("profiles", T.ArrayType(schemas.JSON_PROFILE))])
-    text = spark.read.schema(doc).option("multiLine", "true").json(path)
+    fields = schemas.JSON_PROFILE.replace(" ", ":").replace(",:", ",")
+    doc = f"profiles array<struct<{fields}>>"
+    text = spark.read.schema(doc).option("multiLine", str(multi_line).lower()).json(path)
     return text.select(F.explode("profiles").alias("p")).select("p.*").withColumn(
         "time", F.col("time").cast("timestamp_ntz"))
 

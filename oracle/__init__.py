@@ -1,0 +1 @@
+"""Plain SQL counterparts of the queries, for another engine to run."""
