@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from halocast import rules
 from halocast.functions.geo import _col
@@ -83,23 +84,37 @@ def season_word(text) -> Column:
     return F.coalesce(*hits)
 
 
-def _any_word(words: list[str], mode: str) -> str:
-    body = "|".join(re.escape(w).replace(r"\ ", " ") for w in dict.fromkeys(words))
-    return body if mode == "substring" else rf"\b(?:{body})s?\b"
+_WORD_EDGE = r"[^\p{L}\p{N}_]"  # letters of any script count as part of a word
 
 
-def in_scope(text, mode: str = "token") -> Column:
+def _any_of(low: Column, tokens: Column, words: list[str], mode: str) -> Column:
+    """Any word in the text. Tokens are looked up in a hash set, phrases searched."""
+    words = list(dict.fromkeys(words))
+    if mode == "substring":
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    single = [f for w in words if " " not in w for f in (w, w + "s")]
+    test = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in single]))
+    for w in (w for w in words if " " in w):
+        whole = low.rlike(f"(?:^|{_WORD_EDGE}){re.escape(w)}s?(?:$|{_WORD_EDGE})")
+        test = test | (F.contains(low, F.lit(w)) & whole)
+    return test
+
+
+def in_scope(df: DataFrame, out: str = "in_scope", text: str = "text",
+             mode: str = "token") -> DataFrame:
     """Ocean or generic word present, no off-topic word, three characters at least.
 
     ``token`` matches whole words with an optional plural s, so 'car' does not
     reject 'carbon'; ``substring`` matches anywhere.
     """
-    text = _col(text)
-    low = F.lower(text)
-    wanted = _any_word(rules.OCEAN_WORDS + rules.GENERIC_WORDS, mode)
-    unwanted = _any_word(rules.OFF_TOPIC_WORDS, mode)
-    return F.coalesce((F.length(F.trim(text)) >= 3) & low.rlike(wanted) & ~low.rlike(unwanted),
-                      F.lit(False))
+    low, tokens = F.col("_low"), F.col("_tokens")
+    split = F.split(F.lower(F.col(text)), f"{_WORD_EDGE}+") if mode == "token" else (
+        F.array().cast("array<string>"))
+    wanted = _any_of(low, tokens, rules.OCEAN_WORDS + rules.GENERIC_WORDS, mode)
+    unwanted = _any_of(low, tokens, rules.OFF_TOPIC_WORDS, mode)
+    flag = F.coalesce((F.length(F.trim(F.col(text))) >= 3) & wanted & ~unwanted, F.lit(False))
+    return (df.withColumns({"_low": F.lower(F.col(text)), "_tokens": split})
+            .withColumn(out, flag).drop("_low", "_tokens"))
 
 
 # fixed values: variable marks in a catalogue row and the words for them

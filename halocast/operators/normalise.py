@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from halocast import rules
 from halocast.functions import identifiers as ids
-from halocast.functions.geo import _col
+from halocast.functions.geo import _col, valid_coordinates
+from halocast.functions.times import normalise_time
 from halocast.operators.joins import spread_join
 
 PROFILE_KEYS = ["source_file", "profile_key"]
@@ -241,12 +242,10 @@ def assemble_profiles(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("n_values") > 0, F.col("std_name"))))
         .alias("variables"),
         F.sum("n_values").alias("n_values"), F.sum("n_trimmed").alias("n_cells"),
-        F.count_distinct(F.when((F.col("n_values") > 0)
-                                & F.col("std_name").isin(rules.KEY_VARIABLES),
-                                F.col("std_name"))).alias("n_key"),
+        # one row per standard name here, so counting rows counts names
+        F.count(F.when((F.col("n_values") > 0) & F.col("std_name").isin(rules.KEY_VARIABLES), 1))
+        .alias("n_key"),
     )
-    from halocast.functions.times import normalise_time
-
     joined = coordinates.join(per_profile, PROFILE_KEYS, "left")
     cut = ids.truncate_fields()
     return joined.select(
@@ -302,8 +301,6 @@ def admission_filter(profiles: DataFrame, as_of: str, min_levels: int = rules.MI
                      max_age_years: int = rules.MAX_AGE_YEARS,
                      max_file_mb: int = rules.MAX_FILE_MB) -> DataFrame:
     """Profiles with enough levels, recent enough, strictly placed, file not too large."""
-    from halocast.functions.geo import valid_coordinates
-
     oldest = F.add_months(F.to_date(F.lit(as_of)), -12 * max_age_years).cast("timestamp_ntz")
     keep = ((F.col("n_levels") >= min_levels) & (F.col("time_start") >= oldest)
             & valid_coordinates())

@@ -17,15 +17,23 @@ from halocast.operators.quality import quality_score, validate_profiles
 from halocast.sources import sinks
 
 
+MEASURES = list(rules.VARIABLE_ALIASES)
+
+
 @dataclass
 class Ingested:
     """The tables one run yields; all of them are lazy."""
 
     profiles: DataFrame
-    levels: DataFrame
-    documents: DataFrame
+    aligned: DataFrame
     rejected: DataFrame
 
+    def levels(self, profiles: DataFrame | None = None) -> DataFrame:
+        """Levels of the accepted profiles, which may come from a stored table."""
+        owners = (self.profiles if profiles is None else profiles).select(
+            *nm.PROFILE_KEYS, "profile_id", "float_id")
+        return self.aligned.join(owners, nm.PROFILE_KEYS)
+
 
 def ingest(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables: DataFrame) -> Ingested:
     """Normalise, validate and score every profile of the landed tables."""
@@ -33,23 +41,15 @@ def ingest(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables: DataFra
     facts = nm.standard_facts(nm.variable_facts(raw_values), resolved)
     candidates = nm.assemble_profiles(nm.resolve_coordinates(raw_scalars), facts)
     accepted, rejected = validate_profiles(candidates)
-    bucket = F.concat(F.lit("float_bucket="),
-                      sinks.float_bucket().cast("string"))
-    scored = accepted.withColumns({
-        "data_quality_score": quality_score(),
-        "parquet_path": bucket,
-        "extraction_method": F.lit("standard"),
-    })
-    profiles = scored.select(
+    profiles = accepted.select(
         *nm.PROFILE_KEYS, "profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
-        "variables", "parquet_path", "extraction_method", "data_quality_score")
-    levels = nm.align_levels(nm.standard_values(raw_values, resolved)).join(
-        profiles.select(*nm.PROFILE_KEYS, "profile_id", "float_id"), nm.PROFILE_KEYS)
-    documents = sinks.vector_documents(profiles.withColumn("summary", summarise("rich")))
-    return Ingested(profiles, levels, documents, rejected)
-
-
-MEASURES = [n for n in rules.VARIABLE_ALIASES]
+        "variables",
+        F.concat(F.lit("float_bucket="), sinks.float_bucket().cast("string"))
+        .alias("parquet_path"),
+        F.lit("standard").alias("extraction_method"),
+        quality_score().alias("data_quality_score"))
+    aligned = nm.align_levels(nm.standard_values(raw_values, resolved))
+    return Ingested(profiles, aligned, rejected)
 
 
 def publish(run: Ingested, root: str, occurred_at: str, old_catalog: DataFrame | None = None) -> str:
@@ -59,12 +59,12 @@ def publish(run: Ingested, root: str, occurred_at: str, old_catalog: DataFrame |
     the catalogue version.
     """
     spark = run.profiles.sparkSession
-    # profiles feed four outputs: write them once and read them back, which also
+    # profiles feed four outputs: they are written once and read back, which also
     # cuts the lineage should executors be lost later on
     staged = f"{root}/staged_profiles"
     run.profiles.write.mode("overwrite").parquet(staged)
     profiles = spark.read.parquet(staged)
-    sinks.write_levels(run.levels, f"{root}/levels", MEASURES)
+    sinks.write_levels(run.levels(profiles), f"{root}/levels", MEASURES)
     documents = embed_text(profiles.withColumn("summary", summarise("rich")))
     sinks.write_vectors(documents, f"{root}/vectors")
     sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), f"{root}/errors")

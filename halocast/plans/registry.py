@@ -63,7 +63,7 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def read_raw(spark, sf):
     path = work_dir(spark, "raw")
-    fx.raw_values(spark, sf).write.parquet(path)
+    fx.derive_raw_values(spark, sf).write.parquet(path)
     return landing.read_raw(spark, path, "values")
 
 
@@ -440,8 +440,8 @@ def facet_filter_no_match(spark, sf):
 
 @query
 def scope_filter(spark, sf):
-    return _texts(spark, sf).select("query_id", text.in_scope("text").alias("by_token"),
-                                    text.in_scope("text", "substring").alias("by_substring"))
+    flagged = text.in_scope(_texts(spark, sf), "by_token")
+    return text.in_scope(flagged, "by_substring", mode="substring").drop("text")
 
 
 @query
@@ -987,7 +987,7 @@ def ingest_pipeline(spark, sf):
 
 @query
 def ingest_levels(spark, sf):
-    return _run(spark, sf).levels.select("profile_id", "float_id", "level_idx", "temperature",
+    return _run(spark, sf).levels().select("profile_id", "float_id", "level_idx", "temperature",
                                          "salinity", "pressure", "oxygen")
 
 

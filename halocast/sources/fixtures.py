@@ -7,9 +7,13 @@ source table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocast.operators.ordering import dense_index
+from halocast.session import work_dir
 from halocast.sources.tables import read_table
 
 LAT = ("CASE WHEN o_orderkey % 211 = 0 THEN NULL WHEN o_orderkey % 223 = 0 THEN 95e0 "
@@ -140,7 +144,36 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable) -> DataFrame:
+    """A derived landing table, written once per application and then read.
+
+    Landing tables are inputs of every later step, so they are stored like any
+    input: scans prune columns and nothing derives them twice.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _LANDED:
+        try:
+            return spark.read.parquet(_LANDED[key])
+        except AnalysisException:  # the folder was cleared meanwhile
+            pass
+    path = work_dir(spark, f"landing-{name}")
+    build(spark, sf_dir).write.parquet(path)
+    _LANDED[key] = path
+    return spark.read.parquet(path)
+
+
 def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "values", derive_raw_values)
+
+
+def raw_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "variables", derive_raw_variables)
+
+
+def derive_raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded values in long form: one row per file, profile, variable, level."""
     lines = dense_index(read_table(spark, sf_dir, "lineitem"), "l_orderkey", LEVEL_ORDER,
                         "level_idx")
@@ -213,7 +246,7 @@ def file_shapes(raw: DataFrame) -> DataFrame:
     )
 
 
-def raw_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_raw_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable catalogue of every file: dims, shape, dtype.
 
     Every fifth file stores [level, profile]; every eleventh names neither

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from halocast.operators.filters import with_cells
 
-def float_bucket(n: int = 64, col: str = "float_id"):
+
+def float_bucket(n: int = 32, col: str = "float_id"):
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def write_levels(levels: DataFrame, path: str, measures: list[str], n_buckets: int = 64) -> None:
+def write_levels(levels: DataFrame, path: str, measures: list[str], n_buckets: int = 32) -> None:
     """Levels as one Parquet dataset, by float bucket; all-null levels are left out.
 
     The rebalance hint lets adaptive execution cut a bucket that holds a hot
@@ -62,11 +64,13 @@ def kept_reports(reports: DataFrame, keep: int = 100, order: str = "report_time"
 
 
 def write_catalog_version(catalog: DataFrame, path: str) -> None:
-    """A new catalogue version, by 10-degree cell and sorted by time inside files."""
-    from halocast.operators.filters import with_cells
+    """A new catalogue version, by 10-degree band and sorted inside files.
 
+    Bands prune folders; the sort makes row-group statistics prune longitude
+    and time. Longitude is not a folder level, which would make many small files.
+    """
     (
-        with_cells(catalog).hint("rebalance", F.col("cell_lat"), F.col("cell_lon"))
+        with_cells(catalog).hint("rebalance", F.col("cell_lat"))
         .sortWithinPartitions("cell_lat", "cell_lon", "time_start")
-        .write.mode("errorifexists").partitionBy("cell_lat", "cell_lon").parquet(path)
+        .write.mode("errorifexists").partitionBy("cell_lat").parquet(path)
     )

@@ -135,54 +135,69 @@ S["route_scalars_and_levels"] = sql("""SELECT source_file, profile_key, var_name
  FROM (SELECT *, count(*) OVER (PARTITION BY source_file, profile_key, var_name) AS n
        FROM cleaned)""")
 S["validate_profiles"] = sql("SELECT profile_id, lat, lon, n_levels, reason FROM judged")
-# files by number: 3 has unknown names, 7 is placed by its name only, 9 not at all
-_best = """SELECT source_file, CAST(regexp_extract(source_file, '([0-9]+)', 1) AS INT) AS n
- FROM (SELECT DISTINCT source_file FROM scalars)"""
-_names_by_profile = """SELECT source_file, profile_key, max(n_trimmed) AS n_levels,
- array_to_string(list_sort(list_distinct(list({name}))), ',') AS variables_csv
- FROM {source} WHERE n_values > 0 {where} GROUP BY ALL"""
-_exact = _names_by_profile.format(name="var_name", source="var_facts",
-                                  where="AND var_name IN ('TEMP','PSAL','DOXY','PRES')")
-_standard = _names_by_profile.format(
-    name="std_name", source="std_facts", where="")
+# degraded landing: files ...3 have unknown names, ...7 only a telling file name, ...9 no place
+_fno = "CAST(regexp_extract(source_file, '([0-9]+)', 1) AS INT)"
+_renamed = (f"CASE WHEN {_fno} % 10 = 7 THEN 'batch_' || {_fno} || '_12.5N_65W.nc' "
+            "ELSE source_file END")
+_stem_of = "replace(source_file, '.nc', '')"
+
+
+def _names(expr: str, where: str = "true") -> str:
+    return (f"max(n_trimmed) AS n_levels, array_to_string(list_sort(list_distinct(list({expr}) "
+            f"FILTER ({where}))), ',') AS variables_csv")
+
+
+_known = "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180"
+_by_name = """CASE WHEN contains(source_file, '12.5N_65W') THEN {0} END"""
 S["fallback_extract"] = sql(f"""WITH
- files AS ({_best}),
- std_facts AS (SELECT f.*, a.std_name FROM var_facts f
-   JOIN {alias_values('variable')} ON f.var_name = a.variant),
- exact AS ({_exact}), standard AS ({_standard}),
+ bad_facts AS (SELECT {_renamed} AS source_file, profile_key, n_trimmed,
+   CASE WHEN {_fno} % 10 = 3 THEN 'x-' || var_name ELSE var_name END AS var_name
+   FROM var_facts WHERE n_values > 0),
+ bad_scalars AS (SELECT {_renamed} AS source_file, profile_key, name, value FROM scalars
+   WHERE {_fno} % 10 NOT IN (7, 9)),
+ files AS (SELECT DISTINCT {_renamed} AS source_file FROM scalars),
  place AS (SELECT source_file, profile_key, try_cast(latitude AS DOUBLE) AS lat,
-   try_cast(longitude AS DOUBLE) AS lon FROM coords),
- first_place AS (SELECT source_file, arg_min(lat, profile_key) AS lat, arg_min(lon, profile_key)
-   AS lon FROM place WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1),
- whole AS (SELECT source_file, max(n_trimmed) AS n_levels,
-   array_to_string(list_sort(list_distinct(list('X' || upper(var_name)))), ',') AS unknown,
-   array_to_string(list_sort(list_distinct(list(upper(var_name)) FILTER (n_trimmed > 1))), ',')
-     AS numeric_names FROM var_facts WHERE n_values > 0 GROUP BY 1),
+   try_cast(longitude AS DOUBLE) AS lon FROM coords WHERE {_fno} % 10 NOT IN (7, 9)),
+ exact_place AS (SELECT source_file, profile_key,
+   max(CASE WHEN name = 'LATITUDE' THEN try_cast(value AS DOUBLE) END) AS lat,
+   max(CASE WHEN name = 'LONGITUDE' THEN try_cast(value AS DOUBLE) END) AS lon
+   FROM bad_scalars WHERE name IN ('LATITUDE', 'LONGITUDE') GROUP BY ALL),
+ first_place AS (SELECT source_file, arg_min(lat, profile_key) AS lat,
+   arg_min(lon, profile_key) AS lon FROM place
+   WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1),
+ file_facts AS (SELECT source_file, var_name, max(n_trimmed) AS n_trimmed FROM bad_facts
+   GROUP BY ALL),
  cand AS (
-   SELECT f.source_file, replace(f.source_file, '.nc', '') || '_profile_' || e.profile_key
-     AS profile_id, p.lat, p.lon, e.n_levels, e.variables_csv, 'exact_schema' AS extraction_method
-   FROM files f JOIN exact e USING (source_file) JOIN place p USING (source_file, profile_key)
-   WHERE n % 4 = 0 AND n % 10 NOT IN (3, 7, 9)
+   SELECT source_file, {_stem_of} || '_profile_' || profile_key AS profile_id, lat, lon, n_levels,
+     variables_csv, 'exact_schema' AS extraction_method, 0 AS priority
+   FROM (SELECT source_file, profile_key, {_names('var_name')} FROM bad_facts
+         WHERE var_name IN ('TEMP', 'PSAL', 'DOXY', 'PRES') GROUP BY ALL)
+   JOIN exact_place USING (source_file, profile_key) WHERE {_known}
    UNION ALL
-   SELECT f.source_file, replace(f.source_file, '.nc', '') || '_profile_' || s.profile_key,
-     p.lat, p.lon, s.n_levels, s.variables_csv, 'standard'
-   FROM files f JOIN standard s USING (source_file) JOIN place p USING (source_file, profile_key)
-   WHERE n % 4 <> 0 AND n % 10 NOT IN (3, 7, 9)
+   SELECT source_file, {_stem_of} || '_profile_' || profile_key, lat, lon, n_levels,
+     variables_csv, 'standard', 1
+   FROM (SELECT source_file, profile_key, {_names('std_name')} FROM bad_facts
+         JOIN {alias_values('variable')} ON var_name = variant GROUP BY ALL)
+   JOIN place USING (source_file, profile_key) WHERE {_known}
    UNION ALL
-   SELECT f.source_file, replace(f.source_file, '.nc', '') || '_simple_profile', p.lat, p.lon,
-     w.n_levels, w.unknown, 'simple_variables'
-   FROM files f JOIN whole w USING (source_file) JOIN first_place p USING (source_file)
-   WHERE n % 10 = 3
+   SELECT source_file, {_stem_of} || '_simple_profile', lat, lon, n_levels, variables_csv,
+     'simple_variables', 2
+   FROM (SELECT source_file, {_names(
+       "coalesce(std, regexp_replace(upper(var_name), '[^A-Z0-9_]', '', 'g'))")}
+         FROM file_facts LEFT JOIN {_alias_upper} ON up = upper(var_name) GROUP BY ALL)
+   JOIN first_place USING (source_file) WHERE {_known}
    UNION ALL
-   SELECT 'batch_' || n || '_12.5N_65W.nc', 'batch_' || n || '_12.5N_65W_any_data', 12.5e0,
-     -65e0, w.n_levels, w.numeric_names, 'any_numeric'
-   FROM files f JOIN whole w USING (source_file) WHERE n % 10 = 7
+   SELECT source_file, {_stem_of} || '_any_data', 12.5e0, -65e0, n_levels, variables_csv,
+     'any_numeric', 3
+   FROM (SELECT source_file, {_names("replace(upper(var_name), ' ', '_')")} FROM file_facts
+         WHERE n_trimmed > 1 GROUP BY ALL) WHERE contains(source_file, '12.5N_65W')
    UNION ALL
-   SELECT source_file, replace(source_file, '.nc', '') || '_minimal', NULL, NULL, 0,
-     'METADATA_ONLY', 'minimal_fallback' FROM files WHERE n % 10 = 9)
- SELECT *, coalesce(lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180, false) AS accepted
- FROM cand WHERE extraction_method = 'minimal_fallback'
-   OR (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)""")
+   SELECT source_file, {_stem_of} || '_minimal', {_by_name.format('12.5e0')},
+     {_by_name.format('-65e0')}, 0, 'METADATA_ONLY', 'minimal_fallback', 4 FROM files)
+ SELECT source_file, profile_id, lat, lon, n_levels, variables_csv, extraction_method,
+  coalesce({_known}, false) AS accepted
+ FROM (SELECT *, min(priority) OVER (PARTITION BY source_file) AS best FROM cand)
+ WHERE priority = best""")
 S["any_numeric_variables"] = sql("""SELECT c.source_file, upper(c.var_name) AS var_name,
  count(*) AS n_rows, count(value) AS n_values FROM cleaned c
  JOIN variables v ON v.source_file = c.source_file AND v.var_name = c.var_name
@@ -258,15 +273,16 @@ S["facet_filter"] = sql(f"""SELECT profile_id, variables_csv, max_depth FROM cat
 S["facet_filter_no_match"] = sql("SELECT profile_id, variables_csv, max_depth FROM catalog")
 
 
-def _words(words: list[str], token: bool) -> str:
-    body = "|".join(re.escape(w).replace(r"\ ", " ") for w in dict.fromkeys(words))
-    return rf"\b(?:{body})s?\b" if token else body
+def _scope(token: bool) -> str:
+    edge = r"[^\p{L}\p{N}_]"
 
+    def any_of(words: list[str]) -> str:
+        body = "|".join(re.escape(w).replace(r"\ ", " ") for w in dict.fromkeys(words))
+        return f"(?:^|{edge})(?:{body})s?(?:$|{edge})" if token else body
 
-def _scope(token: bool) -> str:
-    wanted = _words(rules.OCEAN_WORDS + rules.GENERIC_WORDS, token)
-    return (f"(length(trim(text)) >= 3 AND regexp_matches(lower(text), '{wanted}') "
-            f"AND NOT regexp_matches(lower(text), '{_words(rules.OFF_TOPIC_WORDS, token)}'))")
+    return (f"(length(trim(text)) >= 3 "
+            f"AND regexp_matches(lower(text), '{any_of(rules.OCEAN_WORDS + rules.GENERIC_WORDS)}') "
+            f"AND NOT regexp_matches(lower(text), '{any_of(rules.OFF_TOPIC_WORDS)}'))")
 
 
 S["scope_filter"] = sql(f"""SELECT query_id, {_scope(True)} AS by_token,
