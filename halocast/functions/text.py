@@ -17,25 +17,24 @@ POINT_PATTERNS = {
 }
 
 
-def region_box(text, ruleset: str = "base", match: str = "longest") -> Column:
-    """Struct of the named region found in the text, or null.
+def region_box(low, ruleset: str = "base", match: str = "longest") -> Column:
+    """Struct of the named region found in the lower-cased text, or null.
 
     ``first`` takes the first region in rule order, ``longest`` the longest
     matching name, so 'north atlantic' beats 'atlantic'.
     """
-    low = F.lower(_col(text))
-    found = []
-    for priority, name, a, b, c, d in rules.region_rows(ruleset):
-        rank = priority if match == "first" else -len(name) * 100 + priority
-        found.append(F.when(F.instr(low, name) > 0, F.struct(
-            F.lit(rank).alias("rank"), F.lit(name).alias("name"),
-            F.lit(a).alias("lat_min"), F.lit(b).alias("lat_max"),
-            F.lit(c).alias("lon_min"), F.lit(d).alias("lon_max"))))
-    return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    rows = rules.region_rows(ruleset)
+    if match == "longest":
+        rows.sort(key=lambda r: (-len(r[1]), r[0]))
+    # a chain of tests in order of preference stops at the first name found
+    return F.coalesce(*[F.when(F.contains(_col(low), F.lit(name)), F.struct(
+        F.lit(name).alias("name"), F.lit(a).alias("lat_min"), F.lit(b).alias("lat_max"),
+        F.lit(c).alias("lon_min"), F.lit(d).alias("lon_max"))) for _, name, a, b, c, d in rows])
 
 
-def has_region_word(text, ruleset: str = "enhanced") -> Column:
-    return F.lower(_col(text)).rlike("|".join(n for n, *_ in rules.REGIONS[ruleset]))
+def has_region_word(low, ruleset: str = "enhanced") -> Column:
+    names = [n for n, *_ in rules.REGIONS[ruleset]]
+    return reduce(lambda a, b: a | b, [F.contains(_col(low), F.lit(n)) for n in names])
 
 
 def point_box(text, ruleset: str = "base") -> Column:
@@ -46,42 +45,52 @@ def point_box(text, ruleset: str = "base") -> Column:
     lon = part[2].try_cast("double") * F.when(part[3] == "E", 1.0).otherwise(-1.0)
     half = rules.POINT_BOX_DEGREES
     return F.when(part[1] != "", F.struct(
-        F.lit(0).alias("rank"), F.lit("point").alias("name"),
+        F.lit("point").alias("name"),
         (lat - half).alias("lat_min"), (lat + half).alias("lat_max"),
         (lon - half).alias("lon_min"), (lon + half).alias("lon_max")))
 
 
-def geographic_box(text, ruleset: str = "base", match: str = "longest") -> Column:
-    """Named region if there is one, else the box around a coordinate pair."""
-    return F.coalesce(region_box(text, ruleset, match), point_box(text, ruleset))
+def _has(low, *phrases: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(_col(low), F.lit(p)) for p in phrases])
 
 
-def months_back(text) -> Column:
-    low = F.lower(_col(text))
-    return (F.when(low.rlike("last 6 months|past 6 months"), 6)
-            .when(low.rlike("last year|past year"), 12)
-            .when(low.contains("last 3 months"), 3))
+def months_back(low) -> Column:
+    return (F.when(_has(low, "last 6 months", "past 6 months"), 6)
+            .when(_has(low, "last year", "past year"), 12)
+            .when(_has(low, "last 3 months"), 3))
 
 
-def year_asked(text) -> Column:
+def year_asked(low) -> Column:
     """First 20xx year; only where no relative time was given."""
-    year = F.regexp_extract(_col(text), r"(20\d{2})", 1)
-    return F.when(months_back(text).isNull() & (year != ""), year.cast("int"))
+    year = F.regexp_extract(_col(low), r"(20\d{2})", 1)
+    return F.when(months_back(low).isNull() & (year != ""), year.cast("int"))
 
 
-def season_asked(text) -> Column:
+def season_asked(low) -> Column:
     """True where only a season word constrains the time."""
-    low = F.lower(_col(text))
-    return F.coalesce(
-        months_back(text).isNull() & year_asked(text).isNull()
-        & low.rlike("|".join(rules.SEASON_WORDS)), F.lit(False))
+    return F.coalesce(months_back(low).isNull() & year_asked(low).isNull()
+                      & _has(low, *rules.SEASON_WORDS), F.lit(False))
 
 
-def season_word(text) -> Column:
+def season_word(low) -> Column:
     """Season with a month table named in the text, earliest in table order."""
-    low = F.lower(_col(text))
-    hits = [F.when(low.contains(s), F.lit(s)) for s in rules.SEASON_MONTHS]
-    return F.coalesce(*hits)
+    return F.coalesce(*[F.when(_has(low, s), F.lit(s)) for s in rules.SEASON_MONTHS])
+
+
+def constraints(df: DataFrame, ruleset: str = "base", match: str = "longest",
+                text: str = "text") -> DataFrame:
+    """Add region or point box, time constraint and season of each text.
+
+    The text is lower-cased once; a named region goes before a coordinate pair.
+    """
+    box = F.coalesce(region_box("_low", ruleset, match), point_box(text, ruleset))
+    found = df.withColumn("_low", F.lower(F.col(text))).withColumns({
+        "_box": box, "months_back": months_back("_low"), "year_asked": year_asked("_low"),
+        "seasonal": season_asked("_low"), "season": season_word("_low")})
+    return found.select(
+        *df.columns, F.col("_box.name").alias("region_name"),
+        *[F.col(f"_box.{c}").alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")],
+        "months_back", "year_asked", "seasonal", "season")
 
 
 _WORD_EDGE = r"[^\p{L}\p{N}_]"  # letters of any script count as part of a word

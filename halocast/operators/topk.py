@@ -19,11 +19,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from halocast.functions.geo import valid_coordinates
+from halocast.rules import EARTH_RADIUS_KM
+
 HIT_SCHEMA = "query_id string, profile_id string, distance double, k int"
 MERGE_SALTS = 32              # partial lists per query before the last merge
 BROADCAST_QUERIES = 4096      # queries that may be broadcast (a few MB of vectors)
 CORPUS_BLOCK = 50_000         # corpus rows per block in the cogroup
 QUERY_BLOCK = 2_048           # queries per block in the cogroup
+QUERY_SLICE = 256             # queries compared with a block at a time inside a task
 DIGITS = 9                    # distances are compared after rounding to this
 
 
@@ -33,57 +37,59 @@ def vector_kernel(metric: str = "l2sq", prefilter: bool = False) -> Callable:
     Candidates come from a matrix product; the few that can be among the k
     best are measured again exactly, so that ties fall alike in every block.
     """
-    digits = DIGITS
+    digits, slice_size = DIGITS, QUERY_SLICE
 
     def best(corpus, queries):
         import numpy as np
         import pandas as pd
 
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype=object),
-                              "profile_id": pd.Series([], dtype=object),
-                              "distance": pd.Series([], dtype=float),
-                              "k": pd.Series([], dtype="int32")})
         corpus = corpus[corpus["embedding"].notna()]
-        queries = queries[queries["query_vector"].notna()]
-        if corpus.empty or queries.empty:
-            return empty
-        ids = corpus["profile_id"].to_numpy()
-        c = np.array(corpus["embedding"].tolist(), dtype=np.float64)
-        q = np.array(queries["query_vector"].tolist(), dtype=np.float64)
-        dot = c @ q.T
-        if metric == "l2sq":
-            rough = (c * c).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * dot
-        elif metric == "cosine":
-            norms = np.sqrt((c * c).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-            rough = 1 - dot / np.where(norms == 0, 1.0, norms)
-        else:
-            rough = -dot
-        if prefilter:
-            rough = np.where(_allowed(corpus, queries, np), rough, np.inf)
-        out = []
-        for j, (query_id, k) in enumerate(zip(queries["query_id"], queries["k"])):
-            column = rough[:, j]
-            k = int(k)
-            if k <= 0:
-                continue
-            place = min(k, len(column)) - 1
-            edge = np.partition(column, place)[place]
-            near = np.flatnonzero((column <= edge + 1e-6) & np.isfinite(column))
-            if not len(near):
-                continue
-            rows, target = c[near], q[j]
-            if metric == "l2sq":
-                exact = ((rows - target) ** 2).sum(1)
-            elif metric == "cosine":
-                size = np.sqrt((rows * rows).sum(1)) * np.sqrt((target * target).sum())
-                exact = 1 - (rows * target).sum(1) / np.where(size == 0, 1.0, size)
-            else:
-                exact = -(rows * target).sum(1)
-            exact = np.round(exact, digits) + 0.0
-            order = np.lexsort((ids[near].astype(str), exact))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "profile_id": ids[near][order],
-                                     "distance": exact[order], "k": np.int32(k)}))
-        return pd.concat(out, ignore_index=True) if out else empty
+        queries = queries[queries["query_vector"].notna() & (queries["k"] > 0)]
+        parts = []
+        if len(corpus) and len(queries):
+            ids = corpus["profile_id"].to_numpy().astype(str)
+            c = np.array(corpus["embedding"].tolist(), dtype=np.float64)
+            c_size = (c * c).sum(1)
+            for start in range(0, len(queries), slice_size):
+                some = queries.iloc[start:start + slice_size]
+                q = np.array(some["query_vector"].tolist(), dtype=np.float64)
+                k = some["k"].to_numpy(dtype=np.int64)
+                q_size, dot = (q * q).sum(1), c @ q.T
+                if metric == "l2sq":
+                    rough = c_size[:, None] + q_size[None, :] - 2 * dot
+                elif metric == "cosine":
+                    norm = np.sqrt(c_size)[:, None] * np.sqrt(q_size)[None, :]
+                    rough = 1 - dot / np.where(norm == 0, 1.0, norm)
+                else:
+                    rough = -dot
+                if prefilter:
+                    rough = np.where(_allowed(corpus, some, np), rough, np.inf)
+                place = np.minimum(k, len(c)) - 1
+                edge = np.partition(rough, np.unique(place), axis=0)[place, np.arange(len(k))]
+                row, col = np.nonzero((rough <= edge[None, :] + 1e-6) & np.isfinite(rough))
+                left, right = c[row], q[col]
+                if metric == "l2sq":
+                    exact = ((left - right) ** 2).sum(1)
+                elif metric == "cosine":
+                    norm = np.sqrt(c_size[row]) * np.sqrt(q_size[col])
+                    exact = 1 - (left * right).sum(1) / np.where(norm == 0, 1.0, norm)
+                else:
+                    exact = -(left * right).sum(1)
+                exact = np.round(exact, digits) + 0.0
+                order = np.lexsort((ids[row], exact, col))
+                row, col, exact = row[order], col[order], exact[order]
+                nth = np.arange(len(col)) - np.searchsorted(col, col, "left")
+                keep = nth < k[col]
+                row, col, exact = row[keep], col[keep], exact[keep]
+                parts.append(pd.DataFrame({
+                    "query_id": some["query_id"].to_numpy()[col], "profile_id": ids[row],
+                    "distance": exact, "k": k[col].astype("int32")}))
+        if not parts:
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object),
+                                 "profile_id": pd.Series([], dtype=object),
+                                 "distance": pd.Series([], dtype=float),
+                                 "k": pd.Series([], dtype="int32")})
+        return pd.concat(parts, ignore_index=True)
 
     def _allowed(corpus, queries, np):
         """Mask of pairs that pass each query's box and time span (null = open)."""
@@ -106,41 +112,48 @@ def vector_kernel(metric: str = "l2sq", prefilter: bool = False) -> Callable:
 
 def position_kernel(radius_degrees: float) -> Callable:
     """Nearest positions by great-circle distance within a radius in degrees of arc."""
-    digits = DIGITS
+    digits, slice_size, radius_earth = DIGITS, QUERY_SLICE, EARTH_RADIUS_KM
 
     def best(corpus, queries):
         import numpy as np
         import pandas as pd
 
-        radius_km = np.radians(radius_degrees) * 6371.0
+        radius_km = np.radians(radius_degrees) * radius_earth
         corpus = corpus.sort_values("lat")
-        ids = corpus["profile_id"].to_numpy()
+        ids = corpus["profile_id"].to_numpy().astype(str)
         lat, lon = corpus["lat"].to_numpy(dtype=float), corpus["lon"].to_numpy(dtype=float)
-        out = []
-        for query_id, k, qlat, qlon in zip(queries["query_id"], queries["k"], queries["lat"],
-                                           queries["lon"]):
+        parts = []
+        for start in range(0, len(queries), slice_size):
+            some = queries.iloc[start:start + slice_size]
+            qlat, qlon = some["lat"].to_numpy(dtype=float), some["lon"].to_numpy(dtype=float)
+            k = some["k"].to_numpy(dtype=np.int64)
+            # rows within the radius in latitude, as runs of the sorted corpus
             lo = np.searchsorted(lat, qlat - radius_degrees - 1e-9, "left")
             hi = np.searchsorted(lat, qlat + radius_degrees + 1e-9, "right")
-            if lo == hi:
-                continue
-            p1, p2 = np.radians(qlat), np.radians(lat[lo:hi])
-            a = (np.sin((p2 - p1) / 2) ** 2
-                 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon[lo:hi] - qlon) / 2) ** 2)
-            km = 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0.0, 1 - a)))
+            n = hi - lo
+            col = np.repeat(np.arange(len(n)), n)
+            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            p1, p2 = np.radians(qlat[col]), np.radians(lat[row])
+            a = (np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2)
+                 * np.sin(np.radians(lon[row] - qlon[col]) / 2) ** 2)
+            km = 2 * radius_earth * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0.0, 1 - a)))
             km = np.round(km, digits - 3) + 0.0
-            near = np.flatnonzero(km <= radius_km)
-            if not len(near):
-                continue
-            names = ids[lo:hi][near]
-            order = np.lexsort((names.astype(str), km[near]))[: int(k)]
-            out.append(pd.DataFrame({"query_id": query_id, "profile_id": names[order],
-                                     "distance": km[near][order], "k": np.int32(k)}))
-        if not out:
+            near = km <= radius_km
+            row, col, km = row[near], col[near], km[near]
+            order = np.lexsort((ids[row], km, col))
+            row, col, km = row[order], col[order], km[order]
+            nth = np.arange(len(col)) - np.searchsorted(col, col, "left")
+            keep = nth < k[col]
+            row, col, km = row[keep], col[keep], km[keep]
+            parts.append(pd.DataFrame({
+                "query_id": some["query_id"].to_numpy()[col], "profile_id": ids[row],
+                "distance": km, "k": k[col].astype("int32")}))
+        if not parts:
             return pd.DataFrame({"query_id": pd.Series([], dtype=object),
                                  "profile_id": pd.Series([], dtype=object),
                                  "distance": pd.Series([], dtype=float),
                                  "k": pd.Series([], dtype="int32")})
-        return pd.concat(out, ignore_index=True)
+        return pd.concat(parts, ignore_index=True)
 
     return best
 
@@ -177,10 +190,10 @@ def scan_with_broadcast(corpus: DataFrame, queries: DataFrame, kernel: Callable)
         for batch in batches:
             found = kernel(batch, wanted)
             if held is not None:
-                found = pd.concat([held, found], ignore_index=True)
-            found = found.sort_values(["query_id", "distance", "profile_id"])
-            place = found.groupby("query_id").cumcount()
-            held = found[place < found["k"]]
+                found = pd.concat([held, found], ignore_index=True).sort_values(
+                    ["query_id", "distance", "profile_id"])
+                found = found[found.groupby("query_id").cumcount() < found["k"]]
+            held = found
         if held is not None and len(held):
             yield held
 
@@ -269,8 +282,6 @@ def nearest_profiles(catalog: DataFrame, points: DataFrame, k: int,
     in each band as many cells to both sides as the radius spans there, all of
     them near a pole, with longitude wrapped at 180 degrees.
     """
-    from halocast.functions.geo import valid_coordinates
-
     size = radius_degrees
     n_lon = math.ceil(360 / size)
     corpus = catalog.filter(valid_coordinates()).select("profile_id", "lat", "lon")

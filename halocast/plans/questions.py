@@ -6,21 +6,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocast.functions import geo, text
 from halocast.functions.geo import round6
+from halocast.functions.text import constraints
 from halocast.operators import filters
 from halocast.operators.topk import topk, vector_kernel, vector_topk
 
 
-def constraints(queries: DataFrame, ruleset: str = "base", match: str = "longest") -> DataFrame:
-    """Question log with its box, time constraint and season columns."""
-    box = text.geographic_box("text", ruleset, match)
-    return queries.withColumn("_box", box).select(
-        "*", F.col("_box.name").alias("region_name"),
-        *[F.col(f"_box.{c}").alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")],
-        text.months_back("text").alias("months_back"), text.year_asked("text").alias("year_asked"),
-        text.season_asked("text").alias("seasonal"),
-    ).drop("_box")
-
-
 def _hits(corpus: DataFrame, asked: DataFrame, over_k: Column) -> DataFrame:
     """Vector hits with the catalogue columns of the hit and the question's constraint.
 
@@ -94,7 +84,7 @@ def constrained_search(corpus: DataFrame, queries: DataFrame, catalog: DataFrame
 
 def smart_flags(queries: DataFrame) -> DataFrame:
     """Filters stay on only for questions that name a region."""
-    named = text.has_region_word("text", "enhanced")
+    named = text.has_region_word(F.lower("text"), "enhanced")
     return queries.withColumns({"geographic_filter": F.col("geographic_filter") & named,
                                 "temporal_filter": F.col("temporal_filter") & named})
 

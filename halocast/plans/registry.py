@@ -375,29 +375,26 @@ def _texts(spark, sf):
 
 @query
 def extract_region(spark, sf):
-    t = _texts(spark, sf)
-    for rs in ("base", "enhanced"):
-        for m in ("longest", "first"):
-            t = t.withColumn(f"{rs}_{m}", text.region_box("text", rs, m)["name"])
-    return t.drop("text")
+    t = _texts(spark, sf).withColumn("low", F.lower("text"))
+    return t.select("query_id", *[
+        text.region_box("low", rs, m)["name"].alias(f"{rs}_{m}")
+        for rs in ("base", "enhanced") for m in ("longest", "first")])
 
 
 @query
 def extract_point_box(spark, sf):
-    t = _texts(spark, sf).withColumns({"b": text.geographic_box("text", "base"),
-                                       "e": text.point_box("text", "enhanced")})
+    t = text.constraints(_texts(spark, sf), "base").withColumn(
+        "e", text.point_box("text", "enhanced"))
     bounds = ("lat_min", "lat_max", "lon_min", "lon_max")
-    return t.select("query_id", F.col("b.name").alias("source"),
-                    *[F.round(F.col(f"b.{c}"), 6).alias(c) for c in bounds],
+    return t.select("query_id", F.col("region_name").alias("source"),
+                    *[F.round(c, 6).alias(c) for c in bounds],
                     *[F.round(F.col(f"e.{c}"), 6).alias(f"point_{c}") for c in bounds])
 
 
 @query
 def extract_time_constraint(spark, sf):
-    return _texts(spark, sf).select(
-        "query_id", text.months_back("text").alias("months_back"),
-        text.year_asked("text").alias("year_asked"), text.season_asked("text").alias("seasonal"),
-        text.season_word("text").alias("season"))
+    return text.constraints(_texts(spark, sf)).select(
+        "query_id", "months_back", "year_asked", "seasonal", "season")
 
 
 @query
