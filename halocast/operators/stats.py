@@ -130,28 +130,24 @@ def orphan_ratio(catalog: DataFrame) -> DataFrame:
         round6(F.when(total > 0, 1 - with_path / total).otherwise(0.0)).alias("orphan_ratio"))
 
 
-def run_summary(files: DataFrame, accepted: DataFrame, rejected: DataFrame,
-                embedded: DataFrame) -> DataFrame:
-    """Files and profiles of a run with success rates in percent, as one row."""
-    tagged = (
-        files.select(F.lit("file").alias("kind"), "source_file")
-        .unionByName(accepted.select(F.lit("saved").alias("kind"), "source_file"))
-        .unionByName(rejected.select(F.lit("rejected").alias("kind"), "source_file"))
-        .unionByName(embedded.select(F.lit("embedded").alias("kind"), "source_file"))
-    )
+def run_summary(files: DataFrame, judged: DataFrame, embedded: Column) -> DataFrame:
+    """Files and profiles of a run with success rates in percent, as one row.
 
-    def n(kind: str) -> Column:
-        return F.count(F.when(F.col("kind") == kind, 1))
-
-    per_file = tagged.groupBy("source_file").agg(
-        *[n(k).alias(k) for k in ("file", "saved", "rejected", "embedded")])
-    ok = (F.col("file") > 0) & (F.col("saved") > 0)
-    total = per_file.agg(
-        F.count(F.when(F.col("file") > 0, 1)).alias("files_attempted"),
-        F.count(F.when(ok, 1)).alias("files_successful"),
-        F.count(F.when((F.col("file") > 0) & ~ok, 1)).alias("files_failed"),
-        F.sum(F.col("saved") + F.col("rejected")).alias("profiles_extracted"),
-        F.sum("saved").alias("profiles_saved"), F.sum("embedded").alias("profiles_embedded"),
+    ``judged`` holds every extracted profile with its ``reject_reason`` and is
+    read once; ``embedded`` tells which accepted profiles became documents.
+    """
+    saved = F.col("reject_reason").isNull()
+    per_file = judged.groupBy("source_file").agg(
+        _n("extracted"), F.count(F.when(saved, 1)).alias("saved"),
+        F.count(F.when(saved & embedded, 1)).alias("embedded"))
+    tried = files.select("source_file").distinct().join(per_file, "source_file", "left")
+    total = tried.agg(
+        _n("files_attempted"),
+        F.count(F.when(F.col("saved") > 0, 1)).alias("files_successful"),
+        F.count(F.when(F.coalesce("saved", F.lit(0)) == 0, 1)).alias("files_failed"),
+        F.coalesce(F.sum("extracted"), F.lit(0)).alias("profiles_extracted"),
+        F.coalesce(F.sum("saved"), F.lit(0)).alias("profiles_saved"),
+        F.coalesce(F.sum("embedded"), F.lit(0)).alias("profiles_embedded"),
     )
 
     def rate(part: str, whole: str) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocast.functions.geo import valid_coordinates
 from halocast.rules import EARTH_RADIUS_KM
+from halocast.session import stored
 
 HIT_SCHEMA = "query_id string, profile_id string, distance double, k int"
 MERGE_SALTS = 32              # partial lists per query before the last merge
@@ -333,24 +334,26 @@ def vector_topk_approx(corpus: DataFrame, queries: DataFrame, bucket_length: flo
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    def hashed(df: DataFrame, column: str) -> DataFrame:
-        ready = df.filter(F.col(column).isNotNull()).withColumn("_v", array_to_vector(F.col(column)))
-        return ready
+    def ready(df: DataFrame, column: str) -> DataFrame:
+        return df.filter(F.col(column).isNotNull()).withColumn("_v", array_to_vector(F.col(column)))
 
-    c, q = hashed(corpus.select("profile_id", "embedding"), "embedding"), hashed(
-        queries.select("query_id", "query_vector", "k"), "query_vector")
+    c = ready(corpus.select("profile_id", "embedding"), "embedding")
+    q = ready(queries.select("query_id", "query_vector", "k"), "query_vector")
     model = BucketedRandomProjectionLSH(
         inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=n_tables,
         seed=seed).fit(c)
 
-    def with_buckets(df: DataFrame) -> DataFrame:
+    def with_buckets(df: DataFrame, label: str) -> DataFrame:
+        """Stored, because bucket sizes and the meeting both start from it."""
         marks = F.transform("_h", lambda v, i: F.concat_ws(
             "_", i.cast("string"), F.array_join(F.transform(
                 vector_to_array(v), lambda x: x.cast("bigint").cast("string")), "_")))
-        return model.transform(df).withColumn("_buckets", marks).drop("_v", "_h")
+        return stored(model.transform(df).withColumn("_buckets", marks).drop("_v", "_h"), label)
 
-    corpus_cells = with_buckets(c).withColumn("_bucket", F.explode("_buckets")).drop("_buckets")
-    left, right = _cell_blocks(corpus_cells, with_buckets(q), F.col("_bucket"), F.col("_buckets"))
+    corpus_cells = with_buckets(c, "lsh-corpus").withColumn(
+        "_bucket", F.explode("_buckets")).drop("_buckets")
+    q = with_buckets(q, "lsh-queries")
+    left, right = _cell_blocks(corpus_cells, q, F.col("_bucket"), F.col("_buckets"))
     hits = meet_in_blocks(left, right.drop("_buckets"), vector_kernel("l2sq"))
     merged = _merge(hits, repeated=True)
     return merged.withColumn("similarity", F.round(1 - F.col("distance"), 6) + F.lit(0.0))

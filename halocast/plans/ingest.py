@@ -13,7 +13,8 @@ from halocast.functions.summaries import summarise
 from halocast.operators import normalise as nm
 from halocast.operators.catalog import upsert_catalog
 from halocast.operators.joins import spread_join
-from halocast.operators.quality import quality_score, validate_profiles
+from halocast.operators.quality import quality_score, reject_reason
+from halocast.session import stored
 from halocast.sources import sinks
 
 
@@ -22,34 +23,48 @@ MEASURES = list(rules.VARIABLE_ALIASES)
 
 @dataclass
 class Ingested:
-    """The tables one run yields; all of them are lazy."""
+    """A run: every profile with its verdict, and the aligned levels; both lazy."""
 
-    profiles: DataFrame
+    judged: DataFrame
     aligned: DataFrame
-    rejected: DataFrame
 
-    def levels(self, profiles: DataFrame | None = None) -> DataFrame:
-        """Levels of the accepted profiles, which may come from a stored table."""
-        owners = (self.profiles if profiles is None else profiles).select(
-            *nm.PROFILE_KEYS, "profile_id", "float_id")
+    @property
+    def profiles(self) -> DataFrame:
+        return self.judged.filter("reject_reason IS NULL").drop("reject_reason")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.judged.filter("reject_reason IS NOT NULL")
+
+    @property
+    def levels(self) -> DataFrame:
+        """Levels of the accepted profiles."""
+        owners = self.profiles.select(*nm.PROFILE_KEYS, "profile_id", "float_id")
         return self.aligned.join(owners, nm.PROFILE_KEYS)
 
+    def stored(self) -> Ingested:
+        """The same run with its verdicts written once and read back.
+
+        Levels, vectors, errors and catalogue all start from the verdicts; the
+        raw values behind them are then read once, and lost executors cost a
+        re-read only.
+        """
+        return Ingested(stored(self.judged, "judged"), self.aligned)
+
 
 def ingest(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables: DataFrame) -> Ingested:
     """Normalise, validate and score every profile of the landed tables."""
     resolved = nm.resolve_variables(raw_variables)
     facts = nm.standard_facts(nm.variable_facts(raw_values), resolved)
     candidates = nm.assemble_profiles(nm.resolve_coordinates(raw_scalars), facts)
-    accepted, rejected = validate_profiles(candidates)
-    profiles = accepted.select(
+    judged = candidates.select(
         *nm.PROFILE_KEYS, "profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
         "variables",
         F.concat(F.lit("float_bucket="), sinks.float_bucket().cast("string"))
         .alias("parquet_path"),
         F.lit("standard").alias("extraction_method"),
-        quality_score().alias("data_quality_score"))
-    aligned = nm.align_levels(nm.standard_values(raw_values, resolved))
-    return Ingested(profiles, aligned, rejected)
+        quality_score().alias("data_quality_score"), reject_reason().alias("reject_reason"))
+    return Ingested(judged, nm.align_levels(nm.standard_values(raw_values, resolved)))
 
 
 def publish(run: Ingested, root: str, occurred_at: str, old_catalog: DataFrame | None = None) -> str:
@@ -58,17 +73,12 @@ def publish(run: Ingested, root: str, occurred_at: str, old_catalog: DataFrame |
     A visible catalogue row therefore always has its data. Returns the path of
     the catalogue version.
     """
-    spark = run.profiles.sparkSession
-    # profiles feed four outputs: they are written once and read back, which also
-    # cuts the lineage should executors be lost later on
-    staged = f"{root}/staged_profiles"
-    run.profiles.write.mode("overwrite").parquet(staged)
-    profiles = spark.read.parquet(staged)
-    sinks.write_levels(run.levels(profiles), f"{root}/levels", MEASURES)
-    documents = embed_text(profiles.withColumn("summary", summarise("rich")))
+    run = run.stored()
+    sinks.write_levels(run.levels, f"{root}/levels", MEASURES)
+    documents = embed_text(run.profiles.withColumn("summary", summarise("rich")))
     sinks.write_vectors(documents, f"{root}/vectors")
     sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), f"{root}/errors")
-    fresh = profiles.withColumn("seq", F.col("profile_key"))
+    fresh = run.profiles.withColumn("seq", F.col("profile_key"))
     catalog = fresh if old_catalog is None else upsert_catalog(old_catalog, fresh)
     version = f"{root}/catalog"
     sinks.write_catalog_version(catalog, version)
@@ -96,10 +106,10 @@ def fallback_extract(raw_values: DataFrame, raw_scalars: DataFrame,
     """Per file, the profiles of the first strategy that yields any.
 
     All strategies work on variable facts, a table far smaller than the raw
-    values. Invalid profiles do not count as a yield. The last strategy only
+    values, which is stored because each of them reads it. Invalid profiles do not count as a yield. The last strategy only
     records the file, placed by its name if the name tells; no dummy data.
     """
-    facts = nm.variable_facts(raw_values).filter("n_values > 0")
+    facts = stored(nm.variable_facts(raw_values).filter("n_values > 0"), "facts")
     spark = raw_values.sparkSession
     aliases = rules.aliases(spark, "variable").withColumnRenamed("variant", "var_name")
     by_alias = facts.join(F.broadcast(aliases), "var_name").select(
@@ -147,8 +157,8 @@ def fallback_extract(raw_values: DataFrame, raw_scalars: DataFrame,
         .unionByName(labelled(numeric.filter(valid), 3, F.concat(stem, F.lit("_any_data"))))
         .unionByName(labelled(minimal, 4, F.concat(stem, F.lit("_minimal"))))
     )
+    candidates = stored(candidates, "candidates")
     best = candidates.groupBy("source_file").agg(F.min("priority").alias("_best"))
     chosen = spread_join(candidates, best, ["source_file"], spread_by=["profile_id"]).filter(
         F.col("priority") == F.col("_best"))
-    return chosen.drop("_best").withColumn(
-        "accepted", valid)
+    return chosen.drop("_best").withColumn("accepted", valid)

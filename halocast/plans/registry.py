@@ -590,10 +590,9 @@ def orphan_ratio(spark, sf):
 
 @query
 def run_summary(spark, sf):
-    files = fx.profiles(spark, sf).select("source_file").distinct()
-    accepted, rejected = quality.validate_profiles(assembled(spark, sf))
-    embedded = accepted.filter(F.col("time_start").isNotNull())
-    return stats.run_summary(files, accepted, rejected, embedded)
+    files = fx.profiles(spark, sf).select("source_file")
+    judged = assembled(spark, sf).withColumn("reject_reason", quality.reject_reason())
+    return stats.run_summary(files, judged, F.col("time_start").isNotNull())
 
 
 @query
@@ -984,7 +983,7 @@ def ingest_pipeline(spark, sf):
 
 @query
 def ingest_levels(spark, sf):
-    return _run(spark, sf).levels().select("profile_id", "float_id", "level_idx", "temperature",
+    return _run(spark, sf).levels.select("profile_id", "float_id", "level_idx", "temperature",
                                          "salinity", "pressure", "oxygen")
 
 
