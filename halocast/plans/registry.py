@@ -236,7 +236,7 @@ def build_profile_id(spark, sf):
 @query
 def coords_from_filename(spark, sf):
     name = F.concat(
-        F.lit("x_"), F.abs(F.col("s_acctbal")).cast("decimal(9,1)").cast("string"),
+        F.lit("x_"), F.abs(F.col("s_acctbal")).cast("decimal(9,2)").cast("string"),
         F.when(F.col("s_suppkey") % 2 == 0, "N").otherwise("S"), F.lit("_"),
         F.col("s_nationkey").cast("string"),
         F.when(F.col("s_suppkey") % 3 == 0, "W").when(F.col("s_suppkey") % 3 == 1, "E")
@@ -494,7 +494,7 @@ def region_join(spark, sf):
 @query
 def nearest_profiles(spark, sf):
     return topk.nearest_profiles(fx.profiles(spark, sf), fx.search_points(spark, sf), k=3) \
-        .withColumn("distance_km", F.round("distance", 4)).drop("distance")
+        .withColumnRenamed("distance", "distance_km")
 
 
 @query
@@ -781,7 +781,8 @@ def count_variables(spark, sf):
 
 @query
 def range_parse(spark, sf):
-    lo, hi = F.col("c_acctbal").cast("decimal(12,1)"), (F.col("c_acctbal") + 50).cast("decimal(12,1)")
+    lo = F.col("c_acctbal").cast("decimal(12,2)")
+    hi = lo + F.lit(50)
     parsed = ids.parse_range("t")
     return read_table(spark, sf, "customer").select(
         "c_custkey", F.concat(lo.cast("string"), F.lit("-"), hi.cast("string"), F.lit("°C"))
@@ -790,11 +791,14 @@ def range_parse(spark, sf):
 
 
 @query
-def embed_text_summaries(spark, sf):
+def embed_text_of_summaries(spark, sf):
     docs = fx.catalog(spark, sf).select("profile_id", summaries.summarise("rebuild").alias("summary"))
     return embed_text(docs).select("profile_id", "embedding")
 
 
+QUERIES["embed_text"] = QUERIES.pop("embed_text_of_summaries")
+
+
 # --- catalogue changes -------------------------------------------------------
 def _old_and_batch(spark, sf):
     old = fx.catalog(spark, sf).select("profile_id", "float_id", "extraction_method",

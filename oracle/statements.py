@@ -119,7 +119,7 @@ S["coords_from_filename"] = """SELECT s_suppkey, 'x_' || a || ns || '_' || s_nat
  CASE WHEN ew <> 'X' THEN CAST(a AS DOUBLE) * CASE WHEN ns = 'S' THEN -1 ELSE 1 END END AS lat,
  CASE WHEN ew <> 'X' THEN CAST(s_nationkey AS DOUBLE) * CASE WHEN ew = 'W' THEN -1 ELSE 1 END END
   AS lon
- FROM (SELECT s_suppkey, s_nationkey, CAST(CAST(abs(s_acctbal) AS DECIMAL(9,1)) AS VARCHAR) AS a,
+ FROM (SELECT s_suppkey, s_nationkey, CAST(CAST(abs(s_acctbal) AS DECIMAL(9,2)) AS VARCHAR) AS a,
   CASE WHEN s_suppkey % 2 = 0 THEN 'N' ELSE 'S' END AS ns,
   CASE s_suppkey % 3 WHEN 0 THEN 'W' WHEN 1 THEN 'E' ELSE 'X' END AS ew FROM supplier)"""
 S["count_levels"] = sql("""SELECT source_file, profile_key, max(n_trimmed) AS n_levels,
@@ -315,7 +315,7 @@ S["region_join"] = sql(f"""SELECT profile_id, name AS region FROM profiles JOIN
 _points = """SELECT 'S' || s_suppkey AS query_id,
  CAST((s_suppkey * 3571) % 1801 AS DOUBLE) / 1e1 - 9e1 AS qlat,
  CAST((s_suppkey * 7103) % 3601 AS DOUBLE) / 1e1 - 18e1 AS qlon FROM supplier"""
-S["nearest_profiles"] = sql(f"""SELECT query_id, profile_id, rank, round(km, 4) AS distance_km FROM (
+S["nearest_profiles"] = sql(f"""SELECT query_id, profile_id, rank, round(km, 6) AS distance_km FROM (
  SELECT query_id, profile_id, km, CAST(row_number() OVER (PARTITION BY query_id
    ORDER BY round(km, 6), profile_id) AS INT) AS rank
  FROM (SELECT query_id, profile_id, {haversine('qlat', 'qlon', 'lat', 'lon')} AS km
@@ -528,8 +528,8 @@ S["parse_variables"] = sql("""SELECT profile_id, CASE WHEN time_start IS NULL TH
 S["count_variables"] = sql("SELECT profile_id, len(variables) AS n_variables FROM profiles")
 S["range_parse"] = """SELECT c_custkey, lo || '-' || hi || '°C' AS t, CAST(lo AS DOUBLE) AS range_min,
  CAST(hi AS DOUBLE) AS range_max FROM (SELECT c_custkey,
- CAST(CAST(c_acctbal AS DECIMAL(12,1)) AS VARCHAR) AS lo,
- CAST(CAST(c_acctbal + 50 AS DECIMAL(12,1)) AS VARCHAR) AS hi FROM customer)"""
+ CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS lo,
+ CAST(CAST(c_acctbal AS DECIMAL(12,2)) + 50 AS VARCHAR) AS hi FROM customer)"""
 
 # --- catalogue changes -------------------------------------------------------
 _news = """SELECT seq, CASE WHEN seq % 2 = 0 THEN profile_id ELSE 'N' || profile_id END

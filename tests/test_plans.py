@@ -3,18 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from compare import plan
 from halocast import session
 from halocast.operators import catalog as cat, filters, stats
 from halocast.sources import fixtures as fx, sinks
 
 QUERIES = entry.queries()
-# these run jobs of their own before they return a plan; their parts are covered by others
-EAGER = {n for n in QUERIES if n.startswith("stream")} | {"ingest_pipeline", "health_report"}
-
-
-def plan(df) -> str:
-    text = df._jdf.queryExecution().toString()
-    return text[text.index("== Physical Plan =="):]
 
 
 @pytest.fixture(scope="module")
@@ -24,13 +18,6 @@ def stored_catalog(spark, sf):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_no_pairing_of_all_rows_and_no_row_at_a_time_python(spark, sf, name):
-    text = plan(QUERIES[name](spark, sf))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert bad not in text
-
-
 def test_box_and_time_reach_the_scan(spark, stored_catalog):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = plan(filters.bbox_filter(stored_catalog, (10, 25, 50, 75)).select("profile_id"))
