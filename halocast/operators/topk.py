@@ -178,10 +178,9 @@ def _merge(hits: DataFrame, repeated: bool = False) -> DataFrame:
         "_salt", "_part", "k")
 
 
-def scan_with_broadcast(corpus: DataFrame, queries: DataFrame, kernel: Callable) -> DataFrame:
-    """Few queries: every task compares its part of the corpus with all of them."""
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast(queries.toPandas())
+def scan_with_broadcast(corpus: DataFrame, wanted, kernel: Callable) -> DataFrame:
+    """Few queries (pandas): every task compares its part of the corpus with all of them."""
+    shared = corpus.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         import pandas as pd
@@ -251,20 +250,18 @@ def _cell_blocks(corpus: DataFrame, queries: DataFrame, cell: Column, cells: Col
     return left, right
 
 
-def _few(queries: DataFrame, limit: int) -> bool:
-    """Whether the queries may be broadcast; looks at no more than limit + 1 rows."""
-    return queries.select("query_id").limit(limit + 1).count() <= limit
-
-
 def topk(corpus: DataFrame, queries: DataFrame, kernel: Callable, cell: Column | None = None,
          cells: Column | None = None, broadcast_limit: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, profile_id, distance, rank): the k nearest per query, exactly.
 
     Corpus rows have ``profile_id`` and the kernel's columns; queries have
-    ``query_id``, ``k`` and the kernel's columns.
+    ``query_id``, ``k`` and the kernel's columns. Never more than
+    ``broadcast_limit`` + 1 queries reach the driver; if that many came, the
+    batch is too large to broadcast and all queries meet the corpus in blocks.
     """
-    if _few(queries, broadcast_limit):
-        hits = scan_with_broadcast(corpus, queries, kernel)
+    head = queries.limit(broadcast_limit + 1).toPandas()
+    if len(head) <= broadcast_limit:
+        hits = scan_with_broadcast(corpus, head, kernel)
     elif cell is not None:
         hits = meet_in_blocks(*_cell_blocks(corpus, queries, cell, cells), kernel)
     else:

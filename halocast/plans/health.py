@@ -65,6 +65,22 @@ def health_issues(catalog: DataFrame, errors: DataFrame, inventory: DataFrame,
         "recommendation", F.coalesce("recommendation", F.lit("")))
 
 
+def recommendations(issues: DataFrame) -> DataFrame:
+    """Advice for a set of issues: by severity, by type, or that all is well."""
+    counts = issues.agg(
+        F.count(F.when(F.col("severity") == "critical", 1)).alias("critical"),
+        F.count(F.when(F.col("severity") == "moderate", 1)).alias("moderate"),
+        F.count(F.when(F.col("recommendation") != "", 1)).alias("typed"))
+    critical = F.col("critical") > 0
+    many = F.col("moderate") > rules.MODERATE_ISSUES_LIMIT
+    advice = rules.SEVERITY_ADVICE
+    general = F.filter(F.array(
+        F.when(critical, advice["critical"]), F.when(many, advice["moderate"]),
+        F.when(~critical & ~many & (F.col("typed") == 0), advice["none"])), lambda x: x.isNotNull())
+    return counts.select(F.explode(general).alias("recommendation")).unionByName(
+        issues.filter("recommendation <> ''").select("recommendation").distinct())
+
+
 def health_report(catalog: DataFrame, errors: DataFrame, inventory: DataFrame,
                   vectors: DataFrame, as_of: str) -> DataFrame:
     """Issues, metrics, tiers and error counts as (section, name, value) rows."""

@@ -67,7 +67,8 @@ def ingest(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables: DataFra
     return Ingested(judged, nm.align_levels(nm.standard_values(raw_values, resolved)))
 
 
-def publish(run: Ingested, root: str, occurred_at: str, old_catalog: DataFrame | None = None) -> str:
+def publish(run: Ingested, root: str, occurred_at: str, run_id: int = 0,
+            old_catalog: DataFrame | None = None) -> str:
     """Write levels, vectors and errors first and the catalogue version last.
 
     A visible catalogue row therefore always has its data. Returns the path of
@@ -80,9 +81,7 @@ def publish(run: Ingested, root: str, occurred_at: str, old_catalog: DataFrame |
     sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), f"{root}/errors")
     fresh = run.profiles.withColumn("seq", F.col("profile_key"))
     catalog = fresh if old_catalog is None else upsert_catalog(old_catalog, fresh)
-    version = f"{root}/catalog"
-    sinks.write_catalog_version(catalog, version)
-    return version
+    return sinks.publish_catalog(catalog, root, run_id)
 
 
 # --- ordered fallback strategies --------------------------------------------

@@ -888,15 +888,17 @@ def _stream(spark, sf, name):
 
 @query
 def stream_ingest(spark, sf):
-    def normalise(batch):
+    def judge(batch):
         placed = nm.resolve_coordinates(batch)
-        none = placed.select(*nm.PROFILE_KEYS, F.lit("PRESSURE").alias("std_name"),
+        # levels land apart from the scalars, so only coordinates are judged here
+        held = placed.select(*nm.PROFILE_KEYS, F.lit("PRESSURE").alias("std_name"),
                              F.lit(1).cast("bigint").alias("n_trimmed"),
                              F.lit(1).cast("bigint").alias("n_values"))
-        return quality.validate_profiles(nm.assemble_profiles(placed, none))
+        return nm.assemble_profiles(placed, held).withColumn("reject_reason",
+                                                             quality.reject_reason())
 
     scalars = fx.scalar_rows(_stream(spark, sf, "orders"))
-    accepted, rejected = streams.stream_ingest(scalars, work_dir(spark, "ingest"), normalise)
+    accepted, rejected = streams.stream_ingest(scalars, work_dir(spark, "ingest"), judge)
     cols = ["profile_id", "float_id", "lat", "lon", "time_start"]
     return accepted.select(*cols, F.lit("accepted").alias("reason")).unionByName(
         rejected.select(*cols, F.col("reject_reason").alias("reason")))
@@ -962,6 +964,13 @@ def health_issues(spark, sf):
                                 level_listing(spark, sf), fx.vectors(spark, sf), ERRORS_AS_OF)
 
 
+@query
+def health_recommendations(spark, sf):
+    return health.recommendations(health.health_issues(
+        fx.catalog(spark, sf), fx.ingestion_errors(spark, sf), level_listing(spark, sf),
+        fx.vectors(spark, sf), ERRORS_AS_OF))
+
+
 @query
 def health_report(spark, sf):
     path = work_dir(spark, "health")
@@ -977,10 +986,11 @@ def _run(spark, sf):
 
 
 @query
-def ingest_pipeline(spark, sf):
-    """Publish a whole run, then read the catalogue version back."""
-    path = ing.publish(_run(spark, sf), work_dir(spark, "store"), CATALOG_AS_OF)
-    return spark.read.parquet(path).select(
+def ingest_catalog(spark, sf):
+    """End to end: publish a whole run, then read the current catalogue back."""
+    root = work_dir(spark, "store")
+    ing.publish(_run(spark, sf), root, CATALOG_AS_OF)
+    return sinks.current_catalog(spark, root).select(
         "profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
         csv("variables").alias("variables"), "data_quality_score")
 

@@ -161,6 +161,12 @@ RECOMMENDATIONS = {
     "embedding_db_mismatch": "Embedding sync issue - consider rebuilding embeddings",
     "low_average_quality": "Low data quality detected - review source files and parsing logic",
 }
+SEVERITY_ADVICE = {
+    "critical": "CRITICAL: Address database connectivity and schema issues immediately",
+    "moderate": "Multiple moderate issues detected - consider running full system cleanup",
+    "none": "System appears healthy - continue regular monitoring",
+}
+MODERATE_ISSUES_LIMIT = 3
 
 
 def is_quality_flag(variant: str) -> bool:

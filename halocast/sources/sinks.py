@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocast.operators.filters import with_cells
 
@@ -63,6 +63,27 @@ def kept_reports(reports: DataFrame, keep: int = 100, order: str = "report_time"
     return reports.orderBy(F.desc(order), F.desc(tie)).limit(keep)
 
 
+def publish_catalog(catalog: DataFrame, root: str, run_id: int = 0) -> str:
+    """Write the catalogue of a run and make it the current one.
+
+    The version is written first, then its entry in the manifest. Both lie under
+    the run's id and replace what a failed try of the same run left, so a
+    retried run changes nothing. The catalogue being read is never overwritten.
+    """
+    path = f"{root}/catalog/run={run_id}"
+    write_catalog_version(catalog, path)
+    entry = catalog.sparkSession.range(1).select(F.lit(run_id).cast("bigint").alias("run"),
+                                                 F.lit(path).alias("path"))
+    entry.write.mode("overwrite").json(f"{root}/manifest/entry-{run_id}")
+    return path
+
+
+def current_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue version with the greatest run id in the manifest."""
+    entries = spark.read.schema("run bigint, path string").json(f"{root}/manifest/*")
+    return spark.read.parquet(entries.orderBy(F.desc("run")).first()["path"])
+
+
 def write_catalog_version(catalog: DataFrame, path: str) -> None:
     """A new catalogue version, by 10-degree band and sorted inside files.
 
@@ -72,5 +93,5 @@ def write_catalog_version(catalog: DataFrame, path: str) -> None:
     (
         with_cells(catalog).hint("rebalance", F.col("cell_lat"))
         .sortWithinPartitions("cell_lat", "cell_lon", "time_start")
-        .write.mode("errorifexists").partitionBy("cell_lat").parquet(path)
+        .write.mode("overwrite").partitionBy("cell_lat").parquet(path)
     )

@@ -711,6 +711,15 @@ _issues = f"""WITH one AS (SELECT count(*) AS total, count(*) FILTER (parquet_pa
   WHERE count > 20 UNION ALL
  {_one('low_average_quality', 'warning', 'quality', 'quality < 3e-1', 'one')})"""
 S["health_issues"] = sql(f"{_issues} SELECT *, {_advice} AS recommendation FROM found")
+S["health_recommendations"] = sql(f"""{_issues}, advised AS (SELECT *, {_advice} AS a FROM found)
+ SELECT '{rules.SEVERITY_ADVICE['critical']}' AS recommendation FROM advised
+  HAVING count(*) FILTER (severity = 'critical') > 0
+ UNION ALL SELECT '{rules.SEVERITY_ADVICE['moderate']}' FROM advised
+  HAVING count(*) FILTER (severity = 'moderate') > 3
+ UNION ALL SELECT '{rules.SEVERITY_ADVICE['none']}' FROM advised
+  HAVING count(*) FILTER (severity = 'critical') = 0 AND count(*) FILTER (severity = 'moderate') <= 3
+  AND count(*) FILTER (a <> '') = 0
+ UNION ALL SELECT DISTINCT a FROM advised WHERE a <> ''""")
 S["health_report"] = sql(f"""{_issues}, metrics AS (SELECT {_metrics.format(t=T_ERR)} FROM catalog)
  SELECT 'issue' AS section, type || CASE WHEN subject <> '' THEN ':' || subject ELSE '' END AS name,
   value FROM found
@@ -719,7 +728,7 @@ S["health_report"] = sql(f"""{_issues}, metrics AS (SELECT {_metrics.format(t=T_
   records_today]) FROM metrics
  UNION ALL SELECT 'quality', {_tier}, CAST(count(*) AS DOUBLE) FROM catalog GROUP BY 2
  UNION ALL SELECT 'error', error_type, CAST(count AS DOUBLE) FROM by_type""")
-S["ingest_pipeline"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
+S["ingest_catalog"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
  array_to_string(variables, ',') AS variables, data_quality_score FROM scored
  WHERE reason = 'accepted'""")
 S["ingest_levels"] = sql("""SELECT s.profile_id, s.float_id, a.level_idx, temperature, salinity,

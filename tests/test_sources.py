@@ -72,3 +72,17 @@ def test_errors_append_and_reports_are_kept(spark):
     reports = spark.range(250).selectExpr("cast(id as string) report_id", "id report_time")
     kept = sinks.kept_reports(reports)
     assert kept.count() == 100 and kept.agg({"report_time": "min"}).first()[0] == 150
+
+
+def test_catalogue_versions(spark):
+    root = work_dir(spark, "store")
+    def version(n):
+        return spark.range(n).selectExpr("concat('P', id) profile_id", "1e1 lat", "2e1 lon",
+                                         "cast(null as timestamp_ntz) time_start")
+    sinks.publish_catalog(version(3), root, run_id=1)
+    sinks.publish_catalog(version(5), root, run_id=2)
+    sinks.publish_catalog(version(5), root, run_id=2)  # a retry
+    assert sinks.current_catalog(spark, root).count() == 5
+    grown = sinks.current_catalog(spark, root).drop("cell_lat", "cell_lon").unionByName(version(5))
+    sinks.publish_catalog(grown, root, run_id=3)       # reads run 2, writes run 3
+    assert sinks.current_catalog(spark, root).count() == 10
