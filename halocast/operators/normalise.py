@@ -17,6 +17,7 @@ from halocast.functions.times import normalise_time
 from halocast.operators.joins import spread_join
 
 PROFILE_KEYS = ["source_file", "profile_key"]
+STANDARD_NAMES = sorted(n.upper() for n in rules.VARIABLE_ALIASES)
 
 
 # --- which variable is which -------------------------------------------------
@@ -196,12 +197,30 @@ def count_levels(facts: DataFrame) -> DataFrame:
     )
 
 
+def _flag(name: str) -> str:
+    return f"_has_{name}"
+
+
+def name_flags() -> list[Column]:
+    """One boolean aggregate per standard name: does it hold data?
+
+    The names are fixed, so flags replace a collected set; flags aggregate in a
+    hash table inside generated code, which a collected set does not.
+    """
+    return [F.max((F.col("std_name") == n) & (F.col("n_values") > 0)).alias(_flag(n))
+            for n in STANDARD_NAMES]
+
+
+def flagged_names(with_pressure: bool = True) -> Column:
+    """Array of the names whose flag is set, in alphabetical order."""
+    names = [n for n in STANDARD_NAMES if with_pressure or n != "PRESSURE"]
+    return F.array_compact(F.array(*[F.when(F.col(_flag(n)), F.lit(n)) for n in names]))
+
+
 def list_variables(facts: DataFrame, with_pressure: bool = True) -> DataFrame:
     """Standard names with data per profile, in alphabetical order (nine at most)."""
-    has_data = F.col("n_values") > 0
-    keep = has_data if with_pressure else has_data & (F.col("std_name") != "PRESSURE")
-    return facts.groupBy(*PROFILE_KEYS).agg(
-        F.array_sort(F.collect_set(F.when(keep, F.col("std_name")))).alias("variables"))
+    flags = facts.groupBy(*PROFILE_KEYS).agg(*name_flags())
+    return flags.select(*PROFILE_KEYS, flagged_names(with_pressure).alias("variables"))
 
 
 def route_scalars_and_levels(raw_values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,12 +258,14 @@ def assemble_profiles(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
     """One row per profile: identity, position, time, level count, variables."""
     per_profile = facts.groupBy(*PROFILE_KEYS).agg(
         F.max("n_trimmed").alias("n_levels"),
-        F.array_sort(F.collect_set(F.when(F.col("n_values") > 0, F.col("std_name"))))
-        .alias("variables"),
+        *name_flags(),
         F.sum("n_values").alias("n_values"), F.sum("n_trimmed").alias("n_cells"),
         # one row per standard name here, so counting rows counts names
         F.count(F.when((F.col("n_values") > 0) & F.col("std_name").isin(rules.KEY_VARIABLES), 1))
         .alias("n_key"),
+    ).select(
+        *PROFILE_KEYS, "n_levels", "n_values", "n_cells", "n_key",
+        flagged_names().alias("variables"),
     )
     joined = coordinates.join(per_profile, PROFILE_KEYS, "left")
     cut = ids.truncate_fields()
