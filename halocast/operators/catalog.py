@@ -26,13 +26,13 @@ def latest_per_profile(df: DataFrame, key: str = "profile_id", order: str = "seq
 UPDATE_COLUMNS = {
     "ingest": ["parquet_path", "created_at"],
     "robust": ["parquet_path", "schema_info", "raw_metadata", "updated_at"],
-    "bulletproof": ["parquet_path", "data_quality_score", "schema_info", "raw_metadata",
+    "scored": ["parquet_path", "data_quality_score", "schema_info", "raw_metadata",
                     "extraction_method", "updated_at"],
     "populate": ["raw_metadata", "updated_at"],
 }
 
 
-def upsert_catalog(old: DataFrame, batch: DataFrame, variant: str = "bulletproof",
+def upsert_catalog(old: DataFrame, batch: DataFrame, variant: str = "scored",
                    key: str = "profile_id", order: str = "seq") -> DataFrame:
     """Insert new profiles and overwrite the variant's columns of known ones.
 
