@@ -20,7 +20,8 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 
 Copies are nodes of one set digest. Inside a signature every node is first
 verified against the smallest one. Only nodes that this leaves in another
-component than most of the signature's nodes are compared further, so a group of
+component than most of the signature's nodes are compared further, and only with
+nodes of other components whose sizes and parity bits leave a link possible. So a group of
 near copies costs a number of pairs in proportion to its size, and no link
 between different components is lost.
 """
@@ -44,6 +45,7 @@ BUCKETS = 1 << 16
 #: Expected members of a group, by class, and the smallest set that uses combinations.
 MEMBERS = {2: 4, 3: 6}
 LEAST_SET = 10
+MAPS = ("m0", "m1", "m2", "m3")
 
 
 def _band_edges(num: int, den: int) -> np.ndarray:
@@ -72,14 +74,29 @@ def _digests(code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def _parities(code: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each set, as four integers: whether a bit's shingles are odd in number.
+
+    Sets differ in at least as many shingles as their bits differ.
+    """
+    full = np.append(bounds[1:] > bounds[:-1], False)
+    out = []
+    for word in range(len(MAPS)):
+        bits = np.where((code >> np.uint64(6)) & np.uint64(3) == word,
+                        np.uint64(1) << (code & np.uint64(63)), np.uint64(0))
+        whole = np.bitwise_xor.reduceat(np.append(bits, np.uint64(0)), bounds)
+        out.append(np.where(full, whole, np.uint64(0))[:-1].view(np.int64))
+    return out
+
+
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, code, bounds in _sets(batch, width):
                 d1, d2 = _digests(code, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)],
-                    ["id", "n", "node", "check"])
+                    [ids, *map(pa.array, (np.diff(bounds), d1, d2, *_parities(code, bounds)))],
+                    ["id", "n", "node", "check", *MAPS])
     return run
 
 
@@ -190,6 +207,12 @@ def _alike(num: int, den: int):
     return F.expr(f"{den}L * least(n, other_n) >= {num}L * greatest(n, other_n)")
 
 
+def _near(num: int, den: int):
+    """Parity bits that leave a link possible."""
+    differ = " + ".join(f"bit_count({m} ^ other_{m})" for m in MAPS)
+    return F.expr(f"{den + num}L * ({differ}) <= {den - num}L * (n + other_n)")
+
+
 def _verified(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, with the size of what they share."""
     left = lists.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -217,7 +240,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     tx.bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = stored(texts.mapInArrow(_describe(width), "id long, n long, node long, check long"), "sets")
+    described = stored(texts.mapInArrow(_describe(width), "id long, n long, node long, check long, m0 long, m1 long, m2 long, m3 long"), "sets")
     counted = texts.mapInArrow(_bucket_counts(width), "bucket long, n long").groupBy("bucket").agg(
         F.sum("n").alias("n"))
     counts = np.zeros(BUCKETS, np.int64)
@@ -230,7 +253,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                     F.min_by("n", "node").alias("other_n")).where("center <> last").drop("last")
     live = stored(index.join(ends, "sig"), "signatures").distinct()
 
-    nodes = described.where("n > 0").groupBy("node", "check", "n").agg(F.min("id").alias("least"))
+    nodes = described.where("n > 0").groupBy("node", "check", "n").agg(
+        F.min("id").alias("least"), *(F.min(m).alias(m) for m in MAPS))
     wanted = live.select("node").distinct()
     first = nodes.where("least IS NOT NULL").join(wanted, "node", "left_semi").select(
         F.col("least").alias("id"), "node")
@@ -248,12 +272,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
     main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
                                     F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = labelled.join(main, "sig")
-    odd = mixed.where("label <> main").select("sig", "node", "n", "label")
+    mixed = stored(labelled.join(main, "sig").join(nodes.select("node", *MAPS), "node"), "mixed")
+    odd = mixed.where("label <> main").select("sig", "node", "n", "label", *MAPS)
     rest = mixed.select("sig", F.col("node").alias("other"), F.col("n").alias("other_n"),
-                        F.col("label").alias("other_label"), (F.col("label") == F.col("main")).alias("other_main"))
+                        F.col("label").alias("other_label"), (F.col("label") == F.col("main")).alias("other_main"),
+                        *(F.col(m).alias(f"other_{m}") for m in MAPS))
     crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
-        _alike(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        _alike(num, den)).where(_near(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     crossing = crossing.distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
                                         ["a", "b"], "left_anti")
     more = stored(_verified(crossing, lists, num, den).select("a", "b"), "more_links")
