@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import jaccard
+from halocast.llm import bpe, jaccard
 from halocast.sources.tables import read_table
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.decode(tokens, path, pattern, with_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     members, _ = jaccard.jaccard_join(read_table(spark, sf_dir, "documents"))
@@ -17,5 +25,6 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
