@@ -2,4 +2,45 @@
 
 from __future__ import annotations
 
-STATEMENTS: dict[str, str] = {}
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM sized GROUP BY source),
+capped AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap FROM named),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 - coalesce(sum(cap) OVER need, 0e0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER need, 0e0)) AS level,
+    coalesce(sum(cap) OVER need, 0e0) AS cap_before
+  FROM capped
+  WINDOW need AS (ORDER BY cap / weight ASC, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (
+  SELECT source, source_size, weight, CASE WHEN cap <= weight * level THEN cap ELSE least(cap, weight * (
+    SELECT min_by(level, cap_before) FROM levels WHERE NOT cap <= weight * level)) END AS target
+  FROM levels),
+passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM goals),
+placed AS (
+  SELECT s.doc_id, s.size, p.source_size, p.weight, p.target, p.passes,
+    coalesce(CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
+  FROM sized s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source),
+drawn AS (
+  SELECT *, CASE WHEN size > 0 THEN passes + CAST(
+    2 * before + size <= 2 * (target - passes * source_size) AS INT) ELSE 0 END AS copies FROM placed),
+asked AS (
+  SELECT *, least((before + size / 2e0) / target, 1e0) AS y,
+    CASE weight WHEN 5 THEN 1.5e0 WHEN 2 THEN 1e0 ELSE 0.5e0 END AS w0,
+    CASE weight WHEN 5 THEN -1e0 WHEN 2 THEN 0e0 ELSE 1e0 END AS slope FROM drawn)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN round(2e0 * y / (w0 + sqrt(w0 * w0 + 2e0 * slope * y)), 9) END AS first_position
+FROM asked
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op9_curriculum_mix": MIXING,
+}

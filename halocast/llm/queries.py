@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard
+from halocast.llm import bpe, jaccard, mixing
 from halocast.sources.tables import read_table
 
 
@@ -24,7 +24,16 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("component").alias("component_id"))
 
 
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and where its first copy stands."""
+    drawn = mixing.plan(read_table(spark, sf_dir, "documents"))
+    return drawn.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
+        F.round(F.col("positions")[0], 9).alias("first_position"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op9_curriculum_mix": op9_curriculum_mix,
 }
