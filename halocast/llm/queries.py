@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, mixing
+from halocast.llm import bpe, jaccard, mixing, neardup, topk
 from halocast.sources.tables import read_table
 
 
@@ -24,6 +24,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("component").alias("component_id"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of partners and its component; the smallest id of a component is kept."""
+    found = neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        (F.col("id") == F.col("component")).alias("kept"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    return topk.exact_topk(rows, F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, and where its first copy stands."""
     drawn = mixing.plan(read_table(spark, sf_dir, "documents"))
@@ -35,5 +48,7 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_exact_topk": op7_exact_topk,
     "op9_curriculum_mix": op9_curriculum_mix,
 }
