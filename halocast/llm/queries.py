@@ -6,10 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, mixing, neardup, topk
+from halocast.llm import bpe, jaccard, learning, mixing, neardup, quality, topk
 from halocast.sources.tables import read_table
 
 
+def _graded(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(F.col("id").alias("doc_id"), (learning.fold("id") % 3 == 1).alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    docs = read_table(spark, sf_dir, "documents")
+    field = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return _graded(quality.score(docs, field), 0.5)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -46,6 +58,7 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_crf": op1_quality_crf,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,

@@ -82,22 +82,23 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         lo = hi
 
 
-def _windows(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def windows(data: np.ndarray, limit: int = WINDOW, breaks: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that end at a break."""
     start, n = 0, len(data)
     while start < n:
         end = min(start + limit, n)
-        while end < n and not SPACE[data[end]]:
-            gap = np.flatnonzero(SPACE[data[end: end + 65536]])
+        while end < n and not breaks[data[end]]:
+            gap = np.flatnonzero(breaks[data[end: end + 65536]])
             end = end + int(gap[0]) if len(gap) else min(n, end + 65536)
         yield start, end
         start = end
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; no word crosses a document's bounds."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~SPACE[data]
+    solid = ~breaks[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = bounds[(bounds >= 0) & (bounds < len(data))]
@@ -109,17 +110,26 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def prefix_sums(part: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any run of bytes follows."""
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(VALUES[part] * _power(_BASE, len(part)), out=total[1:], dtype=np.uint64)
+    return total
+
+
+def run_hashes(total: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes from s to e."""
+    code = (total[e] - total[s]) * _power(_INVERSE, len(total))[s]
+    return mix(code ^ ((e - s).astype(np.uint64) * np.uint64(_BASE)))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the n + 1 word offsets of the documents."""
     hashes, starts = [], []
-    for lo, hi in _windows(data, WINDOW):
-        part = data[lo:hi]
+    for lo, hi in windows(data):
         bounds = offsets[np.searchsorted(offsets, lo): np.searchsorted(offsets, hi, "right")] - lo
-        s, e = word_spans(part, bounds)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(VALUES[part] * _power(_BASE, len(part)), out=total[1:], dtype=np.uint64)
-        code = (total[e] - total[s]) * _power(_INVERSE, len(part))[s]
-        hashes.append(mix(code ^ ((e - s).astype(np.uint64) * np.uint64(_BASE))))
+        s, e = word_spans(data[lo:hi], bounds)
+        hashes.append(run_hashes(prefix_sums(data[lo:hi]), s, e))
         starts.append(s + lo)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
