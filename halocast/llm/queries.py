@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, mixing, neardup, quality, topk
+from halocast.llm import bpe, jaccard, learning, mixing, neardup, quality, topk, toxicity
 from halocast.sources.tables import read_table
 
 
@@ -57,6 +57,13 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("positions")[0], 9).alias("first_position"))
 
 
+def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score."""
+    docs = read_table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return _graded(toxicity.score(docs, machine), 0.7)
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_byte_bpe": op2_byte_bpe,
@@ -64,4 +71,5 @@ QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_exact_topk": op7_exact_topk,
     "op9_curriculum_mix": op9_curriculum_mix,
+    "op10_toxicity_fm": op10_toxicity_fm,
 }
