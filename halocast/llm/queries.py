@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, mixing, neardup, quality, topk, toxicity
+from halocast.llm import bpe, jaccard, learning, mixing, neardup, quality, substrings, topk, toxicity
 from halocast.sources.tables import read_table
 
 
@@ -43,6 +43,14 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the passages that occur elsewhere too, and those to remove."""
+    spans = substrings.repeated_spans(read_table(spark, sf_dir, "documents"))
+    chars = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["last"] - s["first"])
+    return spans.select(F.col("id").alias("doc_id"), F.size("repeated").alias("n_repeated"), chars("repeated").alias("repeated_chars"),
+                        F.size("removed").alias("n_removed"), chars("removed").alias("removed_chars"), "repeated", "removed")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every fiftieth vector."""
     rows = read_table(spark, sf_dir, "embeddings")
@@ -69,6 +77,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_topk": op7_exact_topk,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_toxicity_fm": op10_toxicity_fm,
