@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, mixing, neardup, quality, substrings, topk, toxicity
+from halocast.llm import bpe, jaccard, learning, mixing, neardup, pii, quality, substrings, topk, toxicity
 from halocast.sources.tables import read_table
 
 
@@ -57,6 +57,12 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(rows, F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, count_col="n_entities")
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, and where its first copy stands."""
     drawn = mixing.plan(read_table(spark, sf_dir, "documents"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_topk": op7_exact_topk,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_toxicity_fm": op10_toxicity_fm,
 }
