@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, mixing, neardup, pii, quality, substrings, topk, toxicity
+from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, pii, quality, substrings, topk, toxicity
 from halocast.sources.tables import read_table
 
 
@@ -36,6 +36,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("component").alias("component_id"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base score and its log10 probability under the model."""
+    return lm.score(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its number of partners and its component; the smallest id of a component is kept."""
     found = neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_lm_scores": op4_lm_scores,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_topk": op7_exact_topk,
