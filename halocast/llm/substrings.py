@@ -119,11 +119,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed spans cut out of their texts; null ids and unlisted ids keep their text."""
-    cut = spans.where(F.size("removed") > 0).select(F.col("id").alias("__id"), "removed")
+    cut = spans.where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
     whole = F.col(text_col).cast("string")
-    places = F.concat(F.array(F.lit(0)), F.col("removed.last"))
-    ends = F.concat(F.col("removed.first"), F.array(F.length(whole)))
+    places = F.concat(F.array(F.lit(0)), F.col("__removed.last"))
+    ends = F.concat(F.col("__removed.first"), F.array(F.length(whole)))
     kept = F.array_join(F.transform(F.arrays_zip(places.alias("a"), ends.alias("b")),
                                     lambda s: F.substring(whole, s["a"] + 1, s["b"] - s["a"])), "")
     both = docs.join(cut, docs[id_col].cast("long") == F.col("__id"), "left")
-    return both.withColumn(text_col, F.when(F.col("removed").isNull(), whole).otherwise(kept)).select(*docs.columns)
+    return both.withColumn(text_col, F.when(F.col("__removed").isNull(), whole).otherwise(kept)).select(*docs.columns)
