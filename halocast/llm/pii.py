@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halocast.llm import text as tx
 from halocast.session import stored
@@ -307,7 +308,7 @@ def replace(docs: DataFrame, key: bytes = b"halocast", id_col: str = "doc_id", t
                                              [*batch.schema.names[2:], "__new", "__found"])
 
     rows = both.select("__text", "__told", *rest)
-    schema = rows.drop("__text", "__told").withColumn("__new", F.lit("")).withColumn("__found", F.lit(0)).schema
-    out = rows.mapInArrow(run, schema)
+    schema = rows.drop("__text", "__told").schema
+    out = rows.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__new", T.StringType()), T.StructField("__found", T.IntegerType())]))
     columns = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, *([F.col("__found").alias(count_col)] if count_col else []))
