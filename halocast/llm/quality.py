@@ -143,8 +143,7 @@ def marginals(push: np.ndarray, tie: np.ndarray, lines: np.ndarray) -> tuple[np.
     back = np.ones((n, 2, 2))
     back[:-1] = move[None] * seen[1:, None, :]
     back[last] = 1.0
-    # the product runs from a line to its document's end, so it is scanned from behind, transposed
-    backward = _scan(back[::-1].transpose(0, 2, 1), longest)[::-1].transpose(0, 2, 1)[:, :, 0]
+    backward = _scan(back[::-1], longest)[::-1][:, :, 0]  # the product runs from a line to its document's end
     both = forward * backward
     good = both[:, 1] / both.sum(axis=1)
     pairs = np.zeros((n, 2, 2))
