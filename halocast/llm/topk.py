@@ -29,7 +29,7 @@ from halocast.session import stored
 BLOCK = 16_384  # vectors in a block of the corpus
 BATCH = 8_192  # queries in a batch
 LARGEST = float(1 << 28)  # integers are held to this size, so that products of 128 dimensions fit a long
-STEPS = (0.35, 0.2, 0.1, 0.04, 0.0, -0.06)  # tau, as shares of a query's largest contribution
+STEPS = (0.25, 0.0, -0.04, -0.12)  # tau, as shares of a query's largest contribution
 
 
 def _pack(scale: int, limit: int):
@@ -68,8 +68,8 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.impacts = np.take_along_axis(self.vectors.T, self.rows, axis=1).copy()
+        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
+        self.impacts = np.take_along_axis(self.vectors.T, self.rows, axis=1).astype(np.float64)
 
     def top(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and exact scores of the k best, ties to smaller ids; ``own`` takes no part."""
@@ -79,13 +79,17 @@ class Index:
         possible = np.arange(n)
         if len(dims) and n > 64 * spare:
             largest = np.maximum(query[dims] * self.impacts[dims, 0], query[dims] * self.impacts[dims, -1]).max()
-            have, met = np.zeros(n), np.zeros(n)
+            # gains and their number are summed as one float, which is exact below 2**53
+            unit = 1 << len(dims).bit_length()
+            if np.abs(self.vectors).max() * np.abs(query).sum() * unit >= 1 << 52:
+                return self._best(np.arange(n), query, own, k)
+            sums = np.zeros(n)
             done = np.where(query[dims] > 0, n, 0)  # first or last place that is already processed
             for step in STEPS:
                 tau = step * largest
                 rows, gains = [], []
                 for j, d in enumerate(dims.tolist()):
-                    q, impacts = int(query[d]), self.impacts[d]
+                    q, impacts = float(query[d]), self.impacts[d]
                     if q > 0:  # places from the end, while q * impact >= tau
                         lo = int(np.searchsorted(impacts, tau / q, "left"))
                         part = slice(lo, done[j])
@@ -96,11 +100,11 @@ class Index:
                         done[j] = max(hi, done[j])
                     if part.stop > part.start:
                         rows.append(self.rows[d, part])
-                        gains.append(q * impacts[part])
+                        gains.append(impacts[part] * (q * unit) + 1)
                 if rows:
-                    at = np.concatenate(rows)
-                    have += np.bincount(at, np.concatenate(gains), n)
-                    met += np.bincount(at, minlength=n)
+                    sums += np.bincount(np.concatenate(rows), np.concatenate(gains), n)
+                have = np.floor(sums / unit)
+                met = sums - have * unit
                 # float rounding at tau / q could move a posting whose gain equals tau; one unit covers it
                 bound = have + (len(dims) - met) * (tau + 1)
                 best = np.argpartition(bound, n - 4 * spare)[n - 4 * spare:]
@@ -108,6 +112,10 @@ class Index:
                 possible = np.flatnonzero(bound >= floor)
                 if len(possible) <= 64 * spare:
                     break
+        return self._best(possible, query, own, k)
+
+    def _best(self, possible: np.ndarray, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some rows, by exact scores."""
         scores = self.vectors[possible] @ query
         if own is not None:
             keep = self.ids[possible] != own
