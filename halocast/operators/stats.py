@@ -203,15 +203,17 @@ def parameter_ranges(levels: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select("profile_id", F.inline(entries))
 
 
-def depth_series(catalog: DataFrame, levels: DataFrame, n_profiles: int = 5) -> DataFrame:
-    """Depth-ordered points of the first ``n_profiles`` profiles, for plotting.
+def depth_series(catalog: DataFrame, levels: DataFrame, n_profiles: int | None = None) -> DataFrame:
+    """Depth-ordered points of all profiles, or of the first ``n_profiles``, for plotting.
 
     The series stays in rows under a global sort, so a profile of any length
     is never one array.
     """
-    chosen = catalog.select("id", "profile_id").orderBy("id").limit(n_profiles)
+    chosen = catalog.select("id", "profile_id")
+    if n_profiles is not None:
+        chosen = chosen.orderBy("id").limit(n_profiles)
     return (
-        levels.join(F.broadcast(chosen), "profile_id")
+        levels.join(chosen.select("profile_id").distinct(), "profile_id", "left_semi")
         .select("profile_id", F.col("pres").alias("depth"), F.col("temp").alias("temperature"),
                 F.col("psal").alias("salinity"), F.col("doxy").alias("oxygen"))
         .orderBy("profile_id", "depth")

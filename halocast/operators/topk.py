@@ -5,17 +5,18 @@ block of the corpus with a block of the queries in numpy and emits at most k
 rows per query; a window then merges those short lists. Two ways to bring
 blocks together:
 
-* few queries (a checked count): they are broadcast and the corpus is read
-  where it lies, without a shuffle;
-* any number of queries: corpus and queries are both cut into blocks by hash
-  or by cell, and each pair of blocks that can hold a match meets in one group
-  of a cogroup. Block sizes are bounded, so hot cells are cut up as well.
+* vectors: the corpus is read where it lies, and any number of queries pass by
+  in packed batches of a bounded number of rows, without a shuffle;
+* positions: corpus and queries are cut into blocks by cell, and each pair of
+  blocks that can hold a match meets in one group of a cogroup. Block sizes
+  are bounded, so hot cells are cut up as well.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -25,7 +26,7 @@ from halocast.session import stored
 
 HIT_SCHEMA = "query_id string, profile_id string, distance double, k int"
 MERGE_SALTS = 32              # partial lists per query before the last merge
-BROADCAST_QUERIES = 4096      # queries that may be broadcast (a few MB of vectors)
+QUERY_BATCH = 4096            # queries sent to the corpus at once (a few MB of vectors)
 CORPUS_BLOCK = 50_000         # corpus rows per block in the cogroup
 QUERY_BLOCK = 2_048           # queries per block in the cogroup
 QUERY_SLICE = 256             # queries compared with a block at a time inside a task
@@ -98,15 +99,18 @@ def vector_kernel(metric: str = "l2sq", prefilter: bool = False) -> Callable:
         lon = corpus["lon"].to_numpy(dtype=float)[:, None]
         ts = corpus["ts"].to_numpy(dtype=float)[:, None]
         side = {n: queries[n].to_numpy(dtype=float)[None, :]
-                for n in ("lat_min", "lat_max", "lon_min", "lon_max", "ts_from", "ts_to")}
+                for n in ("lat_min", "lat_max", "lon_min", "lon_max", "ts_from", "ts_to", "months")}
+        month = corpus["month"].to_numpy(dtype=float)[:, None]
         with np.errstate(invalid="ignore"):
             wraps = side["lon_min"] > side["lon_max"]
             east, west = lon >= side["lon_min"], lon <= side["lon_max"]
             in_lon = np.where(wraps, east | west, east & west)
             in_box = (lat >= side["lat_min"]) & (lat <= side["lat_max"]) & in_lon
             in_time = (ts >= side["ts_from"]) & (ts < side["ts_to"])
-        no_box, no_time = np.isnan(side["lat_min"]), np.isnan(side["ts_from"])
-        return (in_box | no_box) & (in_time | no_time)
+            bits = np.nan_to_num(side["months"]).astype(np.int64) >> np.nan_to_num(month).astype(np.int64)
+            in_season = (bits & 1 == 1) & ~np.isnan(month)
+        no_box, no_time, no_season = (np.isnan(side[n]) for n in ("lat_min", "ts_from", "months"))
+        return (in_box | no_box) & (in_time | no_time) & (in_season | no_season)
 
     return best
 
@@ -178,26 +182,62 @@ def _merge(hits: DataFrame, repeated: bool = False) -> DataFrame:
         "_salt", "_part", "k")
 
 
-def scan_with_broadcast(corpus: DataFrame, wanted, kernel: Callable) -> DataFrame:
-    """Few queries (pandas): every task compares its part of the corpus with all of them."""
-    shared = corpus.sparkSession.sparkContext.broadcast(wanted)
+def _hit_schema():
+    import pyarrow as pa
 
+    return pa.schema([("query_id", pa.string()), ("profile_id", pa.string()), ("distance", pa.float64()),
+                      ("k", pa.int32())])
+
+
+def _pack(rows: DataFrame) -> DataFrame:
+    """Rows packed batch by batch: one binary row for each Arrow batch, all with the same ``side``."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([0], pa.int32())], ["rows", "side"])
+
+    return rows.mapInArrow(run, "rows binary, side int")
+
+
+def scan_in_batches(corpus: DataFrame, queries: DataFrame, kernel: Callable, size: int) -> DataFrame:
+    """Any number of queries pass by a corpus that stays where it is.
+
+    Queries are dealt into batches of about ``size`` rows by their hash. Each
+    batch becomes one packed row, which a join sends to every block of the
+    corpus; nothing passes the driver's Python. A task keeps one list of the k
+    best per query for all of its blocks.
+    """
     def run(batches):
         import pandas as pd
+        import pyarrow as pa
 
-        wanted = shared.value
         held = None
         for batch in batches:
-            found = kernel(batch, wanted)
-            if held is not None:
-                found = pd.concat([held, found], ignore_index=True).sort_values(
-                    ["query_id", "distance", "profile_id"])
-                found = found[found.groupby("query_id").cumcount() < found["k"]]
-            held = found
+            for left, right in zip(batch.column(0), batch.column(1)):
+                found = kernel(pa.ipc.open_stream(left.as_buffer()).read_pandas(),
+                               pa.ipc.open_stream(right.as_buffer()).read_pandas())
+                if held is not None:
+                    found = pd.concat([held, found], ignore_index=True).sort_values(
+                        ["query_id", "distance", "profile_id"])
+                    found = found[found.groupby("query_id").cumcount() < found["k"]]
+                held = found
         if held is not None and len(held):
-            yield held
+            yield pa.RecordBatch.from_pandas(held.reset_index(drop=True), preserve_index=False,
+                                             schema=_hit_schema())
 
-    return corpus.mapInPandas(run, HIT_SCHEMA)
+    blocks = _pack(corpus)
+    parts = max(1, -(-queries.count() // size))
+    hits = []
+    for part in range(parts):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).coalesce(1)
+        asked = _pack(some).withColumnRenamed("rows", "asked")
+        hits.append(blocks.join(F.broadcast(asked), "side").select("rows", "asked").mapInArrow(run, HIT_SCHEMA))
+    return reduce(DataFrame.unionByName, hits)
 
 
 def meet_in_blocks(corpus: DataFrame, queries: DataFrame, kernel: Callable) -> DataFrame:
@@ -209,18 +249,6 @@ def meet_in_blocks(corpus: DataFrame, queries: DataFrame, kernel: Callable) -> D
             .applyInPandas(run, HIT_SCHEMA))
 
 
-def _hash_blocks(corpus: DataFrame, queries: DataFrame, n_corpus: int, n_queries: int):
-    """Both sides cut by hash; every corpus block meets every query block once."""
-    rows, columns = math.ceil(n_corpus / CORPUS_BLOCK), math.ceil(n_queries / QUERY_BLOCK)
-    row = F.pmod(F.xxhash64("profile_id"), F.lit(rows))
-    column = F.pmod(F.xxhash64("query_id"), F.lit(columns))
-    left = corpus.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn(
-        "block", row * columns + F.col("_c")).drop("_c")
-    right = queries.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn(
-        "block", F.col("_r") * columns + column).drop("_r")
-    return left, right
-
-
 def _cell_blocks(corpus: DataFrame, queries: DataFrame, cell: Column, cells: Column):
     """Blocks are cells; a crowded cell is cut into several blocks on both sides.
 
@@ -251,29 +279,23 @@ def _cell_blocks(corpus: DataFrame, queries: DataFrame, cell: Column, cells: Col
 
 
 def topk(corpus: DataFrame, queries: DataFrame, kernel: Callable, cell: Column | None = None,
-         cells: Column | None = None, broadcast_limit: int = BROADCAST_QUERIES) -> DataFrame:
+         cells: Column | None = None, size: int = QUERY_BATCH) -> DataFrame:
     """(query_id, profile_id, distance, rank): the k nearest per query, exactly.
 
     Corpus rows have ``profile_id`` and the kernel's columns; queries have
-    ``query_id``, ``k`` and the kernel's columns. Never more than
-    ``broadcast_limit`` + 1 queries reach the driver; if that many came, the
-    batch is too large to broadcast and all queries meet the corpus in blocks.
+    ``query_id``, ``k`` and the kernel's columns. With cells, both sides meet
+    in their cells; without, the queries pass by the corpus in batches.
     """
-    head = queries.limit(broadcast_limit + 1).toPandas()
-    if len(head) <= broadcast_limit:
-        hits = scan_with_broadcast(corpus, head, kernel)
-    elif cell is not None:
+    if cell is not None:
         hits = meet_in_blocks(*_cell_blocks(corpus, queries, cell, cells), kernel)
     else:
-        n_corpus, n_queries = corpus.count(), queries.count()
-        hits = meet_in_blocks(*_hash_blocks(corpus, queries, n_corpus, n_queries), kernel)
+        hits = scan_in_batches(corpus, queries, kernel, size)
     return _merge(hits)
 
 
 # --- nearest positions -------------------------------------------------------
 def nearest_profiles(catalog: DataFrame, points: DataFrame, k: int,
-                     radius_degrees: float = 2.0, broadcast_limit: int = BROADCAST_QUERIES
-                     ) -> DataFrame:
+                     radius_degrees: float = 2.0) -> DataFrame:
     """k nearest profiles within a radius (degrees of arc) of each point.
 
     Cells are as tall as the radius. A point visits the three bands around it;
@@ -298,16 +320,16 @@ def nearest_profiles(catalog: DataFrame, points: DataFrame, k: int,
     cells = F.array_distinct(F.flatten(F.transform(bands, lambda b: F.transform(
         F.sequence(home - steps, home + steps),
         lambda c: b * n_lon + F.pmod(c, F.lit(n_lon))))))
-    return topk(corpus, wanted, position_kernel(radius_degrees), cell, cells, broadcast_limit)
+    return topk(corpus, wanted, position_kernel(radius_degrees), cell, cells)
 
 
 # --- vectors -----------------------------------------------------------------
 def vector_topk(corpus: DataFrame, queries: DataFrame, metric: str = "l2sq",
-                broadcast_limit: int = BROADCAST_QUERIES) -> DataFrame:
+                size: int = QUERY_BATCH) -> DataFrame:
     """k nearest vectors per query vector; similarity is 1 - distance (dot: the product)."""
     hits = topk(corpus.select("profile_id", "embedding"),
                 queries.select("query_id", "query_vector", "k"),
-                vector_kernel(metric), broadcast_limit=broadcast_limit)
+                vector_kernel(metric), size=size)
     base = 0.0 if metric == "dot" else 1.0
     return hits.withColumn("similarity", F.round(F.lit(base) - F.col("distance"), 6) + F.lit(0.0))
 

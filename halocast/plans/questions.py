@@ -4,29 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from halocast import rules
 from halocast.functions import geo, text
 from halocast.functions.geo import round6
 from halocast.functions.text import constraints
 from halocast.operators import filters
-from halocast.operators.topk import topk, vector_kernel, vector_topk
+from halocast.operators.topk import topk, vector_kernel
 
 
-def _hits(corpus: DataFrame, asked: DataFrame, over_k: Column) -> DataFrame:
-    """Vector hits with the catalogue columns of the hit and the question's constraint.
+def _seconds(ts: Column) -> Column:
+    return F.unix_timestamp(ts.cast("timestamp")).cast("double")
+
+
+def _month_mask() -> Column:
+    """Bits of the months that a season word allows; null without one."""
+    masks = [F.when(F.col("seasonal") & (F.col("season") == name), sum(1 << m for m in months))
+             for name, months in rules.SEASON_MONTHS.items()]
+    return F.coalesce(*masks)
 
-    The hits are k rows per question, the small side of both joins.
-    """
-    found = vector_topk(corpus, asked.withColumn("k", over_k))
-    asked = asked.drop("query_vector", "text")
-    return (
-        found.withColumnRenamed("rank", "vector_rank").join(asked, "query_id")
-        .join(corpus.drop("embedding"), "profile_id")
-    )
 
+def _hits(corpus: DataFrame, asked: DataFrame, by_place: Column, as_of: str | None = None,
+          by_time: Column | None = None) -> DataFrame:
+    """The k nearest vectors of each question among the rows that satisfy it.
 
-def _in_own_box() -> Column:
-    return F.coalesce(geo.in_box("lat", "lon", "lat_min", "lat_max", "lon_min", "lon_max"),
-                      F.lit(False))
+    Rows are filtered before they are ranked, so k rows come back whenever k
+    exist. ``by_place`` and ``by_time`` say whether a question's bounds count.
+    """
+    if by_time is None:
+        since, until, mask = F.lit(None), F.lit(None), F.lit(None)
+    else:
+        months, year = F.when(by_time, F.col("months_back")), F.when(by_time, F.col("year_asked"))
+        first = F.make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        after = F.make_timestamp_ntz(year + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        since = _seconds(F.coalesce(F.when(months.isNotNull(), filters.after_months_back(as_of, months)), first))
+        until = F.when(months.isNotNull(), F.lit(float("inf"))).otherwise(_seconds(after))
+        mask = F.when(by_time, _month_mask())
+    wanted = asked.select(
+        "query_id", "query_vector", "k",
+        *[F.when(by_place, F.col(c)).alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")],
+        since.cast("double").alias("ts_from"), until.cast("double").alias("ts_to"),
+        mask.cast("double").alias("months"))
+    rows = corpus.select("profile_id", "embedding", "lat", "lon", _seconds(F.col("time_start")).alias("ts"),
+                         F.month("time_start").cast("double").alias("month"))
+    found = topk(rows, wanted, vector_kernel("l2sq", prefilter=True))
+    return found.withColumn("similarity", F.round(1 - F.col("distance"), 6) + F.lit(0.0))
+
+
+def _placed(found: DataFrame, corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits with the position of the row and the question's constraint; hits are the small side."""
+    return (found.withColumnRenamed("rank", "vector_rank")
+            .join(asked.drop("query_vector", "text"), "query_id")
+            .join(corpus.select("profile_id", "lat", "lon"), "profile_id"))
 
 
 def _distance_to_center() -> Column:
@@ -54,32 +82,19 @@ def _scored(hits: DataFrame, constrained: Column, scale: str) -> DataFrame:
 
 
 def geo_search(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Vector hits of each question, kept inside its region and ranked by nearness.
-
-    As in the rule it follows, min(4k, 100) candidates are fetched where a
-    region was found and filtered afterwards, so fewer than k may remain.
-    """
+    """The k nearest vectors inside each question's region, ranked by nearness to its centre."""
     asked = constraints(queries, "base")
     has_box = F.col("lat_min").isNotNull()
-    over = F.when(has_box, F.least(F.col("k") * 4, F.lit(100))).otherwise(F.col("k"))
-    hits = _hits(corpus, asked, over).filter(~has_box | _in_own_box())
+    hits = _placed(_hits(corpus, asked, has_box), corpus, asked)
     return _result(rank_by_relevance(_scored(hits, has_box, "base")))
 
 
-def constrained_search(corpus: DataFrame, queries: DataFrame, catalog: DataFrame,
-                       as_of: str) -> DataFrame:
-    """Over-fetched vector hits filtered by place and by catalogue time, flags honoured."""
+def constrained_search(corpus: DataFrame, queries: DataFrame, as_of: str) -> DataFrame:
+    """As geo_search, with time and season too, and the questions' flags honoured."""
     asked = constraints(queries, "enhanced")
     by_place = F.col("lat_min").isNotNull() & F.col("geographic_filter")
-    months = F.when(F.col("temporal_filter"), F.col("months_back"))
-    year = F.when(F.col("temporal_filter"), F.col("year_asked"))
-    hits = _hits(corpus.drop("time_start"), asked, F.least(F.col("k") * 3, F.lit(50)))
-    placed = _scored(hits.filter(~by_place | _in_own_box()), by_place, "enhanced")
-    # profile_id is unique in the catalogue: a hit survives if its row passes the time
-    small = placed.withColumns({"m": months, "y": year})
-    kept = small.join(catalog.select("profile_id", "time_start"), "profile_id").filter(
-        filters.time_matches(as_of, F.col("m"), F.col("y")))
-    return _result(rank_by_relevance(kept))
+    hits = _placed(_hits(corpus, asked, by_place, as_of, F.col("temporal_filter")), corpus, asked)
+    return _result(rank_by_relevance(_scored(hits, by_place, "enhanced")))
 
 
 def smart_flags(queries: DataFrame) -> DataFrame:
@@ -89,35 +104,15 @@ def smart_flags(queries: DataFrame) -> DataFrame:
                                 "temporal_filter": F.col("temporal_filter") & named})
 
 
-def smart_search(corpus: DataFrame, queries: DataFrame, catalog: DataFrame,
-                 as_of: str) -> DataFrame:
-    return constrained_search(corpus, smart_flags(queries), catalog, as_of)
+def smart_search(corpus: DataFrame, queries: DataFrame, as_of: str) -> DataFrame:
+    return constrained_search(corpus, smart_flags(queries), as_of)
 
 
 def prefilter_search(corpus: DataFrame, queries: DataFrame, as_of: str) -> DataFrame:
-    """Filter first, then rank: k hits whenever k profiles satisfy the question."""
+    """As constrained_search, ranked by the vectors alone."""
     asked = constraints(queries, "enhanced")
-
-    def seconds(ts: Column) -> Column:
-        return F.unix_timestamp(ts.cast("timestamp")).cast("double")
-
-    by_place = F.col("geographic_filter")
-    months = F.when(F.col("temporal_filter"), F.col("months_back"))
-    year = F.when(F.col("temporal_filter"), F.col("year_asked"))
-    year_start = F.make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    next_year = F.make_timestamp_ntz(year + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    since = F.coalesce(F.when(months.isNotNull(), filters.after_months_back(as_of, months)),
-                       year_start)
-    until = F.when(months.isNotNull(), F.lit(float("inf"))).otherwise(seconds(next_year))
-    bounds = {c: F.when(by_place, F.col(c)) for c in ("lat_min", "lat_max", "lon_min", "lon_max")}
-    wanted = asked.select("query_id", "query_vector", "k",
-                          *[b.alias(c) for c, b in bounds.items()],
-                          seconds(since).alias("ts_from"), until.alias("ts_to"))
-    rows = corpus.select("profile_id", "embedding", "lat", "lon",
-                         seconds(F.col("time_start")).alias("ts"))
-    hits = topk(rows, wanted, vector_kernel("l2sq", prefilter=True))
-    return hits.select("query_id", "rank", "profile_id",
-                       (F.round(1 - F.col("distance"), 6) + F.lit(0.0)).alias("similarity"))
+    hits = _hits(corpus, asked, F.col("geographic_filter"), as_of, F.col("temporal_filter"))
+    return hits.select("query_id", "rank", "profile_id", "similarity")
 
 
 def _number(c: str) -> Column:

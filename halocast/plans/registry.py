@@ -464,8 +464,8 @@ def candidates_semi_catalog(spark, sf):
 @query
 def skip_loaded(spark, sf):
     files = fx.profiles(spark, sf).select("source_file").distinct()
-    return joins.skip_loaded(files, fx.ingestion_errors(spark, sf).select(
-        F.col("file_path").alias("source_file")))
+    loaded = fx.profiles(spark, sf).where("time_start < TIMESTAMP_NTZ '1998-01-01'")
+    return joins.skip_loaded(files, loaded)
 
 
 @query
@@ -700,6 +700,14 @@ def vector_topk_approx(spark, sf):
         .drop("distance")
 
 
+@query
+def nearest_profiles_all(spark, sf):
+    """Every catalogue row as a search point."""
+    p = fx.profiles(spark, sf).select("profile_id", "lat", "lon")
+    points = fx.profiles(spark, sf).select(F.col("profile_id").alias("query_id"), F.col("lat"), F.col("lon"))
+    return topk.nearest_profiles(p, points, 3, 10.0).select("query_id", "rank", "profile_id", F.col("distance").alias("km"))
+
+
 @query
 def rank_by_relevance(spark, sf):
     """Profiles near each named search point's region, by relevance then id."""
@@ -937,13 +945,13 @@ def geo_search(spark, sf):
 @query
 def constrained_search(spark, sf):
     return questions.constrained_search(fx.vector_corpus(spark, sf), fx.query_vectors(spark, sf),
-                                        fx.profiles(spark, sf), CATALOG_AS_OF)
+                                        CATALOG_AS_OF)
 
 
 @query
 def smart_search(spark, sf):
     return questions.smart_search(fx.vector_corpus(spark, sf), fx.query_vectors(spark, sf),
-                                  fx.profiles(spark, sf), CATALOG_AS_OF)
+                                  CATALOG_AS_OF)
 
 
 @query

@@ -298,7 +298,7 @@ S["variables_contain"] = sql("""SELECT profile_id, 'CHLA' AS rule FROM profiles
 S["candidates_semi_catalog"] = sql("""SELECT profile_id, label FROM vectors WHERE profile_id IN
  (SELECT profile_id FROM profiles WHERE year(time_start) = 1999)""")
 S["skip_loaded"] = sql("""SELECT DISTINCT source_file FROM profiles
- WHERE source_file NOT IN (SELECT file_path FROM errors)""")
+ WHERE source_file NOT IN (SELECT source_file FROM profiles WHERE time_start < TIMESTAMP '1998-01-01')""")
 S["missing_level_files"] = sql("SELECT profile_id, parquet_path FROM missing")
 S["profile_levels"] = sql("""SELECT l.profile_id, float_id, lat, lon, pres, temp, psal, doxy
  FROM levels l JOIN profiles p USING (profile_id)""")
@@ -392,7 +392,7 @@ S["parameter_ranges"] = sql(" UNION ALL ".join(
     max({c}) AS max_value FROM levels GROUP BY profile_id""" for c in ("temp", "psal", "doxy")))
 S["depth_series"] = sql("""SELECT profile_id, pres AS depth, temp AS temperature, psal AS salinity,
  doxy AS oxygen FROM levels WHERE profile_id IN
- (SELECT profile_id FROM profiles ORDER BY id LIMIT 5)""")
+ (SELECT profile_id FROM profiles)""")
 S["collection_summary"] = sql(f"""SELECT count(*) AS profile_count,
  (SELECT array_to_string(list_sort(list_distinct(list(variable))), ',') FROM {_variables})
   AS variables_available,
@@ -442,6 +442,13 @@ S["vector_topk"] = _topk("list_distance(c.embedding, q.query_vector) ** 2", "1 -
 S["vector_topk_cosine"] = _topk("1 - list_cosine_similarity(c.embedding, q.query_vector)", "1 - d")
 S["vector_topk_dot"] = _topk("-list_inner_product(c.embedding, q.query_vector)", "-d")
 _arabian = f"round(greatest(0e0, 1 - {haversine('17.5e0', '62.5e0', 'lat', 'lon')} / 2000), 6)"
+S["nearest_profiles_all"] = sql(f"""WITH p AS (SELECT profile_id, lat, lon FROM profiles
+   WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180),
+ pairs AS (SELECT a.profile_id AS query_id, b.profile_id,
+   round({haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) + 0e0 AS km
+   FROM p a JOIN p b ON b.lat BETWEEN a.lat - 10.1e0 AND a.lat + 10.1e0)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY km, profile_id) AS INT) AS rank,
+  profile_id, km FROM pairs WHERE km <= radians(10e0) * 6371 QUALIFY rank <= 3""")
 S["rank_by_relevance"] = sql(f"""SELECT 'arabian sea' AS query_id, rank, profile_id, relevance
  FROM (SELECT *, CAST(row_number() OVER (ORDER BY relevance DESC, id) AS INT) AS rank
   FROM (SELECT id, profile_id, {_arabian} AS relevance FROM profiles
@@ -599,41 +606,46 @@ S["stream_dedupe"] = sql("SELECT DISTINCT profile_id FROM batches")
 # --- composite queries -------------------------------------------------------
 
 
-def _search(ruleset: str, over_k: str, by_place: str, keep: str, scale: int, month: str = "NULL",
+_season_ok = f"""(CASE WHEN temporal_filter AND ({MONTHS}) IS NULL AND ({YEAR}) IS NULL
+ AND regexp_matches(lower(text), 'summer|winter|monsoon|spring') THEN coalesce(CASE {_season}
+ {" ".join(f"WHEN '{s}' THEN month(time_start) IN ({', '.join(map(str, m))})"
+           for s, m in rules.SEASON_MONTHS.items())}
+ ELSE true END, false) ELSE true END)"""
+
+
+def _search(ruleset: str, by_place: str, keep: str, scale: int, month: str = "NULL",
             year: str = "NULL") -> str:
     km = haversine("(lat_min + lat_max) / 2", f"({CENTER_LON})", "lat", "lon")
     return f"""WITH asked AS (SELECT q.*, c.lat_min, c.lat_max, c.lon_min, c.lon_max,
    {MONTHS} AS months_back, {YEAR} AS year_asked,
    regexp_matches(lower(text), '{"|".join(n for n, *_ in rules.REGIONS["enhanced"])}') AS named
    FROM query_log q JOIN {constrained(ruleset, 'query_log')} c USING (query_id)),
- near AS (SELECT query_id, profile_id, distance, row_number() OVER (PARTITION BY query_id
-   ORDER BY distance, profile_id) AS vector_rank FROM distances),
- hits AS (SELECT a.*, n.profile_id, n.distance, n.vector_rank, p.lat, p.lon, p.time_start,
+ hits AS (SELECT a.*, d.profile_id, d.distance, p.lat, p.lon, p.time_start,
    {by_place} AS placed, {month} AS m, {year} AS y
-   FROM near n JOIN asked a USING (query_id) LEFT JOIN profiles p USING (profile_id)
-   WHERE vector_rank <= {over_k}),
- kept AS (SELECT *, CASE WHEN placed THEN {km} END AS km FROM hits
+   FROM distances d JOIN asked a USING (query_id) LEFT JOIN profiles p USING (profile_id)),
+ near AS (SELECT *, row_number() OVER (PARTITION BY query_id
+   ORDER BY distance, profile_id) AS vector_rank FROM hits
    WHERE (NOT placed OR coalesce({IN_OWN_BOX}, false)) AND {keep}),
+ kept AS (SELECT *, CASE WHEN placed THEN {km} END AS km FROM near WHERE vector_rank <= k),
  result AS (SELECT query_id, profile_id, {r6('1 - distance')} AS similarity, {r6('km')} AS distance_km,
    {r6(f'greatest(0e0, 1 - km / {scale})')} AS relevance, k,
    CAST(row_number() OVER (PARTITION BY query_id ORDER BY
      round(CASE WHEN placed THEN greatest(0e0, 1 - km / {scale}) END, 6) DESC NULLS LAST, vector_rank)
-     AS INT) AS rank FROM kept QUALIFY rank <= k)"""
+     AS INT) AS rank FROM kept)"""
 
 
 _columns = """SELECT query_id, rank, profile_id, similarity, distance_km,
  CASE WHEN distance_km IS NOT NULL THEN relevance END AS relevance FROM result"""
-_geo = _search("base", "CASE WHEN lat_min IS NOT NULL THEN least(k * 4, 100) ELSE k END",
-               "lat_min IS NOT NULL", "true", 2000)
+_geo = _search("base", "lat_min IS NOT NULL", "true", 2000)
 S["geo_search"] = sql(f"{_geo} {_columns}")
 _time_ok = f"""coalesce(CASE WHEN m IS NOT NULL THEN time_start >= {T_CAT} - to_months(m)
  WHEN y IS NOT NULL THEN year(time_start) = y ELSE true END, false)"""
 _flagged = "lat_min IS NOT NULL AND geographic_filter"
 _m, _y = "CASE WHEN temporal_filter THEN months_back END", "CASE WHEN temporal_filter THEN year_asked END"
 S["constrained_search"] = sql(
-    _search("enhanced", "least(k * 3, 50)", _flagged, _time_ok, 1000, _m, _y) + " " + _columns)
+    _search("enhanced", _flagged, f"{_time_ok} AND {_season_ok}", 1000, _m, _y) + " " + _columns)
 S["smart_search"] = sql(
-    _search("enhanced", "least(k * 3, 50)", _flagged + " AND named", _time_ok, 1000,
+    _search("enhanced", _flagged + " AND named", f"{_time_ok} AND (NOT named OR {_season_ok})", 1000,
             "CASE WHEN temporal_filter AND named THEN months_back END",
             "CASE WHEN temporal_filter AND named THEN year_asked END") + " " + _columns)
 S["prefilter_search"] = sql(f"""WITH asked AS (SELECT q.*, c.lat_min, c.lat_max, c.lon_min, c.lon_max,
@@ -641,7 +653,7 @@ S["prefilter_search"] = sql(f"""WITH asked AS (SELECT q.*, c.lat_min, c.lat_max,
    FROM query_log q JOIN {constrained('enhanced', 'query_log')} c USING (query_id)),
  kept AS (SELECT a.query_id, a.k, d.profile_id, d.distance FROM distances d
    JOIN asked a USING (query_id) LEFT JOIN profiles p USING (profile_id)
-   WHERE (lat_min IS NULL OR NOT geographic_filter OR coalesce({IN_OWN_BOX}, false)) AND {_time_ok})
+   WHERE (lat_min IS NULL OR NOT geographic_filter OR coalesce({IN_OWN_BOX}, false)) AND {_time_ok} AND {_season_ok})
  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, profile_id) AS INT)
    AS rank, profile_id, {r6('1 - distance')} AS similarity FROM kept QUALIFY rank <= k""")
 _trim = "regexp_replace(CAST(round({0}, 4) AS VARCHAR), '\\.0$', '')"

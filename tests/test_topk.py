@@ -38,14 +38,13 @@ def nearest(places, k, radius):
     return out
 
 
-@pytest.mark.parametrize("limit", [4096, 0])
 @pytest.mark.parametrize("radius", [2.0, 7.5])
-def test_nearest_profiles(spark, places, limit, radius, monkeypatch):
+def test_nearest_profiles(spark, places, radius, monkeypatch):
     monkeypatch.setattr(topk, "CORPUS_BLOCK", 100)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     c = spark.createDataFrame(places[0], "profile_id string, lat double, lon double")
     q = spark.createDataFrame(places[1], "query_id string, lat double, lon double")
-    got = topk.nearest_profiles(c, q, 5, radius, broadcast_limit=limit).collect()
+    got = topk.nearest_profiles(c, q, 5, radius).collect()
     assert {(r.query_id, r.profile_id, r["rank"]) for r in got} == nearest(places, 5, radius)
 
 
@@ -68,15 +67,13 @@ def distance(metric, a, b):
 
 
 @pytest.mark.parametrize("metric", ["l2sq", "cosine", "dot"])
-@pytest.mark.parametrize("limit", [4096, 0])
-def test_vector_topk(spark, vecs, metric, limit, monkeypatch):
-    monkeypatch.setattr(topk, "CORPUS_BLOCK", 64)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+@pytest.mark.parametrize("size", [4096, 7])
+def test_vector_topk(spark, vecs, metric, size, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_SLICE", 5)
     rows, asks = vecs
     c = spark.createDataFrame(rows, "profile_id string, embedding array<double>").repartition(5)
     q = spark.createDataFrame(asks, "query_id string, query_vector array<double>, k int")
-    got = topk.vector_topk(c, q, metric, broadcast_limit=limit).collect()
+    got = topk.vector_topk(c, q, metric, size=size).collect()
     want = set()
     for name, vector, k in asks:
         if vector is not None:
