@@ -67,21 +67,25 @@ def ingest(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables: DataFra
     return Ingested(judged, nm.align_levels(nm.standard_values(raw_values, resolved)))
 
 
-def publish(run: Ingested, root: str, occurred_at: str, run_id: int = 0,
+def publish(run: Ingested, root: str, occurred_at: str, run_id: int,
             old_catalog: DataFrame | None = None) -> str:
-    """Write levels, vectors and errors first and the catalogue version last.
+    """Write levels, vectors and errors first, the catalogue after them, its manifest entry last.
 
-    A visible catalogue row therefore always has its data. Returns the path of
-    the catalogue version.
+    Everything of an attempt lies in a folder of its own. Readers take the union
+    of the live attempts (the latest of each run), so a run adds to earlier ones and a retried run replaces
+    its own first try, errors included, without touching its files. Returns the path of the attempt.
     """
     run = run.stored()
-    sinks.write_levels(run.levels, f"{root}/levels", MEASURES)
+    path = sinks.attempt_path(root, run_id)
+    sinks.write_levels(run.levels, f"{path}/levels", MEASURES)
     documents = embed_text(run.profiles.withColumn("summary", summarise("rich")))
-    sinks.write_vectors(documents, f"{root}/vectors")
-    sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), f"{root}/errors")
-    fresh = run.profiles.withColumn("seq", F.col("profile_key"))
-    catalog = fresh if old_catalog is None else upsert_catalog(old_catalog, fresh)
-    return sinks.publish_catalog(catalog, root, run_id)
+    sinks.write_vectors(documents, f"{path}/vectors")
+    sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), f"{path}/errors")
+    fresh = run.profiles.withColumn("seq", F.col("profile_key")).withColumn(
+        "parquet_path", F.concat(F.lit(f"run={run_id}/"), F.col("parquet_path")))
+    catalog = fresh if old_catalog is None else upsert_catalog(
+        old_catalog.drop("cell_lat", "cell_lon"), fresh)
+    return sinks.publish_catalog(catalog, root, run_id, path)
 
 
 # --- ordered fallback strategies --------------------------------------------

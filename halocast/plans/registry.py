@@ -997,12 +997,40 @@ def _run(spark, sf):
 def ingest_catalog(spark, sf):
     """End to end: publish a whole run, then read the current catalogue back."""
     root = work_dir(spark, "store")
-    ing.publish(_run(spark, sf), root, CATALOG_AS_OF)
+    ing.publish(_run(spark, sf), root, CATALOG_AS_OF, run_id=0)
     return sinks.current_catalog(spark, root).select(
         "profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
         csv("variables").alias("variables"), "data_quality_score")
 
 
+def two_runs(spark, sf, root):
+    """Publish the odd and the even profiles as two runs, and the second one twice, as a retry would."""
+    def half(k):
+        rows = F.col("profile_key") % 2 == k
+        return ing.ingest(fx.raw_values(spark, sf).where(rows), fx.raw_scalars(spark, sf).where(rows),
+                          fx.raw_variables(spark, sf))
+
+    ing.publish(half(0), root, CATALOG_AS_OF, run_id=0)
+    for _ in range(2):
+        ing.publish(half(1), root, CATALOG_AS_OF, run_id=1, old_catalog=spark.read.parquet(
+            f"{sinks.live_runs(spark, root)[0]}/catalog"))
+
+
+@query
+def ingest_two_runs(spark, sf):
+    """Two runs and a retry give the catalogue of one run, every row with its levels and its vector."""
+    root = work_dir(spark, "store")
+    two_runs(spark, sf, root)
+    has = lambda name, flag: sinks.current_table(spark, root, name).select("profile_id").distinct().withColumn(
+        flag, F.lit(True))
+    rows = sinks.current_catalog(spark, root).join(has("levels", "has_levels"), "profile_id", "left").join(
+        has("vectors", "has_vector"), "profile_id", "left")
+    return rows.select("profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
+                       csv("variables").alias("variables"), "data_quality_score",
+                       F.coalesce("has_levels", F.lit(False)).alias("has_levels"),
+                       F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+
+
 @query
 def ingest_levels(spark, sf):
     return _run(spark, sf).levels.select("profile_id", "float_id", "level_idx", "temperature",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocast.operators.filters import with_cells
@@ -63,25 +67,51 @@ def kept_reports(reports: DataFrame, keep: int = 100, order: str = "report_time"
     return reports.orderBy(F.desc(order), F.desc(tie)).limit(keep)
 
 
-def publish_catalog(catalog: DataFrame, root: str, run_id: int = 0) -> str:
-    """Write the catalogue of a run and make it the current one.
+def attempt_path(root: str, run_id: int) -> str:
+    """A folder for one attempt at a run; no attempt ever writes where another one wrote."""
+    return f"{root}/runs/run={run_id}/attempt={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def enter(spark: SparkSession, root: str, run_id: int, path: str) -> None:
+    """Make an attempt visible: one new entry in the manifest, written after all of its data."""
+    entry = spark.range(1).select(F.lit(run_id).cast("bigint").alias("run"), F.lit(path).alias("path"))
+    entry.write.json(f"{root}/manifest/{path.rsplit('/', 1)[-1]}")
+
 
-    The version is written first, then its entry in the manifest. Both lie under
-    the run's id and replace what a failed try of the same run left, so a
-    retried run changes nothing. The catalogue being read is never overwritten.
+def publish_catalog(catalog: DataFrame, root: str, run_id: int, path: str | None = None) -> str:
+    """Write the catalogue of an attempt and make the attempt the live one of its run.
+
+    A reader that opened an earlier attempt still finds its files.
     """
-    path = f"{root}/catalog/run={run_id}"
-    write_catalog_version(catalog, path)
-    entry = catalog.sparkSession.range(1).select(F.lit(run_id).cast("bigint").alias("run"),
-                                                 F.lit(path).alias("path"))
-    entry.write.mode("overwrite").json(f"{root}/manifest/entry-{run_id}")
+    path = path or attempt_path(root, run_id)
+    write_catalog_version(catalog, f"{path}/catalog")
+    enter(catalog.sparkSession, root, run_id, path)
     return path
 
 
-def current_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """The catalogue version with the greatest run id in the manifest."""
+def live_runs(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the live attempts by run: of each run the latest. One manifest row per attempt is read."""
     entries = spark.read.schema("run bigint, path string").json(f"{root}/manifest/*")
-    return spark.read.parquet(entries.orderBy(F.desc("run")).first()["path"])
+    live = entries.groupBy("run").agg(F.max("path").alias("path")).orderBy("run")
+    return [r.path for r in live.collect()]
+
+
+def current_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue version of the greatest run."""
+    return spark.read.parquet(f"{live_runs(spark, root)[-1]}/catalog")
+
+
+def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Levels, vectors or errors of all live runs, with ``run``."""
+    parts = [spark.read.parquet(f"{path}/{name}").withColumn(
+        "run", F.lit(int(path.split("/run=")[-1].split("/")[0]))) for path in live_runs(spark, root)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def level_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """The level buckets that live runs hold, named as ``parquet_path`` names them."""
+    return current_table(spark, root, "levels").select("run", "float_bucket").distinct().select(
+        F.concat(F.lit("run="), F.col("run").cast("string"), F.lit("/float_bucket="), F.col("float_bucket").cast("string")).alias("path"))
 
 
 def write_catalog_version(catalog: DataFrame, path: str) -> None:
@@ -93,5 +123,5 @@ def write_catalog_version(catalog: DataFrame, path: str) -> None:
     (
         with_cells(catalog).hint("rebalance", F.col("cell_lat"))
         .sortWithinPartitions("cell_lat", "cell_lon", "time_start")
-        .write.mode("overwrite").partitionBy("cell_lat").parquet(path)
+        .write.partitionBy("cell_lat").parquet(path)
     )

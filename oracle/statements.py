@@ -743,6 +743,9 @@ S["health_report"] = sql(f"""{_issues}, metrics AS (SELECT {_metrics.format(t=T_
 S["ingest_catalog"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
  array_to_string(variables, ',') AS variables, data_quality_score FROM scored
  WHERE reason = 'accepted'""")
+S["ingest_two_runs"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
+ array_to_string(variables, ',') AS variables, data_quality_score, true AS has_levels,
+ true AS has_vector FROM scored WHERE reason = 'accepted'""")
 S["ingest_levels"] = sql("""SELECT s.profile_id, s.float_id, a.level_idx, temperature, salinity,
  pressure, oxygen FROM aligned a JOIN scored s ON a.source_file = s.source_file
  AND a.profile_key = s.profile_key WHERE s.reason = 'accepted'""")

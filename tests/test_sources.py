@@ -80,9 +80,32 @@ def test_catalogue_versions(spark):
         return spark.range(n).selectExpr("concat('P', id) profile_id", "1e1 lat", "2e1 lon",
                                          "cast(null as timestamp_ntz) time_start")
     sinks.publish_catalog(version(3), root, run_id=1)
-    sinks.publish_catalog(version(5), root, run_id=2)
+    first = sinks.current_catalog(spark, root)
+    sinks.publish_catalog(version(4), root, run_id=2)
+    before = sinks.current_catalog(spark, root)
     sinks.publish_catalog(version(5), root, run_id=2)  # a retry
     assert sinks.current_catalog(spark, root).count() == 5
+    assert before.count() == 4 and first.count() == 3  # readers opened earlier still finish
     grown = sinks.current_catalog(spark, root).drop("cell_lat", "cell_lon").unionByName(version(5))
     sinks.publish_catalog(grown, root, run_id=3)       # reads run 2, writes run 3
     assert sinks.current_catalog(spark, root).count() == 10
+    assert len(sinks.live_runs(spark, root)) == 3
+
+
+def test_store_over_runs_and_a_retry(spark, sf):
+    from halocast.operators import joins
+    from halocast.plans import registry
+
+    root = work_dir(spark, "store")
+    registry.two_runs(spark, sf, root)
+    catalog = sinks.current_catalog(spark, root)
+    assert catalog.count() == registry.ingest_catalog(spark, sf).count()
+    for name in ("levels", "vectors"):
+        held = sinks.current_table(spark, root, name).select("profile_id").distinct()
+        assert catalog.join(held, "profile_id", "left_anti").count() == 0
+    errors = sinks.current_table(spark, root, "errors")
+    assert errors.count() == registry._run(spark, sf).rejected.count()  # the retry adds none
+    assert joins.missing_level_files(catalog, sinks.level_buckets(spark, root)).count() == 0
+    lost = sinks.level_buckets(spark, root).where("path <> 'run=1/float_bucket=3'")
+    missing = joins.missing_level_files(catalog, lost)
+    assert missing.count() > 0 and {r.parquet_path for r in missing.collect()} == {"run=1/float_bucket=3"}
