@@ -15,7 +15,7 @@ from halocast.functions.embedding import embed_text
 from halocast.functions.geo import round6
 from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, topk
 from halocast.plans import health, ingest as ing, questions
-from halocast.session import work_dir
+from halocast.session import stored, work_dir
 from halocast.sources import fixtures as fx, inventory, landing, sinks
 from halocast.sources.tables import read_table, table_path
 from halocast.streaming import streams
@@ -896,14 +896,12 @@ def _stream(spark, sf, name):
 
 @query
 def stream_ingest(spark, sf):
+    # levels land apart from the scalars and before them; their facts are the static side
+    facts = stored(facts_of(spark, sf), "facts")
+
     def judge(batch):
-        placed = nm.resolve_coordinates(batch)
-        # levels land apart from the scalars, so only coordinates are judged here
-        held = placed.select(*nm.PROFILE_KEYS, F.lit("PRESSURE").alias("std_name"),
-                             F.lit(1).cast("bigint").alias("n_trimmed"),
-                             F.lit(1).cast("bigint").alias("n_values"))
-        return nm.assemble_profiles(placed, held).withColumn("reject_reason",
-                                                             quality.reject_reason())
+        return nm.assemble_profiles(nm.resolve_coordinates(batch), facts).withColumn(
+            "reject_reason", quality.reject_reason())
 
     scalars = fx.scalar_rows(_stream(spark, sf, "orders"))
     accepted, rejected = streams.stream_ingest(scalars, work_dir(spark, "ingest"), judge)

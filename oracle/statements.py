@@ -588,8 +588,7 @@ S["seed_catalog"] = sql("""SELECT b.profile_id, NULL AS float_id, NULL AS lat, N
  FROM catalog WHERE profile_id NOT IN (SELECT profile_id FROM batches)""")
 
 # --- streams -----------------------------------------------------------------
-S["stream_ingest"] = sql("""SELECT profile_id, float_id, lat, lon, time_start,
- CASE WHEN reason = 'no_data' THEN 'accepted' ELSE reason END AS reason FROM judged""")
+S["stream_ingest"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, reason FROM judged""")
 S["stream_upsert"] = S["latest_per_profile"]
 _watermark = "(SELECT max(occurred_at) - INTERVAL 1 HOUR FROM errors)"
 S["stream_error_rates"] = sql(f"""SELECT * FROM (
