@@ -154,7 +154,7 @@ FILE_PATTERNS = {
 ERRORS_24H_WARN, ERRORS_24H_HIGH, ERRORS_PER_TYPE = 10, 50, 20
 ORPHAN_LIMIT, MISMATCH_LIMIT, LOW_QUALITY = 0.1, 0.1, 0.3
 
-# advice per issue type, and per count of severities
+# --- fixed values: advice per issue type, and per count of severities --------
 RECOMMENDATIONS = {
     "high_error_rate_24h": "High error rate detected - review recent NetCDF files for corruption",
     "corrupt_parquet_files": "Corrupt parquet files found - run cleanup and re-ingestion",
