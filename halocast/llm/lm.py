@@ -35,7 +35,7 @@ from halocast.llm import text as tx
 from halocast.session import stored
 
 BLOCK = 6 << 20  # bytes of text in a block; a longer document stands alone
-SHARD = 1_500_000  # tokens per shard
+SHARD = 2_000_000  # tokens per shard
 BACKOFF = 0.4
 END = np.uint64(0x5555AAAA5555AAAA)  # the hash that stands for the end of a text
 FLOOR, STEP = -24.0, 24.0 / 65535  # quantised log10 probabilities
@@ -183,10 +183,15 @@ class Trie:
 # --- Rows of arrays ---------------------------------------------------------------------
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on, which compresses better."""
+    return np.ascontiguousarray(np.frombuffer(a.tobytes(), np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one shape rule, compressed: type and length first, then the bytes."""
+    """Arrays compressed together: types and lengths first, then their bytes."""
     head = ";".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
-    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, arrays)))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
@@ -194,8 +199,10 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     body, out, at = zstandard.ZstdDecompressor().decompress(raw[4 + size:]), [], 0
     for part in raw[4: 4 + size].decode().split(";"):
         kind, n = part.rsplit(":", 1)
-        out.append(np.frombuffer(body, kind, int(n), at))
-        at += int(n) * np.dtype(kind).itemsize
+        wide, n = np.dtype(kind).itemsize, int(n)
+        planes = np.frombuffer(body, np.uint8, n * wide, at).reshape(wide, n)
+        out.append(np.frombuffer(np.ascontiguousarray(planes.T).tobytes(), kind))
+        at += n * wide
     return out
 
 
@@ -217,26 +224,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # an end after each document
             tokens = np.insert(hashes, bounds[1:], END)
             bounds = bounds + np.arange(len(bounds))
-            words, local = np.unique(tokens, return_inverse=True)
+            words, local, many = np.unique(tokens, return_inverse=True, return_counts=True)
             train = np.bincount(local, np.repeat(~held[lo:hi], np.diff(bounds)), len(words)).astype(np.uint32)
+            # texts hold word numbers by frequency, which are small; ``order`` leads back to the order of the hashes
+            order = np.argsort(-many, kind="stable")
+            by_frequency = np.empty(len(words), np.int64)
+            by_frequency[order] = np.arange(len(words))
             number += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([len(tokens)]), pa.array([int((~held[lo:hi]).sum())]),
                  pa.array([_pack(words, train)], pa.binary()),
-                 pa.array([_pack(named[lo:hi], known[lo:hi].astype(np.uint8), held[lo:hi].astype(np.uint8), bounds, local.astype(np.uint32))], pa.binary())],
+                 pa.array([_pack(named[lo:hi], known[lo:hi].astype(np.uint8), held[lo:hi].astype(np.uint8), bounds,
+                           by_frequency[local].astype(np.uint32), order.astype(np.uint32))], pa.binary())],
                 ["block", "tokens", "train_docs", "words", "texts"])
 
 
 def _word_requests(shards: int):
+    """Words and training counts by ranges of the hash, so that the answers follow the order of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, train = _unpack(raw)
-                shard = (tx.mix(words) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                shard = ((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(cuts))
-                blobs = [_pack(words[order[cuts[s]: cuts[s + 1]]], train[order[cuts[s]: cuts[s + 1]]]) for s in full]
+                blobs = [_pack(words[cuts[s]: cuts[s + 1]], train[cuts[s]: cuts[s + 1]]) for s in full]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), pa.array(blobs, pa.binary())],
                     ["shard", "block", "blob"])
@@ -250,12 +262,14 @@ def _word_shard(shards: int):
         blobs = [_unpack(raw) for raw in table.column("blob").to_pylist()]
         words, place = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
         total = np.bincount(place, np.concatenate([b[1] for b in blobs]), len(words)).astype(np.int64)
-        number = np.arange(len(words)) * shards + shard + 1  # 0 stands for the start of a text
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(words))
+        number = rank * shards + shard + 1  # small for frequent words; 0 stands for the start of a text
         ends = np.cumsum([0, *(len(b[0]) for b in blobs)])
-        answers = [_pack(b[0], _small(number[place[a:z]]), _small(total[place[a:z]]))
-                   for b, a, z in zip(blobs, ends[:-1], ends[1:], strict=True)]
+        answers = [_pack(_small(number[place[a:z]]), _small(total[place[a:z]])) for a, z in zip(ends[:-1], ends[1:], strict=True)]
         answers.append(_pack(np.array([total.sum(), np.count_nonzero(total)])))
-        return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()),
+        return pa.table({"shard": pa.array([shard] * len(answers), pa.int32()),
+                         "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()),
                          "blob": pa.array(answers, pa.binary())})
     return run
 
@@ -264,15 +278,11 @@ def _bigram_requests(shards: int, total: int, distinct: int, train_docs: int):
     """A block's bigrams for each shard, and what it knows of its documents for the first of them."""
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out_shard, out_blob = [], []
-        for raw, own in zip(blocks.column("texts").to_pylist(), blocks.column("words").to_pylist(), strict=True):
-            ids, known_id, held, bounds, local = _unpack(raw)
-            words, _ = _unpack(own)
-            number, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            for blob in answers.column("blob").to_pylist():
-                asked, numbers, counts = _unpack(blob)
-                at = np.searchsorted(words, asked)
-                number[at], count[at] = numbers, counts
-            n_docs = len(ids)
+        for raw in blocks.column("texts").to_pylist():
+            ids, known_id, held, bounds, local, order = _unpack(raw)
+            told = [_unpack(blob) for _, blob in sorted(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
+            number, count = (np.concatenate([t[k] for t in told]).astype(np.int64)[order] for k in (0, 1))
+            n_docs, size = len(ids), len(order) + 1
             doc = np.repeat(np.arange(n_docs), np.diff(bounds))
             base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
             stats = (ids, known_id, held, np.diff(bounds), np.bincount(doc, count[local] > 0, n_docs).astype(np.int64),
@@ -281,11 +291,11 @@ def _bigram_requests(shards: int, total: int, distinct: int, train_docs: int):
             now = local.astype(np.int64) + 1
             before = np.concatenate([[0], now[:-1]]) if len(now) else now
             before[bounds[:-1]] = 0
-            pair, many = _pairs(before * (len(words) + 1) + now, doc)
+            pair, many = _pairs(before * size + now, doc)
             gram = pair[0]
             first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
             docs = np.diff(np.append(first, len(gram)))
-            v, w = gram[first] // (len(words) + 1), gram[first] % (len(words) + 1) - 1
+            v, w = gram[first] // size, gram[first] % size - 1
             trained = np.add.reduceat(np.where(held[pair[1]] > 0, 0, many), first) if len(first) else np.zeros(0, np.int64)
             context = np.where(v > 0, number[np.maximum(v - 1, 0)], 0)
             of_context = np.where(v > 0, count[np.maximum(v - 1, 0)], train_docs)
@@ -298,7 +308,7 @@ def _bigram_requests(shards: int, total: int, distinct: int, train_docs: int):
                 sizes = docs[own]
                 rows = np.arange(sizes.sum()) + np.repeat(start[own] - np.cumsum(sizes) + sizes, sizes)
                 out_shard.append(s)
-                out_blob.append(_pack(*map(_small, (context[own], number[w[own]], trained[own], of_context[own], count[w[own]], sizes,
+                out_blob.append(_pack(*map(_small, (np.diff(context[own], prepend=0), number[w[own]], trained[own], of_context[own], count[w[own]], sizes,
                                                     pair[1][rows], many[rows])), *(stats if k == 0 else ())))
         block = blocks.column("block")[0].as_py() if len(blocks) else -1
         return pa.table({"shard": pa.array(out_shard, pa.int32()), "block": pa.array([block] * len(out_shard), pa.int64()),
@@ -320,7 +330,8 @@ def _bigram_shard(total: int, distinct: int, backoff: float):
     """Build the shard's trie, look all its bigrams up, and give each block its documents' sums."""
     def run(table: pa.Table) -> pa.Table:
         blobs = [_unpack(raw) for raw in table.column("blob").to_pylist()]
-        context, word, trained, of_context, of_word = (np.concatenate([b[k] for b in blobs]).astype(np.int64) for k in range(5))
+        context = np.concatenate([np.cumsum(b[0], dtype=np.int64) for b in blobs])  # sent as gaps
+        word, trained, of_context, of_word = (np.concatenate([b[k] for b in blobs]).astype(np.int64) for k in range(1, 5))
         order = np.lexsort((word, context))
         new = np.ones(len(order), bool)
         new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
@@ -342,7 +353,7 @@ def _bigram_shard(total: int, distinct: int, backoff: float):
             each = np.repeat(log10[place[a:z]], b[5].astype(np.int64)) * b[7]
             sums = np.bincount(b[6], each)
             at = np.flatnonzero(sums)
-            answers.append(_pack(_small(at), sums[at], *b[8:]))
+            answers.append(_pack(_small(at), sums[at].astype(np.float32), *b[8:]))
         return pa.table({"block": table.column("block"), "blob": pa.array(answers, pa.binary())})
     return run
 
@@ -352,7 +363,7 @@ def _documents(table: pa.Table) -> pa.Table:
     ids, known, held, tokens, seen, base = next(b[2:] for b in blobs if len(b) > 2)
     score = np.zeros(len(ids))
     for b in blobs:
-        score[b[0]] += b[1]
+        score[b[0]] += b[1].astype(float)
     return pa.table({"id": pa.array(ids, pa.int64(), mask=known == 0), "held_out": pa.array(held.astype(bool)),
                      "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()),
                      "base_score": pa.array(base), "score": pa.array(score)})
@@ -374,12 +385,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tokens, train_docs = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
     shards = max(1, -(-tokens // SHARD))
     answers = stored(blocks.select("block", "words").mapInArrow(_word_requests(shards), "shard int, block long, blob binary")
-                     .groupBy("shard").applyInArrow(_word_shard(shards), "block long, blob binary"), "words")
+                     .groupBy("shard").applyInArrow(_word_shard(shards), "shard int, block long, blob binary"), "words")
     total = distinct = 0
     for row in answers.where("block = -1").toLocalIterator():  # a row per shard
         here = _unpack(bytes(row.blob))[0]
         total, distinct = total + int(here[0]), distinct + int(here[1])
-    asked = blocks.select("block", "words", "texts").groupBy("block").cogroup(answers.where("block <> -1").groupBy("block")).applyInArrow(
+    asked = blocks.select("block", "texts").groupBy("block").cogroup(answers.where("block <> -1").groupBy("block")).applyInArrow(
         _bigram_requests(shards, total, distinct, train_docs), "shard int, block long, blob binary")
     sums = asked.groupBy("shard").applyInArrow(_bigram_shard(total, distinct, backoff), "block long, blob binary")
     out = sums.groupBy("block").applyInArrow(
