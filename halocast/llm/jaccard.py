@@ -18,9 +18,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
   in neighbouring bands; a document whose prefix reaches frequent shingles
   indexes its combinations for its own band and the next.
 
-Copies are nodes of one set digest. Inside a signature every node is first
-verified against the smallest one. Only nodes that this leaves in another
-component than most of the signature's nodes are compared further, and only with
+Copies are nodes of one set digest. Every node is first verified against one of the
+smallest nodes of its signatures, the one it shares most with. Only nodes that this leaves in another
+component than most of a signature's nodes are compared further, and only with
 nodes of other components whose sizes and parity bits leave a link possible. So a group of
 near copies costs a number of pairs in proportion to its size, and no link
 between different components is lost.
@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from halocast.llm import text as tx
 from halocast.llm.components import components
+from halocast.llm.sizes import sendable
 from halocast.session import stored
 
 BUCKETS = 1 << 16
 #: Expected members of a group, by class, and the smallest set that uses combinations.
 MEMBERS = {2: 4, 3: 6}
 LEAST_SET = 10
-MAPS = ("m0", "m1", "m2", "m3")
+MAPS = tuple(f"m{k}" for k in range(16))
 
 
 def _band_edges(num: int, den: int) -> np.ndarray:
@@ -75,43 +76,41 @@ def _digests(code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _parities(code: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """256 bits of each set, as four integers: whether a bit's shingles are odd in number.
+    """1024 bits of each set, as 16 integers: whether a bit's shingles are odd in number.
 
     Sets differ in at least as many shingles as their bits differ.
     """
-    full = np.append(bounds[1:] > bounds[:-1], False)
     out = []
     for word in range(len(MAPS)):
-        bits = np.where((code >> np.uint64(6)) & np.uint64(3) == word,
-                        np.uint64(1) << (code & np.uint64(63)), np.uint64(0))
-        whole = np.bitwise_xor.reduceat(np.append(bits, np.uint64(0)), bounds)
-        out.append(np.where(full, whole, np.uint64(0))[:-1].view(np.int64))
+        at = np.flatnonzero((code >> np.uint64(6)) & np.uint64(len(MAPS) - 1) == word)
+        bits = np.append(np.uint64(1) << (code[at] & np.uint64(63)), np.uint64(0))
+        first = np.searchsorted(at, bounds)
+        whole = np.bitwise_xor.reduceat(bits, first)[:-1]
+        out.append(np.where(first[1:] > first[:-1], whole, np.uint64(0)).view(np.int64))
     return out
 
 
-def _describe(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, code, bounds in _sets(batch, width):
-                d1, d2 = _digests(code, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *map(pa.array, (np.diff(bounds), d1, d2, *_parities(code, bounds)))],
-                    ["id", "n", "node", "check", *MAPS])
-    return run
-
-
 def _bucket(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(48)).astype(np.int64)
 
 
-def _bucket_counts(width: int):
+def _describe(width: int):
+    """A row per document, and after them a row per bucket with the task's count in it."""
+    names = ["id", "n", "node", "check", *MAPS, "bucket"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, code, _ in _sets(batch, width):
+            for ids, code, bounds in _sets(batch, width):
+                d1, d2 = _digests(code, bounds)
                 counts += np.bincount(_bucket(code), minlength=BUCKETS)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *map(pa.array, (np.diff(bounds), d1, d2, *_parities(code, bounds))), pa.nulls(len(ids), pa.int32())],
+                    names)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [none, pa.array(counts[at]), *[none] * (2 + len(MAPS)), pa.array(at.astype(np.int32))], names)
     return run
 
 
@@ -187,40 +186,47 @@ def _index(width: int, num: int, den: int, shared):
                     sig.append(found)
                     owner.append(np.full(len(found), d))
                 sig, owner = np.concatenate(sig), np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(node[owner]), pa.array(size[owner].astype(np.int32))],
-                    ["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[owner])], ["sig", "node"])
     return run
 
 
 def _shingle_lists(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, code, bounds in _sets(batch, width):
+            for _, code, bounds in _sets(batch, width):
                 yield pa.RecordBatch.from_arrays(
-                    [ids, tx.list_column(code.view(np.int64), bounds, pa.int64())], ["id", "shingles"])
+                    [pa.array(_digests(code, bounds)[0]), tx.list_column(code.view(np.int64), bounds, pa.int64())],
+                    ["node", "shingles"])
     return run
 
 
-def _alike(num: int, den: int):
-    """Sizes that can link."""
-    return F.expr(f"{den}L * least(n, other_n) >= {num}L * greatest(n, other_n)")
+def _possible(num: int, den: int):
+    """Sizes and parity bits that leave a link possible."""
+    differ = " + ".join(f"bit_count({m} ^ other_{m})" for m in MAPS)
+    return F.expr(f"{den}L * least(n, other_n) >= {num}L * greatest(n, other_n) AND "
+                  f"{den + num}L * ({differ}) <= {den - num}L * (n + other_n)")
 
 
-def _near(num: int, den: int):
-    """Parity bits that leave a link possible."""
-    differ = " + ".join(f"bit_count({m} ^ other_{m})" for m in MAPS)
-    return F.expr(f"{den + num}L * ({differ}) <= {den - num}L * (n + other_n)")
+def _other(nodes: DataFrame) -> list:
+    return [F.col(c).alias(f"other_{c}") for c in ("n", *MAPS)]
 
 
-def _verified(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, with the size of what they share."""
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    Only the texts of nodes in a pair become lists of shingles; their ids are sent to the texts
+    while they are few, else a shuffle brings them together.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = stored(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("id")), "wanted")
+    lists = stored(texts.join(sendable(ids), "id", "left_semi").mapInArrow(
+        _shingle_lists(width), "node long, shingles array<long>"), "shingles")
     left = lists.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = lists.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"),
-                       (F.size("x") + F.size("y")).cast("long").alias("total")).where(
-        f"{den}L * shared >= {num}L * (total - shared)")
+    return stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"),
+                              (F.size("x") + F.size("y")).cast("long").alias("total")).where(
+        f"{den}L * shared >= {num}L * (total - shared)").select("a", "b").distinct(), "verified")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -231,66 +237,61 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and the smallest id that links reach, itself included. Links: (a, b), between
     class representatives (the smallest ids of equal sets).
 
-    Null or wordless texts have no shingles and link with nothing; a text shorter
-    than ``width`` words is one shingle. Equal texts are one class. Rows with a
-    null id stay, and only join components through other rows. Repeated ids are
-    treated as rows of their own. An empty table gives empty results. Columns other than
+    Null or wordless texts have no shingles and link with nothing; a text shorter than
+    ``width`` words is one shingle. Equal texts are one class. Rows with a null id
+    can't be named in a link: they stay, with null results. Repeated ids are
+    rows of their own. An empty table gives empty results. Columns other than
     the two named ones are not read, whatever their names.
     """
     spark = docs.sparkSession
     tx.bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = stored(texts.mapInArrow(_describe(width), "id long, n long, node long, check long, m0 long, m1 long, m2 long, m3 long"), "sets")
-    counted = texts.mapInArrow(_bucket_counts(width), "bucket long, n long").groupBy("bucket").agg(
-        F.sum("n").alias("n"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = every.where("id IS NOT NULL")
+    passed = stored(texts.mapInArrow(_describe(width), "id long, n long, node long, check long, "
+                                     + ", ".join(f"{m} long" for m in MAPS) + ", bucket int"), "sets")
+    described = passed.where("bucket IS NULL").drop("bucket")
     counts = np.zeros(BUCKETS, np.int64)
-    for row in counted.toLocalIterator():  # at most BUCKETS rows
-        counts[row.bucket] = row.n
+    for row in passed.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row.bucket] = row.n  # at most BUCKETS rows
     shared = spark.sparkContext.broadcast(counts)
 
-    index = texts.mapInArrow(_index(width, num, den, shared), "sig long, node long, n int")
-    ends = index.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last"),
-                                    F.min_by("n", "node").alias("other_n")).where("center <> last").drop("last")
-    live = stored(index.join(ends, "sig"), "signatures").distinct()
-
-    nodes = described.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("id").alias("least"), *(F.min(m).alias(m) for m in MAPS))
-    wanted = live.select("node").distinct()
-    first = nodes.where("least IS NOT NULL").join(wanted, "node", "left_semi").select(
-        F.col("least").alias("id"), "node")
-    lists = stored(texts.join(first.select("id"), "id", "left_semi").mapInArrow(
-        _shingle_lists(width), "id long, shingles array<long>").join(first, "id").select("node", "shingles")
-        .dropDuplicates(["node"]), "shingles")
-
-    stars = stored(live.where("node <> center").where(_alike(num, den)).select(
-        F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    linked = stored(_verified(stars, lists, num, den).select("a", "b"), "star_links")
-    label = components(linked)
-    labelled = live.select("sig", "node", "n").join(label, "node", "left").withColumn(
-        "label", F.coalesce("label", "node"))
-    labelled = stored(labelled, "labelled")
+    index = texts.mapInArrow(_index(width, num, den, shared), "sig long, node long")
+    ends = index.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(
+        "center <> last").drop("last")
+    live = stored(stored(index.join(ends, "sig"), "signatures").distinct(), "live")
+
+    nodes = stored(described.where("n > 0").groupBy("node", "check", "n").agg(
+        F.min("id").alias("least"), *(F.min(m).alias(m) for m in MAPS)), "nodes")
+    facts = nodes.select("node", "n", *MAPS)
+    # of the smallest nodes met in its signatures, a node is first compared with the one it shares most with
+    stars = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(facts, "node").join(
+        nodes.select(F.col("node").alias("center"), *_other(nodes)), "center").where(_possible(num, den))
+    stars = stored(stars.groupBy("node").agg(F.max_by("center", F.struct("common", "center")).alias("a")).select(
+        "a", F.col("node").alias("b")), "stars")
+    linked = _verified(stars, texts, nodes, width, num, den)
+
+    labelled = stored(live.select("sig", "node").join(components(linked), "node", "left").withColumn(
+        "label", F.coalesce("label", "node")), "labelled")
     parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
     main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
                                     F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = stored(labelled.join(main, "sig").join(nodes.select("node", *MAPS), "node"), "mixed")
+    mixed = stored(labelled.join(main, "sig").join(facts, "node"), "mixed")
     odd = mixed.where("label <> main").select("sig", "node", "n", "label", *MAPS)
-    rest = mixed.select("sig", F.col("node").alias("other"), F.col("n").alias("other_n"),
-                        F.col("label").alias("other_label"), (F.col("label") == F.col("main")).alias("other_main"),
-                        *(F.col(m).alias(f"other_{m}") for m in MAPS))
+    rest = mixed.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"),
+                        (F.col("label") == F.col("main")).alias("other_main"), *_other(nodes))
     crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
-        _alike(num, den)).where(_near(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    crossing = crossing.distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                                        ["a", "b"], "left_anti")
-    more = stored(_verified(crossing, lists, num, den).select("a", "b"), "more_links")
-    links = linked.unionByName(more)
+        _possible(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    crossing = stored(crossing.distinct().join(stars, ["a", "b"], "left_anti"), "crossing")
+    links = linked.unionByName(_verified(crossing, texts, nodes, width, num, den))
     final = components(links)
 
     known = nodes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("least").alias("component"))
     classes_ = known.join(least, "label").select("node", "check", "n", "component")
-    members = described.where("n > 0").join(classes_, ["node", "check", "n"]).select("id", "n", "component")
+    members = described.join(classes_, ["node", "check", "n"]).select("id", "n", "component")
     alone = described.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    unnamed = every.where("id IS NULL").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))
     names = nodes.select("node", "least")
-    return members.unionByName(alone), links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(
+    return members.unionByName(alone).unionByName(unnamed), links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(
         names.select(F.col("node").alias("b"), F.col("least").alias("y")), "b").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
