@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halocast.llm import bpe, jaccard, mixing, pii, quality
+from halocast.llm.sizes import sendable
 from halocast.session import stored
 from halocast.sources.tables import read_table
 
@@ -31,7 +32,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies, keep the document with the smallest id. Rows without an id stay."""
     members, _ = jaccard.jaccard_join(docs)
     extra = members.where("component < id").select(F.col("id").alias("__id")).distinct()
-    gone = stored(extra, "extra")  # stored first: Spark sends it out while it is small and joins it otherwise
+    gone = sendable(stored(extra, "extra"))
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 

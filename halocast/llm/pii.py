@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halocast.llm import text as tx
+from halocast.llm.sizes import sendable
 from halocast.session import stored
 
 # Titles by gender.
@@ -286,10 +287,11 @@ def replace(docs: DataFrame, key: bytes = b"halocast", id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     entities = stored(texts.mapInArrow(_entities, "id long, kind string, value string"), "entities")
     again = attempts(entities, key).where("attempt > 0").select("kind", "value", "attempt")
-    # by document, and stored first: Spark sends it out while it is small and joins it otherwise
+    # by document; sent out while it is small, else joined by a shuffle
     told = stored(entities.join(again, ["kind", "value"]).distinct().groupBy("id").agg(
         F.collect_list(F.struct("kind", "value", "attempt")).alias("__told")).withColumnRenamed("id", "__id"), "told")
     both = docs.withColumn("__text", F.col(text_col).cast("string"))
+    told = sendable(told, 10_000)
     both = both.join(told, both[id_col].cast("long").eqNullSafe(told["__id"]), "left").drop("__id")
     rest = [c for c in docs.columns if c != text_col]
 
