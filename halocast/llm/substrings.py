@@ -1,13 +1,13 @@
-"""Substring de-duplication by content-defined chunks.
+"""Substring de-duplication by content-defined seeds.
 
 A gear hash rolls over the bytes (each step shifts left by one bit and adds the byte's random
-value, so it depends on the last 32 bytes). A chunk ends after a white-space byte at which the
-hash has ``2**-BITS`` luck, so cuts follow the content and fall back into step after an
-insertion. Chunks are named by a 128-bit digest; a chunk is repeated if another document has it too.
+value, so it depends on the last 32 bytes). The seed of a run of ``least`` words is the word end with the smallest
+hash inside the run, so seeds follow the content alone: two documents that share a run of
+that many words share its seed, and neighbouring runs mostly have the same one.
 
-Short chunks repeat by chance, passages don't: a run of neighbouring repeated chunks counts from
-``least`` words on. The document with the smallest id keeps a repeated chunk; in the others, runs
-are removed.
+A first pass finds the seeds that different documents have; a second one names all runs of those seeds by 128 bits and
+keeps the ones that different documents have. Neighbouring and overlapping runs together are the common
+passages, word by word. The document with the smallest id keeps a run; the others' are removed.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halocast.llm import text as tx
 from halocast.session import stored
 
-BITS = 3  # one in 8 white-space bytes ends a chunk: about 8 words
+BITS = 3  # one in 8 white-space bytes is a cut
 GEAR = tx.mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
+BYTES = tx.mix(np.arange(2001, 2257, dtype=np.uint64) * np.uint64(tx._BASE))  # upper and lower case differ
 REACH = 32  # bytes that the rolling hash depends on
 LEAST_WORDS = 25
 
@@ -50,70 +50,145 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all chunks followed by the end, and the n + 1 chunk offsets of the documents.
+def _sums(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The running sum of the bytes before each of the ascending places, and the factor that makes runs from there comparable."""
+    total, factor = np.zeros(len(places), np.uint64), np.ones(len(places), np.uint64)
+    carry, mask = 0, (1 << 64) - 1
+    for lo in range(0, len(data), tx.WINDOW):
+        part = data[lo: lo + tx.WINDOW]
+        scale = np.uint64(pow(tx._BASE, lo, 1 << 64))
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * tx._power(tx._BASE, len(part)), out=run[1:], dtype=np.uint64)
+        a, b = np.searchsorted(places, [lo, lo + len(part)]).tolist()
+        b = len(places) if lo + len(part) == len(data) else b
+        at = places[a:b] - lo
+        total[a:b] = run[at] * scale + np.uint64(carry)
+        factor[a:b] = tx._power(tx._INVERSE, len(part) + 1)[at] * np.uint64(pow(tx._INVERSE, lo, 1 << 64))
+        carry = (carry + int(run[-1]) * int(scale)) & mask
+    return total, factor
+
+
+def _gear_before(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The rolling hash after the byte before each of the ascending places."""
+    out = np.zeros(len(places), np.uint32)
+    for lo in range(0, len(data), tx.WINDOW):
+        start = max(0, lo - REACH + 1)
+        a, b = np.searchsorted(places, [lo + 1, lo + 1 + tx.WINDOW]).tolist()
+        out[a:b] = gear(data[start: lo + tx.WINDOW])[places[a:b] - 1 - start]
+    return out
 
-    Every document is hashed from its own start, so equal documents have equal chunks.
+
+class _Windows:
+    """All runs of ``least`` words inside a document, and the seed of each.
+
+    A seed is the place with the smallest rolling hash among the ends of the run's words whose hash lies inside the run,
+    named by that hash and 32 bits more of the same bytes: it follows from the run's own bytes.
     """
-    starts, counts = [], []
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        inner = cuts(data[lo:hi]) + lo
-        inner = inner[inner < hi]
-        own = np.concatenate([[lo], inner]) if hi > lo else np.zeros(0, np.int64)
-        starts.append(own)
-        counts.append(len(own))
-    return np.concatenate([*starts, offsets[-1:]]).astype(np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = tx.utf8(batch.column(1))
-        for lo, hi in tx.slices(offsets):
-            part, own = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
-            starts, bounds = chunk_bounds(part, own)
-            raw = part.tobytes()
-            digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
-            first, _ = tx.word_spans(part, own)
-            word = np.searchsorted(first, starts)
-            char = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[starts]
-            base = char[np.minimum(bounds[:-1], len(char) - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array((np.arange(len(doc)) - bounds[:-1][doc]).astype(np.int32)),
-                 pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array((char[:-1] - base[doc]).astype(np.int32)),
-                 pa.array(np.diff(char).astype(np.int32)), pa.array(np.diff(word).astype(np.int32))],
-                ["id", "at", "d1", "d2", "char", "chars", "words"])
-
-
-def _runs(marks: DataFrame, least: int, name: str) -> DataFrame:
-    """Runs of neighbouring chunks of a document, as a list of character spans in order."""
-    place = F.row_number().over(Window.partitionBy("id").orderBy("at"))
-    runs = marks.withColumn("run", F.col("at") - place).groupBy("id", "run").agg(
-        F.sum("words").alias("words"), F.min("char").alias("first"), F.max(F.col("char") + F.col("chars")).alias("last"))
-    return runs.where(F.col("words") >= least).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("first", "last"))).alias(name))
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
+        reach = min(REACH, 2 * least - 1)  # any run has that many bytes
+        s, e = tx.word_spans(data, offsets)
+        doc = np.searchsorted(offsets, s, "right") - 1
+        at = np.flatnonzero(doc[: max(0, len(s) - least + 1)] == doc[least - 1:]) if len(s) >= least else np.zeros(0, np.int64)
+        self.doc, self.first, self.last = doc[at], s[at], e[at + least - 1]
+        if not len(at):
+            self.seed = np.zeros(0, np.uint64)
+            return
+        back = np.maximum(e - reach, 0)
+        (high, _), (low, factor) = _sums(data, e), _sums(data, back)
+        key = tx.mix((high - low) * factor) & np.uint64(0xFFFFFFFF)
+        key |= (_gear_before(data, e) << np.uint32(32 - reach)).astype(np.uint64) << np.uint64(32)
+        lo, hi = np.searchsorted(e, self.first + reach), at + least
+        # the smallest of each range, from those of 1, 2, 4 ... neighbours
+        self.seed, width = np.zeros(len(at), np.uint64), hi - lo
+        step = 1
+        while True:
+            fits = np.flatnonzero((width >= step) & (width < 2 * step))
+            self.seed[fits] = np.minimum(key[lo[fits]], key[hi[fits] - step])
+            if 2 * step > least:
+                break
+            key = np.concatenate([np.minimum(key[:-step], key[step:]), key[-step:]])
+            step *= 2
+
+    def names(self, data: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """64-bit names of the chosen runs' bytes."""
+        first, last = self.first[chosen], self.last[chosen]
+        (low, factor), (high, _) = _sums(data, first), _sums(data, last)
+        return tx.mix((high - low) * factor ^ (last - first).astype(np.uint64) * np.uint64(tx._BASE))
+
+
+def _slices(column: pa.Array, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, _Windows]]:
+    data, offsets = tx.utf8(column)
+    for lo, hi in tx.slices(offsets):
+        part, own = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
+        yield lo, hi, part, own, _Windows(part, own, least)
+
+
+def _seeds(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, _, _, runs in _slices(batch.column(1), least):
+                fresh = np.ones(len(runs.seed), bool)
+                fresh[1:] = (runs.seed[1:] != runs.seed[:-1]) | (runs.doc[1:] != runs.doc[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(runs.doc[fresh])), pa.array(runs.seed[fresh].view(np.int64))],
+                    ["id", "seed"])
+
+    return run
+
+
+def _candidates(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, ends = np.asarray(batch.column(2).values).view(np.uint64), np.asarray(batch.column(2).offsets)
+            for lo, hi, part, own, runs in _slices(batch.column(1), least):
+                bounds = np.searchsorted(runs.doc, np.arange(hi - lo + 1))
+                chosen = np.concatenate([a + np.flatnonzero(np.isin(runs.seed[a:b], told[ends[lo + k]: ends[lo + k + 1]]))
+                                         for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))])
+                doc = runs.doc[chosen]
+                char = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int32)])
+                base = char[own[doc]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(runs.seed[chosen].view(np.int64)),
+                     pa.array(runs.names(part, chosen).view(np.int64)), pa.array((char[runs.first[chosen]] - base).astype(np.int32)),
+                     pa.array((char[runs.last[chosen]] - base).astype(np.int32))], ["id", "seed", "name", "first", "last"])
+
+    return run
+
+
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest id of every key that two documents have."""
+    return rows.groupBy(*keys).agg(F.min("id").alias("keeper"), F.max("id").alias("other")).where("keeper <> other").drop("other")
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, repeated, removed): two lists of character spans for every document, empty if there are none.
 
-    ``repeated`` spans are runs of at least ``least`` words whose chunks also occur in other documents;
-    ``removed`` spans are the runs, again of at least ``least`` words, that documents of smaller
-    id have. Spans are structs of the first character and one past the last. Null,
-    empty and blank texts have none. Rows that share an id are taken for one document, whose
-    rows' chunks at the same place stand for each other; rows with a null id are left out. Only the two named columns are read.
+    ``repeated`` spans cover all runs of ``least`` words, white space between them included, whose bytes another document
+    has too: a common passage of at least ``least`` words is always found, from its first whole word to its last.
+    ``removed`` spans cover the runs that a document of smaller id has. Spans are structs of the first
+    character and one past the last; overlapping runs make one span. Null, empty and blank texts have none. Rows
+    that share an id are taken for one document, whose rows' spans are joined; rows with a null
+    id are left out. Only the two named columns are read.
     """
+    if least < 1:
+        raise ValueError("least must be at least 1")
     tx.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    chunks = texts.mapInArrow(_chunks, "id long, at int, d1 long, d2 long, char int, chars int, words int")
-    first = chunks.select("d1", "d2", "id").groupBy("d1", "d2").agg(
-        F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    again = stored(chunks.join(first, ["d1", "d2"]).select(
-        "id", "at", "char", "chars", "words", (F.col("first") == F.col("id")).alias("keeper")), "chunks").dropDuplicates(["id", "at"])
+    seeds = stored(texts.mapInArrow(_seeds(least), "id long, seed long"), "seeds")
+    told = seeds.join(_shared(seeds, ["seed"]).select("seed"), "seed").groupBy("id").agg(F.collect_set("seed").alias("told"))
+    runs = stored(texts.join(told, "id").select("id", "text", "told").mapInArrow(
+        _candidates(least), "id long, seed long, name long, first int, last int"), "runs")
+    kinds = F.when(F.col("keeper") < F.col("id"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    marks = runs.join(_shared(runs, ["seed", "name"]), ["seed", "name"]).select("id", "first", "last", F.explode(kinds).alias("cut"))
+    order = Window.partitionBy("id", "cut").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = marks.withColumn("opens", (F.col("first") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn(
+        "span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "cut", "span").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"))
+    listed = lambda cut, name: F.array_sort(F.collect_list(F.when(F.col("cut") == cut, F.struct("first", "last")))).alias(name)
     none = F.array().cast("array<struct<first:int,last:int>>")
-    return texts.select("id").distinct().join(_runs(again, least, "repeated"), "id", "left").join(
-        _runs(again.where("NOT keeper"), least, "removed"), "id", "left").select(
+    return texts.select("id").distinct().join(spans.groupBy("id").agg(listed(False, "repeated"), listed(True, "removed")), "id", "left").select(
         "id", F.coalesce("repeated", none).alias("repeated"), F.coalesce("removed", none).alias("removed"))
 
 

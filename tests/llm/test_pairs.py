@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -212,6 +213,79 @@ def test_substrings(spark):
     assert {r.id for r in substrings.repeated_spans(documents(spark)).collect()} == set(range(15))
 
 
+def common_words(texts, least):
+    """By brute force over all documents: the characters covered by runs of words that another, or a smaller, id has."""
+    spans = {i: [m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", t or "")] for i, t in texts.items()}
+    runs = {i: [(texts[i][s[k][0]: s[k + least - 1][1]], s[k][0], s[k + least - 1][1]) for k in range(len(s) - least + 1)] for i, s in spans.items()}
+    held = collections.defaultdict(set)
+    for i, own in runs.items():
+        for run, _, _ in own:
+            held[run].add(i)
+    out = {}
+    for i, own in runs.items():
+        both = []
+        for chosen in ([r for r in own if len(held[r[0]]) > 1], [r for r in own if min(held[r[0]]) < i]):
+            merged = []
+            for _, a, b in sorted(chosen, key=lambda r: r[1:]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                else:
+                    merged.append((a, b))
+            both.append(merged)
+        out[i] = tuple(both)
+    return out
+
+
+def spans_of(rows):
+    return {r.id: ([tuple(s) for s in r.repeated], [tuple(s) for s in r.removed]) for r in rows}
+
+
+def test_shared_passages_of_every_length(spark):
+    """40 passages of each length from 25 to 70 words, each between other words in two documents, found whole."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"{rng.choice('bcdfgéß')}{rng.randrange(10**rng.randint(1, 6))}" for _ in range(n))
+    texts, places = {}, {}
+    for length in range(24, 71):
+        for k in range(40):
+            passage = say(length)
+            for half in (0, 1):
+                i = (length * 40 + k) * 2 + half
+                before = f"{half}a{i} " + say(rng.randint(0, 12)) + f" {half}b{i} "
+                texts[i] = before + passage + f" {half}c{i} " + say(rng.randint(0, 40))
+                places[i] = (len(before), len(before) + len(passage))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = spans_of(substrings.repeated_spans(df).collect())
+    for i, place in places.items():
+        want = [place] if i >= 25 * 80 else []
+        assert got[i] == (want, want if i % 2 else []), (i // 80, got[i], place)
+
+
+@pytest.mark.parametrize("least", [1, 3, 25])
+def test_spans_are_the_common_runs(spark, least):
+    """Small vocabularies, repeats inside documents, several kinds of white space."""
+    rng = random.Random(least)
+    stock = [[rng.choice(["a", "b", "cc", "Ab", "é", "漢字"]) for _ in range(rng.randint(10, 60))] for _ in range(12)]
+    texts = {}
+    for i in range(60):
+        words_ = [w for _ in range(rng.randint(0, 6)) for w in rng.choice([rng.choice(stock), [f"n{rng.randrange(300)}"] * rng.randint(1, 30)])]
+        texts[i] = "".join(w + rng.choice([" "] * 60 + ["\n", "  ", "\t"]) for w in words_)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = substrings.repeated_spans(df, least)
+    assert spans_of(got.collect()) == common_words(texts, least)
+
+
+def test_seeds_and_names_follow_the_content(monkeypatch):
+    text = " ".join(f"w{random.Random(3).randrange(50) + i % 37}" for i in range(900)).encode()
+    data = np.frombuffer(text + b" before " + text, np.uint8)
+    offsets = np.array([0, len(text), len(data)])
+    runs = substrings._Windows(data, offsets, 25)
+    names = runs.names(data, np.arange(len(runs.seed)))
+    assert len(names) == 876 + 877 and names[:876].tolist() == names[-876:].tolist() and runs.seed[:876].tolist() == runs.seed[-876:].tolist()
+    monkeypatch.setattr(substrings.tx, "WINDOW", 100)
+    small = substrings._Windows(data, offsets, 25)
+    assert small.seed.tolist() == runs.seed.tolist() and small.names(data, np.arange(len(names))).tolist() == names.tolist()
+
+
 def test_cuts_follow_the_content():
     data = np.frombuffer((PROSE * 50).encode(), np.uint8)
     moved = np.concatenate([np.frombuffer(b"some words before ", np.uint8), data])
