@@ -89,6 +89,8 @@ def find(text: str) -> list[Entity]:
             kinds = ["surname"] if len(words) == 1 else [f"given_{gender}", "surname"]
             out += [(first + w.start(), first + w.end(), k, w[0].lower()) for w, k in zip(words, kinds, strict=True)]
             continue
+        if kind == "secret" and not any(c.isdigit() or c.isalpha() for c in value):
+            continue  # masked, or an operator of code: nothing to hide and nothing to draw
         if kind == "email":
             value = value.lower()
         elif kind == "phone":
@@ -157,9 +159,27 @@ def _name(word: str, female: bool, draw: _Draw) -> str:
     return made[:-1] + vowels[0] if female else made + consonants[draw(len(consonants))]
 
 
+#: Attempts after which a surrogate grows with each further one: at once for forms of few characters, else if ever spent.
+SPENT, NEVER_SPENT = 4, 20
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
-    """The canonical surrogate of a canonical value."""
+    """The canonical surrogate of a canonical value; it grows with the attempts once its form's space is spent."""
     draw = _Draw(key, kind, value, attempt)
+    made = _formed(kind, value, attempt, key, draw)
+    if kind == "email":
+        return made
+    more = max(0, attempt - (SPENT if kind in ("secret", "phone", "surname", "given_m", "given_f") else NEVER_SPENT))
+    if kind == "ip":
+        return made + "".join(f".{draw(256)}" for _ in range(more))
+    if kind in ("surname", "given_m", "given_f"):
+        vowels = _letters(value[0])[1]
+        return made + "".join(vowels[draw(len(vowels))] if vowels else _same_class(value[0], draw) for _ in range(more))
+    return made + "".join(str(draw(10)) for _ in range(more))
+
+
+def _formed(kind: str, value: str, attempt: int, key: bytes, draw: _Draw) -> str:
+    """A surrogate in the form of the value."""
     if kind == "email":
         local, domain = value.split("@")
         own = _Draw(key, "domain", domain, 0)
@@ -168,7 +188,9 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         made = "".join(_same_class(c, draw) for c in local) + (str(draw(10 ** attempt)) if attempt > 4 else "")
         return f"{made}@{host}.{labels[-1]}"
     if kind == "ip":
-        private = value.startswith(("10.", "192.168.", "127."))
+        private = value.startswith(("10.", "192.168.", "127.")) and attempt <= 2 * SPENT
+        if private and attempt > SPENT:
+            value = "10."  # the largest private network
         first = value.split(".")[0] if private else str((*range(1, 10), *range(11, 127), *range(128, 172), *range(173, 192), *range(193, 224))[draw(212)])
         second = "168" if value.startswith("192.168.") else str(draw(256))
         return f"{first}.{second}.{draw(256)}.{1 + draw(254)}"
@@ -185,8 +207,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if kind == "key":
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw(32)] for _ in value[4:])
     if kind in ("surname", "given_m", "given_f"):
-        made = _name(value, kind == "given_f" or kind == "surname" and value[-1] in "ая", draw)
-        return made + (_letters(value[0])[1][draw(len(_letters(value[0])[1]))] if attempt > 4 and _letters(value[0])[1] else "")
+        return _name(value, kind == "given_f" or kind == "surname" and value[-1] in "ая", draw)
     if _HEX.fullmatch(value):
         return "".join("0123456789abcdef"[draw(16)] if c.isdigit() or c.islower() else "0123456789ABCDEF"[draw(16)] if c.isalpha() else c for c in value)
     return "".join(_same_class(c, draw) for c in value)
@@ -203,10 +224,10 @@ def fitted(made: str, kind: str, original: str) -> str:
                 out.append(c if keep >= 0 else next(source))
             else:
                 out.append(c)
-        return "".join(out)
+        return "".join([*out, *source])
     if kind == "iban":
         source = iter(made)
-        return "".join(c if c == " " else next(source) for c in original)
+        return "".join([*(c if c == " " else next(source) for c in original), *source])
     if kind == "email":
         return made.upper() if original.isupper() else made
     if kind in ("surname", "given_m", "given_f"):

@@ -271,6 +271,22 @@ def test_clashes_draw_again(spark):
     assert any(r.attempt > 0 for r in got)
 
 
+def test_spent_forms_settle(spark):
+    """Masked values are no entities; one-character and all-taken values end with distinct longer surrogates."""
+    for masked in ("password: *****", "if token == x", "secret = ...!", "pwd: ½"):
+        assert pii.find(masked) == [] and pii.replaced(masked, b"k", {}) == (masked, 0)
+    digits = [("secret", str(i)) for i in range(10)] + [("secret", "x"), ("secret", "字"), ("secret", "ー"), ("surname", "李"), ("phone", "12345")]
+    values = digits + [("ip", f"192.168.{a}.{b}") for a in range(160) for b in range(256)]
+    got = pii.attempts(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    made = {(r.kind, r.made) for r in got}
+    assert len(got) == len(made) == len(values) and not made & set(values)
+    assert pii.fitted("123456", "phone", "+12 34-5") == "+12 34-56" and pii.fitted("DE001", "iban", "DE 00") == "DE 001"
+    docs = spark.createDataFrame([(i, f"token = {i}") for i in range(10)] + [(10, "password: *****"), (11, "token == x")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.replace(docs).collect()}
+    assert len(set(texts.values())) == 12 and texts[10] == "password: *****" and texts[11] == "token == x"
+    assert not {texts[i] for i in range(10)} & {f"token = {i}" for i in range(10)}
+
+
 def test_pii_rows(spark):
     many = [(100 + i, f"Mr Name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i % 6]} wrote") for i in range(60)]
     docs = spark.createDataFrame(many + [(1, PERSONAL), (1, PERSONAL), (2, None), (3, ""), (None, "a@b.org"), (4, PROSE)], "doc_id long, text string")
