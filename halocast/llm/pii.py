@@ -15,6 +15,7 @@ documents that hold such a value need to be told its attempt.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import count
@@ -29,11 +30,15 @@ from halocast.llm import text as tx
 from halocast.llm.sizes import sendable
 from halocast.session import stored
 
-# Titles by gender.
+# Titles by gender, and those of any.
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа")
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Rev", "Доктор", "Профессор")
+# Words of small letters inside a name.
+PARTICLES = ("de", "del", "della", "der", "den", "da", "di", "do", "dos", "du", "la", "le", "van", "von", "zu", "bin", "ibn", "al", "el", "y")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_ALL_TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _ENTITY = re.compile("|".join((
     r"(?P<email>[^\W_][\w.%+\-]{0,63}@(?:[^\W_](?:[\w\-]{0,62})\.)+[^\W\d_]{2,24})",
     r"(?P<key>\bAKIA[0-9A-Z]{16}\b)",
@@ -44,10 +49,13 @@ _ENTITY = re.compile("|".join((
     r"|(?<!\w)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\w))",
     r"(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))",
     r"(?P<card>(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?!\w))",
-    rf"\b(?:(?P<male>{'|'.join(MALE)})|(?P<female>{'|'.join(FEMALE)}))\b\.?[ \t]+(?P<name>[^\W\d_][\w'\-]*(?:[ \t]+[^\W\d_][\w'\-]*)?)",
+    rf"\b(?P<name>(?:(?:{_ALL_TITLES})\b\.?[ \t]+)+)(?=[^\W\d_])",
 )))
 _HEX = re.compile(r"\W*(?:[0-9a-f]{8,}|[0-9A-F]{8,})\W*")
-_TITLE = re.compile(rf"\b(?:{'|'.join(MALE + FEMALE)})\b")
+_TITLE = re.compile(rf"\b(?:{_ALL_TITLES})\b")
+_GENDERS = tuple((g, re.compile(rf"\b(?:{'|'.join(titles)})\b")) for g, titles in (("m", MALE), ("f", FEMALE)))
+_NEXT = re.compile(r"[ \t]*([^\W\d_](?=\.)|[^\W\d_][\w'’\-]*)")  # an initial before its dot, or a word
+NAMES = ("surname", "given_m", "given_f", "given", "initial")
 
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[ord("@"), ord("="), ord(":"), *range(ord("0"), ord("9") + 1)]] = True
@@ -76,18 +84,19 @@ def _iban_check(country: str, rest: str) -> str:
 def find(text: str) -> list[Entity]:
     """The entities of a text, in order, without overlap."""
     out: list[Entity] = []
-    for m in _ENTITY.finditer(text):
-        kind = m.lastgroup
+    known: dict[str, str] = {}
+    at = 0
+    while m := _ENTITY.search(text, at):
+        at, kind = m.end(), m.lastgroup
         first, last = m.span(kind)
         value = m[kind]
         if kind == "name":
-            words = [w for w in re.finditer(r"[\w'\-]+", value) if w[0][0].isupper()]
-            if not words or words[0].start():
-                continue
-            words = words[:2] if len(words) > 1 else words
-            gender = "m" if m["male"] else "f"
-            kinds = ["surname"] if len(words) == 1 else [f"given_{gender}", "surname"]
-            out += [(first + w.start(), first + w.end(), k, w[0].lower()) for w, k in zip(words, kinds, strict=True)]
+            own = _names(text, last, value)
+            out += own
+            at = own[-1][1] if own else at
+            for _, _, k, word in own:
+                if k != "initial":
+                    known.setdefault(word, k)
             continue
         if kind == "secret" and not any(c.isdigit() or c.isalpha() for c in value):
             continue  # masked, or an operator of code: nothing to hide and nothing to draw
@@ -100,6 +109,40 @@ def find(text: str) -> list[Entity]:
         elif kind == "iban":
             value = value.replace(" ", "")
         out.append((first, last, kind, value))
+    return sorted(out + _mentions(text, known, out)) if known else out
+
+
+def _names(text: str, at: int, titles: str) -> list[Entity]:
+    """The name words from ``at`` on, up to the first word that can't be one; the last one is the surname."""
+    words: list[tuple[int, str]] = []
+    while (m := _NEXT.match(text, at)) and not _TITLE.fullmatch(m[1]):
+        if not m[1][0].islower():
+            words.append((m.start(1), m[1]))
+        elif m[1] not in PARTICLES:
+            break
+        at = m.end() + (len(m[1]) == 1 and text[m.end(): m.end() + 1] == ".")
+    while len(words) > 1 and len(words[-1][1]) == 1 and words[-1][1].isupper() and text[words[-1][0] + 1: words[-1][0] + 2] != ".":
+        words.pop()  # 'I' or 'A' of what follows
+    gender = next((f"given_{g}" for g, title in _GENDERS if title.search(titles)), "given")
+    full = [k for k, (_, w) in enumerate(words) if len(w) > 1 or not w.isupper()]
+    out = []
+    for k, (first, w) in enumerate(words):
+        value = re.sub(r"['’][sS]?$|-+$", "", w) or w
+        kind = "surname" if full and k == full[-1] else gender if k in full else "initial"
+        out.append((first, first + len(value), kind, value.lower()))
+    return out
+
+
+def _mentions(text: str, known: dict[str, str], found: list[Entity]) -> list[Entity]:
+    """Further places of the name words, with or without a title, outside the entities found."""
+    any_name = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![^\W_])", re.IGNORECASE)
+    taken = sorted(found)
+    starts = [e[0] for e in taken]
+    out = []
+    for m in any_name.finditer(text):
+        k = bisect_left(starts, m.end()) - 1
+        if (k < 0 or taken[k][1] <= m.start()) and not m[0][0].islower() and (word := m[0].lower()) in known:
+            out.append((*m.span(), known[word], word))
     return out
 
 
@@ -169,10 +212,10 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     made = _formed(kind, value, attempt, key, draw)
     if kind == "email":
         return made
-    more = max(0, attempt - (SPENT if kind in ("secret", "phone", "surname", "given_m", "given_f") else NEVER_SPENT))
+    more = max(0, attempt - (SPENT if kind in ("secret", "phone", *NAMES) else NEVER_SPENT))
     if kind == "ip":
         return made + "".join(f".{draw(256)}" for _ in range(more))
-    if kind in ("surname", "given_m", "given_f"):
+    if kind in NAMES:
         vowels = _letters(value[0])[1]
         return made + "".join(vowels[draw(len(vowels))] if vowels else _same_class(value[0], draw) for _ in range(more))
     return made + "".join(str(draw(10)) for _ in range(more))
@@ -206,7 +249,10 @@ def _formed(kind: str, value: str, attempt: int, key: bytes, draw: _Draw) -> str
         return "".join(str(1 + draw(9)) if k == 0 else str(draw(10)) for k, _ in enumerate(value))
     if kind == "key":
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw(32)] for _ in value[4:])
-    if kind in ("surname", "given_m", "given_f"):
+    if kind == "initial":  # two letters, so that it is none of the corpus
+        consonants, vowels = _letters(value[0])
+        return consonants[draw(len(consonants))] + vowels[draw(len(vowels))] if consonants else _same_class(value, draw)
+    if kind in NAMES:
         return _name(value, kind == "given_f" or kind == "surname" and value[-1] in "ая", draw)
     if _HEX.fullmatch(value):
         return "".join("0123456789abcdef"[draw(16)] if c.isdigit() or c.islower() else "0123456789ABCDEF"[draw(16)] if c.isalpha() else c for c in value)
@@ -230,7 +276,7 @@ def fitted(made: str, kind: str, original: str) -> str:
         return "".join([*(c if c == " " else next(source) for c in original), *source])
     if kind == "email":
         return made.upper() if original.isupper() else made
-    if kind in ("surname", "given_m", "given_f"):
+    if kind in NAMES:
         return made.upper() if original.isupper() and len(original) > 1 else made[:1].upper() + made[1:] if original[0].isupper() else made
     return made
 

@@ -262,6 +262,24 @@ def test_surrogates_keep_form_and_coreference():
     assert all(w[-1] in "aeiouаеиоу" for w in female) and [e[3] for e in new if e[2] == "given_m"][0][-1] not in "aeiou"
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Mr. John Q. Smith came. Smith left, and John too.", "John Q Smith Smith John"),
+    ("Mr Juan Carlos Ortega and Ortega's house", "Juan Carlos Ortega Ortega"),
+    ("Dr. Anna Smith met Prof Dr. J.R. Tolkien; Tolkien spoke to Anna", "Anna Smith J R Tolkien Tolkien Anna"),
+    ("Frau von der Leyen, Mr Ludwig van Beethoven wrote. BEETHOVEN!", "Leyen Ludwig Beethoven BEETHOVEN"),
+    ("Mr. John Smith and Mrs. Ann Lee Poe Mr Poe", "John Smith Ann Lee Poe Poe"),
+    ("Mr Smith I think, Mrs Smith-Jones; a smith works; Jones and Smithson", "Smith Smith-Jones"),
+    ("Mr 李小龙, 李小龙", "李小龙 李小龙"), ("Доктор Анна Ивановна Петрова, Петрова", "Анна Ивановна Петрова Петрова"),
+    ("Mr Brown is brown; brown@x.org Brown", "Brown Brown"),
+])
+def test_whole_names_and_later_mentions(text, names):
+    found = [e for e in pii.find(text) if e[2] in pii.NAMES]
+    assert " ".join(text[a:b] for a, b, *_ in found) == names
+    assert len({e[2:] for e in found}) == len({n.lower() for n in names.split()})
+    out, n = pii.replaced(text, b"k", {})
+    assert n == len(pii.find(text)) and not [w for w in names.split() if len(w) > 1 and re.search(rf"\b{w}\b", out)]
+
+
 def test_clashes_draw_again(spark):
     values = [("ip", f"10.0.{i}.{1 + j}") for i in range(3) for j in range(200)] + [("surname", f"name{i}") for i in range(3000)]
     df = spark.createDataFrame(values + values[:50], "kind string, value string")
