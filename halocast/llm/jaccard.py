@@ -23,7 +23,8 @@ smallest nodes of its signatures, the one it shares most with. Only nodes that t
 component than most of a signature's nodes are compared further, and only with
 nodes of other components whose sizes and parity bits leave a link possible. So a group of
 near copies costs a number of pairs in proportion to its size, and no link
-between different components is lost.
+between different components is lost. The links of this way span the components and are not the whole join;
+``whole`` verifies every pair of different sets that shares a signature instead.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ BUCKETS = 1 << 16
 #: Expected members of a group, by class, and the smallest set that uses combinations.
 MEMBERS = {2: 4, 3: 6}
 LEAST_SET = 10
+#: Nodes of a signature that meet in one task.
+BLOCK = 500
 MAPS = tuple(f"m{k}" for k in range(16))
 
 
@@ -229,13 +232,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int,
         f"{den}L * shared >= {num}L * (total - shared)").select("a", "b").distinct(), "verified")
 
 
+def _meetings(live: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of nodes that share a signature and may link; signatures of many nodes are cut into blocks that meet two by two."""
+    sized = stored(live.join(live.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sig").withColumn(
+        "own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")), "blocks")
+    left = sized.select("sig", "node", F.col("own").alias("x"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("y")).join(
+        nodes.select("node", "n", *MAPS), "node")
+    right = sized.select("sig", F.col("node").alias("other"), F.explode(F.expr("sequence(0, own)")).alias("x"), F.col("own").alias("y")).join(
+        nodes.select(F.col("node").alias("other"), *_other(nodes)), "other")
+    return left.join(right, ["sig", "x", "y"]).where("x < y OR node < other").where(_possible(num, den)).select(
+        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _spanning(live: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links enough to join every component."""
+    facts = nodes.select("node", "n", *MAPS)
+    # of the smallest nodes met in its signatures, a node is first compared with the one it shares most with
+    stars = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(facts, "node").join(
+        nodes.select(F.col("node").alias("center"), *_other(nodes)), "center").where(_possible(num, den))
+    stars = stored(stars.groupBy("node").agg(F.max_by("center", F.struct("common", "center")).alias("a")).select(
+        "a", F.col("node").alias("b")), "stars")
+    linked = _verified(stars, texts, nodes, width, num, den)
+
+    labelled = stored(live.select("sig", "node").join(components(linked), "node", "left").withColumn(
+        "label", F.coalesce("label", "node")), "labelled")
+    parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
+    main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
+                                    F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = stored(labelled.join(main, "sig").join(facts, "node"), "mixed")
+    odd = mixed.where("label <> main").select("sig", "node", "n", "label", *MAPS)
+    rest = mixed.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"),
+                        (F.col("label") == F.col("main")).alias("other_main"), *_other(nodes))
+    crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
+        _possible(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    crossing = stored(crossing.distinct().join(stars, ["a", "b"], "left_anti"), "crossing")
+    return linked.unionByName(_verified(crossing, texts, nodes, width, num, den))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                 num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+                 num: int = 80, den: int = 100, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members and links of the similarity join.
 
     Members: (id, n, component), one row per document: the size of its shingle set
     and the smallest id that links reach, itself included. Links: (a, b), between
-    class representatives (the smallest ids of equal sets).
+    class representatives (the smallest ids of equal sets). With ``whole`` they are all links
+    between different sets; without it a spanning set, true links enough to join every component.
 
     Null or wordless texts have no shingles and link with nothing; a text shorter than
     ``width`` words is one shingle. Equal texts are one class. Rows with a null id
@@ -262,27 +303,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     nodes = stored(described.where("n > 0").groupBy("node", "check", "n").agg(
         F.min("id").alias("least"), *(F.min(m).alias(m) for m in MAPS)), "nodes")
-    facts = nodes.select("node", "n", *MAPS)
-    # of the smallest nodes met in its signatures, a node is first compared with the one it shares most with
-    stars = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(facts, "node").join(
-        nodes.select(F.col("node").alias("center"), *_other(nodes)), "center").where(_possible(num, den))
-    stars = stored(stars.groupBy("node").agg(F.max_by("center", F.struct("common", "center")).alias("a")).select(
-        "a", F.col("node").alias("b")), "stars")
-    linked = _verified(stars, texts, nodes, width, num, den)
-
-    labelled = stored(live.select("sig", "node").join(components(linked), "node", "left").withColumn(
-        "label", F.coalesce("label", "node")), "labelled")
-    parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
-    main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
-                                    F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = stored(labelled.join(main, "sig").join(facts, "node"), "mixed")
-    odd = mixed.where("label <> main").select("sig", "node", "n", "label", *MAPS)
-    rest = mixed.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"),
-                        (F.col("label") == F.col("main")).alias("other_main"), *_other(nodes))
-    crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
-        _possible(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    crossing = stored(crossing.distinct().join(stars, ["a", "b"], "left_anti"), "crossing")
-    links = linked.unionByName(_verified(crossing, texts, nodes, width, num, den))
+    if whole:
+        links = _verified(stored(_meetings(live, nodes, num, den), "meetings"), texts, nodes, width, num, den)
+    else:
+        links = _spanning(live, nodes, texts, width, num, den)
     final = components(links)
 
     known = nodes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))

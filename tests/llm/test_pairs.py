@@ -68,6 +68,23 @@ def test_jaccard_join_is_exact(spark, seed):
         assert 100 * both >= 80 * (len(sets[r.a]) + len(sets[r.b]) - both)
 
 
+@pytest.mark.parametrize("block", [500, 3])
+def test_whole_join_has_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_copies(3)
+    members, links = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), whole=True)
+    assert {r.id: (r.n, r.component) for r in members.collect()} == expected(rows)
+    least = {}
+    for i, s in sorted(sets_of(rows).items()):
+        if s:
+            least.setdefault(frozenset(s), i)
+    want = sorted((a, b) for (x, a), (y, b) in itertools.permutations(least.items(), 2)
+                  if a < b and 100 * len(x & y) >= 80 * len(x | y))
+    assert sorted((r.a, r.b) for r in links.collect()) == want
+    components_ = {c for _, c in expected(rows).values()}
+    assert len(want) > len(least) - len(components_)  # more than a spanning set
+
+
 def test_combinations_meet():
     """Pairs that link share a signature, whatever is frequent."""
     rng = np.random.default_rng(0)
