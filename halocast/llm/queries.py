@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, pii, quality, substrings, topk, toxicity
+from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, negatives, pii, quality, substrings, topk, toxicity
 from halocast.sources.tables import read_table
 
 
@@ -83,6 +83,13 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(toxicity.score(docs, machine), 0.7)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector and each of its positives."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_byte_bpe": op2_byte_bpe,
@@ -94,4 +101,5 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_toxicity_fm": op10_toxicity_fm,
+    "op11_hard_negatives": op11_hard_negatives,
 }
