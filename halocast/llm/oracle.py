@@ -76,8 +76,43 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 FROM negatives WHERE rank <= 5
 """
 
+TRIE = """
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn ASC NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cut AS (
+  SELECT *, xor(4294967295, list_reduce(
+    [CAST(4294967295 AS BIGINT)] || [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(conv_id AS VARCHAR), '')],
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda r, bit: xor(r >> 1, 3988292384 * (r & 1))))) % 9 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns
+  FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+members AS (
+  SELECT conv_id, len(turns) AS total, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256
+  FROM members GROUP BY ALL),
+sized AS (
+  SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(prefix[depth].text) END AS saved FROM nodes),
+kids AS (
+  SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM sized WHERE depth > 0 GROUP BY 1),
+full_nodes AS (
+  SELECT s.*, coalesce(k.n_children, 0) AS n_children FROM sized s LEFT JOIN kids k ON s.prefix = k.prefix),
+above AS (
+  SELECT unnest(range(0, depth + 1)) AS at, prefix, n_children, saved FROM full_nodes),
+sums AS (
+  SELECT prefix[1:at] AS prefix, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON s.prefix = n.prefix
+LEFT JOIN full_nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
 STATEMENTS: dict[str, str] = {
     "op7_exact_topk": TOPK,
     "op9_curriculum_mix": MIXING,
     "op11_hard_negatives": NEGATIVES,
+    "op13_conversation_trie": TRIE,
 }

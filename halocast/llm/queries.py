@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, negatives, pii, quality, substrings, topk, toxicity
+from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, negatives, pii, quality, substrings, topk, toxicity, trie
 from halocast.sources.tables import read_table
 
 
@@ -90,6 +90,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie over the rebuilt conversations."""
+    nodes = trie.prefix_trie(trie.paths(read_table(spark, sf_dir, "conversations"), graft=(5, 9)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_byte_bpe": op2_byte_bpe,
@@ -102,4 +108,5 @@ QUERIES = {
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_toxicity_fm": op10_toxicity_fm,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_conversation_trie": op13_conversation_trie,
 }
