@@ -101,9 +101,9 @@ kids AS (
 full_nodes AS (
   SELECT s.*, coalesce(k.n_children, 0) AS n_children FROM sized s LEFT JOIN kids k ON s.prefix = k.prefix),
 above AS (
-  SELECT unnest(range(0, depth + 1)) AS at, prefix, n_children, saved FROM full_nodes),
+  SELECT unnest(range(0, depth + 1)) AS stem, prefix, n_children, saved FROM full_nodes),
 sums AS (
-  SELECT prefix[1:at] AS prefix, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY 1)
+  SELECT prefix[1:stem] AS prefix, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY 1)
 SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children,
   CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM full_nodes n JOIN sums s ON s.prefix = n.prefix

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, negatives, pii, quality, substrings, topk, toxicity, trie
+from halocast.llm import bpe, jaccard, learning, lm, mixing, neardup, negatives, pii, quality, sitetree, substrings, topk, toxicity, trie
 from halocast.sources.tables import read_table
 
 
@@ -90,6 +90,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
 
 
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = sitetree.main_text(read_table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the trie over the rebuilt conversations."""
     nodes = trie.prefix_trie(trie.paths(read_table(spark, sf_dir, "conversations"), graft=(5, 9)))
@@ -108,5 +114,6 @@ QUERIES = {
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_toxicity_fm": op10_toxicity_fm,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_main_text": op12_html_main_text,
     "op13_conversation_trie": op13_conversation_trie,
 }
