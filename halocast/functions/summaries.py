@@ -70,11 +70,11 @@ def enrich(as_of: str) -> Column:
     variables = F.col("variables")
 
     def of_group(group: str) -> Column:
-        names = rules.PARAMETER_GROUPS[group]
+        names = rules.group_names(group)
         return F.filter(variables, lambda v: F.upper(v).isin(*names))
 
-    def mentions(array: Column, mark: str) -> Column:
-        return F.exists(array, lambda v: F.upper(v).contains(mark))
+    def mentions(array: Column, *marks: str) -> Column:
+        return F.exists(array, lambda v: F.upper(v).rlike("|".join(marks)))
 
     bgc, core = of_group("bgc"), of_group("core")
     has_bgc, has_core = F.size(bgc) > 0, F.size(core) > 0
@@ -95,11 +95,11 @@ def enrich(as_of: str) -> Column:
         F.when(age < 180, "recent measurements").when(age < 365, "within last year"),
         F.when(has_bgc, F.concat(F.lit("with biogeochemical parameters: "),
                                  F.array_join(bgc, ", "), F.lit(" BGC-Argo float data"))),
-        F.when(mentions(bgc, "DOXY"), "including dissolved oxygen measurements"),
+        F.when(mentions(bgc, "DOXY", "OXYGEN"), "including dissolved oxygen measurements"),
         F.when(mentions(bgc, "NITRATE"), "including nitrate nutrient data"),
-        F.when(mentions(bgc, "CHLA"), "including chlorophyll fluorescence"),
+        F.when(mentions(bgc, "CHLA", "CHLOROPHYLL"), "including chlorophyll fluorescence"),
         F.when(has_core, F.concat(F.lit("with core measurements: "), F.array_join(core, ", "))),
         F.when(has_core & mentions(variables, "TEMP"), "temperature profile data"),
-        F.when(has_core & mentions(variables, "PSAL"), "salinity profile measurements"),
+        F.when(has_core & mentions(variables, "PSAL", "SALINITY"), "salinity profile measurements"),
         F.when(has_core & mentions(variables, "PRES"), "pressure depth measurements"),
     ), F.lit("."))

@@ -128,16 +128,16 @@ def in_scope(df: DataFrame, out: str = "in_scope", text: str = "text",
 
 # fixed values: variable marks in a catalogue row and the words for them
 PARAMETER_WORDS = {
-    "base": [("temp", "temperature"), ("psal", "salinity"), ("doxy", "dissolved oxygen"),
-             ("chla", "chlorophyll"), ("nitrate", "nitrate")],
-    "enhanced": [("temp", "temperature"), ("psal", "salinity"), ("doxy", "oxygen")],
+    "base": [("temp", "temperature"), ("psal|salinity", "salinity"), ("doxy|oxygen", "dissolved oxygen"),
+             ("chla|chlorophyll", "chlorophyll"), ("nitrate", "nitrate")],
+    "enhanced": [("temp", "temperature"), ("psal|salinity", "salinity"), ("doxy|oxygen", "oxygen")],
 }
 
 
 def parameter_phrases(variables_text, ruleset: str = "base") -> Column:
     """Words for the variables named in the text, in alphabetical order."""
     low = F.lower(_col(variables_text))
-    hits = [F.when(low.contains(mark), F.lit(word)) for mark, word in PARAMETER_WORDS[ruleset]]
+    hits = [F.when(low.rlike(mark), F.lit(word)) for mark, word in PARAMETER_WORDS[ruleset]]
     return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 

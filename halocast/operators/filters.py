@@ -120,7 +120,7 @@ def variables_contain(catalog: DataFrame, variable: str | None = None,
     """Profiles that hold a variable, or any variable of a parameter group."""
     if variable is not None:
         return catalog.filter(F.array_contains("variables", variable))
-    names = F.array(*[F.lit(v) for v in rules.PARAMETER_GROUPS[group]])
+    names = F.array(*[F.lit(v) for v in rules.group_names(group)])
     return catalog.filter(F.arrays_overlap("variables", names))
 
 

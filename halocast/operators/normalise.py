@@ -119,14 +119,16 @@ def clean_values(raw_values: DataFrame) -> DataFrame:
     return raw_values.withColumn("value", ids.clean_number("value"))
 
 
-def variable_facts(raw_values: DataFrame) -> DataFrame:
+def variable_facts(raw_values: DataFrame, largest: bool = False) -> DataFrame:
     """Per (file, profile, variable): stored length, trimmed length, non-null count.
 
     This is the small table that counting, scoring, routing and the fallback
-    strategies work on; the long table is read once for it.
+    strategies work on; the long table is read once for it. ``largest`` adds the
+    greatest value, from which the depth of a profile follows.
     """
     present = F.col("value").isNotNull()
     return clean_values(raw_values).groupBy(*PROFILE_KEYS, "var_name").agg(
+        *([F.max("value").alias("largest")] if largest else []),
         (F.max("level_idx") + 1).cast("bigint").alias("n_stored"),
         (F.coalesce(F.max(F.when(present, F.col("level_idx"))), F.lit(-1)) + 1).cast("bigint")
         .alias("n_trimmed"),
@@ -255,16 +257,21 @@ def variable_catalog(raw_variables: DataFrame) -> DataFrame:
 
 # --- profiles ----------------------------------------------------------------
 def assemble_profiles(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per profile: identity, position, time, level count, variables."""
+    """One row per profile: identity, position, time, level count, variables.
+
+    Facts with ``largest`` give the greatest pressure as ``max_depth`` and the texts read as ``raw_metadata``.
+    """
+    wide = "largest" in facts.columns
+    deepest = F.max(F.when(F.col("std_name") == "PRESSURE", F.col("largest"))) if wide else F.lit(None)
     per_profile = facts.groupBy(*PROFILE_KEYS).agg(
-        F.max("n_trimmed").alias("n_levels"),
+        F.max("n_trimmed").alias("n_levels"), deepest.cast("double").alias("max_depth"),
         *name_flags(),
         F.sum("n_values").alias("n_values"), F.sum("n_trimmed").alias("n_cells"),
         # one row per standard name here, so counting rows counts names
         F.count(F.when((F.col("n_values") > 0) & F.col("std_name").isin(rules.KEY_VARIABLES), 1))
         .alias("n_key"),
     ).select(
-        *PROFILE_KEYS, "n_levels", "n_values", "n_cells", "n_key",
+        *PROFILE_KEYS, "n_levels", "n_values", "n_cells", "n_key", "max_depth",
         flagged_names().alias("variables"),
     )
     joined = coordinates.join(per_profile, PROFILE_KEYS, "left")
@@ -281,9 +288,16 @@ def assemble_profiles(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
         F.coalesce("n_values", F.lit(0)).alias("n_values"),
         F.coalesce("n_cells", F.lit(0)).alias("n_cells"),
         F.coalesce("n_key", F.lit(0)).alias("n_key"),
+        *(["max_depth", read_texts().alias("raw_metadata")] if wide else []),
     ).withColumns({c: cut[c] for c in ("profile_id", "float_id")})
 
 
+def read_texts() -> Column:
+    """The coordinate texts of a profile as they were read, without the missing ones."""
+    names = ["latitude", "longitude", "time", "platform"]
+    return F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull())
+
+
 # --- schema ------------------------------------------------------------------
 def infer_types(raw_scalars: DataFrame) -> DataFrame:
     """Column type per name, from all of its values rather than one sample."""

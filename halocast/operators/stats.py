@@ -175,15 +175,13 @@ def region_label() -> Column:
 def overview_metrics(catalog: DataFrame) -> DataFrame:
     """Profiles, distinct regions, distinct variables, deepest level, as one row.
 
-    The variable sets are reduced to distinct ones before they are flattened.
+    Names are made distinct before they are counted, so no task holds a set of arrays.
     """
-    sets = catalog.groupBy("variables", region_label().alias("region")).agg(
-        _n("n"), F.max("max_depth").alias("max_depth"))
-    return sets.agg(
-        F.sum("n").alias("matching_profiles"), F.count_distinct("region").alias("n_regions"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("variables")))).cast("bigint")
-        .alias("n_parameters"),
-        F.max("max_depth").alias("max_depth"))
+    per_region = catalog.groupBy(region_label().alias("region")).agg(_n("n"), F.max("max_depth").alias("max_depth"))
+    return per_region.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("matching_profiles"), F.count("region").alias("n_regions"),
+        F.max("max_depth").alias("max_depth")).withColumn(
+        "n_parameters", union_variables(catalog).agg(F.count("variable")).scalar())
 
 
 def region_share(catalog: DataFrame) -> DataFrame:
@@ -207,29 +205,32 @@ def depth_series(catalog: DataFrame, levels: DataFrame, n_profiles: int | None =
     """Depth-ordered points of all profiles, or of the first ``n_profiles``, for plotting.
 
     The series stays in rows under a global sort, so a profile of any length
-    is never one array.
+    is never one array. Levels have the names of the store or the short ones.
     """
-    chosen = catalog.select("id", "profile_id")
+    chosen = catalog.select("profile_id", *(c for c in ("id",) if c in catalog.columns))
     if n_profiles is not None:
-        chosen = chosen.orderBy("id").limit(n_profiles)
+        chosen = chosen.orderBy(chosen.columns[-1]).limit(n_profiles)
+    names = {"pres": "depth", "pressure": "depth", "temp": "temperature", "temperature": "temperature", "psal": "salinity",
+             "salinity": "salinity", "doxy": "oxygen", "oxygen": "oxygen"}
     return (
         levels.join(chosen.select("profile_id").distinct(), "profile_id", "left_semi")
-        .select("profile_id", F.col("pres").alias("depth"), F.col("temp").alias("temperature"),
-                F.col("psal").alias("salinity"), F.col("doxy").alias("oxygen"))
+        .select("profile_id", *[F.col(c).alias(names[c]) for c in levels.columns if c in names])
+        .select("profile_id", "depth", "temperature", "salinity", "oxygen")
         .orderBy("profile_id", "depth")
     )
 
 
 def collection_summary(catalog: DataFrame) -> DataFrame:
-    sets = catalog.groupBy("variables", region_label().alias("region")).agg(
+    """The whole collection as one row; names and regions are made distinct before they are joined."""
+    per_region = catalog.groupBy(region_label().alias("region")).agg(
         _n("n"), F.min("time_start").alias("t0"), F.max("time_start").alias("t1"),
         F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
         F.min("lon").alias("lon0"), F.max("lon").alias("lon1"),
         F.max("max_depth").alias("deepest"))
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("variables"))))
-    return sets.agg(
-        F.sum("n").alias("profile_count"), F.array_join(names, ",").alias("variables_available"),
-        F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions_covered"),
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    return per_region.withColumn("names", union_variables(catalog).agg(listed("variable")).scalar()).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("profile_count"), F.coalesce(F.max("names"), F.lit("")).alias("variables_available"),
+        listed("region").alias("regions_covered"),
         F.min("t0").alias("time_from"), F.max("t1").alias("time_to"),
         F.min("lat0").alias("lat_min"), F.max("lat1").alias("lat_max"),
         F.min("lon0").alias("lon_min"), F.max("lon1").alias("lon_max"),

@@ -7,17 +7,20 @@ blocks together:
 
 * vectors: the corpus is read where it lies, and any number of queries pass by
   in packed batches of a bounded number of rows, without a shuffle;
-* positions: corpus and queries are cut into blocks by cell, and each pair of
-  blocks that can hold a match meets in one group of a cogroup. Block sizes
-  are bounded, so hot cells are cut up as well.
+* cells: corpus and queries go to cells (of a grid, or around centroids), a crowded cell is
+  cut into several blocks, and both sides lie in one table that is dealt out by block in ranges of
+  equal size. A task walks over its many blocks in sorted arrays.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocast.functions.geo import valid_coordinates
@@ -27,8 +30,11 @@ from halocast.session import stored
 HIT_SCHEMA = "query_id string, profile_id string, distance double, k int"
 MERGE_SALTS = 32              # partial lists per query before the last merge
 QUERY_BATCH = 4096            # queries sent to the corpus at once (a few MB of vectors)
-CORPUS_BLOCK = 50_000         # corpus rows per block in the cogroup
-QUERY_BLOCK = 2_048           # queries per block in the cogroup
+CORPUS_BLOCK = 50_000         # corpus rows per block of a cell
+QUERY_BLOCK = 2_048           # queries per block of a cell
+WALK_ROWS = 100_000           # rows of whole blocks that a task holds at once
+PAIRS = 2_000_000             # pairs measured at once
+BATCHES_AT_ONCE = 4           # packed query batches sent out together
 QUERY_SLICE = 256             # queries compared with a block at a time inside a task
 DIGITS = 9                    # distances are compared after rounding to this
 
@@ -42,9 +48,6 @@ def vector_kernel(metric: str = "l2sq", prefilter: bool = False) -> Callable:
     digits, slice_size = DIGITS, QUERY_SLICE
 
     def best(corpus, queries):
-        import numpy as np
-        import pandas as pd
-
         corpus = corpus[corpus["embedding"].notna()]
         queries = queries[queries["query_vector"].notna() & (queries["k"] > 0)]
         parts = []
@@ -115,29 +118,37 @@ def vector_kernel(metric: str = "l2sq", prefilter: bool = False) -> Callable:
     return best
 
 
-def position_kernel(radius_degrees: float) -> Callable:
-    """Nearest positions by great-circle distance within a radius in degrees of arc."""
-    digits, slice_size, radius_earth = DIGITS, QUERY_SLICE, EARTH_RADIUS_KM
+def position_walk(radius_degrees: float) -> Callable:
+    """Nearest positions by great-circle distance within a radius in degrees of arc, over many blocks at once.
 
-    def best(corpus, queries):
-        import numpy as np
-        import pandas as pd
+    Rows are sorted by block and latitude; what a query can reach is one run of that order.
+    """
+    digits, radius_earth, pairs = DIGITS, EARTH_RADIUS_KM, PAIRS
+    height = 180 + 3 * radius_degrees  # blocks don't reach into each other
 
+    def walk(corpus: pd.DataFrame, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
         radius_km = np.radians(radius_degrees) * radius_earth
-        corpus = corpus.sort_values("lat")
+        blocks, code = np.unique(corpus["block"].to_numpy(), return_inverse=True)
+        place = np.searchsorted(blocks, queries["block"].to_numpy())
+        met = (place < len(blocks)) & (blocks[np.minimum(place, len(blocks) - 1)] == queries["block"].to_numpy())
+        queries, place = queries[met], place[met]
+        sorted_by = np.lexsort((corpus["lat"].to_numpy(), code))
+        corpus, code = corpus.iloc[sorted_by], code[sorted_by]
         ids = corpus["profile_id"].to_numpy().astype(str)
         lat, lon = corpus["lat"].to_numpy(dtype=float), corpus["lon"].to_numpy(dtype=float)
-        parts = []
-        for start in range(0, len(queries), slice_size):
-            some = queries.iloc[start:start + slice_size]
-            qlat, qlon = some["lat"].to_numpy(dtype=float), some["lon"].to_numpy(dtype=float)
-            k = some["k"].to_numpy(dtype=np.int64)
-            # rows within the radius in latitude, as runs of the sorted corpus
-            lo = np.searchsorted(lat, qlat - radius_degrees - 1e-9, "left")
-            hi = np.searchsorted(lat, qlat + radius_degrees + 1e-9, "right")
-            n = hi - lo
-            col = np.repeat(np.arange(len(n)), n)
-            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        line = code * height + lat
+        qlat, qlon = queries["lat"].to_numpy(dtype=float), queries["lon"].to_numpy(dtype=float)
+        names, k = queries["query_id"].to_numpy(), queries["k"].to_numpy(dtype=np.int64)
+        # a little more than the radius, for the rounding of the sums
+        lo = np.searchsorted(line, place * height + qlat - radius_degrees - 1e-6, "left")
+        hi = np.searchsorted(line, place * height + qlat + radius_degrees + 1e-6, "right")
+        ends = np.cumsum(hi - lo)
+        start = 0
+        while start < len(names):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + pairs, "right")))
+            n = (hi - lo)[start:stop]
+            col = np.repeat(np.arange(start, stop), n)
+            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[start:stop], n)
             p1, p2 = np.radians(qlat[col]), np.radians(lat[row])
             a = (np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2)
                  * np.sin(np.radians(lon[row] - qlon[col]) / 2) ** 2)
@@ -147,20 +158,23 @@ def position_kernel(radius_degrees: float) -> Callable:
             row, col, km = row[near], col[near], km[near]
             order = np.lexsort((ids[row], km, col))
             row, col, km = row[order], col[order], km[order]
-            nth = np.arange(len(col)) - np.searchsorted(col, col, "left")
-            keep = nth < k[col]
+            keep = np.arange(len(col)) - np.searchsorted(col, col, "left") < k[col]
             row, col, km = row[keep], col[keep], km[keep]
-            parts.append(pd.DataFrame({
-                "query_id": some["query_id"].to_numpy()[col], "profile_id": ids[row],
-                "distance": km, "k": k[col].astype("int32")}))
-        if not parts:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object),
-                                 "profile_id": pd.Series([], dtype=object),
-                                 "distance": pd.Series([], dtype=float),
-                                 "k": pd.Series([], dtype="int32")})
-        return pd.concat(parts, ignore_index=True)
+            yield pd.DataFrame({"query_id": names[col], "profile_id": ids[row], "distance": km, "k": k[col].astype("int32")})
+            start = stop
+
+    return walk
 
-    return best
+
+def block_walk(kernel: Callable) -> Callable:
+    """A kernel for one block, applied to each block in turn."""
+    def walk(corpus: pd.DataFrame, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        asked = dict(iter(queries.groupby("block", sort=False)))
+        for block, rows in corpus.groupby("block", sort=False):
+            if block in asked:
+                yield kernel(rows, asked[block])
+
+    return walk
 
 
 def _merge(hits: DataFrame, repeated: bool = False) -> DataFrame:
@@ -182,18 +196,12 @@ def _merge(hits: DataFrame, repeated: bool = False) -> DataFrame:
         "_salt", "_part", "k")
 
 
-def _hit_schema():
-    import pyarrow as pa
-
-    return pa.schema([("query_id", pa.string()), ("profile_id", pa.string()), ("distance", pa.float64()),
-                      ("k", pa.int32())])
+HITS = pa.schema([("query_id", pa.string()), ("profile_id", pa.string()), ("distance", pa.float64()), ("k", pa.int32())])
 
 
 def _pack(rows: DataFrame) -> DataFrame:
     """Rows packed batch by batch: one binary row for each Arrow batch, all with the same ``side``."""
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -207,15 +215,11 @@ def _pack(rows: DataFrame) -> DataFrame:
 def scan_in_batches(corpus: DataFrame, queries: DataFrame, kernel: Callable, size: int) -> DataFrame:
     """Any number of queries pass by a corpus that stays where it is.
 
-    Queries are dealt into batches of about ``size`` rows by their hash. Each
-    batch becomes one packed row, which a join sends to every block of the
-    corpus; nothing passes the driver's Python. A task keeps one list of the k
-    best per query for all of its blocks.
+    Queries are stored and dealt out once, ``size`` rows to a task, which packs them into rows; a few of these at a time
+    are sent to every block of the corpus, and nothing passes the driver's Python. A task keeps
+    one list of the k best per query for all of its blocks.
     """
     def run(batches):
-        import pandas as pd
-        import pyarrow as pa
-
         held = None
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1)):
@@ -227,26 +231,59 @@ def scan_in_batches(corpus: DataFrame, queries: DataFrame, kernel: Callable, siz
                     found = found[found.groupby("query_id").cumcount() < found["k"]]
                 held = found
         if held is not None and len(held):
-            yield pa.RecordBatch.from_pandas(held.reset_index(drop=True), preserve_index=False,
-                                             schema=_hit_schema())
+            yield pa.RecordBatch.from_pandas(held.reset_index(drop=True), preserve_index=False, schema=HITS)
 
     blocks = _pack(corpus)
-    parts = max(1, -(-queries.count() // size))
+    queries = stored(queries, "queries")
+    tasks = max(1, -(-queries.count() // size))
+    asked = stored(_pack(queries.repartition(tasks)).withColumnRenamed("rows", "asked").withColumn(
+        "batch", F.monotonically_increasing_id()), "asked")
+    numbers = [r[0] for r in asked.select("batch").collect()]  # one per ``size`` queries
     hits = []
-    for part in range(parts):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).coalesce(1)
-        asked = _pack(some).withColumnRenamed("rows", "asked")
-        hits.append(blocks.join(F.broadcast(asked), "side").select("rows", "asked").mapInArrow(run, HIT_SCHEMA))
+    for first in range(0, max(1, len(numbers)), BATCHES_AT_ONCE):
+        some = asked.where(F.col("batch").isin(numbers[first:first + BATCHES_AT_ONCE])).select("asked", "side")
+        hits.append(blocks.join(F.broadcast(some), "side").select("rows", "asked").mapInArrow(run, HIT_SCHEMA))
     return reduce(DataFrame.unionByName, hits)
 
 
-def meet_in_blocks(corpus: DataFrame, queries: DataFrame, kernel: Callable) -> DataFrame:
-    """Any number of queries: ``block`` on the corpus meets the same block on the queries."""
-    def run(left, right):
-        return kernel(left, right)
+def meet_in_blocks(corpus: DataFrame, queries: DataFrame, walk: Callable) -> DataFrame:
+    """``block`` on the corpus meets the same block on the queries, many blocks to a task.
+
+    Both sides are one table, dealt out by ranges of the block name, which are balanced by the number of rows. A
+    task holds whole blocks of ``WALK_ROWS`` rows together at a time.
+    """
+    limit = WALK_ROWS
+    both = corpus.withColumn("_asks", F.lit(False)).unionByName(queries.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    left, right = corpus.columns, queries.columns
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def walked(table: pa.Table):
+            frame = table.to_pandas()
+            asks = frame["_asks"].to_numpy(dtype=bool)
+            if asks.any() and not asks.all():
+                for found in walk(frame.loc[~asks, left], frame.loc[asks, right]):
+                    if len(found):
+                        yield pa.RecordBatch.from_pandas(found.reset_index(drop=True), preserve_index=False, schema=HITS)
 
-    return (corpus.groupBy("block").cogroup(queries.groupBy("block"))
-            .applyInPandas(run, HIT_SCHEMA))
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                table = pa.Table.from_batches(held)
+                names = table.column("block").to_numpy(zero_copy_only=False)
+                cut = int(np.flatnonzero(names != names[-1])[-1]) + 1 if names[0] != names[-1] else 0
+                if cut:  # all but the last block, which may go on
+                    yield from walked(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    rows = table.num_rows - cut
+        if held:
+            yield from walked(pa.Table.from_batches(held))
+
+    dealt = both.repartitionByRange("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, HIT_SCHEMA)
 
 
 def _cell_blocks(corpus: DataFrame, queries: DataFrame, cell: Column, cells: Column):
@@ -278,19 +315,13 @@ def _cell_blocks(corpus: DataFrame, queries: DataFrame, cell: Column, cells: Col
     return left, right
 
 
-def topk(corpus: DataFrame, queries: DataFrame, kernel: Callable, cell: Column | None = None,
-         cells: Column | None = None, size: int = QUERY_BATCH) -> DataFrame:
+def topk(corpus: DataFrame, queries: DataFrame, kernel: Callable, size: int = QUERY_BATCH) -> DataFrame:
     """(query_id, profile_id, distance, rank): the k nearest per query, exactly.
 
     Corpus rows have ``profile_id`` and the kernel's columns; queries have
-    ``query_id``, ``k`` and the kernel's columns. With cells, both sides meet
-    in their cells; without, the queries pass by the corpus in batches.
+    ``query_id``, ``k`` and the kernel's columns. The queries pass by the corpus in batches.
     """
-    if cell is not None:
-        hits = meet_in_blocks(*_cell_blocks(corpus, queries, cell, cells), kernel)
-    else:
-        hits = scan_in_batches(corpus, queries, kernel, size)
-    return _merge(hits)
+    return _merge(scan_in_batches(corpus, queries, kernel, size))
 
 
 # --- nearest positions -------------------------------------------------------
@@ -320,7 +351,8 @@ def nearest_profiles(catalog: DataFrame, points: DataFrame, k: int,
     cells = F.array_distinct(F.flatten(F.transform(bands, lambda b: F.transform(
         F.sequence(home - steps, home + steps),
         lambda c: b * n_lon + F.pmod(c, F.lit(n_lon))))))
-    return topk(corpus, wanted, position_kernel(radius_degrees), cell, cells)
+    left, right = _cell_blocks(corpus, wanted, cell, cells)
+    return _merge(meet_in_blocks(left, right, position_walk(radius_degrees)))
 
 
 # --- vectors -----------------------------------------------------------------
@@ -343,36 +375,52 @@ def vector_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return joined.withColumn("distance", F.round(distance, 6) + F.lit(0.0)).drop("a", "b")
 
 
-def vector_topk_approx(corpus: DataFrame, queries: DataFrame, bucket_length: float = 0.5,
-                       n_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Nearest vectors among those that share a hash bucket with the query.
+def coarse_centroids(corpus: DataFrame, n_cells: int, sample_rows: int, seed: int = 7) -> np.ndarray:
+    """Centres of ``n_cells`` clusters of a sample of at most ``sample_rows`` vectors, chosen by a hash of the id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    some = corpus.orderBy(F.xxhash64("profile_id"), "profile_id").limit(sample_rows)
+    fitted = KMeans(featuresCol="_v", k=n_cells, maxIter=10, seed=seed).fit(
+        stored(some, "sample").select(array_to_vector("embedding").alias("_v")))
+    return np.array(fitted.clusterCenters())
+
+
+def _nearest_cells(column: str, centres: np.ndarray, probes: int) -> Callable:
+    """Adds the ``probes`` nearest cells of each vector."""
+    def run(batches):
+        half = (centres * centres).sum(1) / 2
+        for batch in batches:
+            v = np.array(batch.column(column).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+            far = half[None, :] - v @ centres.T if len(v) else np.zeros((0, len(centres)))
+            near = np.sort(np.argpartition(far, min(probes, len(centres)) - 1, axis=1)[:, :probes], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64).tolist(), pa.list_(pa.int64()))],
+                                             [*batch.schema.names, "_cells"])
+    return run
+
+
+def vector_topk_approx(corpus: DataFrame, queries: DataFrame, n_cells: int | None = None, probes: int | None = None,
+                       sample_rows: int = 20_000, share: float = 0.15) -> DataFrame:
+    """Nearest vectors among those in the cells nearest to the query, measured exactly.
 
-    Random-projection buckets are the cells of the block meeting, so a crowded
-    bucket is cut up like any other; candidates are measured exactly.
+    Cells are the surroundings of centres found on a sample of at most ``sample_rows`` vectors; every vector is
+    indexed, in one cell. There are about as many cells as the root of the corpus' size, 4,096 at most, and a query probes
+    ``share`` of them unless ``probes`` says how many. Cells are blocks, so a crowded one is cut up.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def ready(df: DataFrame, column: str) -> DataFrame:
-        return df.filter(F.col(column).isNotNull()).withColumn("_v", array_to_vector(F.col(column)))
-
-    c = ready(corpus.select("profile_id", "embedding"), "embedding")
-    q = ready(queries.select("query_id", "query_vector", "k"), "query_vector")
-    model = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=n_tables,
-        seed=seed).fit(c)
-
-    def with_buckets(df: DataFrame, label: str) -> DataFrame:
-        """Stored, because bucket sizes and the meeting both start from it."""
-        marks = F.transform("_h", lambda v, i: F.concat_ws(
-            "_", i.cast("string"), F.array_join(F.transform(
-                vector_to_array(v), lambda x: x.cast("bigint").cast("string")), "_")))
-        return stored(model.transform(df).withColumn("_buckets", marks).drop("_v", "_h"), label)
-
-    corpus_cells = with_buckets(c, "lsh-corpus").withColumn(
-        "_bucket", F.explode("_buckets")).drop("_buckets")
-    q = with_buckets(q, "lsh-queries")
-    left, right = _cell_blocks(corpus_cells, q, F.col("_bucket"), F.col("_buckets"))
-    hits = meet_in_blocks(left, right.drop("_buckets"), vector_kernel("l2sq"))
-    merged = _merge(hits, repeated=True)
-    return merged.withColumn("similarity", F.round(1 - F.col("distance"), 6) + F.lit(0.0))
+    c = stored(corpus.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
+               .select("profile_id", "embedding"), "corpus")
+    q = queries.where("query_vector IS NOT NULL AND k > 0").select("query_id", "query_vector", "k")
+    n = c.count()
+    if not n:
+        return _merge(c.sparkSession.createDataFrame([], HIT_SCHEMA)).withColumn("similarity", F.lit(0.0))
+    cells = min(n_cells or max(1, math.isqrt(n)), 4096, n)
+    centres = coarse_centroids(c, cells, sample_rows) if cells > 1 else np.zeros((1, len(c.first().embedding)))
+    probes = max(1, min(probes or round(share * len(centres)), len(centres)))
+
+    def told(df: DataFrame, column: str, many: int) -> DataFrame:
+        schema = ", ".join(f"{name} {kind}" for name, kind in df.dtypes) + ", _cells array<bigint>"
+        return stored(df.mapInArrow(_nearest_cells(column, centres, many), schema), "cells")
+
+    left, right = _cell_blocks(told(c, "embedding", 1), told(q, "query_vector", probes), F.col("_cells")[0], F.col("_cells"))
+    hits = meet_in_blocks(left.drop("_cells"), right.drop("_cells"), block_walk(vector_kernel("l2sq")))
+    return _merge(hits).withColumn("similarity", F.round(1 - F.col("distance"), 6) + F.lit(0.0))

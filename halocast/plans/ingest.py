@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,11 +11,10 @@ from halocast.functions import geo, identifiers as ids
 from halocast.functions.embedding import embed_text
 from halocast.functions.summaries import summarise
 from halocast.operators import normalise as nm
-from halocast.operators.catalog import upsert_catalog
 from halocast.operators.joins import spread_join
 from halocast.operators.quality import quality_score, reject_reason
 from halocast.session import stored
-from halocast.sources import sinks
+from halocast.sources import sinks, store
 
 
 MEASURES = list(rules.VARIABLE_ALIASES)
@@ -23,10 +22,15 @@ MEASURES = list(rules.VARIABLE_ALIASES)
 
 @dataclass
 class Ingested:
-    """A run: every profile with its verdict, and the aligned levels; both lazy."""
+    """A run: every profile with its verdict, the aligned levels, and the files tried; all lazy.
+
+    ``extras`` holds values under names that are no standard ones, where a strategy keeps them.
+    """
 
     judged: DataFrame
     aligned: DataFrame
+    sources: DataFrame | None = None
+    extras: DataFrame | None = None
 
     @property
     def profiles(self) -> DataFrame:
@@ -36,11 +40,19 @@ class Ingested:
     def rejected(self) -> DataFrame:
         return self.judged.filter("reject_reason IS NOT NULL")
 
+    def _of_accepted(self, values: DataFrame) -> DataFrame:
+        owners = self.profiles.select(*nm.PROFILE_KEYS, "profile_id", "float_id")
+        return values.join(owners, nm.PROFILE_KEYS)
+
     @property
     def levels(self) -> DataFrame:
         """Levels of the accepted profiles."""
-        owners = self.profiles.select(*nm.PROFILE_KEYS, "profile_id", "float_id")
-        return self.aligned.join(owners, nm.PROFILE_KEYS)
+        return self._of_accepted(self.aligned)
+
+    @property
+    def extra_values(self) -> DataFrame | None:
+        """(.., var_name, level_idx, value) of the accepted profiles, beside the standard names."""
+        return None if self.extras is None else self._of_accepted(self.extras)
 
     def stored(self) -> Ingested:
         """The same run with its verdicts written once and read back.
@@ -49,43 +61,70 @@ class Ingested:
         raw values behind them are then read once, and lost executors cost a
         re-read only.
         """
-        return Ingested(stored(self.judged, "judged"), self.aligned)
+        return replace(self, judged=stored(self.judged, "judged"))
+
+
+#: What a judged profile carries into the store, beside its verdict.
+KEPT = [*nm.PROFILE_KEYS, "profile_id", "float_id", "lat", "lon", "time_start", "time_end", "n_levels", "variables",
+        "variables_csv", "max_depth", "raw_metadata", "parquet_path", "extraction_method", "data_quality_score", "reject_reason"]
+
+
+def judge(candidates: DataFrame, method: Column, reason: Column | None = None) -> DataFrame:
+    """Assembled profiles with method, score, level folder and verdict."""
+    bucket = F.concat(F.lit("float_bucket="), sinks.float_bucket().cast("string"))
+    return candidates.withColumns({
+        "time_end": F.col("time_start"), "variables_csv": F.array_join("variables", ","),
+        "parquet_path": F.when(F.col("n_values") > 0, bucket), "extraction_method": method,
+        "data_quality_score": quality_score(), "reject_reason": reject_reason() if reason is None else reason}).select(*KEPT)
 
 
 def ingest(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables: DataFrame) -> Ingested:
     """Normalise, validate and score every profile of the landed tables."""
     resolved = nm.resolve_variables(raw_variables)
-    facts = nm.standard_facts(nm.variable_facts(raw_values), resolved)
+    facts = nm.standard_facts(nm.variable_facts(raw_values, largest=True), resolved)
     candidates = nm.assemble_profiles(nm.resolve_coordinates(raw_scalars), facts)
-    judged = candidates.select(
-        *nm.PROFILE_KEYS, "profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
-        "variables",
-        F.concat(F.lit("float_bucket="), sinks.float_bucket().cast("string"))
-        .alias("parquet_path"),
-        F.lit("standard").alias("extraction_method"),
-        quality_score().alias("data_quality_score"), reject_reason().alias("reject_reason"))
-    return Ingested(judged, nm.align_levels(nm.standard_values(raw_values, resolved)))
-
-
-def publish(run: Ingested, root: str, occurred_at: str, run_id: int,
-            old_catalog: DataFrame | None = None) -> str:
-    """Write levels, vectors and errors first, the catalogue after them, its manifest entry last.
-
-    Everything of an attempt lies in a folder of its own. Readers take the union
-    of the live attempts (the latest of each run), so a run adds to earlier ones and a retried run replaces
-    its own first try, errors included, without touching its files. Returns the path of the attempt.
+    return Ingested(judge(candidates, F.lit("standard")), nm.align_levels(nm.standard_values(raw_values, resolved)))
+
+
+def publish(run: Ingested, root: str, occurred_at: str, run_id: int, files: DataFrame | None = None) -> str:
+    """Write all of a run into a folder of its own attempt, its manifest entry last; returns the folder.
+
+    Levels, values of other names, vectors and errors come first, then the change set of the catalogue, the source files taken,
+    the landed ``files`` behind them (path, length, modified) and what level files were written. Readers (``sources.store``)
+    merge the live attempts, the latest of each run; no attempt touches another one's files.
     """
     run = run.stored()
+    spark = run.judged.sparkSession
     path = sinks.attempt_path(root, run_id)
-    sinks.write_levels(run.levels, f"{path}/levels", MEASURES)
+
+    def at(name: str) -> str:
+        return store.part_of(path, name)
+
+    sinks.write_levels(run.levels, at("levels"), MEASURES)
+    if run.extras is not None:
+        run.extra_values.write.parquet(at("extras"))
     documents = embed_text(run.profiles.withColumn("summary", summarise("rich")))
-    sinks.write_vectors(documents, f"{path}/vectors")
-    sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), f"{path}/errors")
-    fresh = run.profiles.withColumn("seq", F.col("profile_key")).withColumn(
-        "parquet_path", F.concat(F.lit(f"run={run_id}/"), F.col("parquet_path")))
-    catalog = fresh if old_catalog is None else upsert_catalog(
-        old_catalog.drop("cell_lat", "cell_lon"), fresh)
-    return sinks.publish_catalog(catalog, root, run_id, path)
+    sinks.write_vectors(documents, at("vectors"))
+    sinks.append_errors(sinks.error_rows(run.rejected, occurred_at), at("errors"))
+    now = F.to_timestamp_ntz(F.lit(occurred_at))
+    fresh = run.profiles.withColumns({
+        "seq": F.col("profile_key"), "created_at": now, "updated_at": now, "file_size": F.lit(None).cast("bigint"),
+        "parquet_path": F.concat(F.lit(f"run={run_id}/"), F.col("parquet_path"))})
+    per_file = run.judged.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_profiles"), F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("n_accepted"),
+        F.max("extraction_method").alias("extraction_method"))
+    tried = per_file if run.sources is None else run.sources.select("source_file", *(
+        c for c in ("file_size",) if c in run.sources.columns)).dropDuplicates(["source_file"]).join(per_file, "source_file", "left")
+    if "file_size" in tried.columns:
+        sizes = tried.select("source_file", "file_size")
+        fresh = spread_join(fresh.drop("file_size"), sizes, ["source_file"], spread_by=["profile_id"], how="left")
+    sinks.write_catalog_version(fresh, at("changes"))
+    tried.write.parquet(at("sources"))
+    if files is not None:
+        files.write.parquet(at("files"))
+    store.level_files(spark, at("levels")).write.parquet(at("level_files"))
+    sinks.enter(spark, root, run_id, path)
+    return path
 
 
 # --- ordered fallback strategies --------------------------------------------

@@ -14,9 +14,9 @@ from halocast.functions import geo, identifiers as ids, summaries, text, times
 from halocast.functions.embedding import embed_text
 from halocast.functions.geo import round6
 from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, topk
-from halocast.plans import health, ingest as ing, questions
+from halocast.plans import health, incremental as inc, ingest as ing, questions, routing
 from halocast.session import stored, work_dir
-from halocast.sources import fixtures as fx, inventory, landing, sinks
+from halocast.sources import fixtures as fx, inventory, landing, sinks, store
 from halocast.sources.tables import read_table, table_path
 from halocast.streaming import streams
 
@@ -463,17 +463,27 @@ def candidates_semi_catalog(spark, sf):
 
 @query
 def skip_loaded(spark, sf):
+    """Files to load where the catalogue holds those whose number is no multiple of three."""
     files = fx.profiles(spark, sf).select("source_file").distinct()
-    loaded = fx.profiles(spark, sf).where("time_start < TIMESTAMP_NTZ '1998-01-01'")
+    loaded = fx.profiles(spark, sf).where(fx.file_number() % 3 != 0)
     return joins.skip_loaded(files, loaded)
 
 
 @query
 def missing_level_files(spark, sf):
-    return joins.missing_level_files(fx.profiles(spark, sf), level_listing(spark, sf)).select(
+    """Profiles of a published store whose level bucket is gone."""
+    root = damaged(spark, sf)
+    return joins.missing_level_files(store.catalog(spark, root), store.level_inventory(spark, root)).select(
         "profile_id", "parquet_path")
 
 
+@query
+def reconcile_levels(spark, sf):
+    """Level buckets of a published store that aren't as they were written."""
+    return store.reconcile_levels(spark, damaged(spark, sf)).where("state <> 'present'").select(
+        F.col("run").cast("bigint").alias("run"), F.col("float_bucket").cast("bigint").alias("float_bucket"), "path", "state")
+
+
 @query
 def profile_levels(spark, sf):
     owners = fx.profiles(spark, sf).select("profile_id", "float_id", "lat", "lon")
@@ -622,7 +632,9 @@ def collection_summary(spark, sf):
 
 @query
 def storage_summary(spark, sf):
-    return stats.storage_summary(level_listing(spark, sf))
+    """Level buckets of a published store; a damaged one counts as empty."""
+    found = stats.storage_summary(store.level_inventory(spark, damaged(spark, sf)))
+    return found.select("total_files", "zero_byte_files", (F.col("total_size_mb") > 0).alias("has_size"))
 
 
 # --- windows, sorts, sets ----------------------------------------------------
@@ -841,8 +853,9 @@ def insert_ignore(spark, sf):
 
 @query
 def mark_missing_levels(spark, sf):
-    c = fx.catalog(spark, sf)
-    gone = joins.missing_level_files(c, level_listing(spark, sf))
+    root = damaged(spark, sf)
+    c = store.catalog(spark, root)
+    gone = joins.missing_level_files(c, store.level_inventory(spark, root))
     return cat.mark_missing_levels(c, gone).select(
         "profile_id", "parquet_path", round6("data_quality_score").alias("data_quality_score"))
 
@@ -894,17 +907,43 @@ def _stream(spark, sf, name):
     return streams.read_stream(spark, table_path(sf, name), read_table(spark, sf, name).schema)
 
 
+def land_parts(spark, sf, path):
+    """Values in three parts by level and scalars in two, so that profiles spread over batches.
+
+    Every seventh profile lacks its row count and is settled by time, which a last row far ahead drives on.
+    """
+    at = lambda hour: F.lit(f"2024-01-01 {hour:02d}:00:00").cast("timestamp")
+    values, scalars = fx.raw_values(spark, sf), fx.raw_scalars(spark, sf)
+    counts = values.select(*nm.PROFILE_KEYS).unionByName(scalars.select(*nm.PROFILE_KEYS)).groupBy(*nm.PROFILE_KEYS).agg(
+        F.count("*").cast("string").alias("value"))
+    told = counts.where("profile_key % 7 <> 0").withColumns({"name": F.lit(streams.ROW_COUNT), "dtype": F.lit("int64")})
+    beat = spark.range(1).select(F.lit("heartbeat").alias("source_file"), F.lit(-1).cast("bigint").alias("profile_key"),
+                                 F.lit("beat").alias("name"), F.lit("").alias("value"), F.lit("str").alias("dtype"),
+                                 F.lit("2024-02-01").cast("timestamp").alias("landed_at"))
+    for part in range(3):
+        rows = values.where(F.col("level_idx") % 3 == part).withColumn("landed_at", at(part))
+        rows.repartition(4).write.mode("append").parquet(f"{path}/values")
+    half = F.xxhash64("name") % 2 == 0
+    first = scalars.where(half).withColumn("landed_at", at(0))
+    rest = scalars.where(~half).unionByName(told.select(scalars.columns)).withColumn("landed_at", at(2))
+    for rows in (first, rest, beat.select(rest.columns)):
+        rows.repartition(4).write.mode("append").parquet(f"{path}/scalars")
+
+
 @query
 def stream_ingest(spark, sf):
-    # levels land apart from the scalars and before them; their facts are the static side
-    facts = stored(facts_of(spark, sf), "facts")
+    """Profiles that arrive over several batches of two streams, each judged once."""
+    path = work_dir(spark, "landing")
+    land_parts(spark, sf, path)
+    resolved = stored(nm.resolve_variables(fx.raw_variables(spark, sf)), "resolved")
 
-    def judge(batch):
-        return nm.assemble_profiles(nm.resolve_coordinates(batch), facts).withColumn(
+    def judge(facts, scalars):
+        return nm.assemble_profiles(nm.resolve_coordinates(scalars), nm.standard_facts(facts, resolved)).withColumn(
             "reject_reason", quality.reject_reason())
 
-    scalars = fx.scalar_rows(_stream(spark, sf, "orders"))
-    accepted, rejected = streams.stream_ingest(scalars, work_dir(spark, "ingest"), judge)
+    parts = [streams.read_stream(spark, f"{path}/{kind}", spark.read.parquet(f"{path}/{kind}").schema, max_files=4)
+             for kind in ("values", "scalars")]
+    accepted, rejected = streams.stream_ingest(streams.profile_events(*parts), work_dir(spark, "ingest"), judge)
     cols = ["profile_id", "float_id", "lat", "lon", "time_start"]
     return accepted.select(*cols, F.lit("accepted").alias("reason")).unionByName(
         rejected.select(*cols, F.col("reject_reason").alias("reason")))
@@ -916,6 +955,16 @@ def stream_upsert(spark, sf):
     return streams.stream_upsert(changes, work_dir(spark, "upsert"))
 
 
+@query
+def stream_upsert_catalog(spark, sf):
+    """The change stream merged into an existing catalogue, in batches of few files."""
+    old, batch = _old_and_batch(spark, sf)
+    path = work_dir(spark, "changes")
+    batch.repartition(6).write.parquet(path)
+    changes = streams.read_stream(spark, path, batch.schema, max_files=2)
+    return streams.stream_upsert_catalog(changes, old, work_dir(spark, "upsert")).select(*_UPSERT)
+
+
 @query
 def stream_error_rates(spark, sf):
     def errors():
@@ -991,27 +1040,48 @@ def _run(spark, sf):
                       fx.raw_variables(spark, sf))
 
 
+_STORE_COLUMNS = ["profile_id", "float_id", "lat", "lon", "time_start", "n_levels", "variables_csv", "data_quality_score"]
+
+
+def shown(catalog: DataFrame, *more) -> DataFrame:
+    return catalog.select(*_STORE_COLUMNS, *more).withColumnRenamed("variables_csv", "variables")
+
+
 @query
 def ingest_catalog(spark, sf):
     """End to end: publish a whole run, then read the current catalogue back."""
     root = work_dir(spark, "store")
     ing.publish(_run(spark, sf), root, CATALOG_AS_OF, run_id=0)
-    return sinks.current_catalog(spark, root).select(
-        "profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
-        csv("variables").alias("variables"), "data_quality_score")
+    return shown(store.catalog(spark, root))
+
+
+def _part(spark, sf, rows: Column):
+    return ing.ingest(fx.raw_values(spark, sf).where(rows), fx.raw_scalars(spark, sf).where(rows),
+                      fx.raw_variables(spark, sf))
 
 
 def two_runs(spark, sf, root):
-    """Publish the odd and the even profiles as two runs, and the second one twice, as a retry would."""
-    def half(k):
-        rows = F.col("profile_key") % 2 == k
-        return ing.ingest(fx.raw_values(spark, sf).where(rows), fx.raw_scalars(spark, sf).where(rows),
-                          fx.raw_variables(spark, sf))
+    """Publish the files of even and of odd number as two runs, and the second one twice, as a retry would."""
+    for run_id in (0, 1, 1):
+        ing.publish(_part(spark, sf, F.col("profile_key") % 2 == run_id), root, CATALOG_AS_OF, run_id=run_id)
+
+
+def late_retry(spark, sf, root):
+    """Run 0 fails half-way and is tried again only after run 1."""
+    key = F.col("profile_key")
+    ing.publish(_part(spark, sf, (key % 2 == 0) & (key % 3 == 0)), root, CATALOG_AS_OF, run_id=0)
+    ing.publish(_part(spark, sf, key % 2 == 1), root, CATALOG_AS_OF, run_id=1)
+    store.compact(spark, root)
+    ing.publish(_part(spark, sf, key % 2 == 0), root, CATALOG_AS_OF, run_id=0)
 
-    ing.publish(half(0), root, CATALOG_AS_OF, run_id=0)
-    for _ in range(2):
-        ing.publish(half(1), root, CATALOG_AS_OF, run_id=1, old_catalog=spark.read.parquet(
-            f"{sinks.live_runs(spark, root)[0]}/catalog"))
+
+def _with_parts(spark, root):
+    has = lambda name, flag: store.owned_table(spark, root, name).select("profile_id").distinct().withColumn(
+        flag, F.lit(True))
+    rows = store.catalog(spark, root).join(has("levels", "has_levels"), "profile_id", "left").join(
+        has("vectors", "has_vector"), "profile_id", "left")
+    return shown(rows, F.coalesce("has_levels", F.lit(False)).alias("has_levels"),
+                 F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
 
 
 @query
@@ -1019,14 +1089,152 @@ def ingest_two_runs(spark, sf):
     """Two runs and a retry give the catalogue of one run, every row with its levels and its vector."""
     root = work_dir(spark, "store")
     two_runs(spark, sf, root)
-    has = lambda name, flag: sinks.current_table(spark, root, name).select("profile_id").distinct().withColumn(
-        flag, F.lit(True))
-    rows = sinks.current_catalog(spark, root).join(has("levels", "has_levels"), "profile_id", "left").join(
-        has("vectors", "has_vector"), "profile_id", "left")
-    return rows.select("profile_id", "float_id", "lat", "lon", "time_start", "n_levels",
-                       csv("variables").alias("variables"), "data_quality_score",
-                       F.coalesce("has_levels", F.lit(False)).alias("has_levels"),
-                       F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+    return _with_parts(spark, root)
+
+
+@query
+def ingest_late_retry(spark, sf):
+    """A retry of the older run, after a newer one and a compaction, gives the catalogue of one run."""
+    root = work_dir(spark, "store")
+    late_retry(spark, sf, root)
+    return _with_parts(spark, root)
+
+
+@query
+def ingest_incremental(spark, sf):
+    """Two drops, a run that finds nothing new, and one that takes a changed drop again.
+
+    The changed drop lost the values of every third profile, which leave the catalogue with it.
+    """
+    landing_dir, root = work_dir(spark, "landing"), work_dir(spark, "store")
+    first = inc_drop(spark, sf, landing_dir, 0)
+    runs = [inc.ingest_new(spark, landing_dir, root, CATALOG_AS_OF, 0, routed=False)]
+    inc_drop(spark, sf, landing_dir, 1)
+    runs.append(inc.ingest_new(spark, landing_dir, root, CATALOG_AS_OF, 1, routed=False))
+    runs.append(inc.ingest_new(spark, landing_dir, root, CATALOG_AS_OF, 2, routed=False))
+    fx.raw_values(spark, sf).where("profile_key % 2 = 0 AND profile_key % 3 <> 0").write.mode("overwrite").parquet(f"{first}/values")
+    runs.append(inc.ingest_new(spark, landing_dir, root, CATALOG_AS_OF, 3, routed=False))
+    idle = F.lit(runs[2] is None)
+    return shown(store.catalog(spark, root), F.col("run").cast("bigint").alias("run"), idle.alias("idle_when_nothing_is_new"))
+
+
+def inc_drop(spark, sf, landing_dir, parity):
+    """Land the files of one parity as a drop."""
+    path, rows = f"{landing_dir}/drop=d{parity}", F.col("profile_key") % 2 == parity
+    fx.raw_values(spark, sf).where(rows).write.parquet(f"{path}/values")
+    fx.raw_scalars(spark, sf).where(rows).write.parquet(f"{path}/scalars")
+    fx.raw_variables(spark, sf).where(fx.file_number() % 2 == parity).write.parquet(f"{path}/variables")
+    return path
+
+
+def degraded_run(spark, sf):
+    values, scalars, files = degraded(spark, sf)
+    n = fx.file_number()
+    variables = fx.raw_variables(spark, sf).withColumns({
+        "var_name": F.when(n % 10 == 3, F.concat(F.lit("x-"), F.col("var_name"))).otherwise(F.col("var_name")),
+        "source_file": F.when(n % 10 == 7, F.concat(F.lit("batch_"), n.cast("string"), F.lit("_12.5N_65W.nc")))
+        .otherwise(F.col("source_file"))})
+    return routing.ingest_routed(values, scalars, variables, files)
+
+
+@query
+def ingest_with_fallback(spark, sf):
+    """Degraded files, each by the first strategy that yields something, through one ingest."""
+    return degraded_run(spark, sf).judged.select(
+        "profile_id", "lat", "lon", "n_levels", "variables_csv", "extraction_method", "data_quality_score",
+        F.coalesce("reject_reason", F.lit("accepted")).alias("reason"))
+
+
+@query
+def ingest_fallback_values(spark, sf):
+    """What the strategies read: values per profile and name, standard or not."""
+    run = degraded_run(spark, sf).stored()
+    names = [n.lower() for n in nm.STANDARD_NAMES]
+    long = run.levels.select("profile_id", F.inline(F.array(*[
+        F.struct(F.lit(n.upper()).alias("name"), F.col(n).alias("value")) for n in names])))
+    other = run.extra_values.select("profile_id", F.col("var_name").alias("name"), "value")
+    return long.unionByName(other).where("value IS NOT NULL").groupBy("profile_id", "name").agg(
+        F.count("*").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+@query
+def ingest_methods(spark, sf):
+    """Profiles and mean score by the strategy that took them."""
+    return stats.method_stats(degraded_run(spark, sf).profiles)
+
+
+# --- the published store ------------------------------------------------------
+_STORES: dict = {}
+
+
+def _once(spark, sf, build):
+    """The root of a store that ``build`` fills, written once per application: an input of the queries."""
+    key = (spark.sparkContext.applicationId, sf, build.__name__)
+    if key not in _STORES:
+        root = work_dir(spark, "store")
+        build(spark, sf, root)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def published(spark, sf):
+    return _once(spark, sf, two_runs)
+
+
+def damaged(spark, sf):
+    return _once(spark, sf, damage)
+
+
+def damage(spark, sf, root):
+    """A store of two runs of which a bucket of levels is lost and the files of another one are cut short."""
+    two_runs(spark, sf, root)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = files.Path(store.part_of(store.live(spark, root)[1], "levels"))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(files.Path(folder, "float_bucket=3"), True)
+    parts = [s.getPath() for s in fs.listStatus(files.Path(folder, "float_bucket=7")) if s.getPath().getName().endswith(".parquet")]
+    for part in parts:
+        out = fs.create(part, True)
+        out.write(0)
+        out.close()
+
+
+@query
+def store_metrics(spark, sf):
+    return stats.catalog_metrics(store.catalog(spark, published(spark, sf)), CATALOG_AS_OF)
+
+
+@query
+def store_overview(spark, sf):
+    return stats.overview_metrics(store.catalog(spark, published(spark, sf)))
+
+
+@query
+def store_collection(spark, sf):
+    return stats.collection_summary(store.catalog(spark, published(spark, sf)))
+
+
+@query
+def store_depth_series(spark, sf):
+    root = published(spark, sf)
+    return stats.depth_series(store.catalog(spark, root), store.owned_table(spark, root, "levels"))
+
+
+@query
+def store_groups(spark, sf):
+    """Published profiles by parameter group, and the words for their variables."""
+    rows = store.catalog(spark, published(spark, sf)).select("profile_id", "variables", "variables_csv")
+    parts = [filters.variables_contain(rows, group=g).withColumn("rule", F.lit(g)) for g in ("core", "bgc", "nutrients")]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.select("profile_id", "rule", csv(text.parameter_phrases("variables_csv")).alias("phrases"))
+
+
+@query
+def store_health(spark, sf):
+    """The checks over a store with damaged levels, its own errors and vectors."""
+    root = damaged(spark, sf)
+    return health.health_issues(store.catalog(spark, root), store.errors(spark, root), store.level_inventory(spark, root),
+                                store.owned_table(spark, root, "vectors"), CATALOG_AS_OF)
 
 
 @query

@@ -225,6 +225,12 @@ def upper_alias_rows() -> list[tuple]:
     return list(seen.items())
 
 
+def group_names(group: str) -> list[str]:
+    """Variables of a parameter group, by their own and by their standard names."""
+    known, names = dict(upper_alias_rows()), PARAMETER_GROUPS[group]
+    return list(dict.fromkeys([*names, *(known[n] for n in names if n in known)]))
+
+
 def regions(spark: SparkSession, ruleset: str = "base") -> DataFrame:
     return table(spark, region_rows(ruleset), "priority, name, lat_min, lat_max, lon_min, lon_max")
 

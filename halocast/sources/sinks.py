@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocast.operators.filters import with_cells
 
 
 def float_bucket(n: int = 32, col: str = "float_id"):
-    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    """Bucket of a float by a digest that any engine can compute."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(col).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(n)).cast("int")
 
 
 def write_levels(levels: DataFrame, path: str, measures: list[str], n_buckets: int = 32) -> None:
@@ -101,19 +100,6 @@ def current_catalog(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{live_runs(spark, root)[-1]}/catalog")
 
 
-def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Levels, vectors or errors of all live runs, with ``run``."""
-    parts = [spark.read.parquet(f"{path}/{name}").withColumn(
-        "run", F.lit(int(path.split("/run=")[-1].split("/")[0]))) for path in live_runs(spark, root)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def level_buckets(spark: SparkSession, root: str) -> DataFrame:
-    """The level buckets that live runs hold, named as ``parquet_path`` names them."""
-    return current_table(spark, root, "levels").select("run", "float_bucket").distinct().select(
-        F.concat(F.lit("run="), F.col("run").cast("string"), F.lit("/float_bucket="), F.col("float_bucket").cast("string")).alias("path"))
-
-
 def write_catalog_version(catalog: DataFrame, path: str) -> None:
     """A new catalogue version, by 10-degree band and sorted inside files.
 

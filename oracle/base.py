@@ -163,6 +163,18 @@ CTES: dict[str, str] = {
         max(value) FILTER (std_name = 'PRESSURE') AS pressure,
         max(value) FILTER (std_name = 'OXYGEN') AS oxygen
         FROM standard_values WHERE value IS NOT NULL GROUP BY ALL""",
+    "stored": """SELECT *, profile_key % 2 AS run, CAST('0x' || substr(md5(float_id), 1, 8) AS BIGINT) % 32 AS bucket
+        FROM scored WHERE reason = 'accepted'""",
+    "store_catalog": """SELECT profile_id, float_id, lat, lon, time_start, n_levels, variables, source_file,
+        array_to_string(variables, ',') AS variables_csv, data_quality_score, run, bucket,
+        'run=' || run || '/float_bucket=' || bucket AS parquet_path, max_depth
+        FROM stored LEFT JOIN (SELECT source_file, profile_key, max(pressure) AS max_depth FROM aligned GROUP BY ALL)
+          USING (source_file, profile_key)""",
+    "store_listing": """SELECT DISTINCT parquet_path AS path, CASE WHEN run = 1 AND bucket = 7 THEN 0 ELSE 1 END AS length
+        FROM store_catalog WHERE NOT (run = 1 AND bucket = 3)""",
+    "store_missing": "SELECT profile_id, parquet_path FROM store_catalog WHERE run = 1 AND bucket = 3",
+    "store_vectors": "SELECT profile_id FROM store_catalog",
+    "store_errors": "SELECT CASE WHEN reason = 'no_data' THEN 'NO_PROFILES' ELSE 'CRITICAL_ERROR' END AS error_type FROM judged WHERE reason <> 'accepted'",
     "vectors": "SELECT 'P' || vec_id AS profile_id, vec_id, embedding, label FROM embeddings",
     "errors": project(fx.ERROR_COLUMNS, "events") + " WHERE event_type = 'error'",
     "batches": project(fx.BATCH_COLUMNS, "events"),

@@ -149,7 +149,7 @@ def _names(expr: str, where: str = "true") -> str:
 
 _known = "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180"
 _by_name = """CASE WHEN contains(source_file, '12.5N_65W') THEN {0} END"""
-S["fallback_extract"] = sql(f"""WITH
+_fallback = (f"""WITH
  bad_facts AS (SELECT {_renamed} AS source_file, profile_key, n_trimmed,
    CASE WHEN {_fno} % 10 = 3 THEN 'x-' || var_name ELSE var_name END AS var_name
    FROM var_facts WHERE n_values > 0),
@@ -198,6 +198,7 @@ S["fallback_extract"] = sql(f"""WITH
   coalesce({_known}, false) AS accepted
  FROM (SELECT *, min(priority) OVER (PARTITION BY source_file) AS best FROM cand)
  WHERE priority = best""")
+S["fallback_extract"] = sql(_fallback)
 S["any_numeric_variables"] = sql("""SELECT c.source_file, upper(c.var_name) AS var_name,
  count(*) AS n_rows, count(value) AS n_values FROM cleaned c
  JOIN variables v ON v.source_file = c.source_file AND v.var_name = c.var_name
@@ -297,9 +298,10 @@ S["variables_contain"] = sql("""SELECT profile_id, 'CHLA' AS rule FROM profiles
 # --- joins -------------------------------------------------------------------
 S["candidates_semi_catalog"] = sql("""SELECT profile_id, label FROM vectors WHERE profile_id IN
  (SELECT profile_id FROM profiles WHERE year(time_start) = 1999)""")
-S["skip_loaded"] = sql("""SELECT DISTINCT source_file FROM profiles
- WHERE source_file NOT IN (SELECT source_file FROM profiles WHERE time_start < TIMESTAMP '1998-01-01')""")
-S["missing_level_files"] = sql("SELECT profile_id, parquet_path FROM missing")
+S["skip_loaded"] = sql("""SELECT DISTINCT source_file FROM profiles WHERE (id % 500) % 3 = 0""")
+S["missing_level_files"] = sql("SELECT profile_id, parquet_path FROM store_missing")
+S["reconcile_levels"] = sql("""SELECT DISTINCT run, bucket AS float_bucket, parquet_path AS path,
+ CASE bucket WHEN 3 THEN 'missing' ELSE 'damaged' END AS state FROM store_catalog WHERE run = 1 AND bucket IN (3, 7)""")
 S["profile_levels"] = sql("""SELECT l.profile_id, float_id, lat, lon, pres, temp, psal, doxy
  FROM levels l JOIN profiles p USING (profile_id)""")
 S["catalog_vector_reconcile"] = sql("""SELECT
@@ -400,9 +402,8 @@ S["collection_summary"] = sql(f"""SELECT count(*) AS profile_count,
  min(time_start) AS time_from, max(time_start) AS time_to, min(lat) AS lat_min,
  max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max, max(max_depth) AS depth_max
  FROM catalog""", "profiles")
-S["storage_summary"] = sql("""SELECT count(*) AS total_files,
- round(CAST(sum(length) AS BIGINT) / 1024 / 1024, 2) AS total_size_mb,
- count(*) FILTER (length = 0) AS zero_byte_files FROM listing""")
+S["storage_summary"] = sql("""SELECT count(*) AS total_files, count(*) FILTER (length = 0) AS zero_byte_files,
+ true AS has_size FROM store_listing""")
 
 # --- windows, sorts, sets ----------------------------------------------------
 S["latest_per_profile"] = sql("""SELECT * FROM batches QUALIFY row_number()
@@ -568,10 +569,9 @@ S["insert_ignore"] = sql(f"""SELECT profile_id, float_id, extraction_method, dat
  UNION ALL SELECT profile_id, NULL, extraction_method, data_quality_score, NULL, updated_at, seq
  FROM ({_first}) WHERE profile_id NOT IN (SELECT profile_id FROM catalog)""")
 S["mark_missing_levels"] = sql(f"""SELECT profile_id,
- CASE WHEN profile_id IN (SELECT profile_id FROM missing) THEN NULL ELSE parquet_path END
-  AS parquet_path,
- {r6('''CASE WHEN profile_id IN (SELECT profile_id FROM missing) THEN data_quality_score * 5e-1
-  ELSE data_quality_score END''')} AS data_quality_score FROM catalog""")
+ CASE WHEN run = 1 AND bucket = 3 THEN NULL ELSE parquet_path END AS parquet_path,
+ {r6("CASE WHEN run = 1 AND bucket = 3 THEN data_quality_score * 5e-1 ELSE data_quality_score END")}
+  AS data_quality_score FROM store_catalog""")
 _orphan = "((parquet_path IS NULL OR parquet_path = '') AND extraction_method <> 'minimal_fallback')"
 S["mark_orphans"] = sql(f"""SELECT profile_id, {r6(f'''CASE WHEN {_orphan}
  THEN least(data_quality_score, 2e-1) ELSE data_quality_score END''')} AS data_quality_score,
@@ -590,6 +590,7 @@ S["seed_catalog"] = sql("""SELECT b.profile_id, NULL AS float_id, NULL AS lat, N
 # --- streams -----------------------------------------------------------------
 S["stream_ingest"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, reason FROM judged""")
 S["stream_upsert"] = S["latest_per_profile"]
+S["stream_upsert_catalog"] = S["upsert_catalog"]
 _watermark = "(SELECT max(occurred_at) - INTERVAL 1 HOUR FROM errors)"
 S["stream_error_rates"] = sql(f"""SELECT * FROM (
  SELECT 'tumbling' AS kind, date_trunc('day', occurred_at) AS window_start,
@@ -745,6 +746,84 @@ S["ingest_catalog"] = sql("""SELECT profile_id, float_id, lat, lon, time_start,
 S["ingest_two_runs"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
  array_to_string(variables, ',') AS variables, data_quality_score, true AS has_levels,
  true AS has_vector FROM scored WHERE reason = 'accepted'""")
+S["ingest_late_retry"] = S["ingest_two_runs"]
+S["ingest_incremental"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
+ array_to_string(variables, ',') AS variables, data_quality_score,
+ CASE WHEN profile_key % 2 = 0 THEN 3 ELSE 1 END AS run, true AS idle_when_nothing_is_new
+ FROM scored WHERE reason = 'accepted' AND (profile_key % 2 = 1 OR profile_key % 3 <> 0)""")
+# the candidates of the fallback, then what the chosen strategy of each file reads
+_cand = _fallback[:_fallback.index(" SELECT source_file, profile_id, lat, lon, n_levels, variables_csv, extraction_method,\n  coalesce")].rstrip()
+_std_of = "coalesce(std, regexp_replace(upper(var_name), '[^A-Z0-9_]', '', 'g'))"
+_routed = sql(f"""{_cand},
+ picked AS (SELECT source_file, min(priority) AS best FROM cand GROUP BY 1),
+ bad_values AS (SELECT {_renamed} AS source_file, profile_key, level_idx, value,
+   CASE WHEN {_fno} % 10 = 3 THEN 'x-' || var_name ELSE var_name END AS var_name
+   FROM cleaned WHERE value IS NOT NULL),
+ counted AS (SELECT source_file, profile_key, var_name, best, max(level_idx) + 1 AS n_trimmed
+   FROM bad_values JOIN picked USING (source_file) GROUP BY ALL),
+ plan AS (
+   SELECT DISTINCT source_file, var_name, std AS name, NULL AS only_key
+   FROM counted JOIN {_alias_upper} ON up = var_name WHERE best = 0 AND var_name IN ('TEMP', 'PSAL', 'DOXY', 'PRES')
+   UNION ALL SELECT source_file, var_name, std_name, NULL FROM resolved JOIN picked USING (source_file) WHERE best = 1
+   UNION ALL SELECT source_file, var_name, {_std_of}, profile_key FROM counted
+   LEFT JOIN {_alias_upper} ON up = upper(var_name)
+   WHERE best IN (2, 3) QUALIFY row_number() OVER (PARTITION BY source_file, var_name
+     ORDER BY n_trimmed DESC, profile_key) = 1 AND (best = 2 OR n_trimmed > 1)),
+ read AS (SELECT source_file, CASE WHEN only_key IS NULL THEN profile_key ELSE 0 END AS profile_key, name, level_idx, value
+   FROM bad_values JOIN plan USING (source_file, var_name) WHERE only_key IS NULL OR only_key = profile_key),
+ per_name AS (SELECT source_file, profile_key, name, max(level_idx) + 1 AS n_trimmed, count(*) AS n_values,
+   min(value) AS least, max(value) AS greatest FROM read GROUP BY ALL),
+ measured AS (SELECT source_file, profile_key, max(n_trimmed) AS n_levels, sum(n_trimmed) AS n_cells,
+   sum(n_values) AS n_values, list_sort(list(name)) AS names,
+   count(*) FILTER (name IN ('TEMPERATURE', 'SALINITY', 'PRESSURE')) AS n_key FROM per_name GROUP BY ALL),
+ owners AS (
+   SELECT p.source_file, p.profile_key, best, {_stem_of.replace('source_file', 'p.source_file')} || '_profile_' || p.profile_key AS profile_id,
+     CASE best WHEN 0 THEN e.lat ELSE p.lat END AS lat, CASE best WHEN 0 THEN e.lon ELSE p.lon END AS lon
+   FROM place p JOIN picked k ON k.source_file = p.source_file LEFT JOIN exact_place e
+     ON e.source_file = p.source_file AND e.profile_key = p.profile_key WHERE best <= 1
+   UNION ALL SELECT k.source_file, 0, best, {_stem_of.replace('source_file', 'k.source_file')} || CASE best WHEN 2 THEN '_simple_profile' WHEN 3 THEN '_any_data'
+     ELSE '_minimal' END, CASE best WHEN 2 THEN f.lat WHEN 3 THEN 125e-1 ELSE {_by_name.format('125e-1').replace('source_file', 'k.source_file')} END,
+     CASE best WHEN 2 THEN f.lon WHEN 3 THEN -65e0 ELSE {_by_name.format('-65e0').replace('source_file', 'k.source_file')} END
+   FROM picked k LEFT JOIN first_place f USING (source_file) WHERE best >= 2),
+ routed AS (SELECT o.*, coalesce(n_levels, 0) AS n_levels, coalesce(names, []) AS names,
+   ['exact_schema', 'standard', 'simple_variables', 'any_numeric', 'minimal_fallback'][best + 1] AS extraction_method,
+   CASE WHEN coalesce(n_cells, 0) = 0 THEN 1e-1 ELSE round(CAST(n_values AS DOUBLE) / n_cells * (5e-1 + 5e-1 * n_key / 3)
+     * CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND NOT ({_known}) THEN 5e-1 ELSE 1e0 END, 6) END AS data_quality_score,
+   CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing_coordinates' WHEN NOT ({_known}) THEN 'coordinates_out_of_range'
+     WHEN n_cells IS NULL AND best < 4 THEN 'no_data' ELSE 'accepted' END AS reason
+   FROM owners o LEFT JOIN measured USING (source_file, profile_key))""" + " {0}")
+S["ingest_with_fallback"] = _routed.replace("{0}", """SELECT profile_id, lat, lon, CAST(n_levels AS BIGINT) AS n_levels,
+ array_to_string(names, ',') AS variables_csv, extraction_method, data_quality_score, reason FROM routed""")
+S["ingest_fallback_values"] = _routed.replace("{0}", """SELECT profile_id, name, n_values, least, greatest
+ FROM per_name JOIN routed USING (source_file, profile_key) WHERE reason = 'accepted'""")
+S["ingest_methods"] = _routed.replace("{0}", f"""SELECT extraction_method, count(*) AS count,
+ {mean6('data_quality_score')} AS avg_quality FROM routed WHERE reason = 'accepted' GROUP BY 1""")
+
+# --- the published store -----------------------------------------------------
+S["store_metrics"] = sql(f"""SELECT count(*) AS total_profiles, {mean6('n_levels')} AS avg_levels,
+ count(DISTINCT float_id) AS unique_floats, {mean6('data_quality_score')} AS avg_quality, 0 AS records_today
+ FROM store_catalog""")
+S["store_overview"] = sql(f"""SELECT count(*) AS matching_profiles, count(DISTINCT {LABEL}) AS n_regions,
+ (SELECT count(DISTINCT v) FROM (SELECT unnest(variables) AS v FROM store_catalog)) AS n_parameters,
+ max(max_depth) AS max_depth FROM store_catalog""")
+S["store_collection"] = sql(f"""SELECT count(*) AS profile_count,
+ (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT unnest(variables) AS v FROM store_catalog)) AS variables_available,
+ (SELECT string_agg(r, ',' ORDER BY r) FROM (SELECT DISTINCT {LABEL} AS r FROM store_catalog)) AS regions_covered,
+ min(time_start) AS time_from, max(time_start) AS time_to, min(lat) AS lat_min,
+ max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max, max(max_depth) AS depth_max
+ FROM store_catalog""")
+S["store_depth_series"] = sql("""SELECT s.profile_id, pressure AS depth, temperature, salinity, oxygen
+ FROM aligned a JOIN stored s ON a.source_file = s.source_file AND a.profile_key = s.profile_key""")
+S["store_groups"] = sql("""SELECT profile_id, rule, array_to_string(list_sort(list_filter([
+  CASE WHEN list_contains(variables, 'TEMPERATURE') THEN 'temperature' END, CASE WHEN list_contains(variables, 'SALINITY') THEN 'salinity' END,
+  CASE WHEN list_contains(variables, 'OXYGEN') THEN 'dissolved oxygen' END], lambda w: w IS NOT NULL)), ',') AS phrases
+ FROM store_catalog JOIN (VALUES ('core', ['TEMPERATURE', 'SALINITY', 'PRESSURE']), ('bgc', ['OXYGEN', 'NITRATE', 'CHLOROPHYLL', 'PH']),
+  ('nutrients', ['NITRATE'])) AS g(rule, names) ON list_has_any(variables, names)""")
+_store_issues = _issues.replace("FROM catalog", "FROM store_catalog").replace("FROM missing", "FROM store_missing").replace(
+    "FROM listing", "FROM store_listing").replace("FROM vectors", "FROM store_vectors")
+_types = "SELECT error_type, count(*) AS count, count(*) AS count_24h FROM store_errors GROUP BY 1"
+_old_types = S['error_stats'][S['error_stats'].index('SELECT error_type'):]
+S["store_health"] = sql(f"{_store_issues.replace(_old_types, _types)} SELECT *, {_advice} AS recommendation FROM found")
 S["ingest_levels"] = sql("""SELECT s.profile_id, s.float_id, a.level_idx, temperature, salinity,
  pressure, oxygen FROM aligned a JOIN scored s ON a.source_file = s.source_file
  AND a.profile_key = s.profile_key WHERE s.reason = 'accepted'""")

@@ -4,7 +4,8 @@ import json
 
 from halocast.operators.joins import missing_level_files
 from halocast.session import work_dir
-from halocast.sources import inventory, landing, sinks
+from halocast.sources import inventory, landing, sinks, store
+from pyspark.sql import functions as F
 
 
 def test_inventory_lists_by_extension(spark, tmp_path):
@@ -98,14 +99,74 @@ def test_store_over_runs_and_a_retry(spark, sf):
 
     root = work_dir(spark, "store")
     registry.two_runs(spark, sf, root)
-    catalog = sinks.current_catalog(spark, root)
+    catalog = store.catalog(spark, root)
     assert catalog.count() == registry.ingest_catalog(spark, sf).count()
     for name in ("levels", "vectors"):
-        held = sinks.current_table(spark, root, name).select("profile_id").distinct()
+        held = store.owned_table(spark, root, name).select("profile_id").distinct()
         assert catalog.join(held, "profile_id", "left_anti").count() == 0
-    errors = sinks.current_table(spark, root, "errors")
-    assert errors.count() == registry._run(spark, sf).rejected.count()  # the retry adds none
-    assert joins.missing_level_files(catalog, sinks.level_buckets(spark, root)).count() == 0
-    lost = sinks.level_buckets(spark, root).where("path <> 'run=1/float_bucket=3'")
-    missing = joins.missing_level_files(catalog, lost)
+    assert store.errors(spark, root).count() == registry._run(spark, sf).rejected.count()  # the retry adds none
+    assert store.reconcile_levels(spark, root).where("state <> 'present'").count() == 0
+    inventory = store.level_inventory(spark, root)
+    assert joins.missing_level_files(catalog, inventory).count() == 0
+    missing = joins.missing_level_files(catalog, inventory.where("path <> 'run=1/float_bucket=3'"))
     assert missing.count() > 0 and {r.parquet_path for r in missing.collect()} == {"run=1/float_bucket=3"}
+
+
+def test_compacted_catalogue_is_read_as_it_is(spark, sf):
+    from compare import plan
+    from halocast.operators.filters import bbox_filter
+    from halocast.plans import registry
+
+    root = work_dir(spark, "store")
+    registry.two_runs(spark, sf, root)
+    merged = {r.profile_id: r.run for r in store.catalog(spark, root).collect()}
+    store.compact(spark, root)
+    compacted = store.catalog(spark, root)
+    assert {r.profile_id: r.run for r in compacted.collect()} == merged
+    text = plan(bbox_filter(compacted, (10, 25, 50, 75)).select("profile_id"))
+    assert "PartitionFilters: [isnotnull(cell_lat" in text and "Exchange" not in text
+    # a newer run is merged over the compacted version; a retry of an older one is not hidden by it
+    registry.ing.publish(registry._part(spark, sf, F.col("profile_key") % 500 == 4), root, "2024-01-01", run_id=2)
+    late = store.catalog(spark, root)
+    assert late.count() == len(merged) and {r.run for r in late.where("source_file = 'batch_4.nc'").collect()} == {2}
+    registry.ing.publish(registry._part(spark, sf, (F.col("profile_key") % 2 == 0) & (F.col("profile_key") % 500 != 6)), root,
+                         "2024-01-02", run_id=0)
+    assert store.catalog(spark, root).where("source_file = 'batch_6.nc'").count() == 0
+
+
+def test_created_at_stays_and_a_vanished_profile_goes(spark):
+    changes = spark.createDataFrame(
+        [("a", "f", 0, 1, "x"), ("b", "f", 0, 1, "x"), ("a", "f", 1, 5, "y"), ("c", "g", 0, 1, "x"), ("c", "h", 1, 7, "z")],
+        "profile_id string, source_file string, run int, created_at int, note string").withColumns(
+        {"seq": F.lit(0), "lat": F.lit(1.0), "lon": F.lit(2.0)})
+    sources = spark.createDataFrame([("f", 0), ("f", 1), ("g", 0), ("h", 1)], "source_file string, run int")
+    got = {r.profile_id: (r.created_at, r.note, r.run) for r in store.merge_changes(changes, sources).collect()}
+    assert got == {"a": (1, "y", 1), "c": (1, "z", 1)}  # b isn't in f any more; c is in two files
+
+
+def test_ledger_of_an_empty_store(spark):
+    root = work_dir(spark, "store")
+    assert store.ledger(spark, root).count() == 0 and store.catalog(spark, root).count() == 0
+
+
+def test_pending_files(spark):
+    at = "timestamp'2024-01-01'"
+    listed = spark.sql(f"SELECT * FROM VALUES ('a', 1, {at}), ('b', 1, {at}), ('c', 1, {at}) AS t(path, length, modified)")
+    known = spark.sql(f"SELECT * FROM VALUES ('a', 1, {at}, 0), ('b', 2, {at}, 0), ('c', 1, timestamp'2023-01-01', 0) AS t(path, length, modified, run)")
+    assert {r.path for r in store.pending(listed, known).collect()} == {"b", "c"}
+
+
+def test_second_ingest_reads_no_row(spark, sf, monkeypatch):
+    """Where nothing is new no landed row is read, no run entered; a new file takes its drop only."""
+    from halocast.plans import incremental as inc, registry
+
+    landing_dir, root = work_dir(spark, "landing"), work_dir(spark, "store")
+    registry.inc_drop(spark, sf, landing_dir, 0)
+    assert inc.ingest_new(spark, landing_dir, root, "2024-01-01", 0) is not None
+    monkeypatch.setattr(inc, "read_drops", None)
+    assert inc.ingest_new(spark, landing_dir, root, "2024-01-02", 1) is None
+    assert len(store.live(spark, root)) == 1
+    assert {(r.run, r.state) for r in store.ledger(spark, root).collect()} == {(0, "loaded")}
+    monkeypatch.undo()
+    registry.inc_drop(spark, sf, landing_dir, 1)
+    assert inc.new_drops(spark, landing_dir, root) == ["d1"]
