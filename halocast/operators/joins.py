@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def heavy_keys(weights: DataFrame, keys: list[str], weight: str = "n", parts: int = 64) -> DataFrame:
+    """(keys.., _fanout) of the keys that hold more than one of ``parts`` shares of all rows.
+
+    ``weights`` has a row per key with its measured number of rows. A key of s shares is spread over 2 s tasks; there are
+    less than ``parts`` such keys, whatever the data, so the table may be sent to all tasks.
+    """
+    share = weights.agg(F.greatest(F.sum(weight) / parts, F.lit(1.0))).scalar()
+    return weights.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) * 2 / share).cast("int").alias("_fanout"))
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str],
-                how: str = "inner", fanout: int = 8) -> DataFrame:
-    """Join ``big`` to ``small`` with each key split over ``fanout`` tasks.
+                how: str = "inner", fanout: int = 8, weights: DataFrame | None = None) -> DataFrame:
+    """Join ``big`` to ``small`` with the rows of a key split over several tasks.
 
     ``small`` has few rows per key (one, usually) and is repeated per salt;
-    ``big`` is salted by ``spread_by``, columns that vary inside a key. When
-    ``small`` turns out to fit a broadcast, Spark broadcasts it and nothing is
-    shuffled.
+    ``big`` is salted by ``spread_by``, columns that vary inside a key. With ``weights`` (a measured number of rows ``n``
+    per key) each heavy key is split by its own share of the rows and the others are not; without, every key over ``fanout``
+    tasks. When ``small`` turns out to fit a broadcast, Spark broadcasts it and nothing is shuffled.
     """
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(fanout)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(fanout - 1)))
-    salted_small = small.withColumn("_salt", salts)
+    spread = F.xxhash64(*spread_by)
+    if weights is None:
+        salted_big = big.withColumn("_salt", F.pmod(spread, F.lit(fanout)).cast("int"))
+        salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
+        return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
+    heavy = F.broadcast(heavy_keys(weights, keys))
+    fan = F.coalesce("_fanout", F.lit(1))
+    salted_big = big.join(heavy, keys, "left").withColumn("_salt", F.pmod(spread, fan).cast("int")).drop("_fanout")
+    salted_small = small.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fanout")
     return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
 
 

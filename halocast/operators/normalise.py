@@ -49,66 +49,82 @@ def resolve_coordinates(raw_scalars: DataFrame, exclude_qc: bool = True) -> Data
         first("platform").alias("platform"))
 
 
-def detect_structure(raw_variables: DataFrame, ruleset: str = "robust") -> DataFrame:
-    """Profile and level dimension of each file, by dimension name priority."""
-    dims = rules.PROFILE_DIMS[ruleset]
-
+def detect_structures(raw_variables: DataFrame, rulesets: list[str]) -> DataFrame:
+    """Profile and level dimension of each file by several rule sets, in one pass; one row per file and rule set."""
     def place(name: Column, order: list[str]) -> Column:
         found = F.array_position(F.array(*[F.lit(d) for d in order]), name)
         return F.when(found > 0, found)
 
     one = raw_variables.select(
-        "source_file", "var_name", F.col("dims")[0].alias("lead_dim"),
-        F.col("shape")[0].alias("lead_size"), F.size("dims").alias("n_dims"),
+        "source_file", "var_name", F.col("shape")[0].alias("lead_size"), F.size("dims").alias("n_dims"),
         F.explode(F.arrays_zip("dims", "shape")).alias("d"),
     ).select("*", F.col("d.dims").alias("dim"), F.col("d.shape").alias("size"))
-    rank = place(F.col("dim"), dims)
-    if ruleset == "ultra":
-        rank = F.when(F.col("size") > 1, rank)
     level_rank = place(F.col("dim"), rules.LEVEL_DIMS)
-    found = one.groupBy("source_file").agg(
-        F.min_by("dim", rank).alias("profile_dim"),
-        F.min_by("size", rank).alias("dim_size"),
-        F.min_by("dim", level_rank).alias("level_dim"),
-        F.max(F.when((F.col("var_name") == "TEMP") & (F.col("n_dims") >= 2), F.col("lead_size")))
-        .alias("temp_lead"),
-    )
-    n = F.col("dim_size")
-    if ruleset == "optimized":
-        n = F.coalesce(n, F.col("temp_lead"))
-    return found.select(
-        "source_file", "profile_dim", "level_dim",
-        F.coalesce(n, F.lit(1)).cast("bigint").alias("n_profiles"),
-        F.when(F.col("profile_dim").isNotNull(), "multi_profile").otherwise("single_profile")
-        .alias("profile_structure"),
-    )
+    parts = [F.min_by("dim", level_rank).alias("level_dim"),
+             F.max(F.when((F.col("var_name") == "TEMP") & (F.col("n_dims") >= 2), F.col("lead_size"))).alias("temp_lead")]
+    for ruleset in rulesets:
+        rank = place(F.col("dim"), rules.PROFILE_DIMS[ruleset])
+        if ruleset == "ultra":
+            rank = F.when(F.col("size") > 1, rank)
+        parts.append(F.min_by(F.struct("dim", "size"), rank).alias(f"_{ruleset}"))
+    found = one.groupBy("source_file").agg(*parts)
+
+    def row(ruleset: str) -> Column:
+        best = F.col(f"_{ruleset}")
+        n = F.coalesce(best["size"], F.col("temp_lead")) if ruleset == "optimized" else best["size"]
+        return F.struct(
+            F.lit(ruleset).alias("ruleset"), best["dim"].alias("profile_dim"), "level_dim",
+            F.coalesce(n, F.lit(1)).cast("bigint").alias("n_profiles"),
+            F.when(best["dim"].isNotNull(), "multi_profile").otherwise("single_profile").alias("profile_structure"))
+
+    return found.select("source_file", F.inline(F.array(*map(row, rulesets))))
 
 
-def split_profiles(flat_values: DataFrame, raw_variables: DataFrame) -> DataFrame:
+def detect_structure(raw_variables: DataFrame, ruleset: str = "robust") -> DataFrame:
+    """Profile and level dimension of each file, by dimension name priority."""
+    return detect_structures(raw_variables, [ruleset]).drop("ruleset")
+
+
+def split_profiles(flat_values: DataFrame, raw_variables: DataFrame, orientation: str = "names",
+                   profile_counts: DataFrame | None = None) -> DataFrame:
     """Flat array positions to (profile, level).
 
-    [profile, level] order unless the dimension names say [level, profile].
-    One-dimensional data belongs to every profile of its file.
+    ``names``: [profile, level] order unless the dimension names say [level, profile]. ``shape``: names don't count; with
+    several profiles the side as long as their number is the profiles (the first side if both are; the values of
+    the first row belong to every profile if none is), with one profile the longer side is the levels (the first if equal)
+    and the first row or column across is read. The number of profiles comes from ``profile_counts`` (source_file, n_profiles),
+    else from the dimension names, else from the leading side of TEMP, else it is 1. One-dimensional data belongs to
+    every profile of its file.
     """
-    structure = detect_structure(raw_variables).select("source_file", "n_profiles")
+    structure = detect_structure(raw_variables, "robust" if orientation == "names" else "optimized").select("source_file", "n_profiles")
+    if profile_counts is not None:
+        counts = profile_counts.select("source_file", F.col("n_profiles").alias("_counted"))
+        structure = structure.join(counts, "source_file", "left").select(
+            "source_file", F.coalesce("_counted", "n_profiles").cast("bigint").alias("n_profiles"))
     profile_names = [F.lit(d) for d in rules.PROFILE_DIMS["robust"]]
     level_names = [F.lit(d) for d in rules.LEVEL_DIMS]
+    first, second, n = F.col("shape")[0], F.try_element_at("shape", F.lit(2)), F.col("n_profiles")
+    flat = F.size("dims") > 1
+    if orientation == "names":
+        swapped = flat & (F.coalesce(F.try_element_at("dims", F.lit(2)).isin(profile_names), F.lit(False)) | F.col("dims")[0].isin(level_names))
+        shared = F.lit(False)
+    else:
+        swapped = flat & F.when(n > 1, (first != n) & (second == n)).otherwise(first >= second)
+        shared = flat & (n > 1) & (first != n) & (second != n)
     shapes = raw_variables.join(structure, "source_file").select(
-        "source_file", "var_name", "n_profiles", F.size("dims").alias("n_dims"),
-        F.col("shape")[0].alias("lead"), F.try_element_at("shape", F.lit(2)).alias("trail"),
-        ((F.size("dims") > 1)
-         & (F.coalesce(F.try_element_at("dims", F.lit(2)).isin(profile_names), F.lit(False))
-            | F.col("dims")[0].isin(level_names))).alias("swapped"),
-    )
+        "source_file", "var_name", "n_profiles", F.size("dims").alias("n_dims"), second.alias("trail"),
+        swapped.alias("swapped"), shared.alias("shared"))
     joined = spread_join(flat_values, shapes, ["source_file", "var_name"], spread_by=["pos"])
     quotient = F.floor(F.col("pos") / F.col("trail"))
     remainder = F.col("pos") % F.col("trail")
     own = F.when(F.col("swapped"), remainder).otherwise(quotient)
     level = (F.when(F.col("n_dims") == 1, F.col("pos"))
              .when(F.col("swapped"), quotient).otherwise(remainder))
-    owners = F.when(F.col("n_dims") == 1,
-                    F.sequence(F.lit(0).cast("bigint"), F.col("n_profiles") - 1)).otherwise(
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("n_profiles") - 1)
+    owners = F.when((F.col("n_dims") == 1) | (F.col("shared") & (own == 0)), every).when(F.col("shared"), F.array().cast("array<bigint>")).otherwise(
         F.array(own.cast("bigint")))
+    if orientation != "names":  # with one profile, one row or column across is all that is read
+        owners = F.when((F.col("n_dims") > 1) & (F.col("n_profiles") == 1) & (own > 0), F.array().cast("array<bigint>")).otherwise(owners)
     return joined.select("source_file", "var_name", F.explode(owners).alias("profile_idx"),
                          level.cast("bigint").alias("level_idx"), "value")
 

@@ -60,24 +60,18 @@ def date_range(catalog: DataFrame) -> DataFrame:
 
 
 def float_summary(catalog: DataFrame) -> DataFrame:
-    """Per float: profiles, first and last time, mean position and levels, variables.
+    """Per float: profiles, first and last time, mean position and levels, variables; in one pass.
 
-    Two aggregates meet on the float: numbers from the rows as they are, names
-    from the exploded ones, so the counts do not multiply. Names are made
-    distinct first, and both sides share one partitioning.
+    The arrays of names are made distinct as they are, without an explode that would multiply the counts; a
+    float has few distinct ones, however many profiles.
     """
-    held = catalog.filter("variables IS NOT NULL")
-    numbers = held.groupBy("float_id").agg(
+    return catalog.filter("variables IS NOT NULL").groupBy("float_id").agg(
         _n("total_profiles"),
         F.min("time_start").alias("first_measurement"),
         F.max("time_start").alias("last_measurement"),
         mean6("lat").alias("avg_lat"), mean6("lon").alias("avg_lon"),
-        mean6("n_levels").alias("avg_levels"))
-    names = held.select("float_id", F.explode("variables").alias("variable")).distinct().groupBy(
-        "float_id").agg(F.array_sort(F.collect_list("variable")).alias("_names"))
-    return numbers.join(names, "float_id", "left").select(
-        *numbers.columns,
-        F.coalesce(F.array_join("_names", ","), F.lit("")).alias("all_variables"),
+        mean6("n_levels").alias("avg_levels"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("variables")))), ",").alias("all_variables"),
     ).orderBy(F.desc("first_measurement"), "float_id")
 
 

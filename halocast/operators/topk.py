@@ -7,9 +7,9 @@ blocks together:
 
 * vectors: the corpus is read where it lies, and any number of queries pass by
   in packed batches of a bounded number of rows, without a shuffle;
-* cells: corpus and queries go to cells (of a grid, or around centroids), a crowded cell is
-  cut into several blocks, and both sides lie in one table that is dealt out by block in ranges of
-  equal size. A task walks over its many blocks in sorted arrays.
+* positions: corpus and queries go to the cells of a grid, a crowded cell is cut into several
+  blocks, and both sides lie in one table that is dealt out by block in ranges of equal size. A task
+  walks over its many blocks in sorted arrays.
 """
 
 from __future__ import annotations
@@ -166,17 +166,6 @@ def position_walk(radius_degrees: float) -> Callable:
     return walk
 
 
-def block_walk(kernel: Callable) -> Callable:
-    """A kernel for one block, applied to each block in turn."""
-    def walk(corpus: pd.DataFrame, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        asked = dict(iter(queries.groupby("block", sort=False)))
-        for block, rows in corpus.groupby("block", sort=False):
-            if block in asked:
-                yield kernel(rows, asked[block])
-
-    return walk
-
-
 def _merge(hits: DataFrame, repeated: bool = False) -> DataFrame:
     """Final k per query, merged in two steps.
 
@@ -375,52 +364,117 @@ def vector_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return joined.withColumn("distance", F.round(distance, 6) + F.lit(0.0)).drop("a", "b")
 
 
-def coarse_centroids(corpus: DataFrame, n_cells: int, sample_rows: int, seed: int = 7) -> np.ndarray:
-    """Centres of ``n_cells`` clusters of a sample of at most ``sample_rows`` vectors, chosen by a hash of the id."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+class Codebook:
+    """Short codes for vectors: each part of ``PART`` components is named by its nearest of 256 centres."""
+
+    PART = 4
 
-    some = corpus.orderBy(F.xxhash64("profile_id"), "profile_id").limit(sample_rows)
-    fitted = KMeans(featuresCol="_v", k=n_cells, maxIter=10, seed=seed).fit(
-        stored(some, "sample").select(array_to_vector("embedding").alias("_v")))
-    return np.array(fitted.clusterCenters())
+    def __init__(self, sample: np.ndarray, rounds: int = 8, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.size = sample.shape[1]
+        self.parts = [slice(lo, lo + self.PART) for lo in range(0, self.size, self.PART)]
+        self.centres = []
+        for part in self.parts:
+            x = sample[:, part]
+            c = x[rng.permutation(len(x))[:256]].copy()
+            for _ in range(rounds):
+                near = self._nearest(x, c)
+                n = np.bincount(near, minlength=len(c))
+                total = np.zeros_like(c)
+                np.add.at(total, near, x)
+                c[n > 0] = total[n > 0] / n[n > 0, None]
+            self.centres.append(c)
 
+    @staticmethod
+    def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.argmin((c * c).sum(1)[None, :] / 2 - x @ c.T, axis=1)
 
-def _nearest_cells(column: str, centres: np.ndarray, probes: int) -> Callable:
-    """Adds the ``probes`` nearest cells of each vector."""
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([self._nearest(x[:, p], c) for p, c in zip(self.parts, self.centres)], axis=1).astype(np.uint8)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([c[codes[:, i]] for i, c in enumerate(self.centres)], axis=1)
+
+
+def _encode(book: Codebook) -> Callable:
     def run(batches):
-        half = (centres * centres).sum(1) / 2
         for batch in batches:
-            v = np.array(batch.column(column).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            far = half[None, :] - v @ centres.T if len(v) else np.zeros((0, len(centres)))
-            near = np.sort(np.argpartition(far, min(probes, len(centres)) - 1, axis=1)[:, :probes], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64).tolist(), pa.list_(pa.int64()))],
-                                             [*batch.schema.names, "_cells"])
+            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, book.size)
+            codes = [row.tobytes() for row in book.encode(x)] if len(x) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["profile_id", "code"])
     return run
 
 
-def vector_topk_approx(corpus: DataFrame, queries: DataFrame, n_cells: int | None = None, probes: int | None = None,
-                       sample_rows: int = 20_000, share: float = 0.15) -> DataFrame:
-    """Nearest vectors among those in the cells nearest to the query, measured exactly.
+def code_kernel(book: Codebook) -> Callable:
+    """The rows whose decoded codes are nearest to each query."""
+    slice_size = QUERY_SLICE
+
+    def best(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(corpus) and len(queries):
+            ids = corpus["profile_id"].to_numpy().astype(str)
+            c = book.decode(np.frombuffer(b"".join(corpus["code"]), np.uint8).reshape(len(corpus), -1)).astype(np.float32)
+            half = (c * c).sum(1) / 2
+            for start in range(0, len(queries), slice_size):
+                some = queries.iloc[start:start + slice_size]
+                q = np.array(some["query_vector"].tolist(), dtype=np.float32)
+                k = np.minimum(some["k"].to_numpy(dtype=np.int64), len(c))
+                far = np.round(half[None, :] - q @ c.T, 6)
+                most = int(k.max())
+                near = np.argpartition(far, most - 1, axis=1)[:, :most]
+                row = np.repeat(np.arange(len(q)), most)
+                found = pd.DataFrame({"at": row, "profile_id": ids[near.ravel()], "distance": far[row, near.ravel()].astype(float)})
+                found = found.sort_values(["at", "distance", "profile_id"])
+                found = found[found.groupby("at").cumcount().to_numpy() < k[found["at"].to_numpy()]]
+                at = found["at"].to_numpy()
+                parts.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "profile_id": found["profile_id"].to_numpy(),
+                                           "distance": found["distance"].to_numpy(), "k": some["k"].to_numpy()[at].astype("int32")}))
+        if not parts:
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "profile_id": pd.Series([], dtype=object),
+                                 "distance": pd.Series([], dtype=float), "k": pd.Series([], dtype="int32")})
+        return pd.concat(parts, ignore_index=True)
+
+    return best
+
+
+def _usable(df: DataFrame, column: str) -> DataFrame:
+    return df.where(F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+def approx_candidates(corpus: DataFrame, queries: DataFrame, measured: int = 64, sample_rows: int = 20_000) -> DataFrame:
+    """(query_id, profile_id, rank) of the rows worth measuring: ``measured`` per query, or twice its k if that is more.
 
-    Cells are the surroundings of centres found on a sample of at most ``sample_rows`` vectors; every vector is
-    indexed, in one cell. There are about as many cells as the root of the corpus' size, 4,096 at most, and a query probes
-    ``share`` of them unless ``probes`` says how many. Cells are blocks, so a crowded one is cut up.
+    All rows are compared by short codes, a sixteenth or less of the vectors' size, whose centres are fitted on a sample of at most
+    ``sample_rows`` vectors, chosen by a hash of the id. Every vector is encoded. Vectors have one length.
     """
-    c = stored(corpus.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
-               .select("profile_id", "embedding"), "corpus")
-    q = queries.where("query_vector IS NOT NULL AND k > 0").select("query_id", "query_vector", "k")
-    n = c.count()
-    if not n:
-        return _merge(c.sparkSession.createDataFrame([], HIT_SCHEMA)).withColumn("similarity", F.lit(0.0))
-    cells = min(n_cells or max(1, math.isqrt(n)), 4096, n)
-    centres = coarse_centroids(c, cells, sample_rows) if cells > 1 else np.zeros((1, len(c.first().embedding)))
-    probes = max(1, min(probes or round(share * len(centres)), len(centres)))
-
-    def told(df: DataFrame, column: str, many: int) -> DataFrame:
-        schema = ", ".join(f"{name} {kind}" for name, kind in df.dtypes) + ", _cells array<bigint>"
-        return stored(df.mapInArrow(_nearest_cells(column, centres, many), schema), "cells")
-
-    left, right = _cell_blocks(told(c, "embedding", 1), told(q, "query_vector", probes), F.col("_cells")[0], F.col("_cells"))
-    hits = meet_in_blocks(left.drop("_cells"), right.drop("_cells"), block_walk(vector_kernel("l2sq")))
-    return _merge(hits).withColumn("similarity", F.round(1 - F.col("distance"), 6) + F.lit(0.0))
+    vectors = _usable(corpus, "embedding").select("profile_id", "embedding")
+    some = vectors.orderBy(F.xxhash64("profile_id"), "profile_id").limit(sample_rows).select("embedding").collect()
+    if not some:
+        return corpus.sparkSession.createDataFrame([], "query_id string, profile_id string, rank int")
+    book = Codebook(np.array([r[0] for r in some], dtype=np.float64))
+    codes = stored(vectors.mapInArrow(_encode(book), "profile_id string, code binary"), "codes")
+    asked = _usable(queries, "query_vector").where("k > 0").select(
+        "query_id", "query_vector", F.greatest(F.lit(measured), F.col("k") * 2).cast("int").alias("k"))
+    return topk(codes, asked, code_kernel(book)).select("query_id", "profile_id", "rank")
+
+
+def vector_topk_approx(corpus: DataFrame, queries: DataFrame, measured: int = 64, sample_rows: int = 20_000) -> DataFrame:
+    """Nearest vectors among the candidates that short codes give for each query, measured exactly."""
+    found = stored(approx_candidates(corpus, queries, measured, sample_rows), "candidates")
+    pairs = found.join(corpus.select("profile_id", F.col("embedding").alias("a")), "profile_id").join(
+        queries.select("query_id", "k", F.col("query_vector").alias("b")), "query_id")
+    squares = F.zip_with("a", "b", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
+    exact = pairs.withColumn("distance", F.round(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x), DIGITS) + F.lit(0.0))
+    order = W.partitionBy("query_id").orderBy("distance", "profile_id")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select(
+        "query_id", "profile_id", "distance", "rank", (F.round(1 - F.col("distance"), 6) + F.lit(0.0)).alias("similarity"))
+
+
+def approx_quality(corpus: DataFrame, queries: DataFrame, measured: int = 64) -> DataFrame:
+    """(recall, pairs_share): what the approximate search finds of the exact hits, and the pairs it measures, as shares."""
+    keys = ["query_id", "profile_id"]
+    found = vector_topk_approx(corpus, queries, measured).select(*keys, F.lit(1).alias("hit"))
+    recall = vector_topk(corpus, queries).join(found, keys, "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    pairs = approx_candidates(corpus, queries, measured).agg(F.count(F.lit(1))).scalar()
+    every = _usable(corpus, "embedding").agg(F.count(F.lit(1))).scalar() * _usable(queries, "query_vector").where("k > 0").agg(F.count(F.lit(1))).scalar()
+    return recall.withColumn("pairs_share", pairs / every)

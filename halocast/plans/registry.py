@@ -13,7 +13,7 @@ from halocast import rules
 from halocast.functions import geo, identifiers as ids, summaries, text, times
 from halocast.functions.embedding import embed_text
 from halocast.functions.geo import round6
-from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, topk
+from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, textsearch, topk
 from halocast.plans import health, incremental as inc, ingest as ing, questions, routing
 from halocast.session import stored, work_dir
 from halocast.sources import fixtures as fx, inventory, landing, sinks, store
@@ -161,10 +161,7 @@ def map_standard_name(spark, sf):
 
 @query
 def detect_structure(spark, sf):
-    raw = fx.raw_variables(spark, sf)
-    parts = [nm.detect_structure(raw, r).withColumn("ruleset", F.lit(r))
-             for r in ("robust", "ultra", "optimized")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return nm.detect_structures(fx.raw_variables(spark, sf), ["robust", "ultra", "optimized"])
 
 
 @query
@@ -173,6 +170,14 @@ def split_profiles(spark, sf):
         "value", ids.clean_number("value"))
 
 
+@query
+def split_profiles_by_shape(spark, sf):
+    """The same files where only shapes tell the orientation; their scalars count the profiles."""
+    counts = fx.file_shapes(fx.raw_values(spark, sf)).select("source_file", F.col("n_prof").alias("n_profiles"))
+    return nm.split_profiles(fx.flat_values(spark, sf), fx.raw_variables(spark, sf), "shape", counts).withColumn(
+        "value", ids.clean_number("value"))
+
+
 @query
 def clean_values(spark, sf):
     return nm.clean_values(fx.raw_values(spark, sf))
@@ -422,6 +427,23 @@ def keyword_search(spark, sf):
     return out
 
 
+@query
+def keyword_search_many(spark, sf):
+    """A word per supplier, empty and repeated ones too, in one pass over the catalogue."""
+    key = F.col("s_suppkey")
+    word = F.when(key % 4 == 0, F.concat(F.lit("p"), key.cast("string"))).when(key % 4 == 1, F.concat(F.lit("F"), (key % 7).cast("string"))).when(
+        key % 4 == 2, "Nitrate").when(key % 8 == 3, "").otherwise("%")
+    texts = read_table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), key.cast("string")).alias("query_id"), word.alias("word"), (key % 6).cast("int").alias("k"))
+    return textsearch.keyword_search_many(fx.profiles(spark, sf), texts)
+
+
+@query
+def facet_search_many(spark, sf):
+    """All questions of the log in one pass."""
+    return textsearch.facet_search_many(fx.catalog(spark, sf), fx.query_log(spark, sf).select("query_id", "text", "k"))
+
+
 @query
 def facet_filter(spark, sf):
     c = fx.catalog(spark, sf)
@@ -712,6 +734,13 @@ def vector_topk_approx(spark, sf):
         .drop("distance")
 
 
+@query
+def vector_topk_approx_quality(spark, sf):
+    """Whether the approximate search keeps its promises with the parameters above."""
+    found = topk.approx_quality(fx.vectors(spark, sf), _vector_queries(spark, sf))
+    return found.select((F.col("recall") >= 0.9).alias("finds_nine_tenths"), (F.col("pairs_share") < 0.2).alias("measures_a_fifth_at_most"))
+
+
 @query
 def nearest_profiles_all(spark, sf):
     """Every catalogue row as a search point."""
@@ -1035,6 +1064,34 @@ def health_report(spark, sf):
     return spark.read.schema("section string, name string, value double").json(path)
 
 
+def broken_catalog(spark, sf):
+    """The catalogue with rows entered twice, many paths lost, and some level files gone."""
+    c = fx.catalog(spark, sf).withColumns({
+        "seq": F.col("id"), "parquet_path": F.when(F.col("id") % 7 != 0, F.col("parquet_path")),
+        "raw_metadata": F.create_map(F.lit("file"), F.col("source_file"))})
+    twice = c.where("id % 50 = 0").withColumns({"seq": F.col("seq") + 10**9, "data_quality_score": F.lit(None).cast("double")})
+    listing = level_listing(spark, sf).where(F.regexp_extract("path", "P([0-9]+)", 1).cast("bigint") % 17 != 0)
+    return c.unionByName(twice), listing
+
+
+@query
+def repair_catalog(spark, sf):
+    """Check a broken catalogue, plan its repairs, apply them, and give the next version."""
+    broken, listing = broken_catalog(spark, sf)
+    broken = stored(broken, "broken")
+    issues = health.health_issues(broken, fx.ingestion_errors(spark, sf), listing, fx.vectors(spark, sf), ERRORS_AS_OF)
+    plan = health.repair_plan(stored(issues, "issues"))
+    fixed = health.repair_catalog(broken, joins.missing_level_files(broken, listing), plan)
+    return fixed.select("profile_id", "seq", "parquet_path", round6("data_quality_score").alias("data_quality_score"),
+                        F.col("raw_metadata")["status"].alias("status"))
+
+
+@query
+def repair_plan(spark, sf):
+    broken, listing = broken_catalog(spark, sf)
+    return health.repair_plan(health.health_issues(broken, fx.ingestion_errors(spark, sf), listing, fx.vectors(spark, sf), ERRORS_AS_OF))
+
+
 def _run(spark, sf):
     return ing.ingest(fx.raw_values(spark, sf), fx.raw_scalars(spark, sf),
                       fx.raw_variables(spark, sf))

@@ -82,9 +82,9 @@ def reading_plan(facts: DataFrame, raw_variables: DataFrame, chosen: DataFrame)
     return exact.unionByName(standard).unionByName(whole)
 
 
-def _planned(rows: DataFrame, plan: DataFrame, spread_by: list[str]) -> DataFrame:
+def _planned(rows: DataFrame, plan: DataFrame, spread_by: list[str], weights: DataFrame | None = None) -> DataFrame:
     """Rows of (file, profile, variable, ...) that the plan takes, under its names; files taken as one profile have key 0."""
-    met = spread_join(rows, plan, ["source_file", "var_name"], spread_by=spread_by)
+    met = spread_join(rows, plan, ["source_file", "var_name"], spread_by=spread_by, weights=weights)
     return met.where("only_key IS NULL OR only_key = profile_key").withColumn(
         "profile_key", F.when(F.col("only_key").isNull(), F.col("profile_key")).otherwise(0)).drop("only_key")
 
@@ -145,7 +145,9 @@ def ingest_routed(raw_values: DataFrame, raw_scalars: DataFrame, raw_variables:
     reason = reject_reason()
     # a minimal profile has no data by its nature
     reason = F.when((F.col("priority") == MINIMAL) & (reason == "no_data"), F.lit(None)).otherwise(reason)
-    values = _planned(nm.clean_values(raw_values).where("value IS NOT NULL"), plan, ["profile_key", "level_idx"])
+    # the facts tell how many values each variable of each file has
+    weights = facts.groupBy("source_file", "var_name").agg(F.sum("n_values").alias("n"))
+    values = _planned(nm.clean_values(raw_values).where("value IS NOT NULL"), plan, ["profile_key", "level_idx"], weights)
     standard = F.col("std_name").isin(nm.STANDARD_NAMES)
     extras = values.where(~standard).select(*nm.PROFILE_KEYS, F.col("std_name").alias("var_name"), "level_idx", "value")
     return Ingested(judge(candidates, method, reason), nm.align_levels(values.where(standard)), files, extras)

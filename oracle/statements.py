@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from halocast import rules
+from halocast.operators.filters import DEPTH_WORDS, FACETS
 from halocast.plans.registry import CATALOG_AS_OF, ERRORS_AS_OF
 from halocast.sources import fixtures as fx
 from oracle.base import (ANSWER_LADDER, BAND_LADDER, BASIC_LADDER, CENTER_LON, HEMISPHERE_LADDER,
@@ -79,6 +80,17 @@ S["split_profiles"] = sql("""SELECT source_file, var_name,
        level_idx * n_prof + profile_key // 500 AS pos
        FROM (SELECT *, CAST(regexp_extract(source_file, '([0-9]+)', 1) AS INT) AS fno
              FROM cleaned) c JOIN shapes s USING (source_file))""")
+# by shape, with the true number of profiles: equal sides read as [profile, level], a lone profile along the longer side
+S["split_profiles_by_shape"] = sql("""SELECT source_file, var_name,
+ CASE WHEN swapped AND NOT by_shape THEN pos // n_prof WHEN NOT swapped AND by_shape THEN pos % n_lev ELSE profile_key // 500 END AS profile_idx,
+ CASE WHEN swapped AND NOT by_shape THEN pos % n_prof WHEN NOT swapped AND by_shape THEN pos // n_lev ELSE level_idx END AS level_idx, value
+ FROM (SELECT c.*, s.n_prof, s.n_lev, fno % 5 = 1 AS swapped,
+       CASE WHEN fno % 5 = 1 THEN level_idx * n_prof + profile_key // 500 ELSE (profile_key // 500) * n_lev + level_idx END AS pos,
+       CASE WHEN n_prof > 1 THEN CASE WHEN fno % 5 = 1 THEN n_lev <> n_prof ELSE false END
+         ELSE CASE WHEN fno % 5 = 1 THEN n_lev >= n_prof ELSE n_prof >= n_lev END END AS by_shape
+       FROM (SELECT *, CAST(regexp_extract(source_file, '([0-9]+)', 1) AS INT) AS fno
+             FROM cleaned) c JOIN shapes s USING (source_file))
+ WHERE n_prof > 1 OR profile_idx = 0""")
 S["clean_values"] = sql("SELECT * FROM cleaned")
 S["trim_trailing_nulls"] = sql("""SELECT source_file, profile_key, var_name, level_idx, value FROM (
  SELECT *, max(CASE WHEN value IS NOT NULL THEN level_idx END)
@@ -267,6 +279,26 @@ S["keyword_search"] = sql(" UNION ALL ".join(
     OR contains(lower(profile_id), '{w.lower()}')
     ORDER BY time_start DESC NULLS FIRST, profile_id LIMIT 20)"""
     for w in ("nitrate", "f77", "P_1", "%")))
+S["keyword_search_many"] = sql("""WITH words AS (SELECT 'S' || s_suppkey AS query_id, CAST(s_suppkey % 6 AS INT) AS k,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'p' || s_suppkey WHEN s_suppkey % 4 = 1 THEN 'f' || (s_suppkey % 7) WHEN s_suppkey % 4 = 2 THEN 'nitrate'
+   WHEN s_suppkey % 8 = 3 THEN '' ELSE '%' END AS word FROM supplier)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY time_start DESC NULLS FIRST, profile_id) AS INT) AS rank, profile_id
+ FROM words JOIN profiles ON contains(lower(variables_csv), word) OR contains(lower(float_id), word) OR contains(lower(profile_id), word)
+ WHERE k > 0 QUALIFY rank <= k""")
+_asks = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+S["facet_search_many"] = sql(f"""WITH rows AS (SELECT profile_id, time_start, max_depth,
+   lower(variables_csv || ({LABEL}) || float_id || profile_id || coalesce(strftime(time_start, '%Y-%m-%d %H:%M:%S'), 'None')) AS hay,
+   coalesce(strftime(time_start, '%Y-%m-%d %H:%M:%S'), 'None') AS tm FROM catalog),
+ asked AS (SELECT query_id, k, lower(text) AS low FROM query_log),
+ hit AS (SELECT query_id, k, profile_id, time_start FROM asked JOIN rows ON contains(hay, low)
+   OR ({_asks(FACETS[0][0])} AND regexp_matches(hay, '{"|".join(FACETS[0][1])}'))
+   OR ({_asks(FACETS[1][0])} AND regexp_matches(hay, '{"|".join(FACETS[1][1])}'))
+   OR ({_asks(FACETS[2][0])} AND regexp_matches(hay, '{"|".join(FACETS[2][1])}'))
+   OR (contains(low, 'equator') AND contains(hay, 'equatorial')) OR (contains(low, 'atlantic') AND contains(hay, 'atlantic'))
+   OR ({_asks(DEPTH_WORDS)} AND max_depth >= 1000) OR (contains(low, '2023') AND contains(tm, '2023'))),
+ alls AS (SELECT query_id, k, profile_id, time_start FROM asked, rows WHERE query_id NOT IN (SELECT query_id FROM hit))
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY time_start DESC NULLS FIRST, profile_id) AS INT) AS rank,
+  profile_id, matched FROM (SELECT *, true AS matched FROM hit UNION ALL SELECT *, false FROM alls) QUALIFY rank <= k""")
 S["facet_filter"] = sql(f"""SELECT profile_id, variables_csv, max_depth FROM catalog
  WHERE regexp_matches(lower(variables_csv || ({LABEL})), 'oxygen|doxy|o2')
  OR contains(lower({LABEL}), 'equatorial') OR coalesce(max_depth >= 1000, false)
@@ -442,6 +474,7 @@ def _topk(distance: str, similarity: str) -> str:
 S["vector_topk"] = _topk("list_distance(c.embedding, q.query_vector) ** 2", "1 - d")
 S["vector_topk_cosine"] = _topk("1 - list_cosine_similarity(c.embedding, q.query_vector)", "1 - d")
 S["vector_topk_dot"] = _topk("-list_inner_product(c.embedding, q.query_vector)", "-d")
+S["vector_topk_approx_quality"] = "SELECT true AS finds_nine_tenths, true AS measures_a_fifth_at_most FROM embeddings LIMIT 1"
 _arabian = f"round(greatest(0e0, 1 - {haversine('17.5e0', '62.5e0', 'lat', 'lon')} / 2000), 6)"
 S["nearest_profiles_all"] = sql(f"""WITH p AS (SELECT profile_id, lat, lon FROM profiles
    WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180),
@@ -740,6 +773,25 @@ S["health_report"] = sql(f"""{_issues}, metrics AS (SELECT {_metrics.format(t=T_
   records_today]) FROM metrics
  UNION ALL SELECT 'quality', {_tier}, CAST(count(*) AS DOUBLE) FROM catalog GROUP BY 2
  UNION ALL SELECT 'error', error_type, CAST(count AS DOUBLE) FROM by_type""")
+_broken = """broken AS (SELECT * REPLACE (CASE WHEN id % 7 <> 0 THEN parquet_path END AS parquet_path), id AS seq FROM catalog
+   UNION ALL SELECT * REPLACE (CASE WHEN id % 7 <> 0 THEN parquet_path END AS parquet_path, NULL AS data_quality_score),
+     id + 1000000000 FROM catalog WHERE id % 50 = 0),
+ left_over AS (SELECT * FROM listing WHERE CAST(regexp_extract(path, 'P([0-9]+)', 1) AS BIGINT) % 17 <> 0),
+ gone_ids AS (SELECT profile_id FROM broken WHERE parquet_path <> '' AND parquet_path NOT IN (SELECT path FROM left_over)),
+ wants AS (SELECT count(*) FILTER (parquet_path <> '') < 9e-1 * count(*) AS orphans, (SELECT count(*) FROM gone_ids) > 0 AS missing,
+   count(*) > count(DISTINCT profile_id) AS twice, bool_or(lat IS NULL OR lon IS NULL OR lat NOT BETWEEN -90 AND 90
+   OR lon NOT BETWEEN -180 AND 180) AS lost FROM broken)"""
+S["repair_plan"] = sql(f"""WITH {_broken} SELECT CAST(unnest([0, 1, 2, 3, 4]) AS INT) AS step,
+ unnest(['mark_orphans', 'mark_missing_levels', 'latest_per_profile', 'drop_invalid_coordinates', 'default_quality']) AS repair,
+ unnest([orphans, missing, twice, lost, true]) AS wanted FROM wants""")
+_repaired = """coalesce(CASE WHEN orphans AND coalesce(parquet_path, '') = '' AND extraction_method <> 'minimal_fallback' THEN least(data_quality_score, 2e-1)
+   ELSE data_quality_score END * CASE WHEN missing AND profile_id IN (SELECT profile_id FROM gone_ids) THEN 5e-1 ELSE 1e0 END, 1e-1)"""
+S["repair_catalog"] = sql(f"""WITH {_broken} SELECT profile_id, seq,
+ CASE WHEN NOT (missing AND profile_id IN (SELECT profile_id FROM gone_ids)) THEN parquet_path END AS parquet_path,
+ {r6(_repaired)} AS data_quality_score,
+ CASE WHEN orphans AND coalesce(parquet_path, '') = '' AND extraction_method <> 'minimal_fallback' THEN 'orphaned' END AS status
+ FROM broken, wants WHERE (NOT lost OR (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180))
+ QUALIFY NOT twice OR row_number() OVER (PARTITION BY profile_id ORDER BY seq DESC) = 1""")
 S["ingest_catalog"] = sql("""SELECT profile_id, float_id, lat, lon, time_start, n_levels,
  array_to_string(variables, ',') AS variables, data_quality_score FROM scored
  WHERE reason = 'accepted'""")

@@ -82,15 +82,52 @@ def test_vector_topk(spark, vecs, metric, size, monkeypatch):
     assert {(r.query_id, r.profile_id, r["rank"]) for r in got} == want
 
 
-def test_approximate_search_finds_most_neighbours(spark, vecs):
-    rows, asks = vecs
-    c = spark.createDataFrame(rows, "profile_id string, embedding array<double>")
+def test_approximate_search_finds_most_neighbours(spark):
+    rng = random.Random(8)
+    rows = [(f"V{i:04d}", [rng.gauss(0, 1) for _ in range(10)]) for i in range(1500)]
+    rows += [(f"W{i}", rows[0][1]) for i in range(4)] + [("NONE", None), ("NAN", [float("nan")] * 10)]
+    asks = [(f"q{i}", [x + rng.gauss(0, 0.3) for x in rows[i * 7][1]], i % 6) for i in range(80)] + [("none", None, 3)]
+    c = spark.createDataFrame(rows, "profile_id string, embedding array<double>").repartition(3)
     q = spark.createDataFrame(asks, "query_id string, query_vector array<double>, k int")
-    exact = {(r.query_id, r.profile_id) for r in topk.vector_topk(c, q).collect()}
-    near = topk.vector_topk_approx(c, q, bucket_length=3.0, n_tables=10).collect()
-    found = {(r.query_id, r.profile_id) for r in near}
-    assert len(exact & found) / len(exact) > 0.8
-    assert all(r["rank"] >= 1 and r.similarity <= 1 for r in near)
+    exact = {(r.query_id, r.profile_id, r.distance) for r in topk.vector_topk(c.where("profile_id <> 'NAN'"), q).collect()}
+    near = topk.vector_topk_approx(c, q).collect()
+    found = {(r.query_id, r.profile_id, r.distance) for r in near}
+    assert len(exact & found) / len(exact) > 0.95
+    assert all(1 <= r["rank"] <= 5 and r.similarity <= 1 for r in near)
+    measured = topk.approx_candidates(c, q).groupBy("query_id").count().collect()
+    assert {r["count"] for r in measured} == {64}
+    assert topk.vector_topk_approx(c.where("false"), q).count() == 0 and topk.vector_topk_approx(c, q.where("false")).count() == 0
+
+
+def test_codes_of_few_vectors_are_exact():
+    import numpy as np
+    x = np.arange(60, dtype=float).reshape(6, 10)  # the last part is shorter
+    book = topk.Codebook(x)
+    assert (book.decode(book.encode(x)) == x).all() and book.encode(x).shape == (6, 3)
+
+
+def test_many_cells_walk_in_few_tasks(spark, places):
+    """One range exchange brings both sides together; no Python group per cell."""
+    from compare import plan
+
+    c = spark.createDataFrame(places[0], "profile_id string, lat double, lon double")
+    q = spark.createDataFrame(places[1], "query_id string, lat double, lon double")
+    text = plan(topk.nearest_profiles(c, q, 5, 2.0))
+    assert "rangepartitioning(block" in text and "MapInArrow" in text
+    assert "CoGroup" not in text and "FlatMapGroups" not in text
+
+
+def test_blocks_are_cut_between_arrow_batches(spark, places, monkeypatch):
+    monkeypatch.setattr(topk, "WALK_ROWS", 50)
+    monkeypatch.setattr(topk, "PAIRS", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        c = spark.createDataFrame(places[0], "profile_id string, lat double, lon double")
+        q = spark.createDataFrame(places[1], "query_id string, lat double, lon double")
+        got = topk.nearest_profiles(c, q, 5, 7.5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.query_id, r.profile_id, r["rank"]) for r in got} == nearest(places, 5, 7.5)
 
 
 def test_vector_join_measures_pairs(spark):
