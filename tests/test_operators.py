@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from halocast import rules
-from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats
+from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, textsearch
 from halocast.operators.ordering import dense_index
-from halocast.plans import ingest as ing
+from halocast.plans import health, ingest as ing, routing
+from halocast.sources import fixtures as fx
 
 VALUES = "source_file string, profile_key long, var_name string, level_idx int, value double"
 
@@ -177,6 +178,135 @@ def test_spread_join_equals_a_plain_join(spark):
         assert rows(spread, "k", "v", "s") == rows(big.join(small, "k", how), "k", "v", "s")
 
 
+def test_heavy_keys_are_split_by_their_share(spark):
+    big = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(3000)], "k long, v long")
+    small = spark.createDataFrame([(k, str(k)) for k in range(0, 3000, 2)], "k long, s string")
+    weights = big.groupBy("k").agg(F.count("*").alias("n"))
+    heavy = {r.k: r._fanout for r in joins.heavy_keys(weights, ["k"], parts=64).collect()}
+    assert set(heavy) == {0} and 40 <= heavy[0] <= 44  # a third of the rows goes to two thirds of 64 tasks
+    for how in ("inner", "left"):
+        spread = joins.spread_join(big, small, ["k"], ["v"], how, weights=weights)
+        assert rows(spread, "k", "v", "s") == rows(big.join(small, "k", how), "k", "v", "s")
+    none = big.where("false")
+    assert joins.spread_join(none, small, ["k"], ["v"], weights=none.groupBy("k").agg(F.count("*").alias("n"))).count() == 0
+
+
+def test_orientation_by_shape(spark):
+    variables = spark.createDataFrame(
+        [("a", "T", "float64", ["X", "Y"], [2, 3]), ("b", "T", "float64", ["X", "Y"], [3, 2]), ("c", "T", "float64", ["X", "Y"], [1, 4]),
+         ("d", "T", "float64", ["X", "Y"], [4, 1]), ("e", "T", "float64", ["X", "Y"], [3, 5]), ("f", "T", "float64", ["X"], [2])],
+        "source_file string, var_name string, dtype string, dims array<string>, shape array<int>")
+    sizes = {"a": 6, "b": 6, "c": 4, "d": 4, "e": 15, "f": 2}
+    flat = spark.createDataFrame([(f, "T", i, float(i)) for f, n in sizes.items() for i in range(n)],
+                                 "source_file string, var_name string, pos long, value double")
+    counts = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1), ("d", 1), ("e", 2), ("f", 2)], "source_file string, n_profiles long")
+    got: dict = {}
+    for r in nm.split_profiles(flat, variables, "shape", counts).collect():
+        got.setdefault((r.source_file, r.profile_idx), {})[r.level_idx] = r.value
+    got = {k: [v[i] for i in sorted(v)] for k, v in got.items()}
+    assert got == {
+        ("a", 0): [0, 1, 2], ("a", 1): [3, 4, 5], ("b", 0): [0, 2, 4], ("b", 1): [1, 3, 5], ("c", 0): [0, 1, 2, 3], ("d", 0): [0, 1, 2, 3],
+        ("e", 0): [0, 1, 2, 3, 4], ("e", 1): [0, 1, 2, 3, 4], ("f", 0): [0, 1], ("f", 1): [0, 1]}
+
+
+# --- strategies --------------------------------------------------------------
+def test_each_file_by_its_own_strategy(spark):
+    def both(lat, lon, key=0):
+        return [(key, "LATITUDE", lat), (key, "LONGITUDE", lon)]
+    scalars = {"exact.nc": both("1", "2") + both("95", "0", 1), "std.nc": [(0, "lat", "3"), (0, "lon", "4")],
+               "simple.nc": [(0, "lat", None), (0, "lon", "9"), (1, "lat", "5"), (1, "lon", "6"), (1, "platform_number", "F9")], "bare.nc": []}
+    values = {"exact.nc": [(0, "TEMP", 1.0), (0, "CHLA", 2.0), (1, "PSAL", 3.0)], "std.nc": [(0, "sal", 1.0)],
+              "simple.nc": [(0, "odd-name", 1.0), (1, "odd-name", 2.0), (1, "odd-name", 4.0)],
+              "any_7.5S_3W.nc": [(4, "temp", 8.0), (4, "temp", 9.0), (5, "temp", 7.0), (4, "one", 1.0)], "min_1N_2E.nc": [(0, "q", 1.0)]}
+    v, seen = [], {}
+    for f, items in values.items():
+        for key, name, x in items:
+            level = seen[f, key, name] = seen.get((f, key, name), -1) + 1
+            v.append((f, key, name, level, x))
+    s = [(f, k, n, t, "str") for f, items in scalars.items() for k, n, t in items]
+    names = sorted({(f, n) for f, _, n, _, _ in v})
+    files = spark.createDataFrame([(f,) for f in [*values, "bare.nc"]], "source_file string")
+    run = routing.ingest_routed(
+        spark.createDataFrame(v, VALUES), spark.createDataFrame(s, "source_file string, profile_key long, name string, value string, dtype string"),
+        spark.createDataFrame([(f, n, "float64", ["N_LEVELS"], [2]) for f, n in names],
+                              "source_file string, var_name string, dtype string, dims array<string>, shape array<int>"), files)
+    got = {r.profile_id: (r.extraction_method, r.lat, r.lon, r.n_levels, r.variables_csv, r.reject_reason) for r in run.judged.collect()}
+    assert got == {
+        "exact_profile_0": ("exact_schema", 1, 2, 1, "TEMPERATURE", None),
+        "exact_profile_1": ("exact_schema", 95, 0, 1, "SALINITY", "coordinates_out_of_range"),
+        "std_profile_0": ("standard", 3, 4, 1, "SALINITY", None),
+        "simple_simple_profile": ("simple_variables", 5, 6, 2, "ODDNAME", None),
+        "any_7.5S_3W_any_data": ("any_numeric", -7.5, -3, 2, "TEMPERATURE", None),
+        "min_1N_2E_minimal": ("minimal_fallback", 1, 2, 0, "", None),
+        "bare_minimal": ("minimal_fallback", None, None, 0, "", "missing_coordinates")}
+    assert {(r.profile_id, r.level_idx, r.temperature, r.salinity) for r in run.levels.collect()} == {
+        ("exact_profile_0", 0, 1, None), ("std_profile_0", 0, None, 1), ("any_7.5S_3W_any_data", 0, 8, None), ("any_7.5S_3W_any_data", 1, 9, None)}
+    assert {(r.profile_id, r.var_name, r.level_idx, r.value) for r in run.extra_values.collect()} == {
+        ("simple_simple_profile", "ODDNAME", 0, 2), ("simple_simple_profile", "ODDNAME", 1, 4)}
+    found = {r.profile_id: r.raw_metadata for r in run.judged.collect()}
+    assert found["simple_simple_profile"] == {"latitude": "5", "longitude": "6", "platform": "F9"}
+
+
+# --- texts and health --------------------------------------------------------
+def test_many_texts_at_once(spark, monkeypatch):
+    c = spark.createDataFrame(
+        [("P1", "F1", "TEMP,PSAL", 0.0, 0.0, 500.0, datetime(2023, 5, 1)), ("P2", "F2", "DOXY", 50.0, 100.0, 1500.0, datetime(2023, 6, 1)),
+         ("P3", "F_3", None, 50.0, 100.0, None, None), ("P2", "X", "a%b", None, None, 1.0, datetime(2020, 1, 1))],
+        "profile_id string, float_id string, variables_csv string, lat double, lon double, max_depth double, time_start timestamp_ntz").repartition(3)
+    asks = [("temp", "temp", 5), ("again", "TEMP", 5), ("any", "", 2), ("none", None, 2), ("zero", "temp", 0), ("p", "p", 9), ("%", "%", 9),
+            ("_", "_", 9), ("x", "lpf", 9), ("missing", "zzz", 3)]
+    q = spark.createDataFrame(asks, "query_id string, word string, k int")
+    got: dict = {}
+    for r in textsearch.keyword_search_many(c, q).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.profile_id)
+    assert got == {"temp": ["P1"], "again": ["P1"], "any": ["P3", "P2"], "p": ["P3", "P2", "P1", "P2"], "%": ["P2"], "_": ["P3"]}
+    ask = [("s", "salinity", 3), ("d", "deep water", 3), ("y", "2023", 3), ("e", "", 2), ("z", "zzz", 2), ("n", None, 2)]
+    found: dict = {}
+    for r in textsearch.facet_search_many(c, spark.createDataFrame(ask, "query_id string, text string, k int")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.profile_id, r.matched))
+    assert found == {"s": [("P1", True)], "d": [("P2", True)], "y": [("P2", True), ("P1", True)],
+                     "e": [("P3", False), ("P2", False)], "z": [("P3", False), ("P2", False)]}
+    assert textsearch.keyword_search_many(c.where("false"), q).count() == 0
+    assert textsearch.keyword_search_many(c, q.where("false")).count() == 0
+
+
+def test_health_scans_each_table_once(spark, sf):
+    from compare import plan
+    from halocast.session import work_dir
+
+    tables = {}
+    for name, df in (("catalog", fx.catalog(spark, sf)), ("errors", fx.ingestion_errors(spark, sf)), ("vectors", fx.vectors(spark, sf)),
+                     ("listing", spark.sql("SELECT 'store/P1.parquet' AS path, 0 AS length"))):
+        path = work_dir(spark, f"health-{name}")
+        df.write.parquet(path)
+        tables[name] = spark.read.parquet(path)
+    issues = health.health_issues(tables["catalog"], tables["errors"], tables["listing"], tables["vectors"], "2024-01-31")
+    text = plan(issues)
+    # the executed plan is printed once before and once after it ran, or not yet run: initial plan only
+    assert text.count("FileScan parquet") == 4 and text.count("Exchange hashpartitioning") == 1
+    kinds = {r.type for r in issues.collect()}
+    assert {"corrupt_parquet_files", "missing_parquet_files"} <= kinds
+
+
+def test_repairs_follow_the_plan(spark):
+    c = spark.createDataFrame(
+        [("a", 1, "x", "m", 0.8, 0.0, 0.0), ("a", 2, "x", "m", None, 0.0, 0.0), ("b", 1, None, "m", 0.8, 0.0, 0.0), ("c", 1, "y", "m", 0.6, 0.0, 0.0),
+         ("d", 1, "x", "m", 0.9, 95.0, 0.0)],
+        "profile_id string, seq long, parquet_path string, extraction_method string, data_quality_score double, lat double, lon double")
+    gone = spark.createDataFrame([("c",)], "profile_id string")
+    def plan_of(*types):
+        return health.repair_plan(spark.createDataFrame([(t,) for t in types], "type string"))
+    assert [(r.step, r.repair, r.wanted) for r in plan_of("duplicate_profiles").orderBy("step").collect()] == [
+        (0, "mark_orphans", False), (1, "mark_missing_levels", False), (2, "latest_per_profile", True), (3, "drop_invalid_coordinates", False),
+        (4, "default_quality", True)]
+    every = health.repair_catalog(c, gone, plan_of("duplicate_profiles", "orphaned_records", "missing_parquet_files", "invalid_coordinates"))
+    assert rows(every, "profile_id", "seq", "parquet_path", "data_quality_score") == [
+        ("a", 2, "x", 0.1), ("b", 1, None, 0.2), ("c", 1, None, 0.3)]
+    few = health.repair_catalog(c, gone, plan_of("duplicate_profiles"))
+    assert rows(few, "profile_id", "seq", "parquet_path", "data_quality_score") == [
+        ("a", 2, "x", 0.1), ("b", 1, None, 0.8), ("c", 1, "y", 0.6), ("d", 1, "x", 0.9)]
+
+
 # --- catalogue ---------------------------------------------------------------
 OLD = "profile_id string, float_id string, data_quality_score double, created_at int, seq long"
 
