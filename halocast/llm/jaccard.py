@@ -44,6 +44,7 @@ from halocast.llm.sizes import sendable
 from halocast.session import stored
 
 BUCKETS = 1 << 16
+SLICE, BATCH = 1 << 20, "4m"  # bytes of texts in work at once, and in an Arrow batch
 #: Expected members of a group, by class, and the smallest set that uses combinations.
 MEMBERS = {2: 4, 3: 6}
 LEAST_SET = 10
@@ -62,7 +63,7 @@ def _band_edges(num: int, den: int) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     data, offsets = tx.utf8(batch.column(1))
-    for lo, hi in tx.slices(offsets):
+    for lo, hi in tx.slices(offsets, SLICE):
         words, bounds = tx.words(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
         yield batch.column(0).slice(lo, hi - lo), *tx.shingles(words, bounds, width)
 
@@ -280,12 +281,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null or wordless texts have no shingles and link with nothing; a text shorter than
     ``width`` words is one shingle. Equal texts are one class. Rows with a null id
-    can't be named in a link: they stay, with null results. Repeated ids are
+    can't be named in a link: they stay, with their size and without a component. Repeated ids are
     rows of their own. An empty table gives empty results. Columns other than
     the two named ones are not read, whatever their names.
     """
     spark = docs.sparkSession
-    tx.bounded_batches(spark)
+    tx.bounded_batches(spark, BATCH)
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = every.where("id IS NOT NULL")
     passed = stored(texts.mapInArrow(_describe(width), "id long, n long, node long, check long, "
@@ -296,13 +297,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         counts[row.bucket] = row.n  # at most BUCKETS rows
     shared = spark.sparkContext.broadcast(counts)
 
-    index = texts.mapInArrow(_index(width, num, den, shared), "sig long, node long")
-    ends = index.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(
-        "center <> last").drop("last")
-    live = stored(stored(index.join(ends, "sig"), "signatures").distinct(), "live")
-
     nodes = stored(described.where("n > 0").groupBy("node", "check", "n").agg(
         F.min("id").alias("least"), *(F.min(m).alias(m) for m in MAPS)), "nodes")
+
+    # one document of each node is indexed; the index is dealt out once, for its ends and for what has several nodes
+    firsts = sendable(stored(nodes.select(F.col("least").alias("id")).distinct(), "firsts"))
+    index = texts.join(firsts, "id", "left_semi").mapInArrow(_index(width, num, den, shared), "sig long, node long").repartition("sig")
+    ends = index.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(
+        "center <> last").drop("last")
+    live = stored(index.join(ends, "sig"), "live")
     if whole:
         links = _verified(stored(_meetings(live, nodes, num, den), "meetings"), texts, nodes, width, num, den)
     else:
@@ -314,7 +317,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes_ = known.join(least, "label").select("node", "check", "n", "component")
     members = described.join(classes_, ["node", "check", "n"]).select("id", "n", "component")
     alone = described.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    unnamed = every.where("id IS NULL").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))
+    unnamed = every.where("id IS NULL").mapInArrow(_describe(width), passed.schema).where("bucket IS NULL").select(
+        "id", "n", F.lit(None).cast("long").alias("component"))
     names = nodes.select("node", "least")
     return members.unionByName(alone).unionByName(unnamed), links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(
         names.select(F.col("node").alias("b"), F.col("least").alias("y")), "b").select(

@@ -231,18 +231,21 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     null id is carried along. Columns that aren't named are not read.
     """
     tx.bounded_batches(docs.sparkSession)
+    # a text that is kept is sent once
+    at = keep.index(text_col) if keep is not None and text_col in keep and docs.schema[text_col].dataType.typeName() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tx.utf8(batch.column(0))
+            data, offsets = tx.utf8(batch.column(at or 0))
             found = [field.scores(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
                      for lo, hi in tx.slices(offsets)]
             scores = pa.array(np.concatenate(found) if found else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], "__score"])
+            first = 1 if at is None else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], scores], [*batch.schema.names[first:], "__score"])
 
     text = F.col(text_col).cast("string").alias("__text")
     if keep is None:
         rows = docs.select(text, F.col(id_col).cast("long").alias("id"))
         return rows.mapInArrow(run, "id long, __score double").withColumnRenamed("__score", "score")
-    rows = docs.select(text, *keep)
+    rows = docs.select(*([text] if at is None else []), *keep)
     return rows.mapInArrow(run, rows.drop("__text").withColumn("__score", F.lit(0.0)).schema)

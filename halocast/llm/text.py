@@ -52,9 +52,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: str = BATCH) -> None:
     """Limit the bytes of an Arrow batch, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
