@@ -29,11 +29,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keep the document with the smallest id. Rows without an id stay."""
-    members, _ = jaccard.jaccard_join(docs)
-    extra = members.where("component < id").select(F.col("id").alias("__id")).distinct()
-    gone = sendable(stored(extra, "extra"))
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """Of each group of near copies, keep one row: that of the smallest id, null ids last.
+
+    Rows are told apart by id and text, so rows that share an id stay or go each by its own text, and of rows that are
+    equal in both one stays. Texts without words are copies of nothing; their rows all stay.
+    """
+    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("__key", key)
+    members = jaccard.jaccard_join(keyed, id_col="__key")[0].where("n > 0")
+    rows = keyed.groupBy("__key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    known = stored(members.distinct().join(rows, members["id"] == rows["__key"]).select("id", "component", "doc_id", "copies"), "known")
+    first = known.groupBy("component").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
+    # what goes as a whole, and what is there several times
+    gone = stored(known.join(first, "component").where("id <> first OR copies > 1").select(
+        F.col("id").alias("__key"), (F.col("id") != F.col("first")).alias("__gone")), "extra")
+    marked = keyed.join(sendable(gone), "__key", "left")
+    once = marked.where("__gone IS NOT NULL AND NOT __gone").dropDuplicates(["__key"])
+    return marked.where("__gone IS NULL").unionByName(once).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
