@@ -23,42 +23,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halocast.llm.negatives import whole
 from halocast.llm.vectors import rows_of
 from halocast.session import stored
 
 BLOCK = 16_384  # vectors in a block of the corpus
 BATCH = 8_192  # queries in a batch
-LARGEST = float(1 << 28)  # integers are held to this size, so that products of 128 dimensions fit a long
+BATCHES_AT_ONCE = 4
+LARGEST = float(1 << 28)  # vectors of larger integers lie in blocks of their own, which Python integers score
 STEPS = (0.25, 0.0, -0.04, -0.12)  # tau, as shares of a query's largest contribution
 
 
 def _pack(scale: int, limit: int):
+    """Rows as blocks of vectors of one length: 32-bit integers, or the vectors themselves where ``wide``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        count: dict[int, int] = {}
+        held: dict[tuple[int, bool], list] = {}
+        count: dict[tuple[int, bool], int] = {}
 
-        def out(size: int) -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _ in held[size]])
-            matrix = np.concatenate([m for _, m in held[size]])
-            held[size], count[size] = [], 0
+        def out(kind: tuple[int, bool]) -> pa.RecordBatch:
+            ids = np.concatenate([i for i, _ in held[kind]])
+            matrix = np.concatenate([m for _, m in held[kind]])
+            held[kind], count[kind] = [], 0
             return pa.RecordBatch.from_arrays(
-                [pa.array([size], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())],
-                ["size", "ids", "vectors"])
+                [pa.array([kind[0]], pa.int32()), pa.array([kind[1]]), pa.array([ids.tobytes()], pa.binary()),
+                 pa.array([matrix.tobytes()], pa.binary())], ["size", "wide", "ids", "vectors"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             _, by_size = rows_of(batch.column(1))
             for size, (at, matrix) in by_size.items():
-                whole = np.floor(np.clip(matrix * scale, -LARGEST, LARGEST)).astype(np.int32)
-                for lo in range(0, len(at), limit):
-                    part = slice(lo, lo + limit)
-                    if count.get(size, 0) + len(at[part]) > limit:
-                        yield out(size)
-                    held.setdefault(size, []).append((ids[at[part]], whole[part]))
-                    count[size] = count.get(size, 0) + len(at[part])
-        for size in list(held):
-            if count[size]:
-                yield out(size)
+                with np.errstate(over="ignore"):
+                    scaled = np.floor(matrix * scale)
+                large = (np.abs(scaled) > LARGEST).any(axis=1)
+                for wide, own in ((False, np.flatnonzero(~large)), (True, np.flatnonzero(large))):
+                    kind = (size, wide)
+                    values = matrix[own] if wide else scaled[own].astype(np.int32)
+                    for lo in range(0, len(own), limit):
+                        part = slice(lo, lo + limit)
+                        if count.get(kind, 0) + len(own[part]) > limit:
+                            yield out(kind)
+                        held.setdefault(kind, []).append((ids[at[own[part]]], values[part]))
+                        count[kind] = count.get(kind, 0) + len(own[part])
+        for kind in list(held):
+            if count[kind]:
+                yield out(kind)
     return run
 
 
@@ -124,20 +132,42 @@ class Index:
         return possible[best], scores[best]
 
 
-def _search(k: int, itself: bool):
+def _vectors(data: bytes, size: int, wide: bool, scale: int) -> np.ndarray:
+    if wide:
+        return whole(np.frombuffer(data).reshape(-1, size), scale).astype(object)
+    return np.frombuffer(data, np.int32).reshape(-1, size).astype(np.int64)
+
+
+def _top_of_all(ids: np.ndarray, scores: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
+    """(id, score) of the k best by scores of any size."""
+    rows = [(int(i), int(s)) for i, s in zip(ids, scores, strict=True) if i != own]
+    return sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+
+
+def _search(k: int, itself: bool, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, ids, vectors, q_ids, q_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index = Index(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int32).reshape(-1, size).astype(np.int64))
+            for size, wide, ids, vectors, q_wide, q_ids, q_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 asked = np.frombuffer(q_ids, np.int64)
+                queries = _vectors(q_vectors, size, q_wide, scale)
+                held = _vectors(vectors, size, wide, scale)
                 out_q, out_v, out_s = [], [], []
-                for qid, query in zip(asked.tolist(), np.frombuffer(q_vectors, np.int32).reshape(-1, size).astype(np.int64), strict=True):
-                    rows, scores = index.top(query, None if itself else qid, k)
-                    out_q.append(np.full(len(rows), qid))
-                    out_v.append(index.ids[rows])
-                    out_s.append(scores)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x), pa.int64()) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+                if wide or q_wide:
+                    names, rows = np.frombuffer(ids, np.int64), held.astype(object)
+                    for qid, query in zip(asked.tolist(), queries.astype(object), strict=True):
+                        for vec_id, score in _top_of_all(names, rows @ query, None if itself else qid, k):
+                            out_q.append([qid])
+                            out_v.append([vec_id])
+                            out_s.append([score])
+                else:
+                    index = Index(np.frombuffer(ids, np.int64), held)
+                    for qid, query in zip(asked.tolist(), queries, strict=True):
+                        rows, scores = index.top(query, None if itself else qid, k)
+                        out_q.append(np.full(len(rows), qid))
+                        out_v.append(index.ids[rows])
+                        out_s.append(scores)
+                columns = [[int(v) for part in x for v in part] for x in (out_q, out_v, out_s)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
     return run
 
 
@@ -149,23 +179,26 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     hold null or non-finite components, take no part, nor do rows with a null id; vectors of different
     lengths don't meet. A query's own id is no candidate unless ``itself``; rows that
     repeat another id's vector are candidates like any other, and repeated ids count once, with their
-    best score. No query or no candidate gives no row.
+    best score. No query or no candidate gives no row. Scores are exact at any size; one that enters a
+    task's list and doesn't fit a long stops the job.
     """
     spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"),
                         is_query.alias("asks")).where("id IS NOT NULL")
-    packed = "size int, ids binary, vectors binary"
+    packed = "size int, wide boolean, ids binary, vectors binary"
     blocks = stored(plain.select("id", "vector").mapInArrow(_pack(scale, BLOCK), packed), "blocks")
-    queries = plain.where("asks").dropDuplicates(["id"]).select("id", "vector")
-    batches = max(1, -(-queries.count() // BATCH))
-    queries = queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
+    queries = stored(plain.where("asks").dropDuplicates(["id"]).select("id", "vector"), "queries")
+    tasks = max(1, -(-queries.count() // BATCH))
+    asked = stored(queries.repartition(tasks).mapInArrow(_pack(scale, BATCH), packed).select(
+        "size", F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
+        F.monotonically_increasing_id().alias("batch")), "asked")
+    numbers = [r[0] for r in asked.select("batch").collect()]  # one per batch of queries
     found = None
-    for b in range(batches):
-        # about BATCH queries, gathered in one task and sent to every block
-        batch = queries.where(F.col("batch") == b).select("id", "vector").coalesce(1).mapInArrow(_pack(scale, 2 * BATCH), packed)
-        asked = batch.select("size", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        both = blocks.join(F.broadcast(asked), "size").select("size", "ids", "vectors", "q_ids", "q_vectors")
-        part = both.mapInArrow(_search(k, itself), "query_id long, vec_id long, score long")
+    for first in range(0, max(1, len(numbers)), BATCHES_AT_ONCE):
+        # a few batches of a bounded number of rows, sent to every block
+        some = asked.where(F.col("batch").isin(numbers[first:first + BATCHES_AT_ONCE])).drop("batch")
+        both = blocks.join(F.broadcast(some), "size").select("size", "wide", "ids", "vectors", "q_wide", "q_ids", "q_vectors")
+        part = both.mapInArrow(_search(k, itself, scale), "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -423,6 +423,25 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert pipeline.run(spark, sf).count() == len(before)
 
 
+def test_near_duplicates_stage_on_awkward_rows(spark, sf):
+    """Null ids, repeated rows, one id with two texts, clashing columns, an empty table."""
+    from pyspark.sql import functions as F
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)["near_duplicates"]
+    prose = " ".join(f"w{i}" for i in range(60))
+    texts = [(1, prose), (2, prose + " end"), (2, "a text of its own that nobody else has here"), (None, prose + " x"), (None, "some other text without an id at all"),
+             (5, "said twice in one row and the other"), (5, "said twice in one row and the other"), (6, None), (6, None), (7, ""), (8, " \t"), (8, " \t")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1) for i, t in texts],
+                               "doc_id long, text string, lang string, source string, n_chars long, component long")
+    got = collections.Counter((r.doc_id, r.text) for r in stage(spark, df, sf).collect())
+    assert got == collections.Counter([texts[0], texts[2], texts[4], texts[5], *texts[7:]])
+    docs = documents(spark)
+    kept = stage(spark, docs, sf)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 2, 3, 4, 7, 8, 10, 11}
+    assert stage(spark, docs.where(F.lit(False)), sf).count() == 0
+
+
 def test_every_query_covers_the_table(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op1_quality_crf", "op2_byte_bpe", "op4_lm_scores", "op8_pii_surrogates", "op10_toxicity_fm"):

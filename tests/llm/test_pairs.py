@@ -204,6 +204,20 @@ def test_index_stops_only_on_proof():
             assert index.ids[rows].tolist() == ids[order].tolist() and scores.tolist() == all_scores[order].tolist()
 
 
+def test_topk_of_large_components(spark):
+    """Components whose integers leave 28 bits are ranked exactly, beside small ones."""
+    rows = [(50, [1.0]), (1, [2.0**21]), (2, [2.0**22]), (3, [-(2.0**30)]), (4, [0.5]), (100, [2.0**25]), (5, [float(2**22 - 1)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {i: int(v[0] * 256) for i, v in rows}
+    want = {q: sorted(((i, whole[q] * whole[i]) for i in whole if i != q), key=lambda r: (-r[1], r[0]))[:3] for q in (50, 100)}
+    assert got == want and got[50][0][0] == 100
+    with pytest.raises(Exception, match="too large|Overflow"):
+        topk.exact_topk(spark.createDataFrame([(50, [1e200]), (1, [1e200])], "vec_id long, embedding array<double>"), F.col("vec_id") == 50).collect()
+
+
 def test_substrings(spark):
     rng = random.Random(7)
     say = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(10**6)}" for _ in range(n))
