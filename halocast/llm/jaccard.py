@@ -245,28 +245,39 @@ def _meetings(live: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _sizes_fit(num: int, den: int):
+    return F.expr(f"{den}L * least(n, other_n) >= {num}L * greatest(n, other_n)")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ..) that sizes and parity bits leave possible; the bits are joined to pairs only, not to signatures."""
+    left = nodes.select(F.col("node").alias("a"), "n", *MAPS)
+    right = nodes.select(F.col("node").alias("b"), *_other(nodes))
+    return pairs.join(left, "a").join(right, "b").where(_possible(num, den)).select(*pairs.columns)
+
+
 def _spanning(live: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links enough to join every component."""
-    facts = nodes.select("node", "n", *MAPS)
+    sizes = nodes.select("node", "n")
     # of the smallest nodes met in its signatures, a node is first compared with the one it shares most with
-    stars = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(facts, "node").join(
-        nodes.select(F.col("node").alias("center"), *_other(nodes)), "center").where(_possible(num, den))
-    stars = stored(stars.groupBy("node").agg(F.max_by("center", F.struct("common", "center")).alias("a")).select(
-        "a", F.col("node").alias("b")), "stars")
+    near = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(sizes, "node").join(
+        nodes.select(F.col("node").alias("center"), F.col("n").alias("other_n")), "center").where(_sizes_fit(num, den)).select(
+        F.col("center").alias("a"), F.col("node").alias("b"), "common")
+    stars = stored(_likely(near, nodes, num, den).groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b"), "stars")
     linked = _verified(stars, texts, nodes, width, num, den)
 
     labelled = stored(live.select("sig", "node").join(components(linked), "node", "left").withColumn(
-        "label", F.coalesce("label", "node")), "labelled")
+        "label", F.coalesce("label", "node")).join(sizes, "node"), "labelled")
     parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
     main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
                                     F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = stored(labelled.join(main, "sig").join(facts, "node"), "mixed")
-    odd = mixed.where("label <> main").select("sig", "node", "n", "label", *MAPS)
+    mixed = labelled.join(main, "sig")
+    odd = mixed.where("label <> main").select("sig", "node", "n", "label")
     rest = mixed.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"),
-                        (F.col("label") == F.col("main")).alias("other_main"), *_other(nodes))
+                        (F.col("label") == F.col("main")).alias("other_main"), F.col("n").alias("other_n"))
     crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
-        _possible(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    crossing = stored(crossing.distinct().join(stars, ["a", "b"], "left_anti"), "crossing")
+        _sizes_fit(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    crossing = stored(_likely(crossing.join(stars, ["a", "b"], "left_anti"), nodes, num, den), "crossing")
     return linked.unionByName(_verified(crossing, texts, nodes, width, num, den))
 
 
