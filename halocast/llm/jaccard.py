@@ -35,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halocast.llm import text as tx
@@ -51,6 +51,9 @@ LEAST_SET = 10
 #: Nodes of a signature that meet in one task.
 BLOCK = 500
 MAPS = tuple(f"m{k}" for k in range(16))
+FOLDS = tuple(f"w{k}" for k in range(8))
+#: Centers among which a node's first partner is chosen.
+CENTERS = 3
 
 
 def _band_edges(num: int, den: int) -> np.ndarray:
@@ -250,33 +253,44 @@ def _sizes_fit(num: int, den: int):
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, ..) that sizes and parity bits leave possible; the bits are joined to pairs only, not to signatures."""
+    """The pairs (a, b, ..) that sizes and parity bits leave possible; the bits are joined to pairs, not to signatures."""
     left = nodes.select(F.col("node").alias("a"), "n", *MAPS)
     right = nodes.select(F.col("node").alias("b"), *_other(nodes))
     return pairs.join(left, "a").join(right, "b").where(_possible(num, den)).select(*pairs.columns)
 
 
+def _roughly_possible(num: int, den: int):
+    """As ``_possible``, by half as many bits."""
+    differ = " + ".join(f"bit_count({w} ^ other_{w})" for w in FOLDS)
+    return F.expr(f"{den + num}L * ({differ}) <= {den - num}L * (n + other_n)") & _sizes_fit(num, den)
+
+
 def _spanning(live: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links enough to join every component."""
     sizes = nodes.select("node", "n")
-    # of the smallest nodes met in its signatures, a node is first compared with the one it shares most with
+    # of the smallest nodes met in its signatures, a node is first compared with the likely one it shares most with
     near = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(sizes, "node").join(
         nodes.select(F.col("node").alias("center"), F.col("n").alias("other_n")), "center").where(_sizes_fit(num, den)).select(
         F.col("center").alias("a"), F.col("node").alias("b"), "common")
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("common").desc(), F.col("a").desc()))
+    near = near.withColumn("place", best).where(F.col("place") <= CENTERS).drop("place")
     stars = stored(_likely(near, nodes, num, den).groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b"), "stars")
     linked = _verified(stars, texts, nodes, width, num, den)
 
     labelled = stored(live.select("sig", "node").join(components(linked), "node", "left").withColumn(
-        "label", F.coalesce("label", "node")).join(sizes, "node"), "labelled")
+        "label", F.coalesce("label", "node")), "labelled")
     parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
     main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
                                     F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = labelled.join(main, "sig")
-    odd = mixed.where("label <> main").select("sig", "node", "n", "label")
-    rest = mixed.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"),
-                        (F.col("label") == F.col("main")).alias("other_main"), F.col("n").alias("other_n"))
+    half = len(FOLDS)
+    facts = nodes.select("node", "n", *[F.expr(f"{MAPS[k]} ^ {MAPS[k + half]}").alias(w) for k, w in enumerate(FOLDS)])
+    mixed = stored(labelled.join(main, "sig").join(facts, "node"), "mixed")
+    odd = mixed.where("label <> main").select("sig", "node", "label", "n", *FOLDS)
+    rest = mixed.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"), (F.col("label") == F.col("main")).alias("other_main"),
+                        *[F.col(c).alias(f"other_{c}") for c in ("n", *FOLDS)])
+    # bits are tested where the rows meet, so that few pairs leave the join
     crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
-        _sizes_fit(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        _roughly_possible(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     crossing = stored(_likely(crossing.join(stars, ["a", "b"], "left_anti"), nodes, num, den), "crossing")
     return linked.unionByName(_verified(crossing, texts, nodes, width, num, den))
 

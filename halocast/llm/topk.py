@@ -138,12 +138,26 @@ def _vectors(data: bytes, size: int, wide: bool, scale: int) -> np.ndarray:
     return np.frombuffer(data, np.int32).reshape(-1, size).astype(np.int64)
 
 
+LONGEST = (1 << 63) - 1
+
+
 def _top_of_all(ids: np.ndarray, scores: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
     """(id, score) of the k best by scores of any size."""
     rows = [(int(i), int(s)) for i, s in zip(ids, scores, strict=True) if i != own]
     return sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
 
 
+def _beyond(score: int) -> bytes | None:
+    """Bytes that sort as the score does, for a score that no long holds."""
+    if -LONGEST <= score <= LONGEST:
+        return None
+    size = abs(score)
+    n = (size.bit_length() + 7) // 8
+    if score > 0:
+        return n.to_bytes(4, "big") + size.to_bytes(n, "big")
+    return ((1 << 32) - 1 - n).to_bytes(4, "big") + ((1 << 8 * n) - 1 - size).to_bytes(n, "big")
+
+
 def _search(k: int, itself: bool, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +181,9 @@ def _search(k: int, itself: bool, scale: int):
                         out_v.append(index.ids[rows])
                         out_s.append(scores)
                 columns = [[int(v) for part in x for v in part] for x in (out_q, out_v, out_s)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                keys = pa.array([_beyond(s) for s in columns[2]] if wide or q_wide else [None] * len(columns[2]), pa.binary())
+                columns[2] = [max(-LONGEST, min(LONGEST, s)) for s in columns[2]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], keys], ["query_id", "vec_id", "score", "beyond"])
     return run
 
 
@@ -179,8 +195,8 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     hold null or non-finite components, take no part, nor do rows with a null id; vectors of different
     lengths don't meet. A query's own id is no candidate unless ``itself``; rows that
     repeat another id's vector are candidates like any other, and repeated ids count once, with their
-    best score. No query or no candidate gives no row. Scores are exact at any size; one that enters a
-    task's list and doesn't fit a long stops the job.
+    best score. No query or no candidate gives no row. Scores rank exactly at any size; one that no long
+    holds is shown as the greatest or least long.
     """
     spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"),
@@ -198,9 +214,10 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         # a few batches of a bounded number of rows, sent to every block
         some = asked.where(F.col("batch").isin(numbers[first:first + BATCHES_AT_ONCE])).drop("batch")
         both = blocks.join(F.broadcast(some), "size").select("size", "wide", "ids", "vectors", "q_wide", "q_ids", "q_vectors")
-        part = both.mapInArrow(_search(k, itself, scale), "query_id long, vec_id long, score long")
+        part = both.mapInArrow(_search(k, itself, scale), "query_id long, vec_id long, score long, beyond binary")
         found = part if found is None else found.unionByName(part)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = F.max(F.struct("score", "beyond"))
+    once = found.groupBy("query_id", "vec_id").agg(best.alias("best")).select("query_id", "vec_id", "best.*")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
