@@ -52,6 +52,7 @@ LEAST_SET = 10
 BLOCK = 500
 MAPS = tuple(f"m{k}" for k in range(16))
 FOLDS = tuple(f"w{k}" for k in range(8))
+PARTS = 512  # hash parts in which shingles are counted
 #: Centers among which a node's first partner is chosen.
 CENTERS = 3
 
@@ -198,12 +199,29 @@ def _index(width: int, num: int, den: int, shared):
 
 
 def _shingle_lists(width: int):
+    """Each document's shingles, and how many of them fall into each of ``PARTS`` hash parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, code, bounds in _sets(batch, width):
+                part = (code >> np.uint64(10)).astype(np.int64) % PARTS
+                counts = [np.bincount(part[lo:hi], minlength=PARTS).astype(np.uint32).tobytes()
+                          for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_digests(code, bounds)[0]), tx.list_column(code.view(np.int64), bounds, pa.int64())],
-                    ["node", "shingles"])
+                    [pa.array(_digests(code, bounds)[0]), tx.list_column(code.view(np.int64), bounds, pa.int64()), pa.array(counts, pa.binary())],
+                    ["node", "shingles", "parts"])
+    return run
+
+
+def _parts_allow(num: int, den: int):
+    """Of pairs (a, b, x, y) those whose counts by part leave enough shared shingles possible: the sum of the smaller counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, PARTS).astype(np.int64) for i in (2, 3))
+            most, total = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+            keep = pa.array(den * most >= num * (total - most))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
     return run
 
 
@@ -227,10 +245,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int,
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = stored(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("id")), "wanted")
     lists = stored(texts.join(sendable(ids), "id", "left_semi").mapInArrow(
-        _shingle_lists(width), "node long, shingles array<long>"), "shingles")
-    left = lists.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = lists.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+        _shingle_lists(width), "node long, shingles array<long>, parts binary"), "shingles")
+    # counts by part are far smaller than long lists, and rule out most pairs that don't link
+    side = lambda node, column, name: lists.select(F.col("node").alias(node), F.col(column).alias(name))
+    likely = stored(pairs.join(side("a", "parts", "x"), "a").join(side("b", "parts", "y"), "b").select("a", "b", "x", "y").mapInArrow(
+        _parts_allow(num, den), "a long, b long"), "likely")
+    both = likely.join(side("a", "shingles", "x"), "a").join(side("b", "shingles", "y"), "b")
     return stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"),
                               (F.size("x") + F.size("y")).cast("long").alias("total")).where(
         f"{den}L * shared >= {num}L * (total - shared)").select("a", "b").distinct(), "verified")
@@ -291,7 +311,8 @@ def _spanning(live: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, n
     # bits are tested where the rows meet, so that few pairs leave the join
     crossing = odd.join(rest, "sig").where("label <> other_label AND (other_main OR node < other)").where(
         _roughly_possible(num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    crossing = stored(_likely(crossing.join(stars, ["a", "b"], "left_anti"), nodes, num, den), "crossing")
+    crossing = stored(crossing, "meetings").join(stars, ["a", "b"], "left_anti")
+    crossing = stored(_likely(crossing, nodes, num, den), "crossing")
     return linked.unionByName(_verified(crossing, texts, nodes, width, num, den))
 
 
