@@ -9,7 +9,8 @@ blocks together:
   in packed batches of a bounded number of rows, without a shuffle;
 * positions: corpus and queries go to the cells of a grid, a crowded cell is cut into several
   blocks, and both sides lie in one table that is dealt out by block in ranges of equal size. A task
-  walks over its many blocks in sorted arrays.
+  walks over its many blocks in sorted arrays. Radii and cells grow from round to round, so that
+  dense and sparse places alike measure few pairs per query.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ MERGE_SALTS = 32              # partial lists per query before the last merge
 QUERY_BATCH = 4096            # queries sent to the corpus at once (a few MB of vectors)
 CORPUS_BLOCK = 50_000         # corpus rows per block of a cell
 QUERY_BLOCK = 2_048           # queries per block of a cell
+CELLS_SENT = 500_000          # rows of a table of cells that may be sent to all tasks
+CELL_RADII = 8                # cells of a round are as tall as this many of its radii
+GROWTH = 3                    # a round's radius is that of the round before times this
+DIRECT_PAIRS = 200_000_000    # up to so many pairs of points and profiles one round does
 WALK_ROWS = 100_000           # rows of whole blocks that a task holds at once
 PAIRS = 2_000_000             # pairs measured at once
 BATCHES_AT_ONCE = 4           # packed query batches sent out together
@@ -166,16 +171,19 @@ def position_walk(radius_degrees: float) -> Callable:
     return walk
 
 
-def _merge(hits: DataFrame, repeated: bool = False) -> DataFrame:
+def _merge(hits: DataFrame, repeated: bool = False, thin: bool = True) -> DataFrame:
     """Final k per query, merged in two steps.
 
     Every task hands in up to k rows per query. They are first thinned per
     (query, salt), so that the last step sees a bounded list per query however
-    many tasks there were.
+    many tasks there were; without ``thin``, where a query meets few blocks, in one step.
     """
     if repeated:
         hits = hits.dropDuplicates(["query_id", "profile_id"])
     order = ["distance", "profile_id"]
+    if not thin:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+        return hits.withColumn("rank", rank).filter(F.col("rank") <= F.col("k")).drop("k")
     salt = F.pmod(F.xxhash64("profile_id"), F.lit(MERGE_SALTS))
     part = F.row_number().over(W.partitionBy("query_id", "_salt").orderBy(*order))
     thinned = hits.withColumn("_salt", salt).withColumn("_part", part).filter(
@@ -275,18 +283,20 @@ def meet_in_blocks(corpus: DataFrame, queries: DataFrame, walk: Callable) -> Dat
     return dealt.mapInArrow(run, HIT_SCHEMA)
 
 
-def _cell_blocks(corpus: DataFrame, queries: DataFrame, cell: Column, cells: Column):
+def _counted(cells: DataFrame) -> DataFrame:
+    """A table of cells, sent to all tasks while it is short; a sort-merge join meets it beyond."""
+    return F.broadcast(cells) if cells.count() <= CELLS_SENT else cells.hint("merge")
+
+
+def _cell_blocks(left: DataFrame, right: DataFrame, n_left: DataFrame):
     """Blocks are cells; a crowded cell is cut into several blocks on both sides.
 
-    ``cell`` is the corpus row's cell (or an array of cells), ``cells`` the
-    array of cells a query must visit. The table of cell sizes is what decides
-    the cuts; it has one row per cell.
+    ``left`` has a row per corpus row and ``right`` one per query and cell that it visits, with the cell as ``_cell``.
+    ``n_left`` counts the corpus rows of the cells. The sizes of the visited cells decide the cuts; only they are ever broadcast.
     """
-    left = corpus.withColumn("_cell", cell)
-    right = queries.withColumn("_cell", F.explode(cells))
-    n_left = left.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / CORPUS_BLOCK).alias("_rows"))
     n_right = right.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("_columns"))
-    sizes = n_left.join(n_right, "_cell")
+    rows = n_left.select("_cell", F.ceil(F.col("n") / CORPUS_BLOCK).alias("_rows"))
+    sizes = _counted(stored(rows.join(n_right, "_cell"), "cells"))
     pos_left = F.pmod(F.xxhash64("profile_id"), F.col("_rows"))
     pos_right = F.pmod(F.xxhash64("query_id"), F.col("_columns"))
 
@@ -314,34 +324,95 @@ def topk(corpus: DataFrame, queries: DataFrame, kernel: Callable, size: int = QU
 
 
 # --- nearest positions -------------------------------------------------------
+def _columns_of(band: Column, size: float) -> Column:
+    """Number of cells in a band of latitude: each about as wide as it is tall, one at least."""
+    low = band * F.lit(size) - 90
+    edge = F.greatest(F.lit(0.0), low, -(low + size))  # of the band's latitudes the nearest to the equator
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / size)).cast("bigint")
+
+
+def _cell(size: float) -> Column:
+    """Cell of a position in bands ``size`` degrees tall."""
+    band = F.floor((F.col("lat") + 90) / size).cast("bigint")
+    n = _columns_of(band, size)
+    column = F.pmod(F.floor((F.col("lon") + 180) * n / 360).cast("bigint"), n)
+    return band * (math.floor(360 / size) + 2) + column
+
+
+def _cells_around(size: float, radius: float) -> Column:
+    """Cells that the circle around a position reaches, with longitude wrapped at 180 degrees; all of a band's at a pole."""
+    far = radius + 1e-6
+    bands = F.sequence(F.greatest(F.lit(0), F.floor((F.col("lat") - far + 90) / size)).cast("bigint"),
+                       F.least(F.lit(math.floor(180 / size)), F.floor((F.col("lat") + far + 90) / size)).cast("bigint"))
+    # the widest the circle gets, in degrees of longitude
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(far))) / F.cos(F.radians(F.col("lat")))))) + 1e-6
+    whole = (F.abs("lat") + far >= 90) | (reach >= 180)
+
+    def columns(band: Column) -> Column:
+        n = _columns_of(band, size)
+        first = F.floor((F.col("lon") - reach + 180) * n / 360).cast("bigint")
+        last = F.floor((F.col("lon") + reach + 180) * n / 360).cast("bigint")
+        span = F.when(whole | (last - first >= n), F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.sequence(first, last))
+        return F.transform(span, lambda c: band * (math.floor(360 / size) + 2) + F.pmod(c, n))
+
+    return F.array_distinct(F.flatten(F.transform(bands, columns)))
+
+
+def _radii(rows: DataFrame, asked: DataFrame, k: int, radius: float) -> list[float]:
+    """Radii to look in, growing to ``radius``; the first suits the most crowded square degree."""
+    if rows.count() * asked.count() <= DIRECT_PAIRS or k < 1:
+        return [radius]
+    most = rows.groupBy(_cell(1.0).alias("_cell")).count().agg(F.max("count")).first()[0]
+    radii = [math.sqrt((4 * k + 8) / (math.pi * most))]
+    while radii[-1] * GROWTH < radius:
+        radii.append(radii[-1] * GROWTH)
+    return [r for r in radii if r * 2 < radius] + [radius]
+
+
 def nearest_profiles(catalog: DataFrame, points: DataFrame, k: int,
                      radius_degrees: float = 2.0) -> DataFrame:
     """k nearest profiles within a radius (degrees of arc) of each point.
 
-    Cells are as tall as the radius. A point visits the three bands around it;
-    in each band as many cells to both sides as the radius spans there, all of
-    them near a pole, with longitude wrapped at 180 degrees.
+    Rounds with growing radii: a point that has k profiles within the radius of a round is settled, since all others
+    lie further away; the rest goes on, to the full radius at last. A round leaves points for later whose cell holds too few
+    profiles, so that the pairs of a point stay few, however dense its surroundings are. Of the profiles at one
+    position only the k first by id can ever be among the k nearest.
     """
-    size = radius_degrees
-    n_lon = math.ceil(360 / size)
-    corpus = catalog.filter(valid_coordinates()).select("profile_id", "lat", "lon")
-    wanted = points.filter(valid_coordinates()).select(
-        "query_id", "lat", "lon", F.lit(k).alias("k"))
-    band = F.floor((F.col("lat") + 90) / size).cast("bigint")
-    column = F.pmod(F.floor((F.col("lon") + 180) / size).cast("bigint"), F.lit(n_lon))
-    cell = band * n_lon + column
-    # the widest the circle gets, in degrees of longitude, at the latitude furthest out
-    top = F.abs("lat") + size
-    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(size)))
-                                     / F.cos(F.radians(F.col("lat"))))))
-    steps = F.when(top >= 89.9, F.lit(n_lon)).otherwise(F.ceil(reach / size)).cast("bigint")
-    home = F.floor((F.col("lon") + 180) / size).cast("bigint")
-    bands = F.sequence(band - 1, band + 1)
-    cells = F.array_distinct(F.flatten(F.transform(bands, lambda b: F.transform(
-        F.sequence(home - steps, home + steps),
-        lambda c: b * n_lon + F.pmod(c, F.lit(n_lon))))))
-    left, right = _cell_blocks(corpus, wanted, cell, cells)
-    return _merge(meet_in_blocks(left, right, position_walk(radius_degrees)))
+    order = W.partitionBy("lat", "lon").orderBy(F.coalesce("profile_id", F.lit("None")))
+    rows = stored(catalog.filter(valid_coordinates()).select("profile_id", "lat", "lon").withColumn(
+        "_nth", F.row_number().over(order)).where(F.col("_nth") <= k).drop("_nth"), "places")
+    asked = stored(points.filter(valid_coordinates()).select("query_id", "lat", "lon", F.lit(k).alias("k")), "points")
+    found = []
+    for radius in _radii(rows, asked, k, radius_degrees):
+        last = radius == radius_degrees
+        size = radius * (2 if last else CELL_RADII)
+        left = rows.withColumn("_cell", _cell(size))
+        n_left = left.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
+        tried, postponed = asked, None
+        if not last:
+            # of a cell with this many rows the circle holds 2k + 2, if they lie evenly
+            enough = math.ceil((2 * k + 2) * CELL_RADII ** 2 / math.pi)
+            dense = stored(n_left.where(F.col("n") >= enough).select(F.col("_cell").alias("_home"), F.lit(True).alias("_dense")), "dense")
+            homes = asked.withColumn("_home", _cell(size)).join(_counted(dense), "_home", "left").drop("_home")
+            tried = homes.where("_dense").drop("_dense")
+            if tried.isEmpty():
+                continue
+            postponed = homes.where("_dense IS NULL").select("query_id")
+        right = tried.withColumn("_cell", F.explode(_cells_around(size, radius)))
+        hits = _merge(meet_in_blocks(*_cell_blocks(left, right, n_left), position_walk(radius)), thin=False)
+        if last:
+            found.append(hits)
+            break
+        hits = stored(hits, "hits")
+        sure = math.radians(radius) * EARTH_RADIUS_KM * (1 - 1e-6) - 1e-5
+        # points that share an id settle together
+        settled = hits.where((F.col("rank") == k) & (F.col("distance") < sure) & F.col("query_id").isNotNull()).select("query_id")
+        settled = stored(settled.join(postponed, "query_id", "left_anti"), "settled")
+        found.append(hits.join(settled, "query_id", "left_semi"))
+        asked = stored(asked.join(settled, "query_id", "left_anti"), "points")
+        if asked.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- vectors -----------------------------------------------------------------

@@ -134,3 +134,43 @@ def test_vector_join_measures_pairs(spark):
     a = spark.createDataFrame([("x", 1, [0.0, 3.0])], "id string, label int, a array<double>")
     b = spark.createDataFrame([(1, [4.0, 0.0])], "label int, b array<double>")
     assert topk.vector_join(a, b, ["label"]).first().distance == 25.0
+
+
+def brute_km(rows, points, k, radius):
+    """The same as ``nearest``, for many points; of rows that share a position the first ids count."""
+    import numpy as np
+    limit, out = math.radians(radius) * 6371, set()
+    ids = [p for p, _, _ in rows]
+    c = np.radians(np.array([r[1:] for r in rows]))
+    for q, a, b in points:
+        p, z = math.radians(a), math.radians(b)
+        h = np.sin((c[:, 0] - p) / 2) ** 2 + math.cos(p) * np.cos(c[:, 0]) * np.sin((c[:, 1] - z) / 2) ** 2
+        d = np.round(2 * 6371 * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0, 1 - h))), 6)
+        near = sorted((d[i], ids[i]) for i in np.flatnonzero(d <= limit))[:k]
+        out |= {(q, x, n + 1) for n, (_, x) in enumerate(near)}
+    return out
+
+
+def test_rounds_give_the_nearest_positions(spark, places, monkeypatch):
+    """Dense, sparse, polar and repeated positions settle in different rounds."""
+    monkeypatch.setattr(topk, "DIRECT_PAIRS", 0)
+    rows = [r for r in places[0] if abs(r[1]) <= 90] + [(f"D{i:03d}", 10.25, 20.25) for i in range(300)]
+    points = places[1] + [(p, a, b) for p, a, b in rows[::5]]
+    c = spark.createDataFrame(rows, "profile_id string, lat double, lon double")
+    q = spark.createDataFrame(points, "query_id string, lat double, lon double")
+    radii = topk._radii(c, q, 3, 30.0)
+    assert len(radii) > 3 and radii[-1] == 30.0
+    got = topk.nearest_profiles(c, q, 3, 30.0).collect()
+    assert {(r.query_id, r.profile_id, r["rank"]) for r in got} == brute_km(rows, points, 3, 30.0)
+
+
+def test_only_tables_of_cells_are_broadcast(spark, places):
+    """Points and the cells they visit, many times as many rows, were once broadcast where the points looked small."""
+    from compare import plan
+    from halocast.session import stored
+
+    c = stored(spark.createDataFrame(places[0], "profile_id string, lat double, lon double"), "c")
+    q = stored(spark.createDataFrame(places[1], "query_id string, lat double, lon double"), "q")
+    text = plan(topk.nearest_profiles(c, q, 3, 10.0))
+    builds = [line for line in text.splitlines() if "BroadcastHashJoin" in line]
+    assert builds and all("BuildRight" in line for line in builds)
