@@ -122,12 +122,33 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each copy taken, range-sorted by training position."""
-    drawn = plan(docs, id_col, text_col, source_col, **options).where("copies > 0").select(
+def _copies(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of ``docs`` with the name of their draw and a row for each copy taken, range-sorted by training position."""
+    drawn = drawn.where("copies > 0").select(
         F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("positions").alias("__positions"))
     rows = docs.withColumn("__words", words_in(F.col(text_col).cast("string")))
     both = rows.join(drawn, rows[id_col].cast("long").eqNullSafe(drawn["__id"]) & (rows["__words"] == drawn["__size"])
                      & rows[source_col].cast("string").eqNullSafe(drawn["__source"]))
-    out = both.select(*(rows[c] for c in docs.columns), F.explode("__positions").alias("__position"))
-    return out.repartitionByRange(F.col("__position")).sortWithinPartitions("__position").drop("__position")
+    out = both.select(*(rows[c] for c in docs.columns), "__id", "__source", "__size", F.explode("__positions").alias("__position"))
+    return out.repartitionByRange(F.col("__position")).sortWithinPartitions("__position")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each copy taken, range-sorted by training position."""
+    return _copies(docs, plan(docs, id_col, text_col, source_col, **options), id_col, text_col, source_col).select(*docs.columns)
+
+
+def taken(docs: DataFrame, drawn: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, taken, first_position) per row of ``docs``, as the mix that is drawn holds it.
+
+    The mix is made, range-sorted and written, and its copies are counted; rows that agree in id, source and
+    size share their copies alike. Rows that nothing is taken of have no position.
+    """
+    drawn = stored(drawn, "drawn")
+    key = ["__id", "__source", "__size"]
+    mixed = stored(_copies(docs.select(id_col, text_col, source_col), drawn, id_col, text_col, source_col).select(*key, "__position"), "mix")
+    held = mixed.groupBy(*key).agg(F.sum("__size").alias("__words"), F.min("__position").alias("first_position"))
+    same = (F.col("id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
+    both = drawn.join(held, same, "left").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows").cast("long"))))
+    words = F.coalesce((F.col("__words") / F.col("rows")).cast("long"), F.lit(0).cast("long"))
+    return both.select("id", "source", "size", "source_size", "target", words.alias("taken"), "first_position")

@@ -69,11 +69,11 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document, and where its first copy stands."""
-    drawn = mixing.plan(read_table(spark, sf_dir, "documents"))
-    return drawn.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+    """What the mix takes of every document, counted over the copies it holds, and where the first of them stands."""
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.taken(docs, mixing.plan(docs)).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
-        F.round(F.col("positions")[0], 9).alias("first_position"))
+        F.round("first_position", 9).alias("first_position"))
 
 
 def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

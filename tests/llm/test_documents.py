@@ -360,6 +360,20 @@ def test_plan_and_mix(spark):
     assert {r.taken for r in mixing.plan(blank).collect()} == {0} and mixing.mix(blank).count() == 0
 
 
+def test_taken_is_counted_over_the_mix(spark, tmp_path, monkeypatch):
+    from halocast.llm import queries
+
+    docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    copies = mixing._copies
+    monkeypatch.setattr(mixing, "_copies", lambda *a, **k: made.append(copies(*a, **k)) or made[-1])
+    got = queries.op9_curriculum_mix(spark, str(tmp_path)).collect()
+    want = [(r.id, r.size, r.taken, round(r.positions[0], 9) if r.positions else None) for r in mixing.plan(docs).collect() for _ in range(r.rows)]
+    assert sorted(map(str, ((r.doc_id, r["size"], r.taken, r.first_position) for r in got))) == sorted(map(str, want))
+    assert len(made) == 1 and made[0].count() == sum(r.taken // r["size"] for r in got if r["size"])
+
+
 def test_positions_follow_the_schedule(spark):
     docs = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(1500)], "doc_id long, text string, source string")
     knots = {5: (2.0, 1.0, 0.0), 2: (1.0, 1.0), 1: (0.0, 3.0)}
