@@ -2,7 +2,7 @@
 
 The texts pass by the catalogue in packed batches, as the vector searches do. A task looks for all
 texts of a batch at once in each row (Aho-Corasick), walks its rows from the newest on, and keeps a list of
-at most k rows per text; lists are merged in two steps.
+at most k rows per text; lists are merged in two steps. Texts that agree in word and facets pass by once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from halocast.operators import filters
 from halocast.operators.stats import region_label
 from halocast.operators.topk import topk
+from halocast.session import stored
 
 GAP = "\x00"  # between the searched columns, so that no text matches across them
 
@@ -27,40 +28,58 @@ def _age(nulls_first: bool = True) -> Column:
 
 
 def _text_kernel() -> Callable:
-    """(rows, texts) -> per text the k newest rows that hold it or share a facet with it.
+    """(rows, texts) -> per text the k newest rows that hold it and share no facet with it.
 
-    Rows have ``hay``, ``bits`` and ``age``, texts ``word``, ``mask`` and ``k``. An empty word is in every row.
+    Rows have ``hay``, ``bits`` and ``age``, texts ``word``, ``mask`` and ``k``. An empty word is in every row. A task
+    builds the automaton of a batch of texts once, for all of its rows.
     """
-    def best(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def prepare(queries: pd.DataFrame):
         import ahocorasick
 
         queries = queries[queries["word"].notna() & (queries["k"] > 0)]
-        corpus = corpus.sort_values(["age", "profile_id"]).reset_index(drop=True)
-        most = int(queries["k"].max()) if len(queries) else 0
-        held: dict[str, list[int]] = {w: [] for w in queries["word"]}
+        places: dict[str, list[int]] = {}
+        for at, word in enumerate(queries["word"]):
+            places.setdefault(word, []).append(at)
         finder = ahocorasick.Automaton()
-        for word in held:
+        for word in places:
             if word:
                 finder.add_word(word, word)
         if len(finder):
             finder.make_automaton()
+        return queries, places, finder, queries["mask"].to_numpy(dtype=np.int64).tolist(), queries["k"].to_numpy(dtype=np.int64).tolist()
+
+    def best(corpus: pd.DataFrame, prepared) -> pd.DataFrame:
+        queries, places, finder, masks, wanted = prepared
+        corpus = corpus.sort_values(["age", "profile_id"]).reset_index(drop=True)
+        bits = corpus["bits"].to_numpy(dtype=np.int64).tolist()
+        held: dict[int, list[int]] = {}
+
+        def keep(word: str, i: int) -> bool:
+            """Whether any text with this word wants more rows."""
+            more = False
+            for at in places[word]:
+                rows = held.setdefault(at, [])
+                if len(rows) < wanted[at]:
+                    more = True
+                    if not bits[i] & masks[at]:
+                        rows.append(i)
+            return more
+
+        if len(finder):
             for i, hay in enumerate(corpus["hay"]):
                 for word in {w for _, w in finder.iter(hay)}:
-                    if len(held[word]) < most:
-                        held[word].append(i)
-        if "" in held:
-            held[""] = list(range(min(most, len(corpus))))
-        bits = corpus["bits"].to_numpy(dtype=np.int64)
-        shared = {m: np.flatnonzero(bits & m)[:most].tolist() for m in queries["mask"].unique()}
-        rows, cols = [], []
-        for at, (word, mask, k) in enumerate(zip(queries["word"], queries["mask"], queries["k"])):
-            found = sorted({*held[word], *shared[mask]})[:k]
-            rows += found
-            cols += [at] * len(found)
+                    keep(word, i)
+        if "" in places:
+            for i in range(len(corpus)):
+                if not keep("", i):
+                    break
+        rows = [i for at in held for i in held[at]]
+        cols = [at for at in held for _ in held[at]]
         return pd.DataFrame({
             "query_id": queries["query_id"].to_numpy()[cols], "profile_id": corpus["profile_id"].to_numpy()[rows],
             "distance": corpus["age"].to_numpy(dtype=float)[rows], "k": queries["k"].to_numpy()[cols].astype("int32")})
 
+    best.prepare = prepare
     return best
 
 
@@ -98,8 +117,26 @@ def facet_search_many(catalog: DataFrame, texts: DataFrame) -> DataFrame:
     wanted += [low.contains("equator"), low.contains("atlantic"), any_of(filters.DEPTH_WORDS), low.contains("2023")]
     asked = texts.where("text IS NOT NULL").select("query_id", F.col("k").cast("int").alias("k"), F.when(low == "", None).otherwise(low).alias("word"),
                                                   _facet_bits(wanted).alias("mask"))
-    # a text without a word to look for can still be unmatched
-    found = topk(rows, asked, _text_kernel()).select("query_id", "rank", "profile_id", F.lit(True).alias("matched"))
+    rows, asked = stored(rows, "rows"), stored(asked, "asked")
+    keys, order = ["word", "mask"], ["age", "profile_id"]
+    # the k newest rows by facets: of the rows with the same facets the newest are enough, and texts that ask for the same share them
+    most = asked.agg(F.max("k")).first()[0] or 0
+    newest_of = W.partitionBy("bits").orderBy(*order)
+    some = rows.where("bits <> 0").select("profile_id", "bits", "age", F.row_number().over(newest_of).alias("nth")).where(F.col("nth") <= most)
+    masks = asked.where("mask <> 0 AND k > 0").groupBy("mask").agg(F.max("k").alias("most"))
+    by_facet = masks.join(some, F.col("mask").bitwiseAND(F.col("bits")) != 0).withColumn(
+        "nth", F.row_number().over(W.partitionBy("mask").orderBy(*order))).where("nth <= most").select("mask", "profile_id", "age")
+    # the k newest rows by words that share no facet with them; a word longer than any row is in none
+    longest_row = rows.agg(F.max(F.length("hay"))).first()[0] or 0
+    words = asked.where(F.col("word").isNotNull() & (F.length("word") <= longest_row) & (F.col("k") > 0)).groupBy(*keys).agg(F.max("k").alias("k"))
+    name = F.concat_ws(":", F.col("mask").cast("string"), F.col("word"))
+    by_word = topk(rows, words.select(name.alias("query_id"), *keys, "k"), _text_kernel()).select(
+        F.col("query_id").alias("pair"), "profile_id", F.col("distance").alias("age"))
+    wanted = asked.where("k > 0").select("query_id", "k", "mask", F.when(F.col("word").isNotNull(), name).alias("pair"))
+    both = wanted.join(by_facet, "mask").select("query_id", "k", "profile_id", "age").unionByName(
+        wanted.join(by_word, "pair").select("query_id", "k", "profile_id", "age"))
+    found = stored(both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(
+        F.col("rank") <= F.col("k")).select("query_id", "rank", "profile_id", F.lit(True).alias("matched")), "found")
     rest = asked.join(found.select("query_id").distinct(), "query_id", "left_anti").where("k > 0")
     longest = rest.agg(F.max("k")).first()[0] or 0
     newest = rows.orderBy("age", "profile_id").limit(longest).withColumn("rank", F.row_number().over(W.orderBy("age", "profile_id"))).select(

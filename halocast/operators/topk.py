@@ -216,12 +216,15 @@ def scan_in_batches(corpus: DataFrame, queries: DataFrame, kernel: Callable, siz
     are sent to every block of the corpus, and nothing passes the driver's Python. A task keeps
     one list of the k best per query for all of its blocks.
     """
+    prepare = getattr(kernel, "prepare", lambda queries: queries)
+
     def run(batches):
-        held = None
+        held, asked_of = None, {}
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                found = kernel(pa.ipc.open_stream(left.as_buffer()).read_pandas(),
-                               pa.ipc.open_stream(right.as_buffer()).read_pandas())
+            for left, right, number in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                if number not in asked_of:  # a few batches, met by every block
+                    asked_of[number] = prepare(pa.ipc.open_stream(right.as_buffer()).read_pandas())
+                found = kernel(pa.ipc.open_stream(left.as_buffer()).read_pandas(), asked_of[number])
                 if held is not None:
                     found = pd.concat([held, found], ignore_index=True).sort_values(
                         ["query_id", "distance", "profile_id"])
@@ -238,8 +241,8 @@ def scan_in_batches(corpus: DataFrame, queries: DataFrame, kernel: Callable, siz
     numbers = [r[0] for r in asked.select("batch").collect()]  # one per ``size`` queries
     hits = []
     for first in range(0, max(1, len(numbers)), BATCHES_AT_ONCE):
-        some = asked.where(F.col("batch").isin(numbers[first:first + BATCHES_AT_ONCE])).select("asked", "side")
-        hits.append(blocks.join(F.broadcast(some), "side").select("rows", "asked").mapInArrow(run, HIT_SCHEMA))
+        some = asked.where(F.col("batch").isin(numbers[first:first + BATCHES_AT_ONCE])).select("asked", "batch", "side")
+        hits.append(blocks.join(F.broadcast(some), "side").select("rows", "asked", "batch").mapInArrow(run, HIT_SCHEMA))
     return reduce(DataFrame.unionByName, hits)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from halocast import rules
-from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, textsearch
+from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, textsearch, topk
 from halocast.operators.ordering import dense_index
 from halocast.plans import health, ingest as ing, routing
 from halocast.sources import fixtures as fx
@@ -270,6 +270,23 @@ def test_many_texts_at_once(spark, monkeypatch):
     assert textsearch.keyword_search_many(c, q.where("false")).count() == 0
 
 
+def test_texts_pass_by_once_whatever_their_number(spark, monkeypatch):
+    c = spark.createDataFrame(
+        [(f"P{i}", f"F{i % 3}", ("TEMP", "DOXY", "PSAL")[i % 3], 0.0, 0.0, 500.0 + 100 * i, datetime(2020 + i % 4, 1, 1)) for i in range(12)],
+        "profile_id string, float_id string, variables_csv string, lat double, lon double, max_depth double, time_start timestamp_ntz")
+    sent = []
+    monkeypatch.setattr(textsearch, "topk", lambda rows, asked, kernel: sent.append(asked) or topk.topk(rows, asked, kernel))
+    texts = [("oxygen", 2), ("oxygen", 4), ("2020", 3), ("oxygen " + "x" * 500, 3), ("salt " * 300, 1), ("p1", 2), ("f1", 9)]
+    asks = [(f"q{j}_{i}", t, k) for j in range(5) for i, (t, k) in enumerate(texts)]
+    got: dict = {}
+    for r in textsearch.facet_search_many(c, spark.createDataFrame(asks, "query_id string, text string, k int")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.profile_id, r.matched))
+    assert sent[0].count() == 4  # of 35 texts the distinct ones that a row could hold
+    for j in range(5):
+        want = [["P7", "P10"], ["P7", "P10", "P1", "P4"], ["P0", "P4", "P8"], ["P7", "P10", "P1"], ["P11"], ["P11", "P10"], ["P7", "P10", "P1", "P4"]]
+        assert [got[f"q{j}_{i}"] for i in range(7)] == [[(p, True) for p in ps] for ps in want]
+
+
 def test_health_scans_each_table_once(spark, sf):
     from compare import plan
     from halocast.session import work_dir
