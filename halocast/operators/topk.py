@@ -5,7 +5,9 @@ block of the corpus with a block of the queries in numpy and emits at most k
 rows per query; a window then merges those short lists. Two ways to bring
 blocks together:
 
-* vectors: the corpus is read where it lies, and any number of queries pass by
+* vectors: queries are dealt out in stripes of a bounded number. A task holds one stripe with its best rows so far,
+  and the corpus streams by; rows that can't be among the k best are told by a product in single precision;
+* search texts: the corpus is read where it lies, and any number of queries pass by
   in packed batches of a bounded number of rows, without a shuffle;
 * positions: corpus and queries go to the cells of a grid, a crowded cell is cut into several
   blocks, and both sides lie in one table that is dealt out by block in ranges of equal size. A task
@@ -28,6 +30,8 @@ from halocast.functions.geo import valid_coordinates
 from halocast.rules import EARTH_RADIUS_KM
 from halocast.session import stored
 
+SCANNED_SCHEMA = "query_id string, profile_id string, distance double, k int, exact double"
+SCANNED = pa.schema([("query_id", pa.string()), ("profile_id", pa.string()), ("distance", pa.float64()), ("k", pa.int32()), ("exact", pa.float64())])
 HIT_SCHEMA = "query_id string, profile_id string, distance double, k int"
 MERGE_SALTS = 32              # partial lists per query before the last merge
 QUERY_BATCH = 4096            # queries sent to the corpus at once (a few MB of vectors)
@@ -41,86 +45,236 @@ WALK_ROWS = 100_000           # rows of whole blocks that a task holds at once
 PAIRS = 2_000_000             # pairs measured at once
 BATCHES_AT_ONCE = 4           # packed query batches sent out together
 QUERY_SLICE = 256             # queries compared with a block at a time inside a task
+ROW_SLICE = 2_048             # corpus rows compared at a time inside a task
+STRIPE_QUERIES = 65_536       # queries that a task holds at most
+STRIPE_LEAST = 4_096          # queries of a stripe where there are enough tasks
+STRIPE_HITS = 1_000_000       # best rows that the queries of a stripe hold at most
 DIGITS = 9                    # distances are compared after rounding to this
 
 
-def vector_kernel(metric: str = "l2sq", prefilter: bool = False) -> Callable:
-    """(corpus pandas, queries pandas) -> best hits per query within this block.
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows whose vector is there and finite, and these vectors."""
+    held = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    lists = column.drop_null()
+    sizes = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in length")
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    rows = flat.reshape(len(lists), int(sizes[0]) if len(sizes) else 0)
+    fine = np.isfinite(rows).all(1)
+    return held[fine], rows[fine].astype(np.float64)
 
-    Candidates come from a matrix product; the few that can be among the k
-    best are measured again exactly, so that ties fall alike in every block.
+
+def _numbers(table, names: list[str]) -> np.ndarray:
+    """Columns side by side as doubles, null as NaN."""
+    return np.stack([table.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names], axis=1) if names else np.zeros((len(table), 0))
+
+
+BOUNDS = ["lat_min", "lat_max", "lon_min", "lon_max", "ts_from", "ts_to", "months"]
+PLACED = ["lat", "lon", "ts", "month"]
+
+
+def _allowed(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which rows (``PLACED``) pass one query's box, time span and months (``BOUNDS``; NaN is open)."""
+    lat, lon, ts, month = rows.T
+    lat_min, lat_max, lon_min, lon_max, since, until, months = bounds
+    fine = np.ones(len(rows), dtype=bool)
+    if not np.isnan(lat_min):
+        east, west = lon >= lon_min, lon <= lon_max
+        fine &= (lat >= lat_min) & (lat <= lat_max) & (east | west if lon_min > lon_max else east & west)
+    if not np.isnan(since):
+        fine &= (ts >= since) & (ts < until)
+    if not np.isnan(months):
+        fine &= ((int(months) >> np.nan_to_num(month).astype(np.int64)) & 1 == 1) & ~np.isnan(month)
+    return fine
+
+
+class VectorScan:
+    """The k nearest rows of each query of a stripe, of all rows that have passed by.
+
+    A product in single precision rules out the rows that are further than the k-th best so far by more than its
+    rounding error; the few others are measured in double precision, so that ties fall alike wherever a row passes.
+    With a ``book`` rows are ranked by their decoded codes, and the distance to the vector itself goes along as ``exact``.
     """
-    digits, slice_size = DIGITS, QUERY_SLICE
-
-    def best(corpus, queries):
-        corpus = corpus[corpus["embedding"].notna()]
-        queries = queries[queries["query_vector"].notna() & (queries["k"] > 0)]
-        parts = []
-        if len(corpus) and len(queries):
-            ids = corpus["profile_id"].to_numpy().astype(str)
-            c = np.array(corpus["embedding"].tolist(), dtype=np.float64)
-            c_size = (c * c).sum(1)
-            for start in range(0, len(queries), slice_size):
-                some = queries.iloc[start:start + slice_size]
-                q = np.array(some["query_vector"].tolist(), dtype=np.float64)
-                k = some["k"].to_numpy(dtype=np.int64)
-                q_size, dot = (q * q).sum(1), c @ q.T
-                if metric == "l2sq":
-                    rough = c_size[:, None] + q_size[None, :] - 2 * dot
-                elif metric == "cosine":
-                    norm = np.sqrt(c_size)[:, None] * np.sqrt(q_size)[None, :]
-                    rough = 1 - dot / np.where(norm == 0, 1.0, norm)
-                else:
-                    rough = -dot
-                if prefilter:
-                    rough = np.where(_allowed(corpus, some, np), rough, np.inf)
-                place = np.minimum(k, len(c)) - 1
-                edge = np.partition(rough, np.unique(place), axis=0)[place, np.arange(len(k))]
-                row, col = np.nonzero((rough <= edge[None, :] + 1e-6) & np.isfinite(rough))
-                left, right = c[row], q[col]
-                if metric == "l2sq":
-                    exact = ((left - right) ** 2).sum(1)
-                elif metric == "cosine":
-                    norm = np.sqrt(c_size[row]) * np.sqrt(q_size[col])
-                    exact = 1 - (left * right).sum(1) / np.where(norm == 0, 1.0, norm)
+
+    def __init__(self, asked: pa.Table, metric: str, prefilter: bool, book: Codebook | None, slices: tuple[int, int], digits: int):
+        self.metric, self.book, self.digits = metric, book, digits
+        self.query_slice, self.row_slice = slices
+        held, q = _vectors(asked.column("query_vector").combine_chunks())
+        wanted = np.nan_to_num(asked.column("k").cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(np.int64)[held]
+        held, q, k = held[wanted > 0], q[wanted > 0], wanted[wanted > 0]
+        self.groups = [(0, len(held), None)]
+        if prefilter and len(held):  # queries with the same bounds stand together
+            bounds = _numbers(asked, BOUNDS)[held]
+            _, code = np.unique(np.nan_to_num(bounds, nan=1e300, posinf=2e300), axis=0, return_inverse=True)
+            order = np.argsort(code.ravel(), kind="stable")
+            held, q, k, bounds, code = held[order], q[order], k[order], bounds[order], code.ravel()[order]
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(held)]
+            self.groups = [(lo, hi, bounds[lo]) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        self.names, self.q, self.k = asked.column("query_id").take(pa.array(held)), q, k
+        self.size = np.sqrt((q * q).sum(1))
+        left = q / np.where(self.size == 0, 1.0, self.size)[:, None] if metric == "cosine" else q
+        self.left = np.concatenate([left, np.ones((len(q), 1))], axis=1) if metric == "l2sq" else left
+        self.edge, self.least = np.full(len(q), np.inf), np.full(len(q), -np.inf)
+        # (query, distance, row's id, exact) of the best rows and of those that came since
+        self.best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "<U1"), np.zeros(0))
+        self.fresh: list[tuple] = []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        at, vectors = _vectors(rows.column("embedding"))
+        if not len(at) or not len(self.k):
+            return
+        ids = rows.column("profile_id").take(pa.array(at)).to_numpy(zero_copy_only=False).astype(str)
+        c = vectors
+        if self.book is not None:
+            codes = rows.column("code").take(pa.array(at)).to_pylist()
+            c = self.book.decode(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1))
+        placed = None if self.groups[0][2] is None else _numbers(rows, PLACED)[at]
+        for lo, hi, bounds in self.groups:
+            some = slice(None) if bounds is None else np.flatnonzero(_allowed(placed, bounds))
+            self._compare(lo, hi, c[some], vectors[some], ids[some])
+        if not len(self.best[0]) or sum(len(f[0]) for f in self.fresh) > max(len(self.best[0]), 100_000):
+            self._settle()
+
+    def _compare(self, lo: int, hi: int, c: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        size = np.sqrt((c * c).sum(1))
+        if self.metric == "cosine":
+            right = c / np.where(size == 0, 1.0, size)[:, None]
+        elif self.metric == "l2sq":
+            right = np.concatenate([c, -(size * size)[:, None] / 2], axis=1)
+        else:
+            right = c
+        for start in range(0, len(c), self.row_slice):
+            block, far = right[start:start + self.row_slice], size[start:start + self.row_slice].max()
+            for first in range(lo, hi, self.query_slice):
+                asks = slice(first, min(first + self.query_slice, hi))
+                left = self.left[asks]
+                huge = max(np.abs(block).max(initial=0), np.abs(left).max(initial=0)) > 1e15
+                kind, step = (np.float64, 2.0 ** -50) if huge else (np.float32, 2.0 ** -22)
+                near = left.astype(kind) @ block.astype(kind).T
+                if self.metric == "cosine":
+                    error = np.full(len(left), step * (left.shape[1] + 8))
                 else:
-                    exact = -(left * right).sum(1)
-                exact = np.round(exact, digits) + 0.0
-                order = np.lexsort((ids[row], exact, col))
-                row, col, exact = row[order], col[order], exact[order]
-                nth = np.arange(len(col)) - np.searchsorted(col, col, "left")
-                keep = nth < k[col]
-                row, col, exact = row[keep], col[keep], exact[keep]
-                parts.append(pd.DataFrame({
-                    "query_id": some["query_id"].to_numpy()[col], "profile_id": ids[row],
-                    "distance": exact, "k": k[col].astype("int32")}))
-        if not parts:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object),
-                                 "profile_id": pd.Series([], dtype=object),
-                                 "distance": pd.Series([], dtype=float),
-                                 "k": pd.Series([], dtype="int32")})
-        return pd.concat(parts, ignore_index=True)
-
-    def _allowed(corpus, queries, np):
-        """Mask of pairs that pass each query's box and time span (null = open)."""
-        lat = corpus["lat"].to_numpy(dtype=float)[:, None]
-        lon = corpus["lon"].to_numpy(dtype=float)[:, None]
-        ts = corpus["ts"].to_numpy(dtype=float)[:, None]
-        side = {n: queries[n].to_numpy(dtype=float)[None, :]
-                for n in ("lat_min", "lat_max", "lon_min", "lon_max", "ts_from", "ts_to", "months")}
-        month = corpus["month"].to_numpy(dtype=float)[:, None]
-        with np.errstate(invalid="ignore"):
-            wraps = side["lon_min"] > side["lon_max"]
-            east, west = lon >= side["lon_min"], lon <= side["lon_max"]
-            in_lon = np.where(wraps, east | west, east & west)
-            in_box = (lat >= side["lat_min"]) & (lat <= side["lat_max"]) & in_lon
-            in_time = (ts >= side["ts_from"]) & (ts < side["ts_to"])
-            bits = np.nan_to_num(side["months"]).astype(np.int64) >> np.nan_to_num(month).astype(np.int64)
-            in_season = (bits & 1 == 1) & ~np.isnan(month)
-        no_box, no_time, no_season = (np.isnan(side[n]) for n in ("lat_min", "ts_from", "months"))
-        return (in_box | no_box) & (in_time | no_time) & (in_season | no_season)
-
-    return best
+                    error = step * (left.shape[1] + 8) * (self.size[asks] * far + (far * far if self.metric == "l2sq" else 0))
+                error += 1e-8 + 1e-12 * (self.size[asks] ** 2 + far * far)
+                least = self.least[asks] - error
+                new = np.flatnonzero(np.isneginf(self.least[asks]) & (self.k[asks] <= near.shape[1]))
+                if len(new):  # the k-th best of this block is a bound as well
+                    place = near.shape[1] - self.k[asks][new]
+                    least[new] = np.partition(near[new], np.unique(place), axis=1)[np.arange(len(new)), place] - 2 * error[new]
+                hit = np.flatnonzero(near >= least.astype(np.float64)[:, None])
+                for part in range(0, len(hit), 100_000):
+                    some = hit[part:part + 100_000]
+                    col = some // near.shape[1]
+                    row = some - col * near.shape[1] + start
+                    self._measure(col + first, row, c, vectors, ids, size)
+
+    def _distance(self, col: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+        left = self.q[col]
+        if self.metric == "l2sq":
+            exact = ((left - right) ** 2).sum(1)
+        elif self.metric == "cosine":
+            norm = size * self.size[col]
+            exact = 1 - (left * right).sum(1) / np.where(norm == 0, 1.0, norm)
+        else:
+            exact = -(left * right).sum(1)
+        return np.round(exact, self.digits) + 0.0
+
+    def _measure(self, col, row, c, vectors, ids, size) -> None:
+        distance = self._distance(col, c[row], size[row])
+        keep = np.isfinite(distance) & (distance <= self.edge[col])
+        col, row, distance = col[keep], row[keep], distance[keep]
+        exact = distance if self.book is None else self._distance(col, vectors[row], size[row])
+        self.fresh.append((col, distance, ids[row], exact))
+
+    def _settle(self) -> None:
+        """Keep the k best of each query; of rows at the distance of the k-th the first by id."""
+        if not self.fresh:
+            return
+        col, distance, ids, exact = (np.concatenate(parts) for parts in zip(self.best, *self.fresh))
+        self.fresh = []
+        order = np.lexsort((distance, col))
+        col, distance, ids, exact = col[order], distance[order], ids[order], exact[order]
+        n = np.bincount(col, minlength=len(self.k))
+        full = n >= self.k
+        first = np.cumsum(n) - n
+        self.edge[full] = distance[first[full] + self.k[full] - 1]
+        nearer, tied = distance < self.edge[col], distance == self.edge[col]
+        room = self.k - np.bincount(col[nearer], minlength=len(self.k))
+        crowded = np.flatnonzero(tied & (np.bincount(col[tied], minlength=len(self.k)) > room)[col])
+        crowded = crowded[np.lexsort((ids[crowded], col[crowded]))]
+        nth = np.arange(len(crowded)) - np.searchsorted(col[crowded], col[crowded], "left")
+        keep = nearer | tied
+        keep[crowded[nth >= room[col[crowded]]]] = False
+        self.best = (col[keep], distance[keep], ids[keep], exact[keep])
+        if self.metric == "l2sq":
+            self.least[full] = (self.size[full] ** 2 - self.edge[full]) / 2
+        else:
+            self.least[full] = (1.0 if self.metric == "cosine" else 0.0) - self.edge[full]
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        col, distance, ids, exact = self.best
+        for lo in range(0, len(col), 100_000):
+            part = slice(lo, lo + 100_000)
+            names = self.names.take(pa.array(col[part]))
+            names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+            yield pa.RecordBatch.from_arrays(
+                [names.cast(pa.string()), pa.array(ids[part].tolist(), pa.string()), pa.array(distance[part]),
+                 pa.array(self.k[col[part]].astype(np.int32)), pa.array(exact[part])], schema=SCANNED)
+
+
+def scan_in_stripes(corpus: DataFrame, queries: DataFrame, metric: str = "l2sq", prefilter: bool = False, book: Codebook | None = None,
+                    size: int = STRIPE_QUERIES) -> DataFrame:
+    """(query_id, profile_id, distance, k, exact): per query its k best rows of each stripe of the corpus that it met.
+
+    Queries are stored and dealt out in stripes of ``size`` at most, and the corpus is sent to each stripe. Where queries are few, the
+    corpus is cut into stripes too, so that all tasks have work. In a task the queries come first, then the corpus streams by.
+    """
+    slices, digits = (QUERY_SLICE, ROW_SLICE), DIGITS
+    spark = corpus.sparkSession
+    queries = stored(queries, "queries")
+    n, most = queries.where("k > 0").agg(F.count(F.lit(1)), F.max("k")).first()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    stripes = max(1, -(-n // size), -(-n * (most or 0) // STRIPE_HITS), min(-(-n // STRIPE_LEAST), tasks))
+    cuts = max(1, -(-tasks // stripes))
+    names = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
+    cut = F.pmod(F.xxhash64(*corpus.columns), F.lit(cuts)).cast("int")
+    stripe = F.pmod(F.monotonically_increasing_id(), F.lit(stripes)).cast("int")
+    rows = corpus.withColumn("_cut", cut).withColumn("_stripe", F.explode(names(stripes)))
+    asks = queries.withColumn("_stripe", stripe).withColumn("_cut", F.explode(names(cuts)))
+    place = F.col("_stripe") * cuts + F.col("_cut")
+    both = asks.withColumn("_turn", place * 2).unionByName(rows.withColumn("_turn", place * 2 + 1), allowMissingColumns=True).drop("_cut", "_stripe")
+
+    def run(batches):
+        at, asked, scan = None, [], None
+        for batch in batches:
+            turns = batch.column("_turn").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)] if len(turns) else []
+            for lo, hi in zip([0, *ends], ends):
+                turn, part = int(turns[lo]), batch.slice(lo, hi - lo)
+                if turn // 2 != at:
+                    if scan is not None:
+                        yield from scan.hits()
+                    at, asked, scan = turn // 2, [], None
+                if turn % 2 == 0:
+                    asked.append(part)
+                elif asked:
+                    scan = scan or VectorScan(pa.Table.from_batches(asked), metric, prefilter, book, slices, digits)
+                    scan.add(part)
+        if scan is not None:
+            yield from scan.hits()
+
+    dealt = both.repartitionById(stripes * cuts, F.floor(F.col("_turn") / 2).cast("int")).sortWithinPartitions("_turn")
+    return dealt.mapInArrow(run, SCANNED_SCHEMA)
+
+
+def nearest_vectors(corpus: DataFrame, queries: DataFrame, metric: str = "l2sq", prefilter: bool = False, size: int = STRIPE_QUERIES) -> DataFrame:
+    """(query_id, profile_id, distance, rank): the k nearest vectors per query, exactly.
+
+    Corpus rows have ``profile_id``, ``embedding`` and, with ``prefilter``, ``PLACED``; queries ``query_id``, ``query_vector``, ``k`` and ``BOUNDS``.
+    """
+    return _merge(scan_in_stripes(corpus, queries, metric, prefilter, size=size).drop("exact"), thin=False)
 
 
 def position_walk(radius_degrees: float) -> Callable:
@@ -420,11 +574,9 @@ def nearest_profiles(catalog: DataFrame, points: DataFrame, k: int,
 
 # --- vectors -----------------------------------------------------------------
 def vector_topk(corpus: DataFrame, queries: DataFrame, metric: str = "l2sq",
-                size: int = QUERY_BATCH) -> DataFrame:
+                size: int = STRIPE_QUERIES) -> DataFrame:
     """k nearest vectors per query vector; similarity is 1 - distance (dot: the product)."""
-    hits = topk(corpus.select("profile_id", "embedding"),
-                queries.select("query_id", "query_vector", "k"),
-                vector_kernel(metric), size=size)
+    hits = nearest_vectors(corpus.select("profile_id", "embedding"), queries.select("query_id", "query_vector", "k"), metric, size=size)
     base = 0.0 if metric == "dot" else 1.0
     return hits.withColumn("similarity", F.round(F.lit(base) - F.col("distance"), 6) + F.lit(0.0))
 
@@ -475,72 +627,52 @@ def _encode(book: Codebook) -> Callable:
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, book.size)
             codes = [row.tobytes() for row in book.encode(x)] if len(x) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["profile_id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["profile_id", "embedding", "code"])
     return run
 
 
-def code_kernel(book: Codebook) -> Callable:
-    """The rows whose decoded codes are nearest to each query."""
-    slice_size = QUERY_SLICE
-
-    def best(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(corpus) and len(queries):
-            ids = corpus["profile_id"].to_numpy().astype(str)
-            c = book.decode(np.frombuffer(b"".join(corpus["code"]), np.uint8).reshape(len(corpus), -1)).astype(np.float32)
-            half = (c * c).sum(1) / 2
-            for start in range(0, len(queries), slice_size):
-                some = queries.iloc[start:start + slice_size]
-                q = np.array(some["query_vector"].tolist(), dtype=np.float32)
-                k = np.minimum(some["k"].to_numpy(dtype=np.int64), len(c))
-                far = np.round(half[None, :] - q @ c.T, 6)
-                most = int(k.max())
-                near = np.argpartition(far, most - 1, axis=1)[:, :most]
-                row = np.repeat(np.arange(len(q)), most)
-                found = pd.DataFrame({"at": row, "profile_id": ids[near.ravel()], "distance": far[row, near.ravel()].astype(float)})
-                found = found.sort_values(["at", "distance", "profile_id"])
-                found = found[found.groupby("at").cumcount().to_numpy() < k[found["at"].to_numpy()]]
-                at = found["at"].to_numpy()
-                parts.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "profile_id": found["profile_id"].to_numpy(),
-                                           "distance": found["distance"].to_numpy(), "k": some["k"].to_numpy()[at].astype("int32")}))
-        if not parts:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "profile_id": pd.Series([], dtype=object),
-                                 "distance": pd.Series([], dtype=float), "k": pd.Series([], dtype="int32")})
-        return pd.concat(parts, ignore_index=True)
-
-    return best
-
-
 def _usable(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
-def approx_candidates(corpus: DataFrame, queries: DataFrame, measured: int = 64, sample_rows: int = 20_000) -> DataFrame:
-    """(query_id, profile_id, rank) of the rows worth measuring: ``measured`` per query, or twice its k if that is more.
+def _measured(corpus: DataFrame, queries: DataFrame, measured: int, sample_rows: int) -> DataFrame:
+    """(query_id, profile_id, distance, rank, exact): the rows worth measuring by their codes, and their exact distance.
 
     All rows are compared by short codes, a sixteenth or less of the vectors' size, whose centres are fitted on a sample of at most
-    ``sample_rows`` vectors, chosen by a hash of the id. Every vector is encoded. Vectors have one length.
+    ``sample_rows`` vectors, chosen by a hash of the id. Every vector is encoded. Vectors have one length. The task that finds a row by its code
+    measures its vector too, so no vector travels to its pairs.
     """
     vectors = _usable(corpus, "embedding").select("profile_id", "embedding")
     some = vectors.orderBy(F.xxhash64("profile_id"), "profile_id").limit(sample_rows).select("embedding").collect()
     if not some:
-        return corpus.sparkSession.createDataFrame([], "query_id string, profile_id string, rank int")
+        return corpus.sparkSession.createDataFrame([], "query_id string, profile_id string, distance double, rank int, exact double")
     book = Codebook(np.array([r[0] for r in some], dtype=np.float64))
-    codes = stored(vectors.mapInArrow(_encode(book), "profile_id string, code binary"), "codes")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    coded = vectors.mapInArrow(_encode(book), f"profile_id string, embedding {kind}, code binary")
     asked = _usable(queries, "query_vector").where("k > 0").select(
         "query_id", "query_vector", F.greatest(F.lit(measured), F.col("k") * 2).cast("int").alias("k"))
-    return topk(codes, asked, code_kernel(book)).select("query_id", "profile_id", "rank")
+    return _merge(scan_in_stripes(coded, asked, book=book), thin=False)
+
+
+def approx_candidates(corpus: DataFrame, queries: DataFrame, measured: int = 64, sample_rows: int = 20_000) -> DataFrame:
+    """(query_id, profile_id, rank) of the rows worth measuring: ``measured`` per query, or twice its k if that is more."""
+    return _measured(corpus, queries, measured, sample_rows).select("query_id", "profile_id", "rank")
 
 
 def vector_topk_approx(corpus: DataFrame, queries: DataFrame, measured: int = 64, sample_rows: int = 20_000) -> DataFrame:
-    """Nearest vectors among the candidates that short codes give for each query, measured exactly."""
-    found = stored(approx_candidates(corpus, queries, measured, sample_rows), "candidates")
-    pairs = found.join(corpus.select("profile_id", F.col("embedding").alias("a")), "profile_id").join(
-        queries.select("query_id", "k", F.col("query_vector").alias("b")), "query_id")
-    squares = F.zip_with("a", "b", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
-    exact = pairs.withColumn("distance", F.round(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x), DIGITS) + F.lit(0.0))
+    """Nearest vectors among the candidates that short codes give for each query, measured exactly.
+
+    Ids that several rows or queries share pair each with each.
+    """
+    found = _measured(corpus, queries, measured, sample_rows)
     order = W.partitionBy("query_id").orderBy("distance", "profile_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select(
+    asks = queries.groupBy("query_id").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("_asks"))
+    rows = corpus.groupBy("profile_id").agg(F.count(F.lit(1)).alias("_rows"))
+    first = found.select("query_id", "profile_id", F.col("exact").alias("distance")).join(asks, "query_id").withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
+    pairs = first.join(rows, "profile_id").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_asks") * F.col("_rows"), F.col("k").cast("bigint")))))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select(
         "query_id", "profile_id", "distance", "rank", (F.round(1 - F.col("distance"), 6) + F.lit(0.0)).alias("similarity"))
 
 

@@ -9,7 +9,7 @@ from halocast.functions import geo, text
 from halocast.functions.geo import round6
 from halocast.functions.text import constraints
 from halocast.operators import filters
-from halocast.operators.topk import topk, vector_kernel
+from halocast.operators.topk import nearest_vectors
 
 
 def _seconds(ts: Column) -> Column:
@@ -46,7 +46,7 @@ def _hits(corpus: DataFrame, asked: DataFrame, by_place: Column, as_of: str | No
         mask.cast("double").alias("months"))
     rows = corpus.select("profile_id", "embedding", "lat", "lon", _seconds(F.col("time_start")).alias("ts"),
                          F.month("time_start").cast("double").alias("month"))
-    found = topk(rows, wanted, vector_kernel("l2sq", prefilter=True))
+    found = nearest_vectors(rows, wanted, prefilter=True)
     return found.withColumn("similarity", F.round(1 - F.col("distance"), 6) + F.lit(0.0))
 
 

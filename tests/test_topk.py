@@ -174,3 +174,50 @@ def test_only_tables_of_cells_are_broadcast(spark, places):
     text = plan(topk.nearest_profiles(c, q, 3, 10.0))
     builds = [line for line in text.splitlines() if "BroadcastHashJoin" in line]
     assert builds and all("BuildRight" in line for line in builds)
+
+
+def test_vector_searches_give_every_task_work(spark, vecs):
+    """A corpus that lies in one file part was once searched by one task, whatever the number of queries."""
+    from halocast.session import stored
+
+    rows, asks = vecs
+    c = stored(spark.createDataFrame(rows, "profile_id string, embedding array<double>").coalesce(1), "c")
+    q = stored(spark.createDataFrame(asks, "query_id string, query_vector array<double>, k int").coalesce(1), "q")
+    met = topk.scan_in_stripes(c, q)
+    assert met.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert met.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("stripes", [1, 9])
+def test_a_stripe_keeps_the_best_of_many_blocks(spark, stripes, monkeypatch):
+    """Ties at the k-th place, values of very different size, and rows that are no numbers, over many small blocks."""
+    monkeypatch.setattr(topk, "ROW_SLICE", 16)
+    monkeypatch.setattr(topk, "STRIPE_LEAST", 1 if stripes > 1 else 4096)
+    rng = random.Random(3)
+    rows = [(f"V{i:03d}", [rng.gauss(0, 1) * 10 ** (i % 5 - 2) for _ in range(6)]) for i in range(200)]
+    rows += [(f"T{i:02d}", rows[7][1]) for i in range(30)] + [("NAN", [float("nan")] * 6), ("HUGE", [1e20] * 6), ("ZERO", [0.0] * 6)]
+    asks = [(f"q{i}", rows[i * 5][1], 1 + i % 4) for i in range(30)] + [("t", rows[7][1], 12)]
+    c = spark.createDataFrame(rows, "profile_id string, embedding array<double>").repartition(1)
+    q = spark.createDataFrame(asks, "query_id string, query_vector array<double>, k int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        got = {(r.query_id, r.profile_id, r["rank"]) for r in topk.vector_topk(c, q).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for name, vector, k in asks:
+        best = sorted((round(distance("l2sq", v, vector), 9), p) for p, v in rows if p != "NAN")[:k]
+        want |= {(name, p, i + 1) for i, (_, p) in enumerate(best)}
+    assert got == want
+
+
+def test_no_vector_travels_to_the_pairs_of_the_approximate_search(spark, vecs):
+    """Rows were once joined to their 64 pairs a query with both vectors; now hits alone are exchanged after the scan."""
+    from compare import plan
+
+    rows, asks = vecs
+    c = spark.createDataFrame(rows, "profile_id string, embedding array<double>")
+    q = spark.createDataFrame(asks, "query_id string, query_vector array<double>, k int")
+    text = plan(topk.vector_topk_approx(c, q)).split("== Physical Plan ==")[1]
+    above = text[:text.index("MapInArrow")]
+    assert "Exchange" in above and "query_vector" not in above
