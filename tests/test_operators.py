@@ -10,6 +10,7 @@ from halocast import rules
 from halocast.operators import catalog as cat, filters, joins, normalise as nm, quality, stats, textsearch, topk
 from halocast.operators.ordering import dense_index
 from halocast.plans import health, ingest as ing, routing
+from halocast.session import stored
 from halocast.sources import fixtures as fx
 
 VALUES = "source_file string, profile_key long, var_name string, level_idx int, value double"
@@ -94,6 +95,35 @@ def test_counts_and_score(spark, raw, variables):
     assert accepted.count() + rejected.count() == profiles.count()
 
 
+def test_measures_in_one_aggregate_equal_the_facts_summed_up(spark, raw, variables):
+    """No row per variable between: the same profiles, those without a standard variable or with two files' names too."""
+    more = spark.createDataFrame([("b.nc", 1, "sal", 3, 2.0), ("b.nc", 1, "sal", 3, 2.0), ("b.nc", None, "sal", 0, 1.0),
+                                  ("c.nc", 0, "X", 0, 1.0)], VALUES)
+    both, resolved = raw.unionByName(more), stored(nm.resolve_variables(variables.unionByName(spark.createDataFrame(
+        [("b.nc", "sal", "float64", ["N_PROF"], [2])], variables.schema))), "resolved")
+    scalars = spark.createDataFrame(
+        [(f, k, n, "1", "float64") for f, k in (("a.nc", 0), ("b.nc", 0), ("b.nc", 1), ("c.nc", 0)) for n in ("LATITUDE", "lon")],
+        "source_file string, profile_key long, name string, value string, dtype string")
+    places = nm.resolve_coordinates(scalars)
+    facts = nm.standard_facts(nm.variable_facts(both, largest=True), resolved)
+    wanted = nm.assemble_profiles(places, facts).withColumn("raw_metadata", F.to_json("raw_metadata"))
+    measured = nm.profile_measures(nm.standard_values(both, resolved))
+    got = nm.assemble_measured(places, measured).withColumn("raw_metadata", F.to_json("raw_metadata"))
+    assert got.columns == wanted.columns and rows(got, "*") == rows(wanted, "*")
+    # the values go through one shuffle: none for the join to the few names, none for rows per variable
+    assert measured._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_join_to_a_counted_table(spark, monkeypatch):
+    big = spark.createDataFrame([("f", i % 5, i) for i in range(200)], "f string, k long, v long")
+    small = spark.createDataFrame([("f", k, str(k)) for k in range(3)] + [(None, 1, "x")], "f string, k long, s string")
+    sent = joins.counted_join(big, small, ["f", "k"], ["v"])
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    dealt = joins.counted_join(big, small, ["f", "k"], ["v"])
+    assert rows(sent, "f", "k", "v", "s") == rows(dealt, "f", "k", "v", "s") and sent.count() == 120
+    assert "BroadcastHashJoin" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_dimensional_values_belong_to_every_profile(spark):
     flat = spark.createDataFrame(
         [("f", "P", 0, 1.0), ("f", "P", 1, 2.0)] + [("f", "T", i, float(i)) for i in range(4)]
@@ -170,6 +200,19 @@ def test_dense_index_with_a_hot_key(spark):
         seen[k] = seen.get(k, 0) + 1
 
 
+def test_dense_index_shuffles_the_rows_once(spark):
+    """Only rows of large groups are counted by chunk; without key or leading value there is no position."""
+    data = [(k, d, n) for n, (k, d) in enumerate([(1, 2), (1, 1), (2, None), (None, 3), (1, 1), (3, 0)])]
+    data += [(9, d % 7, 100 + d) for d in range(300)]
+    df = spark.createDataFrame(data, "k long, day int, n long")
+    got = dense_index(df, "k", ["day", "n"], "pos")
+    small = {r.n: r.pos for r in got.where("k < 9").collect()}
+    assert small == {0: 2, 1: 0, 4: 1, 5: 0}
+    assert sorted(r.pos for r in got.where("k = 9").collect()) == list(range(300))
+    light, anti, _ = got._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftAnti")
+    assert anti and light.count("Window [") == 1 and "Join " not in light
+
+
 def test_spread_join_equals_a_plain_join(spark):
     big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(900)], "k long, v long")
     small = spark.createDataFrame([(k, str(k)) for k in range(0, 900, 2)], "k long, s string")

@@ -144,6 +144,18 @@ def test_created_at_stays_and_a_vanished_profile_goes(spark):
     assert got == {"a": (1, "y", 1), "c": (1, "z", 1)}  # b isn't in f any more; c is in two files
 
 
+def test_changes_are_merged_in_one_aggregate(spark):
+    """Rows without a profile, of a file without an owner, or of a file that no run names, give nothing; changes are read once."""
+    changes = spark.createDataFrame(
+        [("a", "f", 0, 3, "x"), ("a", "f", 1, 5, "y"), (None, "f", 1, 1, "n"), ("d", None, 1, 1, "n"), ("e", "z", 1, 1, "n"),
+         ("a", "z", 1, 2, "n")], "profile_id string, source_file string, run int, created_at int, note string").withColumns(
+        {"seq": F.lit(0), "lat": F.lit(1.0), "lon": F.lit(2.0)})
+    sources = spark.createDataFrame([("f", 0), ("f", 1), (None, 1)], "source_file string, run int")
+    merged = store.merge_changes(changes, sources)
+    assert {r.profile_id: (r.created_at, r.note, r.run) for r in merged.collect()} == {"a": (2, "y", 1)}
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_ledger_of_an_empty_store(spark):
     root = work_dir(spark, "store")
     assert store.ledger(spark, root).count() == 0 and store.catalog(spark, root).count() == 0
