@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from halocast.functions import geo, identifiers as ids
 from halocast.functions.times import normalise_time
 from halocast.operators import normalise as nm
-from halocast.operators.joins import spread_join
+from halocast.operators.joins import counted_join, spread_join
 from halocast.operators.quality import reject_reason
 from halocast.plans.ingest import EXACT_VARIABLES, STRATEGIES, Ingested, judge
 from halocast import rules
@@ -84,7 +84,7 @@ def reading_plan(facts: DataFrame, raw_variables: DataFrame, chosen: DataFrame)
 
 def _planned(rows: DataFrame, plan: DataFrame, spread_by: list[str], weights: DataFrame | None = None) -> DataFrame:
     """Rows of (file, profile, variable, ...) that the plan takes, under its names; files taken as one profile have key 0."""
-    met = spread_join(rows, plan, ["source_file", "var_name"], spread_by=spread_by, weights=weights)
+    met = counted_join(rows, plan, ["source_file", "var_name"], spread_by, weights)
     return met.where("only_key IS NULL OR only_key = profile_key").withColumn(
         "profile_key", F.when(F.col("only_key").isNull(), F.col("profile_key")).otherwise(0)).drop("only_key")
 
