@@ -201,14 +201,14 @@ def test_dense_index_with_a_hot_key(spark):
 
 
 def test_dense_index_shuffles_the_rows_once(spark):
-    """Only rows of large groups are counted by chunk; without key or leading value there is no position."""
-    data = [(k, d, n) for n, (k, d) in enumerate([(1, 2), (1, 1), (2, None), (None, 3), (1, 1), (3, 0)])]
-    data += [(9, d % 7, 100 + d) for d in range(300)]
+    """Only rows of large groups are counted by chunk; rows without a leading value take the first positions and fall away."""
+    data = [(k, d, n) for n, (k, d) in enumerate([(1, 2), (1, 1), (2, None), (None, 3), (1, 1), (3, 0), (1, None)])]
+    data += [(9, d % 7, 100 + d) for d in range(300)] + [(9, None, 500)]
     df = spark.createDataFrame(data, "k long, day int, n long")
     got = dense_index(df, "k", ["day", "n"], "pos")
     small = {r.n: r.pos for r in got.where("k < 9").collect()}
-    assert small == {0: 2, 1: 0, 4: 1, 5: 0}
-    assert sorted(r.pos for r in got.where("k = 9").collect()) == list(range(300))
+    assert small == {0: 3, 1: 1, 4: 2, 5: 0}
+    assert sorted(r.pos for r in got.where("k = 9").collect()) == list(range(1, 301))
     light, anti, _ = got._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftAnti")
     assert anti and light.count("Window [") == 1 and "Join " not in light
 
