@@ -6,7 +6,8 @@ hash inside the run, so seeds follow the content alone: two documents that share
 that many words share its seed, and neighbouring runs mostly have the same one.
 
 A first pass finds the seeds that different documents have; a second one names all runs of those seeds by 128 bits and
-keeps the ones that different documents have. Neighbouring and overlapping runs together are the common
+keeps the ones that different documents have. Runs in a row with one seed travel as one row, and a task that has all rows of a seed
+joins its common runs to stretches before they go back to their documents. Neighbouring and overlapping runs together are the common
 passages, word by word. The document with the smallest id keeps a run; the others' are removed.
 """
 
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halocast.llm import text as tx
-from halocast.session import stored
 
 BITS = 3  # one in 8 white-space bytes is a cut
 GEAR = tx.mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
 BYTES = tx.mix(np.arange(2001, 2257, dtype=np.uint64) * np.uint64(tx._BASE))  # upper and lower case differ
 REACH = 32  # bytes that the rolling hash depends on
 LEAST_WORDS = 25
+ROW = 64  # runs that travel in one row at most
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -145,20 +146,52 @@ def _candidates(least: int):
                 bounds = np.searchsorted(runs.doc, np.arange(hi - lo + 1))
                 chosen = np.concatenate([a + np.flatnonzero(np.isin(runs.seed[a:b], told[ends[lo + k]: ends[lo + k + 1]]))
                                          for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))])
-                doc = runs.doc[chosen]
+                doc, seed, first, last = (x[chosen] for x in (runs.doc, runs.seed, runs.first, runs.last))
                 char = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int32)])
                 base = char[own[doc]]
+                heads = _heads(doc, seed, chosen, first, last)
+                bounds = np.append(heads, len(chosen))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(runs.seed[chosen].view(np.int64)),
-                     pa.array(runs.names(part, chosen).view(np.int64)), pa.array((char[runs.first[chosen]] - base).astype(np.int32)),
-                     pa.array((char[runs.last[chosen]] - base).astype(np.int32))], ["id", "seed", "name", "first", "last"])
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(doc[heads])), pa.array(seed[heads].view(np.int64)),
+                     tx.list_column(runs.names(part, chosen).view(np.int64), bounds, pa.int64()),
+                     tx.list_column((char[first] - base).astype(np.int32), bounds, pa.int32()),
+                     tx.list_column((char[last] - base).astype(np.int32), bounds, pa.int32())], ["id", "seed", "name", "first", "last"])
 
     return run
 
 
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The smallest id of every key that two documents have."""
-    return rows.groupBy(*keys).agg(F.min("id").alias("keeper"), F.max("id").alias("other")).where("keeper <> other").drop("other")
+def _heads(doc: np.ndarray, seed: np.ndarray, run: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where rows begin: a row holds at most ``ROW`` runs of a document that follow and overlap each other and have one seed."""
+    opens = np.ones(len(doc), bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1]) | (run[1:] != run[:-1] + 1) | (first[1:] > last[:-1])
+    begin = np.flatnonzero(opens)
+    place = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
+    return np.flatnonzero(place % ROW == 0)
+
+
+def _common(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose key another id has too, with the smallest id of the key as ``keeper``; ``rows`` are dealt out by (some of) the keys."""
+    key = Window.partitionBy(*keys)
+    return rows.withColumns({"keeper": F.min("id").over(key), "other": F.max("id").over(key)}).where("keeper <> other").drop("other")
+
+
+def _stretches(runs: DataFrame) -> DataFrame:
+    """(id, cut, first, last): the runs that other documents have too (``cut``: a smaller id has them), those in a row joined.
+
+    All steps share the partitioning by seed. Hot runs pass by in order; no group is gathered.
+    """
+    inside = Window.partitionBy("seed", "id", "row").orderBy("k")
+    one = runs.withColumn("row", F.monotonically_increasing_id()).repartition("seed").select(
+        "id", "seed", "row", F.posexplode(F.arrays_zip("name", "first", "last")).alias("k", "run")).select(
+        "id", "seed", "row", "k", "run.name", "run.first", "run.last")
+    # runs in a row without a gap have their place and their rank at the same distance
+    ranked = _common(one, "seed", "name").withColumn("cut", (F.col("keeper") < F.col("id")).cast("int")).withColumns({
+        "rank": F.row_number().over(inside),
+        "cuts": F.sum("cut").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    every = F.struct(F.lit(False).alias("cut"), (F.col("k") - F.col("rank")).cast("long").alias("part"))
+    removed = F.struct(F.lit(True).alias("cut"), (F.col("k") - F.col("cuts")).cast("long").alias("part"))
+    return ranked.select("id", "seed", "row", "first", "last", F.inline(F.when(F.col("cut") == 1, F.array(every, removed)).otherwise(F.array(every)))).groupBy(
+        "seed", "id", "row", "cut", "part").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("id", "cut", "first", "last")
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,12 +208,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc
         raise ValueError("least must be at least 1")
     tx.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    seeds = stored(texts.mapInArrow(_seeds(least), "id long, seed long"), "seeds")
-    told = seeds.join(_shared(seeds, ["seed"]).select("seed"), "seed").groupBy("id").agg(F.collect_set("seed").alias("told"))
-    runs = stored(texts.join(told, "id").select("id", "text", "told").mapInArrow(
-        _candidates(least), "id long, seed long, name long, first int, last int"), "runs")
-    kinds = F.when(F.col("keeper") < F.col("id"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    marks = runs.join(_shared(runs, ["seed", "name"]), ["seed", "name"]).select("id", "first", "last", F.explode(kinds).alias("cut"))
+    seeds = texts.mapInArrow(_seeds(least), "id long, seed long").repartition("seed")
+    told = _common(seeds, "seed").groupBy("id").agg(F.collect_set("seed").alias("told"))
+    marks = _stretches(texts.join(told, "id").select("id", "text", "told").mapInArrow(
+        _candidates(least), "id long, seed long, name array<long>, first array<int>, last array<int>"))
     order = Window.partitionBy("id", "cut").orderBy("first", "last")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = marks.withColumn("opens", (F.col("first") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn(

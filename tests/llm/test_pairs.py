@@ -311,6 +311,29 @@ def test_spans_are_the_common_runs(spark, least):
     assert spans_of(got.collect()) == common_words(texts, least)
 
 
+def test_runs_in_a_row_travel_as_one_row():
+    text = " ".join(f"w{i}" for i in range(400))
+    column = substrings.pa.array([text, "a " * 500])
+    told = [sorted(set(substrings._Windows(*substrings.tx.utf8(column.slice(k, 1)), 25).seed.view(np.int64).tolist())) for k in range(2)]
+    batch = substrings.pa.RecordBatch.from_arrays(
+        [substrings.pa.array([1, 2]), column, substrings.pa.array(told, substrings.pa.list_(substrings.pa.int64()))], ["id", "text", "told"])
+    rows = [r for b in substrings._candidates(25)([batch]) for r in b.to_pylist()]
+    runs = [(r["id"], f, e) for r in rows for f, e in zip(r["first"], r["last"], strict=True)]
+    assert len(runs) == len(set(runs)) == 400 - 24 + 500 - 24
+    assert len(rows) < len(runs) / 3 and max(len(r["name"]) for r in rows) <= substrings.ROW
+    assert all(r["first"] == sorted(r["first"]) and len(r["name"]) == len(r["first"]) for r in rows)
+
+
+def test_rows_of_one_id_keep_their_gaps(spark):
+    """Texts of one id that begin alike, with a gap between their common passages, keep the gap."""
+    rng = random.Random(9)
+    one, two, gap = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "xyz")
+    whole = f"{one} {gap} {two}"
+    df = spark.createDataFrame([(1, one), (2, whole), (2, whole), (3, two)], "doc_id long, text string")
+    got = spans_of(substrings.repeated_spans(df).collect())
+    assert got[2][0] == [(0, len(one)), (len(whole) - len(two), len(whole))] and got[2][1] == [(0, len(one))]
+
+
 def test_seeds_and_names_follow_the_content(monkeypatch):
     text = " ".join(f"w{random.Random(3).randrange(50) + i % 37}" for i in range(900)).encode()
     data = np.frombuffer(text + b" before " + text, np.uint8)
