@@ -18,8 +18,10 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
   in neighbouring bands; a document whose prefix reaches frequent shingles
   indexes its combinations for its own band and the next.
 
-Copies are nodes of one set digest. Every node is first verified against one of the
-smallest nodes of its signatures, the one it shares most with. Only nodes that this leaves in another
+Copies are nodes of one set digest. Every node is first verified against the center of one of its
+signatures, the one it shares most with. The center is a signature's most usual node, whose shingles
+occur most often on average: of near copies with edits of their own that is the text they come from, which more of them
+link with than with any other copy. Only nodes that this leaves in another
 component than most of a signature's nodes are compared further, and only with
 nodes of other components whose sizes and parity bits leave a link possible. So a group of
 near copies costs a number of pairs in proportion to its size, and no link
@@ -185,6 +187,7 @@ def _index(width: int, num: int, den: int, shared):
                 lacking = size - -(-size * num // den) + 1
                 rare = np.add.reduceat(np.append(kind == 1, False).astype(np.int64), bounds[:-1])
                 plain = (size > 0) & (rare >= lacking)
+                usual = _usualness(heat, bounds)
                 place = np.arange(len(code)) - bounds[:-1][doc]
                 take = plain[doc] & (place < lacking[doc])
                 sig, owner = [code[take]], [doc[take]]
@@ -194,10 +197,25 @@ def _index(width: int, num: int, den: int, shared):
                     sig.append(found)
                     owner.append(np.full(len(found), d))
                 sig, owner = np.concatenate(sig), np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[owner])], ["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[owner]), pa.array(usual[owner])], ["sig", "node", "usual"])
     return run
 
 
+def _usualness(heat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """16 times the mean heat of each set's shingles; 0 for an empty set."""
+    total = np.zeros(len(heat) + 1, np.int64)
+    np.cumsum(heat, out=total[1:])
+    return np.minimum(16 * (total[bounds[1:]] - total[bounds[:-1]]) // np.maximum(np.diff(bounds), 1), (1 << 42) - 1)
+
+
+def _centered(index: DataFrame) -> DataFrame:
+    """The rows of signatures that several nodes have, with the most usual of these nodes (of equals one by its digest) as ``center``."""
+    place = F.expr("usual * 1048576L + (node & 1048575L)")
+    ends = index.groupBy("sig").agg(F.max_by("node", place).alias("center"), F.min("node").alias("first"), F.max("node").alias("last")).where(
+        "first <> last").select("sig", "center")
+    return index.join(ends, "sig")  # with all columns, so that the index is dealt out once
+
+
 def _shingle_lists(width: int):
     """Each document's shingles, and how many of them fall into each of ``PARTS`` hash parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +268,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int,
     side = lambda node, column, name: lists.select(F.col("node").alias(node), F.col(column).alias(name))
     likely = stored(pairs.join(side("a", "parts", "x"), "a").join(side("b", "parts", "y"), "b").select("a", "b", "x", "y").mapInArrow(
         _parts_allow(num, den), "a long, b long"), "likely")
+    # the long lists travel for the nodes of likely pairs only
+    compared = stored(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct(), "compared")
+    lists = lists.join(sendable(compared), "node", "left_semi")
     both = likely.join(side("a", "shingles", "x"), "a").join(side("b", "shingles", "y"), "b")
     return stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"),
                               (F.size("x") + F.size("y")).cast("long").alias("total")).where(
@@ -285,10 +306,25 @@ def _roughly_possible(num: int, den: int):
     return F.expr(f"{den + num}L * ({differ}) <= {den - num}L * (n + other_n)") & _sizes_fit(num, den)
 
 
+def _meeting_sets(labelled: DataFrame) -> DataFrame:
+    """(sig, main): of the signatures with nodes of several labels one for each set of nodes, and the label most of them have.
+
+    Signatures of the same nodes hold the same pairs. Sets are told apart by their size and sums of 128 hashed bits.
+    """
+    sums = {}
+    for k, code in enumerate((F.xxhash64("node"), F.xxhash64("node", F.lit(1)))):
+        sums |= {f"low{k}": code.bitwiseAND(F.lit(0xFFFFFFFF)), f"high{k}": F.shiftrightunsigned(code, 32)}
+    parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"), *(F.sum(c).alias(name) for name, c in sums.items()))
+    several = parts.groupBy("sig").agg(
+        F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("parts"),
+        *(F.sum(c).alias(c) for c in ("members", *sums))).where("parts > 1")
+    return several.groupBy("members", *sums).agg(F.max("sig").alias("sig"), F.max_by("main", "sig").alias("main")).select("sig", "main")
+
+
 def _spanning(live: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links enough to join every component."""
     sizes = nodes.select("node", "n")
-    # of the smallest nodes met in its signatures, a node is first compared with the likely one it shares most with
+    # of the centers met in its signatures, a node is first compared with the likely one it shares most with
     near = live.where("node <> center").groupBy("center", "node").agg(F.count("*").alias("common")).join(sizes, "node").join(
         nodes.select(F.col("node").alias("center"), F.col("n").alias("other_n")), "center").where(_sizes_fit(num, den)).select(
         F.col("center").alias("a"), F.col("node").alias("b"), "common")
@@ -297,11 +333,10 @@ def _spanning(live: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, n
     stars = stored(_likely(near, nodes, num, den).groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b"), "stars")
     linked = _verified(stars, texts, nodes, width, num, den)
 
+    # dealt out by signature once, for the sums of each and for the rows of those chosen
     labelled = stored(live.select("sig", "node").join(components(linked), "node", "left").withColumn(
-        "label", F.coalesce("label", "node")), "labelled")
-    parts = labelled.groupBy("sig", "label").agg(F.count("*").alias("members"))
-    main = parts.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("main"),
-                                    F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        "label", F.coalesce("label", "node")), "labelled").repartition("sig")
+    main = _meeting_sets(labelled)
     half = len(FOLDS)
     facts = nodes.select("node", "n", *[F.expr(f"{MAPS[k]} ^ {MAPS[k + half]}").alias(w) for k, w in enumerate(FOLDS)])
     mixed = stored(labelled.join(main, "sig").join(facts, "node"), "mixed")
@@ -348,10 +383,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # one document of each node is indexed; the index is dealt out once, for its ends and for what has several nodes
     firsts = sendable(stored(nodes.select(F.col("least").alias("id")).distinct(), "firsts"))
-    index = texts.join(firsts, "id", "left_semi").mapInArrow(_index(width, num, den, shared), "sig long, node long").repartition("sig")
-    ends = index.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(
-        "center <> last").drop("last")
-    live = stored(index.join(ends, "sig"), "live")
+    index = texts.join(firsts, "id", "left_semi").mapInArrow(
+        _index(width, num, den, shared), "sig long, node long, usual long").repartition("sig")
+    live = stored(_centered(index), "live")
     if whole:
         links = _verified(stored(_meetings(live, nodes, num, den), "meetings"), texts, nodes, width, num, den)
     else:

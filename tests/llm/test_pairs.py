@@ -110,6 +110,35 @@ def test_combinations_meet():
         assert len(np.intersect1d(*found)), (trial, n)
 
 
+def test_centers_are_the_most_usual_nodes(spark):
+    """Copies with edits of their own meet at the text they come from, and signatures of the same nodes meet once."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        w = list(base)
+        for j in range(2):
+            w[rng.randrange(len(w))] = f"e{k}x{j}"
+        texts.append(" ".join(w))
+    batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(range(len(texts))), jaccard.pa.array(texts)], ["id", "text"])
+    described = [r for b in jaccard._describe(5)([batch]) for r in b.to_pylist()]
+    node_of = {r["id"]: r["node"] for r in described if r["bucket"] is None}
+    counts = np.zeros(jaccard.BUCKETS, np.int64)
+    for r in described:
+        if r["bucket"] is not None:
+            counts[r["bucket"]] = r["n"]
+    shared = type("Shared", (), {"value": counts})
+    rows = [(r["sig"], r["node"], r["usual"]) for b in jaccard._index(5, 80, 100, shared)([batch]) for r in b.to_pylist()]
+    live = jaccard._centered(spark.createDataFrame(rows, "sig long, node long, usual long")).collect()
+    with_base = {r.sig for r in live if r.node == node_of[0]}
+    assert with_base and all(r.center == node_of[0] for r in live if r.sig in with_base)
+
+    labelled = [(s, n, n % 3) for s, nodes in ((1, (3, 4, 5)), (2, (5, 4, 3)), (3, (3, 4)), (4, (3, 6)), (5, (3, 4, 8))) for n in nodes]
+    chosen = jaccard._meeting_sets(spark.createDataFrame(labelled, "sig long, node long, label long")).collect()
+    assert {r.sig for r in chosen} == {2, 3, 5}  # 1 has the nodes of 2; the nodes of 4 have one label
+    assert {r.sig: r.main for r in chosen}[5] in (0, 1, 2)
+
+
 def test_jaccard_awkward_rows(spark):
     docs = documents(spark)
     got = sorted((r.id if r.id is not None else -1, r.n, r.component) for r in jaccard.jaccard_join(docs)[0].collect())
