@@ -1,24 +1,28 @@
 """Many search texts against the catalogue in one pass.
 
-The texts pass by the catalogue in packed batches, as the vector searches do. A task looks for all
-texts of a batch at once in each row (Aho-Corasick), walks its rows from the newest on, and keeps a list of
-at most k rows per text; lists are merged in two steps. Texts that agree in word and facets pass by once.
+The distinct texts pass by the catalogue in packed batches. A task looks for all texts of a batch at once in the joined
+texts of many rows (Aho-Corasick) and keeps a list of at most k rows per text; lists are merged in two steps.
+Texts that agree in word and facets pass by once, however many questions ask for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocast.operators import filters
+from halocast.operators.joins import spread_join
 from halocast.operators.stats import region_label
-from halocast.operators.topk import topk
+from halocast.operators.topk import HITS, topk
 from halocast.session import stored
 
 GAP = "\x00"  # between the searched columns, so that no text matches across them
+FOUND = 200_000  # finds looked at together
 
 
 def _age(nulls_first: bool = True) -> Column:
@@ -27,72 +31,130 @@ def _age(nulls_first: bool = True) -> Column:
     return F.coalesce(-F.unix_micros(F.col("time_start").cast("timestamp")).cast("double"), far)
 
 
-def _text_kernel() -> Callable:
-    """(rows, texts) -> per text the k newest rows that hold it and share no facet with it.
+class TextScan:
+    """Per text the k newest rows that hold it and share no facet with it, of all rows that have passed by.
 
-    Rows have ``hay``, ``bits`` and ``age``, texts ``word``, ``mask`` and ``k``. An empty word is in every row. A task
-    builds the automaton of a batch of texts once, for all of its rows.
+    Rows have ``profile_id``, ``hay``, ``bits`` and ``age``, texts ``query_id``, ``word``, ``mask`` and ``k``. An empty word is in
+    every row. Rows older than the k-th newest so far of their text are dropped as they are found.
     """
-    def prepare(queries: pd.DataFrame):
+
+    def __init__(self, asked: pa.Table):
         import ahocorasick
 
-        queries = queries[queries["word"].notna() & (queries["k"] > 0)]
-        places: dict[str, list[int]] = {}
-        for at, word in enumerate(queries["word"]):
-            places.setdefault(word, []).append(at)
-        finder = ahocorasick.Automaton()
-        for word in places:
+        asked = asked.filter(pc.and_(pc.is_valid(asked.column("word")), pc.greater(pc.fill_null(asked.column("k"), 0), 0)))
+        places: dict[str, int] = {}
+        code = np.array([places.setdefault(w, len(places)) for w in asked.column("word").to_pylist()], dtype=np.int64)
+        # texts with the same word stand together
+        order = np.argsort(code, kind="stable")
+        asked = asked.take(pa.array(order))
+        self.names = asked.column("query_id").combine_chunks()
+        self.k, self.mask = (asked.column(c).to_numpy().astype(np.int64) for c in ("k", "mask"))
+        self.count = np.bincount(code, minlength=len(places))
+        self.first = np.cumsum(self.count) - self.count
+        self.length = np.array([len(w) for w in places], dtype=np.int64)
+        self.empty = range(0)
+        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for word, at in places.items():
             if word:
-                finder.add_word(word, word)
-        if len(finder):
-            finder.make_automaton()
-        return queries, places, finder, queries["mask"].to_numpy(dtype=np.int64).tolist(), queries["k"].to_numpy(dtype=np.int64).tolist()
-
-    def best(corpus: pd.DataFrame, prepared) -> pd.DataFrame:
-        queries, places, finder, masks, wanted = prepared
-        corpus = corpus.sort_values(["age", "profile_id"]).reset_index(drop=True)
-        bits = corpus["bits"].to_numpy(dtype=np.int64).tolist()
-        held: dict[int, list[int]] = {}
-
-        def keep(word: str, i: int) -> bool:
-            """Whether any text with this word wants more rows."""
-            more = False
-            for at in places[word]:
-                rows = held.setdefault(at, [])
-                if len(rows) < wanted[at]:
-                    more = True
-                    if not bits[i] & masks[at]:
-                        rows.append(i)
-            return more
-
-        if len(finder):
-            for i, hay in enumerate(corpus["hay"]):
-                for word in {w for _, w in finder.iter(hay)}:
-                    keep(word, i)
-        if "" in places:
-            for i in range(len(corpus)):
-                if not keep("", i):
-                    break
-        rows = [i for at in held for i in held[at]]
-        cols = [at for at in held for _ in held[at]]
-        return pd.DataFrame({
-            "query_id": queries["query_id"].to_numpy()[cols], "profile_id": corpus["profile_id"].to_numpy()[rows],
-            "distance": corpus["age"].to_numpy(dtype=float)[rows], "k": queries["k"].to_numpy()[cols].astype("int32")})
-
-    best.prepare = prepare
-    return best
+                self.finder.add_word(word, at)
+            else:
+                self.empty = range(int(self.first[at]), int(self.first[at] + self.count[at]))
+        if len(self.finder):
+            self.finder.make_automaton()
+        # the age of the k-th newest row of a text, and the greatest of these of a word
+        self.edge, self.word_edge = np.full(len(self.k), np.inf), np.full(len(places), np.inf)
+        # (text, age, row's id) of the newest rows and of those that came since
+        self.best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))
+        self.fresh: list[tuple] = []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        if not len(rows) or not len(self.k):
+            return
+        age, bits = rows.column("age").to_numpy(), rows.column("bits").to_numpy().astype(np.int64)
+        ids = rows.column("profile_id").to_numpy(zero_copy_only=False)
+        if len(self.finder):
+            hay = rows.column("hay")
+            ends = np.cumsum(pc.utf8_length(hay).to_numpy().astype(np.int64))
+            starts = np.concatenate([[0], ends[:-1]])
+            found = self.finder.iter("".join(hay.to_pylist()))
+            while some := list(islice(found, FOUND)):
+                last, word = np.array(some, dtype=np.int64).T
+                row = np.searchsorted(ends, last, "right")
+                # a text that was found lies in one row
+                near = (last - self.length[word] + 1 >= starts[row]) & (age[row] <= self.word_edge[word])
+                pair = np.unique(word[near] * len(age) + row[near])
+                self._keep(pair // len(age), pair % len(age), age, bits, ids)
+        for text in self.empty:
+            row = np.flatnonzero((bits & self.mask[text] == 0) & (age <= self.edge[text]))
+            if len(row) > self.k[text]:
+                row = row[age[row] <= np.partition(age[row], self.k[text] - 1)[self.k[text] - 1]]
+            self.fresh.append((np.full(len(row), text), age[row], ids[row]))
+        if not len(self.best[0]) or sum(len(f[0]) for f in self.fresh) > max(len(self.best[0]), FOUND // 2):
+            self._settle()
+
+    def _keep(self, word: np.ndarray, row: np.ndarray, age: np.ndarray, bits: np.ndarray, ids: np.ndarray) -> None:
+        """Of the words found in rows, those of texts that share no facet with the row."""
+        n = self.count[word]
+        text = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[word], n)
+        row = np.repeat(row, n)
+        fine = (bits[row] & self.mask[text] == 0) & (age[row] <= self.edge[text])
+        self.fresh.append((text[fine], age[row[fine]], ids[row[fine]]))
+        if sum(len(f[0]) for f in self.fresh) > max(len(self.best[0]), 5 * FOUND):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Keep the k newest rows of each text; of rows as old as the k-th the first by id, a missing one before all."""
+        if not self.fresh:
+            return
+        text, age, ids = (np.concatenate(parts) for parts in zip(self.best, *self.fresh))
+        self.fresh = []
+        order = np.lexsort((age, text))
+        text, age, ids = text[order], age[order], ids[order]
+        n = np.bincount(text, minlength=len(self.k))
+        full = n >= self.k
+        first = np.cumsum(n) - n
+        self.edge[full] = age[first[full] + self.k[full] - 1]
+        newer, tied = age < self.edge[text], age == self.edge[text]
+        open_ = ~full[text]  # an age may be infinite
+        newer, tied = newer | open_, tied & ~open_
+        room = self.k - np.bincount(text[newer], minlength=len(self.k))
+        crowded = np.flatnonzero(tied & (np.bincount(text[tied], minlength=len(self.k)) > room)[text])
+        names = np.array(["" if i is None else "\x01" + i for i in ids[crowded]], dtype=str)
+        crowded = crowded[np.lexsort((names, text[crowded]))]
+        nth = np.arange(len(crowded)) - np.searchsorted(text[crowded], text[crowded], "left")
+        keep = newer | tied
+        keep[crowded[nth >= room[text[crowded]]]] = False
+        self.best = (text[keep], age[keep], ids[keep])
+        if len(self.first):
+            self.word_edge = np.maximum.reduceat(self.edge, self.first)
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        text, age, ids = self.best
+        for lo in range(0, len(text), 100_000):
+            part = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [self.names.take(pa.array(text[part])).cast(pa.string()), pa.array(ids[part].tolist(), pa.string()), pa.array(age[part]),
+                 pa.array(self.k[text[part]].astype(np.int32))], schema=HITS)
 
 
 def keyword_search_many(catalog: DataFrame, texts: DataFrame, nulls_first: bool = True) -> DataFrame:
     """(query_id, rank, profile_id): for each text its k newest profiles whose variables, float or id contain it.
 
     ``texts`` has query_id, word and k. Case doesn't count and all characters stand for themselves. A null word finds
-    nothing, an empty one every row; rows that repeat a profile id count apart.
+    nothing, an empty one every row; rows that repeat a profile id count apart. Each word is looked for once, for the
+    greatest k that is asked of it, and its rows are given to the texts that ask for it.
     """
     columns = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in ("variables_csv", "float_id", "profile_id")]
     rows = catalog.select("profile_id", F.concat_ws(GAP, *columns).alias("hay"), F.lit(0).alias("bits"), _age(nulls_first).alias("age"))
-    asked = texts.select("query_id", F.lower("word").alias("word"), F.lit(0).alias("mask"), F.col("k").cast("int").alias("k"))
-    return topk(rows, asked, _text_kernel()).select("query_id", "rank", "profile_id")
+    asked = stored(texts.select("query_id", F.lower("word").alias("word"), F.col("k").cast("int").alias("k")).where(
+        "word IS NOT NULL AND k > 0"), "asked")
+    words = stored(asked.groupBy("word").agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n")), "words")
+    newest = topk(rows, words.select(F.col("word").alias("query_id"), "word", F.lit(0).alias("mask"), F.col("most").alias("k")), TextScan).select(
+        F.col("query_id").alias("word"), "profile_id", "distance", F.col("rank").alias("nth"))
+    found = spread_join(asked, newest, ["word"], spread_by=["query_id"], weights=words).where("nth <= k")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "profile_id"))
+    return found.withColumn("rank", rank).where("rank <= k").select("query_id", "rank", "profile_id")
 
 
 def _facet_bits(tests: list[Column]) -> Column:
@@ -130,7 +192,7 @@ def facet_search_many(catalog: DataFrame, texts: DataFrame) -> DataFrame:
     longest_row = rows.agg(F.max(F.length("hay"))).first()[0] or 0
     words = asked.where(F.col("word").isNotNull() & (F.length("word") <= longest_row) & (F.col("k") > 0)).groupBy(*keys).agg(F.max("k").alias("k"))
     name = F.concat_ws(":", F.col("mask").cast("string"), F.col("word"))
-    by_word = topk(rows, words.select(name.alias("query_id"), *keys, "k"), _text_kernel()).select(
+    by_word = topk(rows, words.select(name.alias("query_id"), *keys, "k"), TextScan).select(
         F.col("query_id").alias("pair"), "profile_id", F.col("distance").alias("age"))
     wanted = asked.where("k > 0").select("query_id", "k", "mask", F.when(F.col("word").isNotNull(), name).alias("pair"))
     both = wanted.join(by_facet, "mask").select("query_id", "k", "profile_id", "age").unionByName(

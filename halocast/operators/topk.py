@@ -34,7 +34,8 @@ SCANNED_SCHEMA = "query_id string, profile_id string, distance double, k int, ex
 SCANNED = pa.schema([("query_id", pa.string()), ("profile_id", pa.string()), ("distance", pa.float64()), ("k", pa.int32()), ("exact", pa.float64())])
 HIT_SCHEMA = "query_id string, profile_id string, distance double, k int"
 MERGE_SALTS = 32              # partial lists per query before the last merge
-QUERY_BATCH = 4096            # queries sent to the corpus at once (a few MB of vectors)
+QUERY_BATCH = 200_000         # search texts sent to the corpus at once
+LETTERS = 2_000_000           # and their letters
 CORPUS_BLOCK = 50_000         # corpus rows per block of a cell
 QUERY_BLOCK = 2_048           # queries per block of a cell
 CELLS_SENT = 500_000          # rows of a table of cells that may be sent to all tasks
@@ -43,7 +44,6 @@ GROWTH = 3                    # a round's radius is that of the round before tim
 DIRECT_PAIRS = 200_000_000    # up to so many pairs of points and profiles one round does
 WALK_ROWS = 100_000           # rows of whole blocks that a task holds at once
 PAIRS = 2_000_000             # pairs measured at once
-BATCHES_AT_ONCE = 4           # packed query batches sent out together
 QUERY_SLICE = 256             # queries compared with a block at a time inside a task
 ROW_SLICE = 2_048             # corpus rows compared at a time inside a task
 STRIPE_QUERIES = 65_536       # queries that a task holds at most
@@ -351,52 +351,48 @@ HITS = pa.schema([("query_id", pa.string()), ("profile_id", pa.string()), ("dist
 
 
 def _pack(rows: DataFrame) -> DataFrame:
-    """Rows packed batch by batch: one binary row for each Arrow batch, all with the same ``side``."""
+    """The rows of each task packed as one binary row, all with the same ``side``."""
     def run(batches):
-        for batch in batches:
+        batches = [b for b in batches if len(b)]
+        if batches:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
+            with pa.ipc.new_stream(sink, batches[0].schema) as out:
+                for batch in batches:
+                    out.write_batch(batch)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([0], pa.int32())], ["rows", "side"])
+                [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([True], pa.bool_())], ["asked", "side"])
 
-    return rows.mapInArrow(run, "rows binary, side int")
+    return rows.mapInArrow(run, "asked binary, side boolean")
 
 
-def scan_in_batches(corpus: DataFrame, queries: DataFrame, kernel: Callable, size: int) -> DataFrame:
-    """Any number of queries pass by a corpus that stays where it is.
+def scan_in_batches(corpus: DataFrame, queries: DataFrame, scan: Callable, size: int) -> DataFrame:
+    """Any number of search texts pass by a corpus that stays where it is.
 
-    Queries are stored and dealt out once, ``size`` rows to a task, which packs them into rows; a few of these at a time
-    are sent to every block of the corpus, and nothing passes the driver's Python. A task keeps
-    one list of the k best per query for all of its blocks.
+    Queries are stored and dealt out once, ``size`` rows and ``LETTERS`` letters to a task on average, which packs them into one row.
+    Each packed batch is sent to all tasks, where it comes with the first row of the corpus; the other rows stream by its
+    ``scan``, which keeps one list of the k best per query. Nothing passes the driver's Python.
     """
-    prepare = getattr(kernel, "prepare", lambda queries: queries)
-
     def run(batches):
-        held, asked_of = None, {}
+        held = None
         for batch in batches:
-            for left, right, number in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                if number not in asked_of:  # a few batches, met by every block
-                    asked_of[number] = prepare(pa.ipc.open_stream(right.as_buffer()).read_pandas())
-                found = kernel(pa.ipc.open_stream(left.as_buffer()).read_pandas(), asked_of[number])
-                if held is not None:
-                    found = pd.concat([held, found], ignore_index=True).sort_values(
-                        ["query_id", "distance", "profile_id"])
-                    found = found[found.groupby("query_id").cumcount() < found["k"]]
-                held = found
-        if held is not None and len(held):
-            yield pa.RecordBatch.from_pandas(held.reset_index(drop=True), preserve_index=False, schema=HITS)
-
-    blocks = _pack(corpus)
+            for asked in batch.column("asked").drop_null():
+                held = scan(pa.ipc.open_stream(asked.as_buffer()).read_all())
+            if held is not None:
+                held.add(batch)
+        if held is not None:
+            yield from held.hits()
+
+    # rows of a task are numbered in the lower 33 bits
+    rows = corpus.withColumn("_first", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
     queries = stored(queries, "queries")
-    tasks = max(1, -(-queries.count() // size))
-    asked = stored(_pack(queries.repartition(tasks)).withColumnRenamed("rows", "asked").withColumn(
-        "batch", F.monotonically_increasing_id()), "asked")
+    n, letters = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    tasks = max(1, -(-n // size), -(-letters // LETTERS))
+    asked = stored(_pack(queries.repartition(tasks)).withColumn("batch", F.monotonically_increasing_id()), "asked")
     numbers = [r[0] for r in asked.select("batch").collect()]  # one per ``size`` queries
     hits = []
-    for first in range(0, max(1, len(numbers)), BATCHES_AT_ONCE):
-        some = asked.where(F.col("batch").isin(numbers[first:first + BATCHES_AT_ONCE])).select("asked", "batch", "side")
-        hits.append(blocks.join(F.broadcast(some), "side").select("rows", "asked", "batch").mapInArrow(run, HIT_SCHEMA))
+    for number in numbers or [0]:
+        some = F.broadcast(asked.where(F.col("batch") == number).select("asked", "side"))
+        hits.append(rows.join(some, F.col("_first") == F.col("side"), "left").drop("_first", "side").mapInArrow(run, HIT_SCHEMA))
     return reduce(DataFrame.unionByName, hits)
 
 
@@ -471,13 +467,13 @@ def _cell_blocks(left: DataFrame, right: DataFrame, n_left: DataFrame):
     return left, right
 
 
-def topk(corpus: DataFrame, queries: DataFrame, kernel: Callable, size: int = QUERY_BATCH) -> DataFrame:
+def topk(corpus: DataFrame, queries: DataFrame, scan: Callable, size: int = QUERY_BATCH) -> DataFrame:
     """(query_id, profile_id, distance, rank): the k nearest per query, exactly.
 
-    Corpus rows have ``profile_id`` and the kernel's columns; queries have
-    ``query_id``, ``k`` and the kernel's columns. The queries pass by the corpus in batches.
+    Corpus rows have ``profile_id`` and the columns of the scan; queries have ``query_id``, ``word``, ``k`` and
+    the columns of the scan, which is made from a batch of queries, takes rows and gives its hits. The queries pass by the corpus in batches.
     """
-    return _merge(scan_in_batches(corpus, queries, kernel, size))
+    return _merge(scan_in_batches(corpus, queries, scan, size))
 
 
 # --- nearest positions -------------------------------------------------------

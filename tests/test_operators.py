@@ -330,6 +330,32 @@ def test_texts_pass_by_once_whatever_their_number(spark, monkeypatch):
         assert [got[f"q{j}_{i}"] for i in range(7)] == [[(p, True) for p in ps] for ps in want]
 
 
+def test_words_are_looked_for_once_in_rows_of_many_batches(spark, monkeypatch):
+    rows = [(f"P{i}" if i % 37 else None, f"F{i % 11}", ("TEMP,PSAL", "DOXY", None, "a%b,NITRATE")[i % 4],
+             datetime(2020, 1, 1 + i % 5) if i % 29 else None) for i in range(700)] * 2
+    c = spark.createDataFrame(rows, "profile_id string, float_id string, variables_csv string, time_start timestamp_ntz").repartition(3)
+    words = ["nitrate", "NITRATE", "p1", "p12", "f1", "", "%", "sal", None, "psal", "zzz", "p77", "1", "é", "t" * 300]
+    asks = [(f"q{i}", words[i % len(words)], i % 7) for i in range(150)] + [(None, "doxy", 3), ("q1", "f2", 1), ("none", "p", None)]
+    sent = []
+    monkeypatch.setattr(textsearch, "topk", lambda rows, asked, scan: sent.append(asked) or topk.topk(rows, asked, scan, 5))
+    monkeypatch.setattr(textsearch, "FOUND", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        found = textsearch.keyword_search_many(c, spark.createDataFrame(asks, "query_id string, word string, k int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sent[0].count() == 15  # the distinct words of 153 questions, without the null one
+    newest = sorted(((-r[3].timestamp() if r[3] else float("-inf"), r[0] or "", "\n".join(x or "" for x in (r[2], r[1], r[0])).lower(), r[0]) for r in rows),
+                    key=lambda r: r[:2])
+    want: dict = {}
+    for name, word, k in asks:
+        if word is not None and k:
+            want.setdefault(name, []).extend((*r[:2], r[3], k) for r in [r for r in newest if word.lower() in r[2]][:k])
+    expected = sorted((str(name), i + 1, str(r[2])) for name, held in want.items()
+                      for i, r in enumerate(sorted(held, key=lambda r: r[:2])) if i < r[3])
+    assert sorted((str(r.query_id), r["rank"], str(r.profile_id)) for r in found) == expected
+
+
 def test_health_scans_each_table_once(spark, sf):
     from compare import plan
     from halocast.session import work_dir
