@@ -182,3 +182,34 @@ def test_second_ingest_reads_no_row(spark, sf, monkeypatch):
     monkeypatch.undo()
     registry.inc_drop(spark, sf, landing_dir, 1)
     assert inc.new_drops(spark, landing_dir, root) == ["d1"]
+
+
+def test_readers_of_few_columns_merge_few_columns(spark):
+    """The change set of the greatest run that owns the file wins, and columns that nobody asks for aren't read."""
+    rows = [("P1", "a", 0, 1, "first", 5), ("P1", "a", 1, 1, "second", 7), ("P2", "a", 0, 2, "replaced", 5), ("P3", "b", 0, 3, "stays", 6),
+            ("P4", "b", 0, 4, "moves", 9), ("P4", "c", 1, 4, "moved", None), ("P5", "c", 1, 5, "early", 4), ("P5", "c", 1, 6, "late", 8),
+            (None, "b", 0, 7, "nameless", 1), ("P6", "z", 0, 8, "no owner", 1)]
+    path = work_dir(spark, "changes")
+    spark.createDataFrame(rows, "profile_id string, source_file string, run int, seq long, variables_csv string, created_at long").withColumns(
+        {"lat": F.lit(1.0), "lon": F.lit(2.0), "parquet_path": F.concat("variables_csv", F.lit("!"))}).write.parquet(path)
+    sources = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("c", 1)], "source_file string, run int")
+    merged = store.merge_changes(spark.read.parquet(path), sources)
+    assert {(r.profile_id, r.variables_csv, r.created_at, r.run) for r in merged.collect()} == {
+        ("P1", "second", 5, 1), ("P3", "stays", 6, 0), ("P4", "moved", 9, 1), ("P5", "late", 4, 1)}
+    few = merged.select("profile_id", "parquet_path")
+    text = few._jdf.queryExecution().executedPlan().toString()
+    assert "parquet_path" in text and "variables_csv" not in text and "created_at" not in text
+    assert {r.parquet_path for r in few.collect()} == {"second!", "stays!", "moved!", "late!"}
+
+
+def test_files_are_counted_per_method(spark, sf):
+    """What a run took from each file is counted without a sort of its verdicts."""
+    from halocast.plans import ingest as ing
+    from halocast.sources import fixtures as fx
+
+    root = work_dir(spark, "store")
+    path = ing.publish(ing.ingest(fx.raw_values(spark, sf), fx.raw_scalars(spark, sf), fx.raw_variables(spark, sf)), root, "2001-07-31", 0)
+    got = {r.source_file: (r.n_profiles, r.n_accepted, r.extraction_method) for r in spark.read.parquet(store.part_of(path, "sources")).collect()}
+    accepted = {r[0]: r[1] for r in store.catalog(spark, root).groupBy("source_file").count().collect()}
+    assert {k: v[1] for k, v in got.items() if v[1]} == accepted and {v[2] for v in got.values()} == {"standard"}
+    assert sum(v[0] for v in got.values()) == fx.profiles(spark, sf).count()
